@@ -20,6 +20,7 @@ from pyspark.sql import types as T  # noqa: E402
 from oracle.sql import ORACLE  # noqa: E402
 from rollcall.model import Calendar, Model  # noqa: E402
 from rollcall.operators import events, logs, marking, members, migrations, quality, registration, reports  # noqa: E402
+from rollcall.operators.outcome import Outcome  # noqa: E402
 from rollcall.plans import progress, refresh  # noqa: E402
 from rollcall.sources import requests  # noqa: E402
 from rollcall.sources.bindings import AS_OF, DAILY, from_test_tables, marks, read_table  # noqa: E402
@@ -30,15 +31,15 @@ SMOKE_DIR = "/root/testdata/sf0.001"
 TODAY = "2024-02-01"
 SESSION_TODAY = "2024-01-20"
 
-_models: dict[tuple[int, str], tuple[SparkSession, Model]] = {}
+_plans: dict[tuple, tuple[SparkSession, object]] = {}
 
 
-def model_of(spark: SparkSession, sf_dir: str) -> Model:
-    """One model per session and folder, so dimension sizes are counted once."""
-    key = (id(spark), sf_dir)
-    if key not in _models:
-        _models[key] = (spark, from_test_tables(spark, sf_dir))
-    return _models[key][1]
+def once(spark: SparkSession, sf_dir: str, name: str, build: Callable[[], object]):
+    """A model or state is a set of lazy plans: built once per session and folder."""
+    key = (id(spark), sf_dir, name)
+    if key not in _plans:
+        _plans[key] = (spark, build())
+    return _plans[key][1]
 
 
 def flat(df: DataFrame) -> DataFrame:
@@ -65,11 +66,14 @@ class Tables:
 
     @property
     def model(self) -> Model:
-        return model_of(self.spark, self.sf_dir)
+        return once(self.spark, self.sf_dir, "model", lambda: from_test_tables(self.spark, self.sf_dir))
 
     @property
     def morning(self) -> Model:
         """The model with the marks of morning events only: the afternoon is the feed."""
+        return once(self.spark, self.sf_dir, "morning", self._morning)
+
+    def _morning(self) -> Model:
         stored = marks(self.events.where(requests.is_morning()), self.supplier)
         roster = self.model.stage2_roster.select("member_id")
         on_sunday = stored.where(F.dayofweek(F.col("session_id").cast("date")) == 1)
@@ -86,10 +90,10 @@ class Tables:
         return requests.stage2_mark_records(self.events, self.supplier, self.model.stage2_roster)
 
     def prepared(self) -> refresh.State:
-        return refresh.prepare(self.model, AS_OF)
+        return once(self.spark, self.sf_dir, "prepared", lambda: refresh.prepare(self.model, AS_OF))
 
     def observed(self) -> refresh.State:
-        return refresh.observe(self.model)
+        return once(self.spark, self.sf_dir, "observed", lambda: refresh.observe(self.model))
 
     def requested_ids(self) -> DataFrame:
         return self.supplier.select(F.col("s_suppkey").alias("member_id"))
@@ -179,7 +183,7 @@ READS: dict[str, Callable[[Tables], DataFrame]] = {
     "missing_counts_by_topic": lambda t: reports.missing_counts_by_topic(t.prepared()),
     "yet_to_outing": lambda t: reports.yet_to_outing(t.prepared()),
     "yet_to_service": lambda t: reports.yet_to_service(t.prepared()),
-    "list_outings": lambda t: events.list_outings(refresh.promote(t.model, AS_OF).model),
+    "list_outings": lambda t: events.list_outings(t.model),
     "outing_participants": lambda t: events.event_participants(t.model, events.OUTINGS),
     "list_services": lambda t: events.list_services(t.model),
     "service_participants": lambda t: events.event_participants(t.model, events.SERVICES),
@@ -196,9 +200,9 @@ READS: dict[str, Callable[[Tables], DataFrame]] = {
     ),
     "latest_status": lambda t: progress.latest_status(t.model),
     "promotion_eligible": lambda t: refresh.promotion_eligible(t.model),
-    "promote": lambda t: refresh.promote(t.model, AS_OF).model.members,
-    "stage2_roster_sync": lambda t: t.prepared().model.stage2_roster,
-    "prepare_state": lambda t: t.prepared().model.members,
+    "promote": lambda t: refresh.promote(t.model, AS_OF).members,
+    "stage2_roster_sync": lambda t: refresh.refresh(t.model, AS_OF).stage2_roster,
+    "prepare_state": lambda t: refresh.refresh(t.model, AS_OF).members,
     "topic_rotation": lambda t: marking.topic_rotation(_rotation_dates(t), t.model.topics),
     "topic_coverage": lambda t: progress.topic_coverage(t.model),
     "constraint_check": lambda t: quality.constraint_check(t.model),
@@ -221,25 +225,25 @@ def _applicants_verdict(t: Tables) -> DataFrame:
     ).unionByName(checked.rejected.select("ord", "full_name", "phone", "age", "reason"))
 
 
-def _events_after(t: Tables, kind: events.Kind, outcome: events.Outcome) -> DataFrame:
+def _events_after(kind: events.Kind, outcome: Outcome) -> DataFrame:
     """Events and bridge rows in one table."""
-    rows, bridge = getattr(outcome.model, kind.events), getattr(outcome.model, kind.bridge)
+    rows, bridge = getattr(outcome.changed, kind.events), getattr(outcome.changed, kind.bridge)
     return rows.join(bridge.select(kind.key, "member_id", "added_at"), kind.key, "left")
 
 
-def _create(t: Tables, kind: events.Kind) -> events.Outcome:
+def _create(t: Tables, kind: events.Kind) -> Outcome:
     return events.create_events(t.model, kind, *requests.event_requests(t.orders), AS_OF)
 
 
-def _replace(t: Tables, kind: events.Kind, priority: str) -> events.Outcome:
+def _replace(t: Tables, kind: events.Kind, priority: str) -> Outcome:
     return events.replace_event_members(t.model, kind, *requests.replace_requests(t.orders, priority), AS_OF)
 
 
-def _delete(t: Tables, kind: events.Kind, priority: str, status: str) -> events.Outcome:
+def _delete(t: Tables, kind: events.Kind, priority: str, status: str) -> Outcome:
     return events.delete_events(t.model, kind, requests.event_ids_to_delete(t.orders, priority, status, kind.key), AS_OF)
 
 
-def _upsert_marks(t: Tables) -> events.Outcome:
+def _upsert_marks(t: Tables) -> Outcome:
     return marking.upsert_marks(t.morning, t.feed, AS_OF, TODAY, DAILY)
 
 
@@ -250,7 +254,8 @@ def _delete_members(t: Tables) -> registration.Deletion:
 def _stream_upsert_marks(t: Tables) -> DataFrame:
     """The same feed as `upsert_marks`, read as a stream from the events files."""
     stored = t.morning
-    stream = t.spark.readStream.schema(t.events.schema).parquet(f"{t.sf_dir}/events.parquet")
+    files = t.spark.readStream.schema(t.events.schema).option("pathGlobFilter", "events*.parquet")
+    stream = files.parquet(t.sf_dir)
     root = f"{shared_folder(t.spark)}/marks_feed/{uuid.uuid4().hex}"
     query = marks_feed.start_feed(
         requests.mark_records(stream, t.supplier), stored, root, TODAY, DAILY, availableNow=True
@@ -259,11 +264,11 @@ def _stream_upsert_marks(t: Tables) -> DataFrame:
     return marks_feed.current(stored, root, AS_OF, DAILY).marks
 
 
-def _patch(t: Tables) -> events.Outcome:
+def _patch(t: Tables) -> Outcome:
     return registration.patch_members(t.model, requests.patches(t.customer))
 
 
-def _set_active(t: Tables) -> events.Outcome:
+def _set_active(t: Tables) -> Outcome:
     return registration.set_active(t.model, requests.activity_requests(t.customer, t.supplier))
 
 
@@ -291,12 +296,14 @@ WRITES: dict[str, Callable[[Tables], DataFrame]] = {
     "stage2_upsert_sessions": lambda t: marking.stage2_upsert_sessions(
         t.model, requests.session_requests(t.events, t.orders), AS_OF
     ).model.stage2_sessions,
-    "upsert_marks": lambda t: _upsert_marks(t).model.marks,
+    "upsert_marks": lambda t: _upsert_marks(t).changed.marks,
     "upsert_marks_members": lambda t: _upsert_marks(t).model.members,
-    "upsert_marks_sessions": lambda t: _upsert_marks(t).model.sessions,
-    "upsert_marks_rejected": lambda t: _upsert_marks(t).rejected,
+    "upsert_marks_sessions": lambda t: _upsert_marks(t).changed.sessions,
+    "upsert_marks_rejected": lambda t: marking.accept_marks(t.feed, t.model.members, DAILY, TODAY)[1],
     "stage2_upsert_marks": lambda t: marking.stage2_upsert_marks(t.morning, t.stage2_feed, AS_OF).model.stage2_marks,
-    "stage2_upsert_marks_rejected": lambda t: marking.stage2_upsert_marks(t.morning, t.stage2_feed, AS_OF).rejected,
+    "stage2_upsert_marks_rejected": lambda t: marking.accept_stage2_marks(
+        t.stage2_feed, t.model.stage2_roster, Calendar()
+    )[1],
     "patch_members": lambda t: _patch(t).model.members,
     "patch_members_rejected": lambda t: _patch(t).rejected.select("ord", "member_id", "reason"),
     "set_active": lambda t: _set_active(t).model.members,
@@ -305,18 +312,18 @@ WRITES: dict[str, Callable[[Tables], DataFrame]] = {
     "delete_members_removed": lambda t: _delete_members(t).removed,
     "delete_members_marks": lambda t: _delete_members(t).model.marks,
     "delete_members_rejected": lambda t: _delete_members(t).rejected,
-    "create_outings": lambda t: _events_after(t, events.OUTINGS, _create(t, events.OUTINGS)),
+    "create_outings": lambda t: _events_after(events.OUTINGS, _create(t, events.OUTINGS)),
     "create_outings_members": lambda t: _create(t, events.OUTINGS).model.members,
     "create_outings_rejected": lambda t: _create(t, events.OUTINGS).rejected.select("ord", "reason"),
-    "replace_outing_members": lambda t: _events_after(t, events.OUTINGS, _replace(t, events.OUTINGS, "1-URGENT")),
+    "replace_outing_members": lambda t: _events_after(events.OUTINGS, _replace(t, events.OUTINGS, "1-URGENT")),
     "replace_outing_members_rejected": lambda t: _replace(t, events.OUTINGS, "1-URGENT").rejected.select("ord", "reason"),
-    "delete_outings": lambda t: _events_after(t, events.OUTINGS, _delete(t, events.OUTINGS, "1-URGENT", "O")),
+    "delete_outings": lambda t: _events_after(events.OUTINGS, _delete(t, events.OUTINGS, "1-URGENT", "O")),
     "delete_outings_rejected": lambda t: _delete(t, events.OUTINGS, "1-URGENT", "O").rejected,
-    "create_services": lambda t: _events_after(t, events.SERVICES, _create(t, events.SERVICES)),
+    "create_services": lambda t: _events_after(events.SERVICES, _create(t, events.SERVICES)),
     "create_services_rejected": lambda t: _create(t, events.SERVICES).rejected.select("ord", "reason"),
-    "replace_service_members": lambda t: _events_after(t, events.SERVICES, _replace(t, events.SERVICES, "2-HIGH")),
+    "replace_service_members": lambda t: _events_after(events.SERVICES, _replace(t, events.SERVICES, "2-HIGH")),
     "replace_service_members_rejected": lambda t: _replace(t, events.SERVICES, "2-HIGH").rejected.select("ord", "reason"),
-    "delete_services": lambda t: _events_after(t, events.SERVICES, _delete(t, events.SERVICES, "2-HIGH", "F")),
+    "delete_services": lambda t: _events_after(events.SERVICES, _delete(t, events.SERVICES, "2-HIGH", "F")),
     "stream_upsert_marks": _stream_upsert_marks,
 }
 

@@ -193,7 +193,7 @@ parts AS (
       CASE WHEN total_topics > attended_topics THEN 'Needs to attend ' || (total_topics - attended_topics)
         || ' more class' || CASE WHEN total_topics - attended_topics = 1 THEN '' ELSE 'es' END END,
       CASE WHEN outing_count = 0 THEN 'Needs to attend one trip' END,
-      CASE WHEN service_count = 0 THEN 'Needs to volunteer once' END], x -> x IS NOT NULL) AS missing_list
+      CASE WHEN service_count = 0 THEN 'Needs to volunteer once' END], lambda x: x IS NOT NULL) AS missing_list
   FROM counts),
 statuses AS (
   SELECT member_id, full_name, level, level >= 2 AS promoted, attended_topics, total_topics, outing_count, service_count,

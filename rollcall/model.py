@@ -8,12 +8,11 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field, fields, replace
 
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import types as T
 
-#: A lookup table of at most this many slim rows may be broadcast.
-LOOKUP_ROWS = 500_000
+#: Up to this many topics are treated as constants of a query, one bit of a long each.
+FEW_TOPICS = 63
 
 _TEXT, _INT, _DATE, _TIME = T.StringType(), T.IntegerType(), T.DateType(), T.TimestampNTZType()
 
@@ -104,7 +103,12 @@ class Calendar:
 
 @dataclass(frozen=True)
 class Model:
-    """One DataFrame per table. Every operator is a function of a Model and never writes."""
+    """One DataFrame per table. Operators take a Model and give results or a new Model.
+
+    Dimensions (topics, sessions, outings, services, markers) are joined without hints:
+    Spark broadcasts one whose size is under its threshold and shuffles it otherwise, with
+    skewed partitions split.
+    """
 
     members: DataFrame
     topics: DataFrame
@@ -118,31 +122,24 @@ class Model:
     stage2_sessions: DataFrame
     stage2_marks: DataFrame
     markers: DataFrame
-    row_counts: dict[str, int] = field(default_factory=dict, compare=False, repr=False)
+    topic_cache: dict = field(default_factory=dict, compare=False, repr=False)
 
     @classmethod
     def table_names(cls) -> list[str]:
-        return [f.name for f in fields(cls) if f.name != "row_counts"]
+        return [f.name for f in fields(cls) if f.name != "topic_cache"]
 
     def tables(self) -> dict[str, DataFrame]:
         return {name: getattr(self, name) for name in self.table_names()}
 
     def with_tables(self, **tables: DataFrame) -> Model:
-        """This model with some tables replaced; counts of the others stay known."""
-        known = {name: n for name, n in self.row_counts.items() if name not in tables}
-        return replace(self, row_counts=known, **tables)
-
-    def rows(self, name: str) -> int:
-        """Row count of a table, counted once for this model."""
-        if name not in self.row_counts:
-            self.row_counts[name] = getattr(self, name).count()
-        return self.row_counts[name]
-
-    def lookup(self, name: str, *columns) -> DataFrame:
-        """Slim columns of a dimension, to be joined to a larger table.
-
-        It is broadcast when its counted size allows. Beyond `LOOKUP_ROWS` the plain
-        table is given, and Spark joins by shuffle with skewed partitions split.
-        """
-        table = getattr(self, name).select(*columns)
-        return F.broadcast(table) if self.rows(name) <= LOOKUP_ROWS else table
+        """This model with some tables replaced."""
+        cache = {} if "topics" in tables else self.topic_cache
+        return replace(self, topic_cache=cache, **tables)
+
+    def few_topics(self) -> list[Row] | None:
+        """The topics in order when there are at most `FEW_TOPICS`, else None. Read once."""
+        if "rows" not in self.topic_cache:
+            entries = self.topics.select("order_index", "topic_id", "name")
+            rows = entries.limit(FEW_TOPICS + 1).collect()
+            self.topic_cache["rows"] = sorted(rows) if len(rows) <= FEW_TOPICS else None
+        return self.topic_cache["rows"]

@@ -15,8 +15,10 @@ from pyspark.sql import functions as F
 
 from rollcall.functions.columns import blank_to_null, date_before_time, first_reason
 from rollcall.model import Model, Rules
+from rollcall.operators.outcome import Outcome
 from rollcall.plans.keyed import first_claims, flag_known, last_given, matched_keys
 from rollcall.plans.refresh import moment, promote
+from rollcall.sources.lineage import cut_lineage
 
 
 @dataclass(frozen=True)
@@ -38,14 +40,6 @@ OUTINGS = Kind("outings", "outing_members", "outing")
 SERVICES = Kind("services", "service_members", "service")
 
 
-@dataclass(frozen=True)
-class Outcome:
-    """The tables after a batch, and the requests that were turned away with their reason."""
-
-    model: Model
-    rejected: DataFrame
-
-
 def request_lines(requests: DataFrame, members: str = "member_ids") -> DataFrame:
     """`lines` of requests that carry their members as an array."""
     return requests.select("ord", F.explode(members).alias("member_id"))
@@ -86,7 +80,7 @@ def event_participants(model: Model, kind: Kind) -> DataFrame:
         getattr(model, kind.bridge)
         .select(kind.key, "member_id")
         .join(members, "member_id")
-        .join(model.lookup(kind.events, kind.key, kind.date), kind.key)
+        .join(getattr(model, kind.events).select(kind.key, kind.date), kind.key)
         .orderBy(F.desc(kind.date), "full_name", "member_id")
         .select(kind.key, F.col(kind.date).cast("string").alias(kind.date), "member_id", "full_name", "phone")
     )
@@ -128,7 +122,7 @@ def create_events(
             (F.col("bad_lines"), "one or more members are invalid"),
         ),
     )
-    accepted, rejected = _split(checked, columns)
+    accepted, rejected = _split(cut_lineage(checked), columns)
     event_id = F.col(kind.date).cast("string").alias(kind.key)
     new_events = accepted.select(
         event_id, kind.date, blank_to_null(F.col("details")).alias("details"),
@@ -140,7 +134,7 @@ def create_events(
     changed = model.with_tables(
         **{kind.events: events.unionByName(new_events), kind.bridge: bridge.unionByName(new_rows)}
     )
-    return Outcome(promote(changed, as_of, rules).model, rejected)
+    return Outcome(changed, rejected, lambda model: promote(model, as_of, rules))
 
 
 def replace_event_members(
@@ -177,7 +171,7 @@ def replace_event_members(
             (F.col("bad_lines"), "one or more members are invalid"),
         ),
     )
-    accepted, rejected = _split(checked, columns)
+    accepted, rejected = _split(cut_lineage(checked), columns)
     changes = accepted.groupBy(kind.key).agg(
         last_given("new_date", "ord").alias("new_date"),
         last_given("details", "ord").alias("new_details"),
@@ -198,7 +192,7 @@ def replace_event_members(
     changed = model.with_tables(
         **{kind.events: new_events.select(*events.columns), kind.bridge: kept.unionByName(new_rows)}
     )
-    return Outcome(promote(changed, as_of, rules).model, rejected)
+    return Outcome(changed, rejected, lambda model: promote(model, as_of, rules))
 
 
 def delete_events(model: Model, kind: Kind, ids: DataFrame, as_of: str, rules: Rules = Rules()) -> Outcome:
@@ -212,6 +206,7 @@ def delete_events(model: Model, kind: Kind, ids: DataFrame, as_of: str, rules: R
             kind.bridge: bridge.join(ids, kind.key, "left_anti"),
         }
     )
-    if kind is OUTINGS:
-        changed = promote(changed, as_of, rules).model
-    return Outcome(changed, missing.withColumn("reason", F.lit(f"{kind.name} not found")))
+    rejected = missing.withColumn("reason", F.lit(f"{kind.name} not found"))
+    if kind is SERVICES:
+        return Outcome(changed, rejected)
+    return Outcome(changed, rejected, lambda model: promote(model, as_of, rules))

@@ -42,12 +42,12 @@ def _mark_log(
     model: Model, marks: str, sessions: str, session_id, session_date: str | None, ordered: bool
 ) -> DataFrame:
     log = getattr(model, marks)
-    dates = model.lookup(sessions, "session_id", "session_date", "day_of_week")
+    dates = getattr(model, sessions).select("session_id", "session_date", "day_of_week")
     if session_id is not None:
         log = log.where(F.col("session_id") == session_id)
     if session_date is not None:
         dates = dates.where(in_range("session_date", session_date, session_date))
-    markers = model.lookup("markers", F.col("marker_id").alias("marked_by"), F.col("name").alias("marked_by_name"))
+    markers = model.markers.select(F.col("marker_id").alias("marked_by"), F.col("name").alias("marked_by_name"))
     rows = (
         log.join(dates, "session_id")
         .join(markers, "marked_by", "left")
@@ -115,7 +115,7 @@ def stage2_member_history(model: Model) -> DataFrame:
     entry = F.struct("session_date", "status", "marked_at")
     marked = (
         model.stage2_marks.select("session_id", "member_id", "status", "marked_at")
-        .join(model.lookup("stage2_sessions", "session_id", "session_date"), "session_id")
+        .join(model.stage2_sessions.select("session_id", "session_date"), "session_id")
         .groupBy("member_id")
         .agg(F.collect_list(entry).alias("marked"))
     )

@@ -13,9 +13,10 @@ from pyspark.sql import functions as F
 from rollcall.functions.columns import blank, calendar_date, day_name, first_reason, on_weekday, rotation_topic
 from rollcall.functions.values import ABSENT, PRESENT
 from rollcall.model import Calendar, Model, Rules
-from rollcall.operators.events import Outcome
+from rollcall.operators.outcome import Outcome
 from rollcall.plans.keyed import flag_known, keep_first, upsert
-from rollcall.plans.refresh import activity_refresh, ensure_topics, moment, promote
+from rollcall.plans.refresh import activity_refresh, moment, promote, with_topics
+from rollcall.sources.lineage import cut_lineage
 
 OFF_DAY = "sessions are only on the session weekday"
 
@@ -73,7 +74,7 @@ def upsert_sessions(
     model: Model, requests: DataFrame, as_of: str, today: str, calendar: Calendar = Calendar()
 ) -> Outcome:
     """`requests`: ord, session_date (text), created_by. Id and creator of a stored date stay."""
-    model = model.with_tables(topics=ensure_topics(model.topics, as_of))
+    model = with_topics(model, as_of)
     return _upsert_sessions(model, "sessions", requests, as_of, calendar, today, True)
 
 
@@ -166,25 +167,32 @@ def merge_marks(stored: DataFrame, latest: DataFrame, sessions: DataFrame) -> Da
     return upsert(stored, rows.select(*stored.columns), ["session_id", "member_id"], ["status", "marked_by", "marked_at"])
 
 
-def apply_marks(
-    model: Model, accepted: DataFrame, as_of: str, calendar: Calendar = Calendar(), rules: Rules = Rules()
-) -> Model:
-    """The model after accepted records: sessions, marks, activity of the touched, promotion."""
-    model = model.with_tables(topics=ensure_topics(model.topics, as_of))
-    sessions = _merge_sessions(model, "sessions", _wanted_sessions(accepted), as_of, calendar, True)
-    latest = latest_records(accepted)
-    marks = merge_marks(model.marks, latest, sessions)
-    changed = model.with_tables(sessions=sessions, marks=marks)
-    changed = changed.with_tables(members=activity_refresh(changed, latest.select("member_id"), rules))
-    return promote(changed, as_of, rules).model
+def apply_marks(model: Model, accepted: DataFrame, as_of: str, calendar: Calendar = Calendar()) -> Model:
+    """Sessions and marks after accepted records; levels and activity are left to `settle_marks`."""
+    model = with_topics(model, as_of)
+    sessions = cut_lineage(_merge_sessions(model, "sessions", _wanted_sessions(accepted), as_of, calendar, True))
+    marks = merge_marks(model.marks, latest_records(accepted), sessions)
+    return model.with_tables(sessions=sessions, marks=marks)
+
+
+def settle_marks(model: Model, touched: DataFrame, as_of: str, rules: Rules = Rules()) -> Model:
+    """Activity of the touched members, then promotion and roster."""
+    refreshed = model.with_tables(members=activity_refresh(model, touched, rules))
+    return promote(refreshed, as_of, rules)
 
 
 def upsert_marks(
     model: Model, records: DataFrame, as_of: str, today: str, calendar: Calendar = Calendar(), rules: Rules = Rules()
 ) -> Outcome:
-    """Take mark batches in; `rejected` has one row per batch that was turned away."""
+    """Take mark batches in; `rejected` has one row per batch that was turned away.
+
+    The accepted records are computed once, since sessions, marks and members all read them.
+    """
     accepted, rejected = accept_marks(records, model.members, calendar, today)
-    return Outcome(apply_marks(model, accepted, as_of, calendar, rules), rejected)
+    accepted = cut_lineage(accepted)
+    changed = apply_marks(model, accepted, as_of, calendar)
+    touched = accepted.select("member_id")
+    return Outcome(changed, rejected, lambda after: settle_marks(after, touched, as_of, rules))
 
 
 def _wanted_sessions(accepted: DataFrame) -> DataFrame:
@@ -195,6 +203,7 @@ def _wanted_sessions(accepted: DataFrame) -> DataFrame:
 
 def stage2_upsert_marks(model: Model, records: DataFrame, as_of: str, calendar: Calendar = Calendar()) -> Outcome:
     accepted, rejected = accept_stage2_marks(records, model.stage2_roster, calendar)
+    accepted = cut_lineage(accepted)
     sessions = _merge_sessions(model, "stage2_sessions", _wanted_sessions(accepted), as_of, calendar, False)
     marks = merge_marks(model.stage2_marks, latest_records(accepted), sessions)
     return Outcome(model.with_tables(stage2_sessions=sessions, stage2_marks=marks), rejected)

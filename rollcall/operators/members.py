@@ -56,9 +56,7 @@ def members_by_ids(members: DataFrame, ids: DataFrame) -> DataFrame:
 
 def _held_topics(model: Model) -> Column:
     """All topics in order with the last date a session on them was held, as one array value."""
-    held = (
-        model.sessions.groupBy("topic_id").agg(F.max("session_date").alias("held_on"))
-    )
+    held = model.sessions.groupBy("topic_id").agg(F.max("session_date").alias("held_on"))
     topics = model.topics.join(held, "topic_id", "left")
     entry = F.struct("order_index", "topic_id", "name", "held_on")
     return topics.agg(F.array_sort(F.collect_list(entry))).scalar()
@@ -69,7 +67,7 @@ def _present_dates(model: Model) -> DataFrame:
     return (
         model.marks.where(F.col("status") == PRESENT)
         .select("member_id", "session_id")
-        .join(model.lookup("sessions", "session_id", "session_date", "topic_id"), "session_id")
+        .join(model.sessions.select("session_id", "session_date", "topic_id"), "session_id")
         .where(F.col("topic_id").isNotNull())
         .groupBy("member_id")
         .agg(F.collect_list(F.struct("session_date", "topic_id")).alias("present"))

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from rollcall.functions.columns import blank, first_reason, number, trimmed, whole_number
 from rollcall.functions.values import MEMBER_TYPES, PROFILE_COLUMNS
 from rollcall.model import MEMBER_COLUMNS, Model
-from rollcall.operators.events import Outcome
+from rollcall.operators.outcome import Outcome
 from rollcall.plans.keyed import first_claims, flag_known, last_given, matched_keys
 from rollcall.plans.refresh import moment, roster_sync
 

@@ -17,7 +17,7 @@ def inactive_report(state: State) -> DataFrame:
     Session dates are unique, so the last present date names the session.
     """
     topic_names = state.model.topics.select("topic_id", F.col("name").alias("topic_name"))
-    sessions = state.model.lookup("sessions", F.col("session_date").alias("last_present_on"), "topic_id")
+    sessions = state.model.sessions.select(F.col("session_date").alias("last_present_on"), "topic_id")
     rows = (
         state.profile.where(~F.col("active") & (F.col("level") == 1))
         .select("member_id", "full_name", "phone", "last_present_on")
@@ -42,7 +42,8 @@ def promoted_report(state: State) -> DataFrame:
     """Members who meet the promotion rule now, whatever level is stored."""
     return (
         state.profile.where(progress.is_complete())
-        .select("member_id", "full_name", "phone", "promoted_at", "last_outing_on")
+        .select("member_id", "full_name", "phone", "promoted_at")
+        .join(progress.last_outing(state.model), "member_id", "left")
         .orderBy(F.desc_nulls_last("promoted_at"), "full_name", "member_id")
         .select(
             "member_id", "full_name", "phone", "promoted_at",

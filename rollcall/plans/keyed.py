@@ -20,13 +20,13 @@ def keep_first(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame
 
 
 def matched_keys(stored: DataFrame, incoming: DataFrame, keys: list[str]) -> DataFrame:
-    """Distinct keys of `stored` that occur in `incoming`."""
-    return stored.select(*keys).join(incoming.select(*keys), keys, "left_semi").distinct()
+    """Keys of `stored` that occur in `incoming`, as often as they are stored."""
+    return stored.select(*keys).join(incoming.select(*keys), keys, "left_semi")
 
 
 def flag_known(incoming: DataFrame, stored: DataFrame, keys: list[str], flag: str) -> DataFrame:
     """`incoming` with a boolean column saying whether its key is in `stored`."""
-    known = matched_keys(stored, incoming, keys).withColumn(flag, F.lit(True))
+    known = matched_keys(stored, incoming, keys).distinct().withColumn(flag, F.lit(True))
     return incoming.join(known, keys, "left").withColumn(flag, F.coalesce(flag, F.lit(False)))
 
 

@@ -17,26 +17,35 @@ from pyspark.sql import functions as F
 from rollcall.functions.values import ABSENT, PRESENT
 from rollcall.model import Model, Rules
 
-#: Up to this many topics fit in the bits of one long.
-MASK_TOPICS = 63
-
-
 def topic_list(model: Model) -> Column:
-    """All topics in order as one array value, evaluated once per query."""
-    entry = F.struct("order_index", "topic_id", "name")
-    return model.topics.agg(F.array_sort(F.collect_list(entry))).scalar()
+    """All topics in order as one array value.
+
+    A few topics are constants of the plan; more are a subquery, evaluated once per query.
+    """
+    rows = model.few_topics()
+    if rows is None:
+        entry = F.struct("order_index", "topic_id", "name")
+        return model.topics.agg(F.array_sort(F.collect_list(entry))).scalar()
+    entries = [
+        F.struct(F.lit(r.order_index).alias("order_index"), F.lit(r.topic_id).alias("topic_id"), F.lit(r.name).alias("name"))
+        for r in rows
+    ]
+    return F.array(*entries) if entries else F.array().cast("array<struct<order_index:int,topic_id:string,name:string>>")
 
 
 def topic_total(model: Model) -> Column:
-    return model.topics.agg(F.count(F.lit(1))).scalar()
+    rows = model.few_topics()
+    if rows is None:
+        return model.topics.agg(F.count(F.lit(1))).scalar()
+    return F.lit(len(rows)).cast("bigint")
 
 
 @dataclass(frozen=True)
 class TopicCode:
     """How the set of attended topics is kept while aggregating.
 
-    With at most 63 topics it is a bit mask: a fixed-width buffer, one shuffle, and a
-    count that needs no distinct. With more topics it is a set of ids.
+    A few topics are a bit mask: a fixed-width buffer, one shuffle, and a count that needs
+    no distinct. More topics are a set of ids.
     """
 
     per_session: Callable[[Column], Column]
@@ -66,7 +75,7 @@ ID_SET = TopicCode(
 
 
 def topic_code(model: Model) -> TopicCode:
-    return MASK if model.rows("topics") <= MASK_TOPICS else ID_SET
+    return ID_SET if model.few_topics() is None else MASK
 
 
 def session_topics(model: Model) -> DataFrame:
@@ -74,9 +83,9 @@ def session_topics(model: Model) -> DataFrame:
     position = F.coalesce(
         F.array_position(F.transform("topics_", lambda t: t["topic_id"]), F.col("topic_id")), F.lit(0)
     )
-    lookup = model.lookup("sessions", "session_id", "session_date", "topic_id")
     return (
-        lookup.withColumn("topics_", topic_list(model))
+        model.sessions.select("session_id", "session_date", "topic_id")
+        .withColumn("topics_", topic_list(model))
         .withColumn("code", topic_code(model).per_session(position))
         .select("session_id", "session_date", "code")
     )
@@ -122,7 +131,7 @@ def recent_marks(model: Model, n: int, touched: DataFrame | None = None) -> Data
         marks = marks.join(touched.select("member_id").distinct(), "member_id", "left_semi")
     newest_first = Window.partitionBy("member_id").orderBy(F.desc("session_date"), F.desc("marked_at"))
     return (
-        marks.join(model.lookup("sessions", "session_id", "session_date"), "session_id")
+        marks.join(model.sessions.select("session_id", "session_date"), "session_id")
         .withColumn("recency", F.row_number().over(newest_first))
         .where(F.col("recency") <= n)
     )
@@ -150,11 +159,15 @@ def latest_status(model: Model) -> DataFrame:
 
 
 def outing_facts(model: Model) -> DataFrame:
-    """member_id, n_outings, last_outing_on. A bridge row is unique, so rows are counted."""
+    """member_id, n_outings. A bridge row is unique, so rows are counted."""
+    return model.outing_members.groupBy("member_id").agg(F.count(F.lit(1)).alias("n_outings"))
+
+
+def last_outing(model: Model) -> DataFrame:
+    """member_id, last_outing_on."""
+    dates = model.outings.select("outing_id", "outing_date")
     return (
-        model.outing_members.join(model.lookup("outings", "outing_id", "outing_date"), "outing_id", "left")
-        .groupBy("member_id")
-        .agg(F.count(F.lit(1)).alias("n_outings"), F.max("outing_date").alias("last_outing_on"))
+        model.outing_members.join(dates, "outing_id").groupBy("member_id").agg(F.max("outing_date").alias("last_outing_on"))
     )
 
 
@@ -168,12 +181,12 @@ def topic_coverage(model: Model) -> DataFrame:
     return mark_facts(model).where(F.col("n_topics") > 0).select("member_id", "n_topics")
 
 
-FACTS = ["attended", "n_topics", "last_present_on", "lapsed", "n_outings", "last_outing_on", "n_services"]
 _COUNTS = ["n_topics", "n_outings", "n_services"]
 
 
 def profile(model: Model, rules: Rules = Rules()) -> DataFrame:
-    """Member columns plus `FACTS` and `total_topics`, one row per member."""
+    """Member columns plus attended, n_topics, last_present_on, lapsed, n_outings, n_services
+    and total_topics, one row per member."""
     marks = mark_facts(model).select("member_id", "attended", "n_topics", "last_present_on")
     joined = (
         model.members.join(marks, "member_id", "left")

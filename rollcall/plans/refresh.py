@@ -7,9 +7,8 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from rollcall.functions.values import TOPICS
 from rollcall.model import MEMBER_COLUMNS, Model, Rules
@@ -19,27 +18,46 @@ from rollcall.plans.keyed import insert_missing, upsert
 
 @dataclass(frozen=True)
 class State:
-    """A model together with the profile of its members."""
+    """The profile of the members, and the tables it was read from with topics ensured."""
 
     model: Model
     profile: DataFrame
 
+    def settled(self, as_of: str) -> Model:
+        """The model with members as in the profile and the roster brought up to date."""
+        members = self.profile.select(*MEMBER_COLUMNS)
+        roster = roster_sync(self.model.stage2_roster, members, as_of)
+        return self.model.with_tables(members=members, stage2_roster=roster)
+
 
 def moment(text: str) -> Column:
     """A UTC moment such as `2026-06-01 09:00:00` as a timestamp without zone."""
     return F.lit(text).cast("timestamp_ntz")
 
 
+def fixed_topics(spark: SparkSession, names: list[str] = TOPICS) -> DataFrame:
+    """topic_id, name, order_index of the fixed topics."""
+    name = F.element_at(F.array(*[F.lit(n) for n in names]), F.col("order_index"))
+    rows = spark.range(1, len(names) + 1, numPartitions=1).select(F.col("id").cast("int").alias("order_index"))
+    rows = rows.withColumn("name", name)
+    return rows.select(F.concat(F.lit("topic:"), "name").alias("topic_id"), "name", "order_index")
+
+
 def ensure_topics(topics: DataFrame, as_of: str, names: list[str] = TOPICS) -> DataFrame:
     """Merge the fixed topics in by name, refreshing `order_index`; other topics stay."""
-    schema = T.StructType([T.StructField("name", T.StringType()), T.StructField("order_index", T.IntegerType())])
-    fixed = topics.sparkSession.createDataFrame([(n, i + 1) for i, n in enumerate(names)], schema)
-    fixed = fixed.withColumn("topic_id", F.concat(F.lit("topic:"), F.col("name")))
-    return upsert(topics, fixed.withColumn("created_at", moment(as_of)), ["name"], ["order_index"])
+    fixed = fixed_topics(topics.sparkSession, names).withColumn("created_at", moment(as_of))
+    return upsert(topics, fixed, ["name"], ["order_index"])
 
 
-def _with_topics(model: Model, as_of: str) -> Model:
-    return model.with_tables(topics=ensure_topics(model.topics, as_of))
+def with_topics(model: Model, as_of: str) -> Model:
+    """`ensure_topics` on a model; a model that has the fixed topics in order is left as it is."""
+    rows = model.few_topics()
+    if rows is not None and {(n, i + 1) for i, n in enumerate(TOPICS)} <= {(r.name, r.order_index) for r in rows}:
+        return model
+    ensured = model.with_tables(topics=ensure_topics(model.topics, as_of))
+    if rows is None:
+        ensured.topic_cache["rows"] = None
+    return ensured
 
 
 def _refreshed_active() -> Column:
@@ -54,12 +72,6 @@ def _promoted(as_of: str) -> dict[str, Column]:
     }
 
 
-def _state(model: Model, profile: DataFrame, as_of: str) -> State:
-    members = profile.select(*MEMBER_COLUMNS)
-    model = model.with_tables(members=members, stage2_roster=roster_sync(model.stage2_roster, members, as_of))
-    return State(model, profile)
-
-
 def observe(model: Model, rules: Rules = Rules()) -> State:
     """The state as stored, without refreshing anything."""
     return State(model, progress.profile(model, rules))
@@ -67,20 +79,21 @@ def observe(model: Model, rules: Rules = Rules()) -> State:
 
 def prepare(model: Model, as_of: str, rules: Rules = Rules()) -> State:
     """Topics, then activity, then promotion and roster."""
-    model = _with_topics(model, as_of)
+    model = with_topics(model, as_of)
     rows = progress.profile(model, rules)
     # both read the level from before the promotion
-    return _state(model, rows.withColumns({"active": _refreshed_active(), **_promoted(as_of)}), as_of)
+    return State(model, rows.withColumns({"active": _refreshed_active(), **_promoted(as_of)}))
 
 
 def refresh(model: Model, as_of: str, rules: Rules = Rules()) -> Model:
-    return prepare(model, as_of, rules).model
+    """The whole pipeline as a new model: topics, members, roster."""
+    return prepare(model, as_of, rules).settled(as_of)
 
 
-def promote(model: Model, as_of: str, rules: Rules = Rules()) -> State:
+def promote(model: Model, as_of: str, rules: Rules = Rules()) -> Model:
     """Topics, promotion and roster, without the activity rule."""
-    model = _with_topics(model, as_of)
-    return _state(model, progress.profile(model, rules).withColumns(_promoted(as_of)), as_of)
+    model = with_topics(model, as_of)
+    return State(model, progress.profile(model, rules).withColumns(_promoted(as_of))).settled(as_of)
 
 
 def activity_status(model: Model, rules: Rules = Rules()) -> DataFrame:

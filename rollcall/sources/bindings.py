@@ -14,7 +14,7 @@ from rollcall.functions.columns import day_name
 from rollcall.functions.values import ABSENT, PRESENT, TOPICS
 from rollcall.model import Calendar, Model, schemas
 from rollcall.plans.keyed import keep_first
-from rollcall.plans.refresh import moment
+from rollcall.plans.refresh import fixed_topics, moment
 from rollcall.sources.lineage import cut_lineage
 
 CREATED = "2024-01-01 00:00:00"
@@ -88,10 +88,7 @@ def members(customer: DataFrame) -> DataFrame:
 
 
 def topics(spark: SparkSession) -> DataFrame:
-    rows = spark.createDataFrame([(name, i + 1) for i, name in enumerate(TOPICS)], "name string, order_index int")
-    return _conform(
-        rows.withColumns({"topic_id": F.concat(F.lit("topic:"), "name"), "created_at": moment(CREATED)}), "topics"
-    )
+    return _conform(fixed_topics(spark).withColumn("created_at", moment(CREATED)), "topics")
 
 
 def sessions(events: DataFrame) -> DataFrame:

@@ -1,6 +1,7 @@
 """Shared working folder and lineage cuts."""
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -21,8 +22,10 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """`df` computed once and kept in the shared folder, so it survives lost executors."""
-    spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(shared_folder(spark))
-    return df.checkpoint()
+    """`df` computed once, as a table written to the shared folder.
+
+    It survives lost executors, and Spark knows its true size when it plans the joins.
+    """
+    path = f"{shared_folder(df.sparkSession)}/rollcall/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

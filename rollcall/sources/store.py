@@ -60,7 +60,7 @@ def load(
     lines = _manifest(spark, root).where(F.col("version") == chosen).collect()
     kinds = schemas(member_id)
     tables = {r.table: spark.read.schema(kinds[r.table]).parquet(r.path) for r in lines}
-    return Model(**tables, row_counts={r.table: r.rows for r in lines})
+    return Model(**tables)
 
 
 def export_json(df: DataFrame, path: str) -> None:

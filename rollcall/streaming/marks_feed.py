@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from rollcall.model import Calendar, Model, Rules
-from rollcall.operators.marking import accept_marks, apply_marks
+from rollcall.operators.marking import accept_marks, apply_marks, settle_marks
 
 
 def record_schema(member_id: T.DataType = T.StringType()) -> T.StructType:
@@ -68,10 +68,13 @@ def accepted_log(
 def current(
     model: Model, root: str, as_of: str, calendar: Calendar = Calendar(), rules: Rules = Rules(), after: int = -1
 ) -> Model:
-    """The model with the log merged in. Publish it as a snapshot and pass the last
-    micro-batch as `after` from then on to fold the log away."""
+    """The model with the log merged in, members and roster included.
+
+    Publish it as a snapshot and pass the last micro-batch as `after` from then on to
+    fold the log away.
+    """
     log = accepted_log(model.members.sparkSession, root, after, model.members.schema["member_id"].dataType)
-    return apply_marks(model, log, as_of, calendar, rules)
+    return settle_marks(apply_marks(model, log, as_of, calendar), log.select("member_id"), as_of, rules)
 
 
 def last_feed_batch(spark: SparkSession, root: str) -> int | None:
