@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from rollcall.functions.values import TOPICS, WHITESPACE
 
-_NUMBER = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"
+_NUMBER = r"^[+-]?(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?$"
 _DATE = r"^\d{4}-\d{2}-\d{2}$"
 
 
@@ -23,16 +23,15 @@ def blank_to_null(text: Column) -> Column:
 
 
 def number(text: Column) -> Column:
-    """Finite number in `text`, else null. A blank text counts as zero."""
-    clean = trimmed(text)
-    parsed = F.when(clean == "", F.lit(0.0)).when(clean.rlike(_NUMBER), clean.try_cast("double"))
-    return F.when(F.abs(parsed) < float("inf"), parsed)
+    """Number in `text`, else null; too large a number is null as well. A blank text counts as zero."""
+    shown = F.regexp_replace(trimmed(text), "^$", "0")
+    return F.nullif(F.regexp_extract(shown, _NUMBER, 0).try_cast("double"), F.lit(float("inf")))
 
 
 def whole_number(text: Column) -> Column:
     """`number(text)` as an int, null when it has a fraction or does not fit."""
     parsed = number(text)
-    return F.when(parsed == F.floor(parsed), parsed.try_cast("int"))
+    return F.when(parsed % 1 == 0, parsed.try_cast("int"))
 
 
 def calendar_date(text: Column) -> Column:

@@ -74,33 +74,30 @@ def _present_dates(model: Model) -> DataFrame:
     )
 
 
-def _topic_progress(topic: Column, present: Column) -> Column:
+def _dates_on(topic: Column, present: Column) -> Column:
+    """Sorted dates the member was present on this topic, empty when there are none."""
     on_topic = F.filter(present, lambda p: p["topic_id"] == topic["topic_id"])
     dates = F.array_sort(F.transform(on_topic, lambda p: p["session_date"]))
-    return F.struct(
+    return F.coalesce(dates, F.array().cast("array<date>"))
+
+
+def _topic_progress(topic: Column, dates: Column) -> list[Column]:
+    return [
         topic["topic_id"].alias("topic_id"),
         topic["name"].alias("name"),
         topic["order_index"].alias("order_index"),
         F.when(F.size(dates) > 0, F.lit(PRESENT)).otherwise(F.lit(ABSENT)).alias("status"),
         # the last date the topic was held at all, attended or not
         topic["held_on"].cast("string").alias("attended_on"),
-        F.transform(dates, lambda d: d.cast("string")).alias("attended_dates"),
+        dates.cast("array<string>").alias("attended_dates"),
         F.array_max(dates).cast("string").alias("last_attended_on"),
-    )
+    ]
 
 
-def _progress_arrays(model: Model) -> DataFrame:
-    """member_id, sessions: one entry per topic in order."""
-    empty = F.array().cast("array<struct<session_date:date,topic_id:string>>")
+def _with_topics(model: Model) -> DataFrame:
+    """member_id, present, held_: the member's present dates and the constant topic array."""
     rows = model.members.select("member_id").join(_present_dates(model), "member_id", "left")
-    return (
-        rows.withColumn("held_", _held_topics(model))
-        .withColumn("present", F.coalesce("present", empty))
-        .select(
-            "member_id",
-            F.transform("held_", lambda t: _topic_progress(t, F.col("present"))).alias("sessions"),
-        )
-    )
+    return rows.withColumn("held_", _held_topics(model))
 
 
 def member_topic_progress(model: Model) -> DataFrame:
@@ -109,7 +106,23 @@ def member_topic_progress(model: Model) -> DataFrame:
     `attended_on` is the last date the topic was held, whether or not the member came;
     `last_attended_on` is the last date the member came.
     """
-    return _progress_arrays(model).select("member_id", F.inline("sessions"))
+    rows = _with_topics(model).select("member_id", "present", F.explode("held_").alias("topic"))
+    rows = rows.withColumn("dates", _dates_on(F.col("topic"), F.col("present")))
+    return rows.select("member_id", *_topic_progress(F.col("topic"), F.col("dates")))
+
+
+def _progress_arrays(model: Model) -> DataFrame:
+    """member_id, sessions: the topic progress as one array per member."""
+
+    def with_dates(topic: Column) -> Column:
+        return F.struct(topic.alias("topic"), _dates_on(topic, F.col("present")).alias("dates"))
+
+    return _with_topics(model).select(
+        "member_id",
+        F.transform(
+            F.transform("held_", with_dates), lambda h: F.struct(*_topic_progress(h["topic"], h["dates"]))
+        ).alias("sessions"),
+    )
 
 
 def _history(bridge: DataFrame, events: DataFrame, key: str, date: str) -> DataFrame:

@@ -80,10 +80,17 @@ class Checked:
     rejected: DataFrame
 
 
+def _judged_alone(requests: DataFrame, no_description: str) -> DataFrame:
+    """Add `early` and `detail`: the first failing rule before and after the phone check."""
+    return requests.withColumns(
+        {"early": first_reason(*_name_and_phone_checks()), "detail": first_reason(*_detail_checks(no_description))}
+    )
+
+
 def validate_members(requests: DataFrame, no_description: str = NO_DESCRIPTION) -> Checked:
     """The rules of one request alone; the first failing one is the reason."""
-    reason = first_reason(*_name_and_phone_checks(), *_detail_checks(no_description))
-    return _checked(requests.withColumn("reason", reason), requests.columns)
+    rows = _judged_alone(requests, no_description)
+    return _checked(rows.withColumn("reason", F.coalesce("early", "detail")), requests.columns)
 
 
 def _checked(rows: DataFrame, columns: list[str]) -> Checked:
@@ -99,26 +106,17 @@ def _checked(rows: DataFrame, columns: list[str]) -> Checked:
     return Checked(valid.select(*columns), rejected)
 
 
-def _with_phone_claims(requests: DataFrame, members: DataFrame, no_description: str) -> DataFrame:
-    """Add `taken` (phone stored already) and `claimed_by` (first sound request for it)."""
-    rows = requests.withColumn("phone_key", trimmed(F.col("phone")))
-    stored = members.select(F.col("phone").alias("phone_key"))
-    rows = flag_known(rows, stored, ["phone_key"], "taken")
-    alone = first_reason(*_name_and_phone_checks(), *_detail_checks(no_description))
-    sound = rows.where(alone.isNull() & ~F.col("taken")).withColumn("owner", F.col("ord"))
-    return rows.join(first_claims(sound, "phone_key", "ord", "owner"), "phone_key", "left")
-
-
 def check_registrations(
     requests: DataFrame, members: DataFrame, no_description: str = NO_DESCRIPTION
 ) -> Checked:
     """All rules in order, with the phone number unique over members and batch."""
-    rows = _with_phone_claims(requests, members, no_description)
-    duplicate = F.col("taken") | (F.col("claimed_by") < F.col("ord"))
-    reason = first_reason(
-        *_name_and_phone_checks(), (duplicate, DUPLICATE_PHONE), *_detail_checks(no_description)
-    )
-    return _checked(rows.withColumn("reason", reason), requests.columns)
+    rows = _judged_alone(requests, no_description).withColumn("phone_key", trimmed(F.col("phone")))
+    rows = flag_known(rows, members.select(F.col("phone").alias("phone_key")), ["phone_key"], "taken")
+    sound = rows.where(F.col("early").isNull() & F.col("detail").isNull() & ~F.col("taken"))
+    claims = first_claims(sound.withColumn("owner", F.col("ord")), "phone_key", "ord", "owner")
+    rows = rows.join(claims, "phone_key", "left")
+    duplicate = F.when(F.col("taken") | (F.col("claimed_by") < F.col("ord")), F.lit(DUPLICATE_PHONE))
+    return _checked(rows.withColumn("reason", F.coalesce("early", duplicate, "detail")), requests.columns)
 
 
 def duplicate_phone(requests: DataFrame, members: DataFrame) -> DataFrame:
