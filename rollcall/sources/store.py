@@ -14,6 +14,9 @@ from rollcall.model import Model, schemas
 
 _MANIFEST = "version long, table string, path string, rows long"
 
+#: Facts are laid out by session, so that a date filter on the sessions prunes their files.
+PARTITIONS = {"marks": ["session_id"], "stage2_marks": ["session_id"]}
+
 
 def _manifest(spark: SparkSession, root: str) -> DataFrame:
     return spark.read.schema(_MANIFEST).option("recursiveFileLookup", "true").parquet(f"{root}/manifest")
@@ -36,7 +39,9 @@ def publish(model: Model, root: str, version: int, changed: list[str] | None = N
         path = f"{root}/tables/{name}/version={version}"
         seen = Observation()
         observed = getattr(model, name).observe(seen, F.count(F.lit(1)).alias("rows"))
-        observed.write.mode("overwrite").parquet(path)
+        # even files, and one writer per partition folder unless that is too large for one
+        by = PARTITIONS.get(name, [])
+        observed.hint("rebalance", *by).write.mode("overwrite").parquet(path, partitionBy=by or None)
         lines.append((version, name, path, seen.get["rows"]))
     manifest = spark.createDataFrame(lines, _MANIFEST).coalesce(1)
     manifest.write.mode("overwrite").parquet(f"{root}/manifest/{version}")
@@ -59,7 +64,9 @@ def load(
     chosen = latest_version(spark, root) if version is None else version
     lines = _manifest(spark, root).where(F.col("version") == chosen).collect()
     kinds = schemas(member_id)
-    tables = {r.table: spark.read.schema(kinds[r.table]).parquet(r.path) for r in lines}
+    tables = {
+        r.table: spark.read.schema(kinds[r.table]).parquet(r.path).select(*kinds[r.table].names) for r in lines
+    }
     return Model(**tables)
 
 

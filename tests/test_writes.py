@@ -1,0 +1,366 @@
+"""Batch writes on the fixture."""
+
+from datetime import date, datetime
+
+import pytest
+from pyspark.sql import functions as F
+
+from rollcall.functions.columns import blank_to_null, date_before_time, number, whole_number
+from rollcall.model import Calendar
+from rollcall.operators import events, marking, migrations, quality, registration
+from rollcall.streaming.marks_feed import record_schema
+from tests.conftest import AS_OF
+
+TODAY = "2026-06-01"
+
+REQUEST = (
+    "ord long, member_id string, full_name string, phone string, age string, member_type string, college_name string, "
+    "branch string, semester string, company_name string, designation string, experience string, description string"
+)
+FIELDS = [f.split()[0] for f in REQUEST.split(", ")]
+
+
+def requests(spark, *rows):
+    return spark.createDataFrame([tuple(r.get(f) for f in FIELDS) for r in rows], REQUEST)
+
+
+def student(ord, phone, **more):
+    return {
+        "ord": ord, "member_id": f"n{ord}", "full_name": f"New {ord}", "phone": phone, "age": "20", "member_type": "studying",
+        "college_name": "C", "branch": "B", "semester": "2", **more,
+    }
+
+
+def reasons(outcome):
+    return {r.ord: r.reason for r in outcome.rejected.collect()}
+
+
+def test_number_texts(spark):
+    texts = ["12", " 12 ", "1e3", "2.50", "", "   ", "x", "1d", "NaN", "Infinity", "1e999", "-1e999", "+.5", "2.5", None]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string")
+    got = {r.t: (r.n, r.w) for r in rows.select("t", number(F.col("t")).alias("n"), whole_number(F.col("t")).alias("w")).collect()}
+    assert got["12"] == (12, 12) and got[" 12 "] == (12, 12) and got["1e3"] == (1000, 1000)
+    assert got["2.50"] == (2.5, None) and got["+.5"] == (0.5, None)
+    assert got[""] == (0, 0) and got["   "] == (0, 0)
+    for text in ["x", "1d", "NaN", "Infinity", "1e999", None]:
+        assert got[text] == (None, None)
+    assert got["-1e999"][1] is None
+
+
+def test_date_and_blank_texts(spark):
+    rows = spark.createDataFrame([("2026-05-24T10:00:00Z",), ("2026-05-24",), ("2026-02-30",), ("24/05/2026",), (None,)], "t string")
+    got = [r.d for r in rows.select(date_before_time(F.col("t")).alias("d")).collect()]
+    assert got == [date(2026, 5, 24), date(2026, 5, 24), None, None, None]
+    spaces = spark.createDataFrame([(" \t ",), (" x ",)], "t string")
+    assert [r.b for r in spaces.select(blank_to_null(F.col("t")).alias("b")).collect()] == [None, "x"]
+
+
+def test_create_members(spark, seed):
+    batch = requests(
+        spark,
+        student(1, " 7000000001 ", full_name="  Ann ", company_name="dropped"),
+        student(2, "7000000001"),  # same phone, later
+        student(3, "9001000001"),  # phone of member 1
+        student(4, "7000000004", age="0"),
+        student(5, "7000000004"),  # an invalid earlier request does not block the number
+        student(6, "7000000006", semester="x"),
+        student(7, "7000000007", member_type="retired"),
+        {**student(8, "7000000008", member_type="working"), "company_name": "W", "designation": "D", "experience": ""},
+        student(9, "", full_name=" "),
+        student(10, "7000000010", age="20.5"),
+        student(11, "7000000011", member_type="not_studying_not_working", description=" "),
+        student(12, "7000000001", age="-1"),  # the phone comes before the age
+    )
+    outcome = registration.create_members(seed, batch, AS_OF)
+    assert reasons(outcome) == {
+        2: registration.DUPLICATE_PHONE, 3: registration.DUPLICATE_PHONE, 4: "age must be a positive number",
+        6: "semester must be a positive number", 7: registration.BAD_TYPE, 9: "full_name is required",
+        10: "age must be a whole number", 11: registration.NO_DESCRIPTION, 12: registration.DUPLICATE_PHONE,
+    }
+    new = {r.member_id: r for r in outcome.model.members.where("member_id like 'n%'").collect()}
+    assert set(new) == {"n1", "n5", "n8"}
+    assert (new["n1"].full_name, new["n1"].phone, new["n1"].age, new["n1"].company_name) == ("Ann", "7000000001", 20, None)
+    assert (new["n1"].active, new["n1"].level, new["n1"].email, new["n1"].promoted_at) == (True, 1, None, None)
+    assert new["n8"].experience == 0 and new["n8"].college_name is None
+    assert outcome.model.members.count() == 53
+    assert registration.duplicate_phone(batch, seed.members).count() == 3
+
+
+def test_ids_without_member_id_follow_the_phone(spark, seed):
+    batch = requests(spark, student(1, "7000000001")).drop("member_id")
+    new = registration.create_members(seed, batch, AS_OF).model.members.where("phone = '7000000001'").first()
+    assert len(new.member_id) == 64
+
+
+def test_create_stage2_members(spark, seed):
+    outcome = registration.create_stage2_members(
+        seed,
+        requests(spark, student(1, "7000000001"), student(2, "7000000002", member_type="not_studying_not_working")),
+        AS_OF,
+    )
+    assert reasons(outcome) == {2: registration.NO_DESCRIPTION_STAGE2}
+    row = outcome.model.members.where("member_id = 'n1'").first()
+    assert (row.level, row.promoted_at) == (2, datetime(2026, 6, 1, 9))
+    assert outcome.model.stage2_roster.where("member_id = 'n1'").count() == 1
+
+
+def test_patch_members(spark, seed):
+    def patch(ord, member, **fields):
+        return {"ord": ord, "member_id": member, **fields}
+
+    outcome = registration.patch_members(
+        seed,
+        requests(
+            spark,
+            patch(1, "m11", full_name=" Kept as given "),
+            patch(2, "m12", member_type="studying", college_name="C"),  # S12: branch and semester become null
+            patch(3, "m13", college_name="C"),
+            patch(4, "m14", phone="9001000001"),
+            patch(5, "m15", phone="9001000015"),  # own number
+            patch(6, "m16", phone="7000000001"),
+            patch(7, "m17", phone=" 7000000001"),  # claimed by 6
+            patch(8, "m18", age="30"),
+            patch(9, "m18", age="31", full_name="Twice"),
+            patch(10, "m18", full_name="Thrice"),
+            patch(11, "nobody", age="30"),
+            patch(12, "m19", member_type="not_studying_not_working"),
+            patch(13, "m20", member_type="working", experience="-1"),
+            patch(14, "m21", member_type="", age="30"),
+            patch(15, "m22", semester="1.5", member_type="working"),
+            patch(16, "m23", member_type="not_studying_not_working", description=" trimmed "),
+            patch(17, "m24", phone=" "),
+        ),
+    )
+    assert reasons(outcome) == {
+        3: "member_type is required when updating profile details", 4: registration.DUPLICATE_PHONE,
+        7: registration.DUPLICATE_PHONE, 11: "member not found", 12: registration.NO_DESCRIPTION,
+        13: "experience must be a non-negative number", 14: registration.BAD_TYPE,
+        15: "semester must be a whole number", 17: "phone is required",
+    }
+    rows = {r.member_id: r for r in outcome.model.members.collect()}
+    before = {r.member_id: r for r in seed.members.collect()}
+    assert len(rows) == 50
+    assert rows["m11"].full_name == " Kept as given " and rows["m11"].college_name == "City College"
+    assert (rows["m12"].college_name, rows["m12"].branch, rows["m12"].semester, rows["m12"].company_name) == ("C", None, None, None)
+    assert rows["m16"].phone == "7000000001"
+    assert (rows["m18"].age, rows["m18"].full_name) == (31, "Thrice")
+    assert (rows["m23"].description, rows["m23"].college_name) == ("trimmed", None)
+    changed = {"m11", "m12", "m15", "m16", "m18", "m23"}
+    assert all(rows[m] == before[m] for m in rows if m not in changed)
+
+
+def test_set_active(spark, seed):
+    batch = spark.createDataFrame(
+        [(1, "m11", False), (2, "m11", True), (3, "m12", False), (4, "x", True), (5, "m13", None)],
+        "ord long, member_id string, active boolean",
+    )
+    outcome = registration.set_active(seed, batch)
+    active = {r.member_id: r.active for r in outcome.model.members.collect()}
+    assert active["m11"] and not active["m12"] and active["m13"]
+    assert reasons(outcome) == {4: "member not found", 5: "active is required"}
+
+
+def test_delete_members(spark, seed):
+    gone = registration.delete_members(seed, spark.createDataFrame([("m01",), ("m31",), ("x",)], "member_id string"))
+    assert {r.member_id: r.attendance_removed for r in gone.removed.collect()} == {"m01": 8, "m31": 8}
+    assert [r.member_id for r in gone.rejected.collect()] == ["x"]
+    for name in registration.CASCADE:
+        assert getattr(gone.model, name).where("member_id in ('m01', 'm31')").count() == 0
+    assert gone.model.marks.count() == 384 and gone.model.stage2_marks.count() == 27
+
+
+# --- sessions and marks -----------------------------------------------------------------
+
+
+def records(spark, *rows):
+    """(seq, batch, ord, date, member, status)"""
+    filled = [(s, b, o, d, m, st, "admin", datetime(2026, 6, 1, 8, 0, o)) for s, b, o, d, m, st in rows]
+    return spark.createDataFrame(filled, record_schema())
+
+
+def test_upsert_sessions(spark, seed):
+    batch = spark.createDataFrame(
+        [(1, "2026-05-31", "p"), (2, "2026-04-05", "p"), (3, "2026-05-30", "p"), (4, "2026-06-07", "p"), (5, "soon", "p"), (6, None, "p"),
+         (7, "2026-04-05", "q")],
+        "ord long, session_date string, created_by string",
+    )
+    outcome = marking.upsert_sessions(seed, batch, AS_OF, TODAY)
+    assert reasons(outcome) == {
+        3: marking.OFF_DAY, 4: "attendance cannot be taken for a future session", 5: "session_date must be a valid date",
+        6: "session_date is required",
+    }
+    rows = {str(r.session_date): r for r in outcome.model.sessions.collect()}
+    assert len(rows) == 9
+    # S10: a stored session takes the topic of the rotation, and keeps its creator
+    assert (rows["2026-05-31"].topic_id, rows["2026-05-31"].created_by) == ("topic:The Perfect Knowledge", "admin")
+    assert (rows["2026-04-05"].topic_id, rows["2026-04-05"].created_by) == ("topic:The Perfect Knowledge", "p")
+    future = marking.stage2_upsert_sessions(seed, batch.where("ord <= 4"), AS_OF).model.stage2_sessions
+    assert sorted(str(r.session_date) for r in future.collect()) == ["2026-04-05", "2026-05-17", "2026-05-24", "2026-05-31", "2026-06-07"]
+
+
+def test_upsert_marks(spark, seed):
+    batch = records(
+        spark,
+        (1, "a", 1, "2026-05-31", "m41", "present"),
+        (1, "a", 2, "2026-05-31", "m41", "absent"),
+        (1, "a", 3, "2026-05-31", "m41", "present"),  # S11: the last one wins
+        (1, "a", 4, "2026-05-31", "m01", "absent"),  # S14: level 2 is accepted
+        (2, "b", 1, "2026-05-24", "m42", "present"),
+        (2, "b", 2, "2026-05-24", "m43", "late"),  # rejects all of b
+        (3, "c", 1, "2026-05-24", "nobody", "present"),
+        (4, "d", 1, "2026-05-23", "m42", "present"),
+        (4, "d", 2, "2026-05-23", "m42", "late"),
+        (5, "e", 1, "2026-05-24", None, "present"),
+        (6, "f", 1, "2026-04-05", "m44", "present"),  # a new session
+    )
+    outcome = marking.upsert_marks(seed, batch, AS_OF, TODAY)
+    assert {r.batch_id: r.reason for r in outcome.rejected.collect()} == {
+        "b": "status must be 'present' or 'absent'", "c": "unknown member_id", "d": marking.OFF_DAY,
+        "e": "each record must include member_id and status",
+    }
+    marks = {(r.session_id, r.member_id): r for r in outcome.model.marks.collect()}
+    assert len(marks) == 401
+    changed = marks["2026-05-31", "m41"]
+    assert (changed.status, changed.marked_at, changed.mark_id) == ("present", datetime(2026, 6, 1, 8, 0, 3), "2026-05-31|m41")
+    assert marks["2026-05-24", "m42"].status == "absent" and marks["2026-04-05", "m44"].status == "present"
+    assert outcome.model.sessions.where("session_id = '2026-04-05'").count() == 1
+    active = {r.member_id: r.active for r in outcome.model.members.collect()}
+    # 41 is touched and now present last; 44 is touched, still absent in the newest four; 45 is not touched
+    assert active["m41"] and not active["m44"] and not active["m45"]
+
+
+def test_activity_refresh_touches_only_the_touched(spark, seed):
+    from rollcall.plans.refresh import activity_refresh
+
+    touched = spark.createDataFrame([("m16",), ("m29",), ("m01",)], "member_id string")
+    active = {r.member_id: r.active for r in activity_refresh(seed, touched).collect()}
+    assert active["m16"] and not active["m29"] and not active["m01"] and not active["m21"]
+
+
+def test_stage2_upsert_marks(spark, seed):
+    batch = records(
+        spark,
+        (1, "a", 1, "2026-06-07", "m01", "present"),
+        (1, "a", 2, "2026-06-07", "m02", "absent"),
+        (2, "b", 1, "2026-05-31", "m01", "absent"),
+        (2, "b", 2, "2026-05-31", "m01", "present"),  # S11: twice in a batch
+        (3, "c", 1, "2026-05-31", "m30", "present"),  # not on the roster
+        (4, "d", 1, "2026-05-30", "m30", "late"),  # the day comes first
+        (5, "e", 1, "2026-05-31", "m03", "late"),
+        (6, "f", 1, "2026-05-31", None, "present"),
+    )
+    outcome = marking.stage2_upsert_marks(seed, batch, AS_OF)
+    outsiders = "only stage-2 members can be marked"
+    assert {r.batch_id: r.reason for r in outcome.rejected.collect()} == {
+        "b": outsiders, "c": outsiders, "d": marking.OFF_DAY, "e": "status must be 'present' or 'absent'", "f": outsiders,
+    }
+    assert outcome.model.stage2_marks.count() == 32 and outcome.model.stage2_sessions.count() == 4
+
+
+# --- outings and services ---------------------------------------------------------------
+
+KINDS = [events.OUTINGS, events.SERVICES]
+
+
+def event_requests(spark, rows, lines):
+    return (
+        spark.createDataFrame(rows, "ord long, event_date string, details string, created_by string"),
+        spark.createDataFrame(lines, "ord long, member_id string"),
+    )
+
+
+def bridge_of(model, kind):
+    found = {}
+    for r in getattr(model, kind.bridge).collect():
+        found.setdefault(r[kind.key], set()).add(r.member_id)
+    return found
+
+
+@pytest.mark.parametrize("kind", KINDS, ids=lambda k: k.name)
+def test_create_events(spark, seed, kind):
+    taken = str(getattr(seed, kind.events).first()[kind.date])
+    asked = event_requests(
+        spark,
+        [(1, "2026-06-06T10:00:00Z", " ", "p"), (2, "2026-06-06", "second", "p"), (3, taken, None, "p"), (4, "bad", None, "p"),
+         (5, "2026-06-08", None, "p"), (6, "2026-06-08", " Day ", "p"), (7, None, None, "p")],
+        [(1, "m17"), (1, "m17"), (1, "m18"), (5, "m17"), (5, "nobody"), (6, "m19")],
+    )
+    outcome = events.create_events(seed, kind, *asked, AS_OF)
+    busy = f"{kind.name} date already scheduled"
+    assert reasons(outcome) == {
+        2: busy, 3: busy, 4: f"{kind.name}_date is required", 5: "one or more members are invalid", 7: f"{kind.name}_date is required",
+    }
+    new = {r[kind.key]: r for r in getattr(outcome.changed, kind.events).collect()}
+    assert new["2026-06-06"].details is None and new["2026-06-08"].details == "Day"
+    assert bridge_of(outcome.changed, kind)["2026-06-06"] == {"m17", "m18"}
+    if kind is events.OUTINGS:  # 17 had everything but an outing
+        assert outcome.model.members.where("member_id = 'm17'").first().level == 2
+        assert outcome.model.stage2_roster.where("member_id = 'm17'").count() == 1
+
+
+def test_request_lines_explode_arrays(spark):
+    asked = spark.createDataFrame([(1, ["a", "b", "a"]), (2, [])], "ord long, member_ids array<string>")
+    assert sorted(tuple(r) for r in events.request_lines(asked).distinct().collect()) == [(1, "a"), (1, "b")]
+
+
+@pytest.mark.parametrize("kind", KINDS, ids=lambda k: k.name)
+def test_replace_event_members(spark, seed, kind):
+    old, new = sorted(str(r[kind.date]) for r in getattr(seed, kind.events).collect())
+    asked = (
+        spark.createDataFrame(
+            [(1, old, None, None), (2, new, "2026-07-05", " "), (3, "nothing", None, None), (4, old, new, "taken"), (5, old, "soon", None),
+             (6, new, None, None)],
+            "ord long, event_id string, event_date string, details string",
+        ),
+        spark.createDataFrame([(2, "m11"), (2, "m12"), (6, "m13"), (4, "m14")], "ord long, member_id string"),
+    )
+    outcome = events.replace_event_members(seed, kind, *asked, AS_OF)
+    assert reasons(outcome) == {
+        3: f"{kind.name} not found", 4: f"{kind.name} date already scheduled", 5: f"{kind.name}_date is invalid",
+    }
+    # S15: no lines empties the set; of two accepted requests the last one decides it
+    assert bridge_of(outcome.changed, kind) == {new: {"m13"}}
+    rows = {r[kind.key]: r for r in getattr(outcome.changed, kind.events).collect()}
+    assert (str(rows[new][kind.date]), rows[new].details) == ("2026-07-05", None)
+    assert rows[old].details == f"{kind.name} {old}"
+
+
+@pytest.mark.parametrize("kind", KINDS, ids=lambda k: k.name)
+def test_delete_events(spark, seed, kind):
+    first = getattr(seed, kind.events).first()[kind.key]
+    outcome = events.delete_events(seed, kind, spark.createDataFrame([(first,), ("x",)], f"{kind.key} string"), AS_OF)
+    assert getattr(outcome.model, kind.events).count() == 1 and first not in bridge_of(outcome.model, kind)
+    assert [r[0] for r in outcome.rejected.collect()] == ["x"]
+    levels = {r.member_id: r.level for r in seed.members.collect()}
+    assert {r.member_id: r.level for r in outcome.model.members.collect()} == levels
+
+
+# --- migrations and constraints -------------------------------------------------------------
+
+
+def test_migrations(spark, seed):
+    old = seed.members.select("member_id", "member_type", "college_name").withColumn("institution_name", F.lit("Old"))
+    added = migrations.migrate_add_columns(old)
+    assert added.schema["semester"].dataType.simpleString() == "int" and added.columns[:2] == ["member_id", "member_type"]
+    emptied = added.withColumn("college_name", F.when(F.col("member_id") == "m01", "Kept"))
+    rows = {r.member_id: r.college_name for r in migrations.backfill_profile(emptied).collect()}
+    assert rows["m01"] == "Kept" and rows["m02"] == "Old" and rows["m03"] is None
+
+
+def test_constraint_check(spark, seed):
+    assert quality.constraint_check(seed).where("violations > 0").count() == 0
+    broken = seed.with_tables(
+        marks=seed.marks.union(seed.marks.limit(3)),
+        members=seed.members.where("member_id <> 'm01'"),
+    )
+    found = {(r.table_name, r.rule): r.violations for r in quality.constraint_check(broken).where("violations > 0").collect()}
+    assert found["marks", "unique mark_id"] == 3 and found["marks", "unique session_id, member_id"] == 3
+    assert found["stage2_roster", "member_id in members"] == 1
+
+
+def test_calendar_without_weekday(spark, seed):
+    batch = records(spark, (1, "a", 1, "2026-05-29", "m41", "present"))
+    outcome = marking.upsert_marks(seed, batch, AS_OF, TODAY, Calendar(weekday=None, cadence_days=1))
+    row = outcome.changed.sessions.where("session_id = '2026-05-29'").first()
+    assert (row.day_of_week, row.topic_id) == ("Friday", "topic:Diet For Happiness")
+    assert outcome.rejected.count() == 0
