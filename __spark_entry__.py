@@ -261,7 +261,7 @@ def _stream_upsert_marks(t: Tables) -> DataFrame:
         requests.mark_records(stream, t.supplier), stored, root, TODAY, DAILY, availableNow=True
     )
     query.awaitTermination()
-    return marks_feed.current(stored, root, AS_OF, DAILY).marks
+    return marks_feed.current(stored, root, AS_OF, DAILY).changed.marks
 
 
 def _patch(t: Tables) -> Outcome:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from rollcall.model import Model, schemas
+from rollcall.operators.outcome import Outcome
 
 _MANIFEST = "version long, table string, path string, rows long"
 
@@ -22,29 +23,59 @@ def _manifest(spark: SparkSession, root: str) -> DataFrame:
     return spark.read.schema(_MANIFEST).option("recursiveFileLookup", "true").parquet(f"{root}/manifest")
 
 
-def publish(model: Model, root: str, version: int, changed: list[str] | None = None) -> None:
-    """Write version `version` of the model under `root`.
+def _table_path(root: str, name: str, version: int) -> str:
+    return f"{root}/tables/{name}/version={version}"
 
-    With `changed`, only those tables are written and the manifest points to the stored
-    files of the others, taken from the latest version before. Rows are counted while
-    they are written.
-    """
-    spark = model.members.sparkSession
+
+def _write_tables(model: Model, names: list[str], root: str, version: int) -> list[tuple]:
+    """Write some tables, counting their rows while they are written; gives manifest lines."""
     lines = []
-    if changed is not None:
-        previous = latest_version(spark, root, before=version)
-        kept = _manifest(spark, root).where((F.col("version") == previous) & ~F.col("table").isin(changed))
-        lines += [(version, r.table, r.path, r.rows) for r in kept.collect()]
-    for name in changed if changed is not None else Model.table_names():
-        path = f"{root}/tables/{name}/version={version}"
-        seen = Observation()
+    for name in names:
+        path, seen, by = _table_path(root, name, version), Observation(), PARTITIONS.get(name, [])
         observed = getattr(model, name).observe(seen, F.count(F.lit(1)).alias("rows"))
         # even files, and one writer per partition folder unless that is too large for one
-        by = PARTITIONS.get(name, [])
         observed.hint("rebalance", *by).write.mode("overwrite").parquet(path, partitionBy=by or None)
         lines.append((version, name, path, seen.get["rows"]))
-    manifest = spark.createDataFrame(lines, _MANIFEST).coalesce(1)
-    manifest.write.mode("overwrite").parquet(f"{root}/manifest/{version}")
+    return lines
+
+
+def _finish(spark: SparkSession, root: str, version: int, lines: list[tuple]) -> None:
+    """Write the manifest; tables not in `lines` stay those of the latest version before."""
+    written = {line[1] for line in lines}
+    if len(written) < len(Model.table_names()):
+        previous = latest_version(spark, root, before=version)
+        kept = _manifest(spark, root).where((F.col("version") == previous) & ~F.col("table").isin(written))
+        lines = lines + [(version, r.table, r.path, r.rows) for r in kept.collect()]
+    spark.createDataFrame(lines, _MANIFEST).coalesce(1).write.mode("overwrite").parquet(f"{root}/manifest/{version}")
+
+
+def publish(model: Model, root: str, version: int, changed: list[str] | None = None) -> None:
+    """Write version `version` of the model under `root`.
+
+    With `changed`, only those tables are written and the version shares the stored files
+    of the others with the latest version before.
+    """
+    lines = _write_tables(model, changed or Model.table_names(), root, version)
+    _finish(model.members.sparkSession, root, version, lines)
+
+
+def publish_outcome(outcome: Outcome, root: str, version: int, changed: list[str]) -> None:
+    """Write a batch outcome as one version: its `changed` tables, then members and roster.
+
+    The second step reads the tables of the first one back, so the merge of a large fact
+    is computed once. Both become visible together.
+    """
+    spark, model = outcome.changed.members.sparkSession, outcome.changed
+    lines = _write_tables(model, changed, root, version)
+    settled = outcome.settle(model.with_tables(**{line[1]: _read_table(spark, *line[1:3], model) for line in lines}))
+    after = [name for name in ["members", "stage2_roster"] if getattr(settled, name) is not getattr(model, name)]
+    lines += _write_tables(settled, [name for name in after if name not in changed], root, version)
+    _finish(spark, root, version, lines)
+
+
+def _read_table(spark: SparkSession, name: str, path: str, like: Model) -> DataFrame:
+    table = getattr(like, name)
+    return spark.read.schema(table.schema).parquet(path).select(*table.columns)
 
 
 def latest_version(spark: SparkSession, root: str, before: int | None = None) -> int:

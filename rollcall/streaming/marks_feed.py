@@ -15,6 +15,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from rollcall.model import Calendar, Model, Rules
 from rollcall.operators.marking import accept_marks, apply_marks, settle_marks
+from rollcall.operators.outcome import Outcome
 
 
 def record_schema(member_id: T.DataType = T.StringType()) -> T.StructType:
@@ -67,14 +68,20 @@ def accepted_log(
 
 def current(
     model: Model, root: str, as_of: str, calendar: Calendar = Calendar(), rules: Rules = Rules(), after: int = -1
-) -> Model:
-    """The model with the log merged in, members and roster included.
+) -> Outcome:
+    """The model with the log merged in.
 
-    Publish it as a snapshot and pass the last micro-batch as `after` from then on to
-    fold the log away.
+    Publish the outcome as a snapshot and pass the last micro-batch as `after` from then
+    on to fold the log away.
     """
-    log = accepted_log(model.members.sparkSession, root, after, model.members.schema["member_id"].dataType)
-    return settle_marks(apply_marks(model, log, as_of, calendar), log.select("member_id"), as_of, rules)
+    spark = model.members.sparkSession
+    log = accepted_log(spark, root, after, model.members.schema["member_id"].dataType)
+    touched = log.select("member_id")
+    return Outcome(
+        apply_marks(model, log, as_of, calendar),
+        spark.read.schema("batch_id string, reason string").parquet(f"{root}/rejected"),
+        lambda merged: settle_marks(merged, touched, as_of, rules),
+    )
 
 
 def last_feed_batch(spark: SparkSession, root: str) -> int | None:

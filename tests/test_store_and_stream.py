@@ -10,7 +10,7 @@ from rollcall.operators import logs, registration
 from rollcall.sources import database
 from rollcall.sources.bindings import SCHEMAS
 from rollcall.sources.lineage import cut_lineage, shared_folder
-from rollcall.sources.store import export_json, latest_version, load, publish
+from rollcall.sources.store import export_json, latest_version, load, publish, publish_outcome
 from rollcall.streaming import marks_feed
 from tests.conftest import SF
 
@@ -98,15 +98,17 @@ def test_micro_batches_give_the_same_as_one_batch(spark, tmp_path):
     assert marks_feed.last_feed_batch(spark, root) == 2
     after = marks_feed.current(t.morning, root, entry.AS_OF, entry.DAILY)
     whole = entry.marking.upsert_marks(t.morning, t.feed, entry.AS_OF, entry.TODAY, entry.DAILY)
-    assert rows(after.marks) == rows(whole.model.marks)
-    assert rows(after.members) == rows(whole.model.members)
-    rejected = spark.read.parquet(f"{root}/rejected").select("batch_id", "reason")
-    assert rows(rejected) == rows(whole.rejected)
+    assert rows(after.changed.marks) == rows(whole.changed.marks)
+    assert rows(after.rejected) == rows(whole.rejected)
     # nothing new: a second run adds no micro-batch, and a replayed one replaces its own folder
     run_feed(spark, folder, schema, root, t.morning)
     assert marks_feed.last_feed_batch(spark, root) == 2
     # folding: publish, then read only later micro-batches
-    publish(after, str(tmp_path / "store"), 1)
-    folded = load(spark, str(tmp_path / "store"), member_id=kind)
+    store = str(tmp_path / "store")
+    publish(t.morning, store, 1)
+    publish_outcome(after, store, 2, ["sessions", "marks"])
+    folded = load(spark, store, member_id=kind)
     log = marks_feed.accepted_log(spark, root, after=2, member_id=kind)
-    assert log.count() == 0 and rows(folded.marks) == rows(after.marks)
+    assert log.count() == 0 and rows(folded.marks) == rows(after.changed.marks)
+    assert rows(folded.members) == rows(whole.model.members)
+    assert folded.outings.count() == t.morning.outings.count()
