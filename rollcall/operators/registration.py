@@ -93,6 +93,11 @@ def validate_members(requests: DataFrame, no_description: str = NO_DESCRIPTION)
     return _checked(rows.withColumn("reason", F.coalesce("early", "detail")), requests.columns)
 
 
+def _sound(rows: DataFrame) -> DataFrame:
+    """Requests that fail no rule by themselves and whose phone number is free."""
+    return rows.where(F.col("early").isNull() & F.col("detail").isNull() & ~F.col("taken"))
+
+
 def _checked(rows: DataFrame, columns: list[str]) -> Checked:
     rejected = rows.where(F.col("reason").isNotNull()).select(*columns, "reason")
     valid = rows.where(F.col("reason").isNull()).withColumns(
@@ -112,8 +117,7 @@ def check_registrations(
     """All rules in order, with the phone number unique over members and batch."""
     rows = _judged_alone(requests, no_description).withColumn("phone_key", trimmed(F.col("phone")))
     rows = flag_known(rows, members.select(F.col("phone").alias("phone_key")), ["phone_key"], "taken")
-    sound = rows.where(F.col("early").isNull() & F.col("detail").isNull() & ~F.col("taken"))
-    claims = first_claims(sound.withColumn("owner", F.col("ord")), "phone_key", "ord", "owner")
+    claims = first_claims(_sound(rows).withColumn("owner", F.col("ord")), "phone_key", "ord", "owner")
     rows = rows.join(claims, "phone_key", "left")
     duplicate = F.when(F.col("taken") | (F.col("claimed_by") < F.col("ord")), F.lit(DUPLICATE_PHONE))
     return _checked(rows.withColumn("reason", F.coalesce("early", duplicate, "detail")), requests.columns)
@@ -163,6 +167,7 @@ _PATCH_PROFILE = [c for columns in PROFILE_COLUMNS.values() for c in columns]
 
 
 def _patch_checks() -> list[Check]:
+    """The rules after those for the phone number."""
     given = {c: F.col(c).isNotNull() for c in ["phone", "age", "member_type", *_PATCH_PROFILE]}
     age, semester, experience = (number(F.col(c)) for c in ["age", "semester", "experience"])
     any_profile = F.lit(False)
@@ -172,10 +177,7 @@ def _patch_checks() -> list[Check]:
     def blank_text(kind: str, column: str) -> Check:
         return _typed(kind, given[column] & blank(F.col(column))), f"{column} is required for {kind}"
 
-    duplicate = F.col("taken") | F.coalesce(F.col("claimed_by") != F.col("member_id"), F.lit(False))
     return [
-        (given["phone"] & blank(F.col("phone")), "phone is required"),
-        (duplicate, DUPLICATE_PHONE),
         (given["age"] & _missing_number(age, age > 0), "age must be a positive number"),
         (given["member_type"] & ~F.col("member_type").isin(MEMBER_TYPES), BAD_TYPE),
         (any_profile & ~given["member_type"], "member_type is required when updating profile details"),
@@ -216,10 +218,13 @@ def patch_members(model: Model, patches: DataFrame) -> Outcome:
         "taken",
         F.coalesce((F.col("low_") != F.col("member_id")) | (F.col("high_") != F.col("member_id")), F.lit(False)),
     )
-    unclaimed = rows.withColumn("claimed_by", F.lit(None).cast(rows.schema["member_id"].dataType))
-    sound = unclaimed.where(first_reason(*_patch_checks()).isNull())
-    rows = rows.join(first_claims(sound, "phone_key", "ord", "member_id"), "phone_key", "left")
-    rows = rows.withColumn("reason", first_reason(*_patch_checks()))
+    blank_phone = F.col("phone").isNotNull() & blank(F.col("phone"))
+    rows = rows.withColumns(
+        {"early": first_reason((blank_phone, "phone is required")), "detail": first_reason(*_patch_checks())}
+    )
+    rows = rows.join(first_claims(_sound(rows), "phone_key", "ord", "member_id"), "phone_key", "left")
+    duplicate = F.col("taken") | F.coalesce(F.col("claimed_by") != F.col("member_id"), F.lit(False))
+    rows = rows.withColumn("reason", F.coalesce("early", F.when(duplicate, F.lit(DUPLICATE_PHONE)), "detail"))
     rejected = rows.where(F.col("reason").isNotNull()).select(*patches.columns, "reason")
 
     parse = {

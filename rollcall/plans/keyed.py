@@ -20,8 +20,13 @@ def keep_first(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame
 
 
 def matched_keys(stored: DataFrame, incoming: DataFrame, keys: list[str]) -> DataFrame:
-    """Keys of `stored` that occur in `incoming`, as often as they are stored."""
-    return stored.select(*keys).join(incoming.select(*keys), keys, "left_semi")
+    """Keys of `stored` that occur in `incoming`, as often as they are stored.
+
+    The incoming keys are made distinct first, in the map tasks already, so one that
+    fills much of a feed does not land on one task; of the stored side Spark can split
+    a skewed partition.
+    """
+    return stored.select(*keys).join(incoming.select(*keys).distinct(), keys, "left_semi")
 
 
 def flag_known(incoming: DataFrame, stored: DataFrame, keys: list[str], flag: str) -> DataFrame:

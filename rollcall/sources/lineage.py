@@ -4,6 +4,8 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -27,5 +29,8 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     It survives lost executors, and Spark knows its true size when it plans the joins.
     """
     path = f"{shared_folder(df.sparkSession)}/rollcall/{uuid.uuid4().hex}"
+    # a column that is null throughout may have no type yet
+    untyped = {f.name: F.col(f.name).cast("string") for f in df.schema.fields if isinstance(f.dataType, T.NullType)}
+    df = df.withColumns(untyped) if untyped else df
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
