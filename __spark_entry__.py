@@ -24,7 +24,7 @@ from rollcall.operators.outcome import Outcome  # noqa: E402
 from rollcall.plans import progress, refresh  # noqa: E402
 from rollcall.sources import requests  # noqa: E402
 from rollcall.sources.bindings import AS_OF, DAILY, from_test_tables, marks, read_table  # noqa: E402
-from rollcall.sources.lineage import shared_folder  # noqa: E402
+from rollcall.sources.lineage import cut_lineage, shared_folder  # noqa: E402
 from rollcall.streaming import marks_feed  # noqa: E402
 
 SMOKE_DIR = "/root/testdata/sf0.001"
@@ -70,11 +70,11 @@ class Tables:
 
     @property
     def morning(self) -> Model:
-        """The model with the marks of morning events only: the afternoon is the feed."""
+        """The model with the marks of morning events only, stored: the afternoon is the feed."""
         return once(self.spark, self.sf_dir, "morning", self._morning)
 
     def _morning(self) -> Model:
-        stored = marks(self.events.where(requests.is_morning()), self.supplier)
+        stored = cut_lineage(marks(self.events.where(requests.is_morning()), self.supplier))
         roster = self.model.stage2_roster.select("member_id")
         on_sunday = stored.where(F.dayofweek(F.col("session_id").cast("date")) == 1)
         return self.model.with_tables(

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from rollcall.functions.columns import blank_to_null, date_before_time, first_reason
 from rollcall.model import Model, Rules
 from rollcall.operators.outcome import Outcome
-from rollcall.plans.keyed import first_claims, flag_known, last_given, matched_keys
+from rollcall.plans.keyed import first_claims, flag_known, flag_unknown, last_given, matched_keys
 from rollcall.plans.refresh import moment, promote
 from rollcall.sources.lineage import cut_lineage
 
@@ -91,7 +91,7 @@ def event_participants(model: Model, kind: Kind) -> DataFrame:
 
 def _with_bad_lines(requests: DataFrame, lines: DataFrame, model: Model) -> DataFrame:
     """`requests` with `bad_lines`: true when any named member does not exist."""
-    unknown = flag_known(lines, model.members, ["member_id"], "known").where(~F.col("known"))
+    unknown = flag_unknown(lines, model.members, "member_id").where(F.col("unknown"))
     bad = unknown.select("ord").distinct().withColumn("bad_lines", F.lit(True))
     return requests.join(bad, "ord", "left").withColumn("bad_lines", F.coalesce("bad_lines", F.lit(False)))
 

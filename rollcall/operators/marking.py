@@ -14,7 +14,7 @@ from rollcall.functions.columns import blank, calendar_date, day_name, first_rea
 from rollcall.functions.values import ABSENT, PRESENT
 from rollcall.model import Calendar, Model, Rules
 from rollcall.operators.outcome import Outcome
-from rollcall.plans.keyed import flag_known, keep_first, upsert
+from rollcall.plans.keyed import flag_unknown, keep_last, upsert
 from rollcall.plans.refresh import activity_refresh, moment, promote, with_topics
 from rollcall.sources.lineage import cut_lineage
 
@@ -117,29 +117,28 @@ def accept_marks(
     records: DataFrame, members: DataFrame, calendar: Calendar, today: str | None
 ) -> tuple[DataFrame, DataFrame]:
     """Records of sound batches, and the rejected batches with their reason."""
-    records = flag_known(records, members, ["member_id"], "known")
-    records = records.withColumn("record_reason", _record_reason([(~F.col("known"), "unknown member_id")]))
-    verdicts = _verdicts(records, calendar, today)
+    flagged = flag_unknown(records, members, "member_id")
+    flagged = flagged.withColumn("record_reason", _record_reason([(F.col("unknown"), "unknown member_id")]))
+    verdicts = cut_lineage(_verdicts(flagged, calendar, today))
     return _sound(records, verdicts), verdicts
 
 
 def accept_stage2_marks(records: DataFrame, roster: DataFrame, calendar: Calendar) -> tuple[DataFrame, DataFrame]:
     """As `accept_marks`, but a batch must name roster members only, each of them once."""
-    records = flag_known(records, roster, ["member_id"], "known")
-    records = records.withColumn("record_reason", _record_reason([]))
-    per_member = records.groupBy("batch_id", "member_id").agg(
-        F.count(F.lit(1)).alias("n"), F.bool_and("known").alias("known")
+    flagged = flag_unknown(records, roster, "member_id").withColumn("record_reason", _record_reason([]))
+    per_member = flagged.groupBy("batch_id", "member_id").agg(
+        F.count(F.lit(1)).alias("n"), F.bool_or("unknown").alias("unknown")
     )
     outsiders = (
         per_member.groupBy("batch_id")
-        .agg(F.sum("n").alias("listed"), F.count_if("known").alias("matched"))
+        .agg(F.sum("n").alias("listed"), F.count_if(~F.col("unknown")).alias("matched"))
         .where(F.col("listed") != F.col("matched"))
         .select("batch_id", F.lit("only stage-2 members can be marked").alias("outsider_reason"))
     )
-    by_record = _verdicts(records, calendar, None)
+    by_record = _verdicts(flagged, calendar, None)
     # the order of the checks: date, then roster, then records
-    by_date = _verdicts(records.withColumn("record_reason", F.lit(None).cast("string")), calendar, None)
-    verdicts = (
+    by_date = _verdicts(flagged.withColumn("record_reason", F.lit(None).cast("string")), calendar, None)
+    verdicts = cut_lineage(
         by_record.join(outsiders, "batch_id", "full_outer")
         .join(by_date.withColumnRenamed("reason", "date_reason"), "batch_id", "left")
         .select("batch_id", F.coalesce("date_reason", "outsider_reason", "reason").alias("reason"))
@@ -154,7 +153,8 @@ def _sound(records: DataFrame, verdicts: DataFrame) -> DataFrame:
 
 def latest_records(accepted: DataFrame) -> DataFrame:
     """The last accepted record per date and member."""
-    return keep_first(accepted, ["session_date", "member_id"], [F.desc("seq"), F.desc("ord")])
+    slim = accepted.select("session_date", "member_id", "seq", "ord", "status", "marked_by", "received_at")
+    return keep_last(slim, ["session_date", "member_id"], ["seq", "ord"])
 
 
 def merge_marks(stored: DataFrame, latest: DataFrame, sessions: DataFrame) -> DataFrame:

@@ -5,18 +5,21 @@ side is first cut down by a semi join, which Spark broadcasts when the incoming
 small and shuffles otherwise. A small batch therefore never moves the stored table.
 """
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from rollcall.sources.lineage import cut_lineage
 
-def keep_first(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
-    """One row per key, the first in `order`.
 
-    `row_number() = 1` is limited inside each map task before the shuffle, so a key
-    that holds much of the table sends at most one row per task.
+def keep_last(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """One row per key, the last by `order`.
+
+    An aggregate rather than a window: it is combined inside the map tasks, so a key that
+    holds much of the table sends one row per task.
     """
-    ranked = df.withColumn("rank_", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
-    return ranked.where(F.col("rank_") <= 1).drop("rank_")
+    row = F.struct(*[c for c in df.columns if c not in keys])
+    last = df.groupBy(*keys).agg(F.max_by(row, F.struct(*order)).alias("row_"))
+    return last.select(*keys, "row_.*").select(*df.columns)
 
 
 def matched_keys(stored: DataFrame, incoming: DataFrame, keys: list[str]) -> DataFrame:
@@ -35,6 +38,22 @@ def flag_known(incoming: DataFrame, stored: DataFrame, keys: list[str], flag: st
     return incoming.join(known, keys, "left").withColumn(flag, F.coalesce(flag, F.lit(False)))
 
 
+def unknown_keys(incoming: DataFrame, stored: DataFrame, key: str) -> DataFrame:
+    """Distinct keys of `incoming` that are not in `stored`, written as a table.
+
+    They are few in sound data; written, their size is known, so that what is then joined
+    to them need not be shuffled.
+    """
+    asked = incoming.select(key).where(F.col(key).isNotNull()).distinct()
+    return cut_lineage(asked.join(stored.select(key), key, "left_anti"))
+
+
+def flag_unknown(incoming: DataFrame, stored: DataFrame, key: str) -> DataFrame:
+    """`incoming` with `unknown`: its key is null or not in `stored`."""
+    flagged = incoming.join(unknown_keys(incoming, stored, key).withColumn("unknown", F.lit(True)), key, "left")
+    return flagged.withColumn("unknown", F.coalesce("unknown", F.col(key).isNull()))
+
+
 def upsert(stored: DataFrame, incoming: DataFrame, keys: list[str], update: list[str]) -> DataFrame:
     """Merge `incoming` (one row per key) into `stored`.
 

@@ -125,7 +125,11 @@ def mark_facts(model: Model, start: str | None = None, end: str | None = None) -
 
 
 def recent_marks(model: Model, n: int, touched: DataFrame | None = None) -> DataFrame:
-    """The `n` newest marks of every member (of the touched ones, when given)."""
+    """The `n` newest marks of every member (of the touched ones, when given).
+
+    Spark limits the ranks inside the map tasks, so a member with very many marks sends
+    `n` rows per task.
+    """
     marks = model.marks.select("member_id", "session_id", "status", "marked_at")
     if touched is not None:
         marks = marks.join(touched.select("member_id").distinct(), "member_id", "left_semi")
@@ -155,7 +159,11 @@ def lapsed_members(model: Model, rules: Rules, touched: DataFrame | None = None)
 
 def latest_status(model: Model) -> DataFrame:
     """member_id, latest_status: the status of the newest mark."""
-    return recent_marks(model, 1).select("member_id", F.col("status").alias("latest_status"))
+    return (
+        model.marks.join(model.sessions.select("session_id", "session_date"), "session_id")
+        .groupBy("member_id")
+        .agg(F.max_by("status", F.struct("session_date", "marked_at")).alias("latest_status"))
+    )
 
 
 def outing_facts(model: Model) -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 from rollcall.functions.columns import day_name
 from rollcall.functions.values import ABSENT, PRESENT, TOPICS
 from rollcall.model import Calendar, Model, schemas
-from rollcall.plans.keyed import keep_first
+from rollcall.plans.keyed import keep_last
 from rollcall.plans.refresh import fixed_topics, moment
 from rollcall.sources.lineage import cut_lineage
 
@@ -123,7 +123,7 @@ def marked_by(supplier: DataFrame) -> Column:
 def marks(events: DataFrame, supplier: DataFrame) -> DataFrame:
     """The newest event of a member on a day is the mark for that day."""
     days = events.select("event_id", "ts", "user_id", "event_type", F.col("ts").cast("date").alias("day"))
-    newest = keep_first(days, ["user_id", "day"], [F.desc("ts"), F.desc("event_id")])
+    newest = keep_last(days, ["user_id", "day"], ["ts", "event_id"])
     session_id = F.col("day").cast("string")
     return _conform(
         newest.withColumns(
@@ -144,22 +144,27 @@ def _events_and_bridge(orders: DataFrame, priority: str, status: str, name: str)
     chosen = orders.where((F.col("o_orderpriority") == priority) & (F.col("o_orderstatus") == status))
     pairs = chosen.select(F.col("o_orderdate").cast("date").alias(f"{name}_date"), F.col("o_custkey").alias("member_id"))
     key = F.col(f"{name}_date").cast("string").alias(f"{name}_id")
-    bridge = pairs.distinct().select(key, "member_id", moment(CREATED).alias("added_at"))
+    pairs = cut_lineage(pairs.distinct())
+    bridge = pairs.select(key, "member_id", moment(CREATED).alias("added_at"))
     events = pairs.select(f"{name}_date").distinct().select(
         key, f"{name}_date", F.lit(None).alias("details"), F.lit(None).alias("created_by"),
         moment(CREATED).alias("created_at"),
     )
-    return _conform(events, f"{name}s"), _conform(bridge, f"{name}_members")
+    return cut_lineage(_conform(events, f"{name}s")), _conform(bridge, f"{name}_members")
 
 
 def from_test_tables(spark: SparkSession, sf_dir: str) -> Model:
-    """The model of one folder of test tables. Sessions, one row per day, are computed once."""
+    """The model of one folder of test tables.
+
+    Sessions, marks and both bridges with their events are worked out of the raw tables
+    once and written as tables, as a load job would; members and markers are projections.
+    """
     customer, events, orders, supplier = (
         read_table(spark, sf_dir, name) for name in ["customer", "events", "orders", "supplier"]
     )
     member_rows = members(customer)
     session_rows = cut_lineage(sessions(events))
-    mark_rows = marks(events, supplier)
+    mark_rows = cut_lineage(marks(events, supplier))
     outings, outing_members = _events_and_bridge(orders, "1-URGENT", "F", "outing")
     services, service_members = _events_and_bridge(orders, "2-HIGH", "O", "service")
     roster = member_rows.where(F.col("level") == 2).select(

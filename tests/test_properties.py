@@ -4,7 +4,7 @@ import __spark_entry__ as entry
 from rollcall.functions.columns import percentage
 from rollcall.operators import marking, reports
 from rollcall.plans import progress, refresh
-from rollcall.plans.keyed import keep_first, upsert
+from rollcall.plans.keyed import keep_last, upsert
 from tests.conftest import SF
 
 from pyspark.sql import functions as F
@@ -73,14 +73,14 @@ def test_percentage_matches_exact_half_up(spark):
     assert spark.range(1).select(percentage(F.lit(0), F.lit(0)).alias("x")).first().x == 0
 
 
-def test_keep_first_and_upsert_against_brute_force(spark):
+def test_keep_last_and_upsert_against_brute_force(spark):
     data = [(i % 7, (i * 37) % 101, i) for i in range(200)]
     df = spark.createDataFrame(data, "k long, o long, v long")
     want = {}
     for k, o, v in data:
         if k not in want or (o, v) > want[k][:2]:
             want[k] = (o, v)
-    kept = keep_first(df, ["k"], [F.desc("o"), F.desc("v")])
+    kept = keep_last(df, ["k"], ["o", "v"])
     assert {r.k: (r.o, r.v) for r in kept.collect()} == want
 
     stored = spark.createDataFrame([(k, 0, -1) for k in range(3, 12)], "k long, o long, v long")
