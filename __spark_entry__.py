@@ -337,9 +337,23 @@ def entry(spark: SparkSession) -> DataFrame:
     return flat(_all_members_report(Tables(spark, SMOKE_DIR)))
 
 
+def _training_data() -> tuple[dict, dict]:
+    """Queries and SQL of the training-data operators; none where their subpackage is not there."""
+    try:
+        import corpus_pipeline
+        from rollcall.llm import queries as llm
+    except ModuleNotFoundError as missing:
+        if missing.name not in ("corpus_pipeline", "rollcall.llm"):
+            raise
+        return {}, {}
+    sql = {} if corpus_pipeline.ORACLE_SQL is None else {"pipeline": corpus_pipeline.ORACLE_SQL}
+    return {**llm.QUERIES, "pipeline": corpus_pipeline.run}, {**llm.ORACLE, **sql}
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {name: _runner(build) for name, build in {**READS, **WRITES}.items()}
+    own = {name: _runner(build) for name, build in {**READS, **WRITES}.items()}
+    return {**own, **_training_data()[0]}
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(ORACLE)
+    return {**ORACLE, **_training_data()[1]}
