@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rollcall.llm import packing, pii, token_counts
+from rollcall.llm import packing, pii, token_counts, warc
+from rollcall.sources.lineage import shared_folder
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -30,8 +32,27 @@ def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = f"{shared_folder(spark)}/rollcall/{uuid.uuid4().hex}"
+    warc.write(table(spark, sf_dir, "pages"), folder)
+    return warc.read(spark, folder).select(
+        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_token_counts, op7_packing, op9_pii)
+    f.__name__: f for f in (op2_token_counts, op7_packing, op9_pii, op10_warc)
 }
 
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {
+    "op10_warc": """
+        with payloads as (select page_id, coalesce(html, '') as payload, sha1(coalesce(html, '')) as sha from pages),
+        firsts as (select sha, min(page_id) as first from payloads group by sha)
+        select page_id, strlen(payload)::bigint as payload_bytes,
+            array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+                1 + ((('0x' || substr(sha, (1 + i // 4 * 5)::int, 5))::bigint >> (15 - i % 4 * 5)) & 31)::int, 1)), '') as payload_digest,
+            case when page_id = first or first is null or page_id is null and first is null then 'response' else 'revisit' end as record_type,
+            case when page_id is distinct from first then first end as refers_to
+        from payloads join firsts using (sha)
+    """,
+}
