@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rollcall.llm import packing, pii, token_counts, warc
+from rollcall.llm import packing, pii, token_counts, topk, url_filters, warc
 from rollcall.sources.lineage import shared_folder
 
 
@@ -21,10 +21,20 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op4_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op8_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    rules = url_filters.mine(pages, table(spark, sf_dir, "labels"))
+    return url_filters.judge(pages, rules)
+
+
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.find(table(spark, sf_dir, "documents"))
     return found.select(
@@ -41,10 +51,23 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_token_counts, op7_packing, op9_pii, op10_warc)
+    f.__name__: f for f in (op2_token_counts, op4_topk, op7_packing, op8_url_filters, op9_pii, op10_warc)
 }
 
 ORACLE: dict[str, str] = {
+    "op4_topk": """
+        with sound as (
+            select vec_id, list_transform(embedding, lambda x: floor(256 * x::double)::bigint) as v from embeddings
+            where vec_id is not null and embedding is not null
+                and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
+        ),
+        scored as (
+            select q.vec_id as query_id, c.vec_id, list_sum(list_transform(list_zip(q.v, c.v), lambda p: p[1] * p[2]))::bigint as score
+            from sound q join sound c on q.vec_id <> c.vec_id where q.vec_id % 50 = 0
+        )
+        select query_id, row_number() over (partition by query_id order by score desc, vec_id)::int as rank, vec_id, score
+        from scored qualify rank <= 5
+    """,
     "op10_warc": """
         with payloads as (select page_id, coalesce(html, '') as payload, sha1(coalesce(html, '')) as sha from pages),
         firsts as (select sha, min(page_id) as first from payloads group by sha)
