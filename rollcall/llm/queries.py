@@ -6,10 +6,10 @@ import uuid
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rollcall.llm import packing, pii, token_counts, topk, url_filters, warc
+from rollcall.llm import language_id, packing, pii, token_counts, topk, url_filters, warc
 from rollcall.sources.lineage import shared_folder
 
 
@@ -17,6 +17,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def remainder(by: int) -> Column:
+    """Remainder of the checksum of the id as text; 0 for rows without id."""
+    return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % by, F.lit(0))
+
+
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = language_id.learn(docs, remainder(4) != 2)
+    return language_id.identify(docs, model, "doc_id").select(
+        "doc_id", (remainder(4) == 2).alias("held_out"), "lang_pred", "score"
+    )
+
+
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
@@ -51,7 +64,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_token_counts, op4_topk, op7_packing, op8_url_filters, op9_pii, op10_warc)
+    f.__name__: f for f in (op1_language_id, op2_token_counts, op4_topk, op7_packing, op8_url_filters, op9_pii, op10_warc)
 }
 
 ORACLE: dict[str, str] = {
