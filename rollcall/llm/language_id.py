@@ -32,7 +32,7 @@ _COUNTS = "lang string, size int, hash long, n long"
 
 def words_of(part: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Lower-case code points of a text, and start, end and hash of its words."""
-    lower, letters, _ = _tables()
+    lower, letters, *_ = _tables()
     points = lower[code_points(part)]
     inside = letters[points]
     start, end = spans(inside)

@@ -17,7 +17,7 @@ import numpy as np
 #: Code points worked on at a time.
 STRETCH = 1 << 20
 _BASE = np.uint64(0x9E3779B97F4A7C15)
-_BREAK = re.compile(r"[^\w]")
+_BREAK = re.compile(r"\s")
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -32,8 +32,8 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 @lru_cache(1)
-def _tables() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """By code point: lower case, letter or mark, letter or mark or digit."""
+def _tables() -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """By code point: lower case, letter or mark, letter or mark or digit, no white space."""
     lower = np.arange(0x110000, dtype=np.uint32)
     letter = np.zeros(0x110000, bool)
     digit = np.zeros(0x110000, bool)
@@ -48,7 +48,9 @@ def _tables() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
             letter[i] = True
         elif kind == "N":
             digit[i] = True
-    return lower, letter, letter | digit
+    solid = np.ones(0x110000, bool)
+    solid[[i for i in range(0x110000) if chr(i).isspace()]] = False
+    return lower, letter, letter | digit, solid
 
 
 @lru_cache(1)
@@ -85,7 +87,7 @@ def hash_spans(values: np.ndarray, inside: np.ndarray, start: np.ndarray, end: n
 
 
 def stretches(text: str) -> Iterator[tuple[int, str]]:
-    """The text in parts of about STRETCH code points, cut before a character that is in no word."""
+    """The text in parts of about STRETCH code points, cut before white space."""
     at = 0
     while len(text) - at > STRETCH:
         cut = _BREAK.search(text, at + STRETCH)
@@ -100,9 +102,10 @@ class Words:
     """Words of some texts: `hash`, `start` and `end` (code points in the laid-out text), `bounds` (first word of each
     text, and the number of words at the end), `origin` (where each text starts)."""
 
-    def __init__(self, texts: list[str], digits: bool = True):
-        lower, letters, both = _tables()
-        known = both if digits else letters
+    def __init__(self, texts: list[str], spaced: bool = False):
+        """Words are runs of letters, marks and digits; with `spaced`, of anything but white space."""
+        lower, _, known, solid = _tables()
+        known = solid if spaced else known
         lengths = np.fromiter(map(len, texts), np.int64, len(texts))
         self.origin = np.concatenate(([0], np.cumsum(lengths + 1)))[:-1].astype(np.int64)
         parts = []
