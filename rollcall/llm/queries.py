@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rollcall.llm import language_id, near_dup, packing, pii, token_counts, topk, url_filters, warc
+from rollcall.llm import decontaminate, language_id, near_dup, packing, pii, token_counts, topk, url_filters, warc
 from rollcall.sources.lineage import shared_folder
 
 
@@ -42,6 +42,10 @@ def op5_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.classes(table(spark, sf_dir, "documents"))
 
 
+def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
@@ -68,7 +72,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_language_id, op2_token_counts, op4_topk, op5_near_dup, op7_packing, op8_url_filters, op9_pii, op10_warc)
+    f.__name__: f for f in (op1_language_id, op2_token_counts, op4_topk, op5_near_dup, op6_decontaminate, op7_packing, op8_url_filters, op9_pii, op10_warc)
 }
 
 ORACLE: dict[str, str] = {
