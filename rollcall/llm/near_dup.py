@@ -40,7 +40,7 @@ ROUNDS = 3
 
 def weighted(texts: list[str], n: int = SHINGLE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Text, hash and weight of each distinct shingle, by text and hash."""
-    words = Words(texts, spaced=True)
+    words = Words(texts, "spaced")
     hashes, owner, _ = words.grams(n)
     short = np.flatnonzero((words.counts > 0) & (words.counts < n))
     if len(short):

@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rollcall.llm import decontaminate, language_id, near_dup, packing, pii, token_counts, topk, url_filters, warc
+from rollcall.llm import decontaminate, language_id, lm_scores, near_dup, packing, pii, token_counts, topk, url_filters, warc
 from rollcall.sources.lineage import shared_folder
 
 
@@ -34,6 +34,10 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op3_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scores.score(table(spark, sf_dir, "documents"), remainder(10) != 0)
+
+
 def op4_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
 
@@ -72,7 +76,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_language_id, op2_token_counts, op4_topk, op5_near_dup, op6_decontaminate, op7_packing, op8_url_filters, op9_pii, op10_warc)
+    f.__name__: f for f in (op1_language_id, op2_token_counts, op3_lm_scores, op4_topk, op5_near_dup, op6_decontaminate, op7_packing, op8_url_filters, op9_pii, op10_warc)
 }
 
 ORACLE: dict[str, str] = {

@@ -17,7 +17,7 @@ import numpy as np
 #: Code points worked on at a time.
 STRETCH = 1 << 20
 _BASE = np.uint64(0x9E3779B97F4A7C15)
-_BREAK = re.compile(r"\s")
+_BREAK = re.compile(r"[ \t-\r]")
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -53,6 +53,16 @@ def _tables() -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     return lower, letter, letter | digit, solid
 
 
+@lru_cache(1)
+def _ascii() -> tuple[np.ndarray, np.ndarray]:
+    """By code point: lower case of A-Z only, no ASCII white space."""
+    lower = np.arange(0x110000, dtype=np.uint32)
+    lower[65:91] += 32
+    solid = np.ones(0x110000, bool)
+    solid[[32, *range(9, 14)]] = False
+    return lower, solid
+
+
 @lru_cache(1)
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     inverse = np.uint64(pow(int(_BASE), -1, 1 << 64))
@@ -87,7 +97,7 @@ def hash_spans(values: np.ndarray, inside: np.ndarray, start: np.ndarray, end: n
 
 
 def stretches(text: str) -> Iterator[tuple[int, str]]:
-    """The text in parts of about STRETCH code points, cut before white space."""
+    """The text in parts of about STRETCH code points, cut before ASCII white space."""
     at = 0
     while len(text) - at > STRETCH:
         cut = _BREAK.search(text, at + STRETCH)
@@ -102,10 +112,14 @@ class Words:
     """Words of some texts: `hash`, `start` and `end` (code points in the laid-out text), `bounds` (first word of each
     text, and the number of words at the end), `origin` (where each text starts)."""
 
-    def __init__(self, texts: list[str], spaced: bool = False):
-        """Words are runs of letters, marks and digits; with `spaced`, of anything but white space."""
+    def __init__(self, texts: list[str], kind: str = "word"):
+        """Words are runs of letters, marks and digits; "spaced": of anything but white space; "ascii": of anything but ASCII
+        white space, with only A-Z made lower."""
         lower, _, known, solid = _tables()
-        known = solid if spaced else known
+        if kind == "spaced":
+            known = solid
+        elif kind == "ascii":
+            lower, known = _ascii()
         lengths = np.fromiter(map(len, texts), np.int64, len(texts))
         self.origin = np.concatenate(([0], np.cumsum(lengths + 1)))[:-1].astype(np.int64)
         parts = []
