@@ -1,21 +1,62 @@
-"""From raw documents to packed sequences: each stage reads what the one before it kept."""
+"""From raw documents to packed sequences: each stage reads what the one before it kept.
+
+* language: documents without a letter, or whose language the model cannot tell, go. The model learns from the labels of the stage's input.
+* near_duplicates: one document of each group stays.
+* decontamination: documents that hold a test item of the benchmark go.
+* personal_data: spans found are replaced by their kind; all documents stay.
+* packing: the texts become pieces in sequences of at most 2048 tokens.
+
+Null texts go in the first stage, as they have no letter. Rows without id pass all stages. Repeated rows are duplicates of each
+other. An empty table gives an empty result. Columns that documents have beside those used pass all stages but the last.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from rollcall.llm import queries
+from rollcall.llm import decontaminate, language_id, near_dup, packing, pii
 from rollcall.sources.lineage import cut_lineage
 
-STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = []
 
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return language_id.recognised(docs, language_id.learn(docs, F.lit(True)))
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return near_dup.deduplicate(docs)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return decontaminate.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    clean = pii.redact(docs)
+    return clean.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"))
+
+
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("language", language),
+    ("near_duplicates", near_duplicates),
+    ("decontamination", decontamination),
+    ("personal_data", personal_data),
+    ("packing", packed),
+]
+
+#: Models, signatures, alignments and tokenizers are beyond SQL; the tests hold the stages against brute force.
 ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = queries.table(spark, sf_dir, "documents")
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for _, stage in STAGES:
         docs = cut_lineage(stage(spark, docs, sf_dir))
     return docs

@@ -23,6 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from rollcall.llm.rows import keep_rows
 from rollcall.llm.words import Words, blocks
 
 SEED, RARE, LEAK, LONGEST, BLOCK = 3, 1e-4, 0.4, 200, 1 << 20
@@ -211,15 +212,11 @@ def clean(docs: DataFrame, items: DataFrame, leak: float = LEAK, n: int = SEED,
     for passages in seeded(docs, items, n, rare, block):
         held = docs.sparkSession.sparkContext.broadcast(passages)
 
-        def keep(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                texts = [x or "" for x in batch.column(batch.num_columns - 1).cast(pa.string()).to_pylist()]
-                good = np.ones(len(texts), bool)
-                for part in blocks([len(x) for x in texts]):
-                    for (t, _), s in scores(held.value, texts[part], n).items():
-                        good[part.start + t] &= s < leak
-                rest = batch.filter(pa.array(good))
-                yield pa.RecordBatch.from_arrays(rest.columns[:-1], rest.schema.names[:-1])
+        def clean_ones(texts: list[str], held=held) -> np.ndarray:
+            good = np.ones(len(texts), bool)
+            for (t, _), s in scores(held.value, texts, n).items():
+                good[t] &= s < leak
+            return good
 
-        out = out.select("*", F.col("text").cast("string").alias("_words")).mapInArrow(keep, docs.schema)
+        out = keep_rows(out, clean_ones)
     return out

@@ -23,6 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from rollcall.llm.rows import keep_rows
 from rollcall.llm.words import _tables, blocks, code_points, hash_spans, mix, powers, spans, stretches
 
 SAMPLE, WORDS, GRAMS, LONGEST = 2000, 200_000, 200_000, 5
@@ -106,13 +107,15 @@ class Model:
             if not len(start):
                 continue
             unique, first, back = np.unique(hashes, return_index=True, return_inverse=True)
-            each = self.evidence(points, start[first], end[first], unique)
             text = np.searchsorted(origin, start + at, side="right") - 1
             letters[text] = True
+            if not self.langs:
+                continue
+            each = self.evidence(points, start[first], end[first], unique)
             for k in range(len(self.langs)):
                 total[:, k] += np.bincount(text, weights=each[back, k], minlength=len(texts))
-        weight = np.exp(total - total.max(axis=1, keepdims=True))
-        return weight / weight.sum(axis=1, keepdims=True), letters
+        weight = np.exp(total - total.max(axis=1, keepdims=True)) if self.langs else total
+        return weight / np.maximum(weight.sum(axis=1, keepdims=True), 1e-300), letters
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -197,3 +200,16 @@ def identify(docs: DataFrame, model: Model, *keep: str) -> DataFrame:
     rows = docs.select(*keep, F.col("text").cast("string").alias("_text"))
     out = docs.select(*keep, F.lit("").alias("lang_pred"), F.lit(0.0).alias("score")).schema
     return rows.mapInArrow(predicted, out)
+
+
+def recognised(docs: DataFrame, model: Model, least: float = 0.2) -> DataFrame:
+    """The rows of `docs`, with all columns, whose language the model tells with a score of `least` or more. Without any
+    label there is no model, and rows with a letter stay."""
+    held = docs.sparkSession.sparkContext.broadcast(model)
+
+    def good(texts: list[str]) -> np.ndarray:
+        model = held.value
+        scores, letters = model.scores(texts)
+        return letters & (scores.max(axis=1) >= least) if model.langs else letters
+
+    return keep_rows(docs, good)

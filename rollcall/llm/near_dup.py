@@ -223,3 +223,18 @@ def classes(docs: DataFrame, similar: float = SIMILAR, bands: int = BANDS, rows:
     other = docs.where("doc_id is null or text is null").select(F.col("doc_id").cast("long").alias("doc_id"))
     alone = other.select("doc_id", F.col("doc_id").alias("copy_of"), F.col("doc_id").alias("class_id"))
     return found.unionByName(alone).withColumn("keep", F.col("doc_id").eqNullSafe(F.col("class_id")))
+
+
+def deduplicate(docs: DataFrame, **levels: float) -> DataFrame:
+    """The rows of `docs`, with all columns, without those of which another row of the same group stays: of each group, one row
+    of the document with the smallest id."""
+    verdicts = cut_lineage(classes(docs.where("text is not null"), **levels).where("doc_id is not null").groupBy("doc_id").agg(
+        F.count(F.lit(1)).alias("rows"), F.min("keep").alias("keep")
+    ))
+    here = F.col("doc_id").cast("long") == F.col("_dup_id")
+    gone = verdicts.where("not keep or rows > 1").select(F.col("doc_id").alias("_dup_id"))
+    twice = verdicts.where("keep and rows > 1").select(F.col("doc_id").alias("_dup_id"))
+    left = docs.join(gone, here & F.col("text").isNotNull(), "left_anti")
+    if twice.isEmpty():
+        return left
+    return left.unionByName(docs.where("text is not null").join(twice, here, "left_semi").dropDuplicates(["doc_id"]))
