@@ -6,10 +6,11 @@ fall on random registers, and a register keeps the first to arrive. Equal regist
 probability Jaccard similarity. A text's arrivals are followed only until the last of its registers is taken.
 
 Registers in a band make a bucket. Inside a bucket, texts are compared with a centre, not with each other; those of
-one component need no comparison. Centres change from round to round, and after the last round all pairs of a bucket that
-lie in different components and were not compared yet are. So a group of copies costs a comparison for each copy, and no pair that
-meets in a bucket is left out unless a chain of verified links joins it already. Pairs are verified by the exact Jaccard similarity of
-their sets of shingles.
+one component need no comparison. Centres change from round to round. After the last round, texts outside the component of their bucket's
+centre meet all the others of the bucket that lie in other components: in small buckets as pairs, in large ones in blocks of fixed size,
+each of which is compared inside a task and gives only the links that join components. So a group of copies costs a comparison for each
+copy, and no pair that meets in a bucket is left out unless a chain of verified links joins it already. Pairs are verified by the exact
+Jaccard similarity of their sets of shingles.
 
 Exact copies are one node, found by hash before that. The result has a row for every row: `doc_id`, `copy_of` (smallest id with the
 same text), `class_id` (smallest id of its group) and `keep` (the row has its group's id).
@@ -25,7 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rollcall.llm.components import components
@@ -35,7 +36,9 @@ from rollcall.sources.lineage import cut_lineage
 SHINGLE, SIMILAR = 5, 0.8
 #: With these, a pair of similarity 0.8 meets in no band with a probability of 7 in 100,000.
 BANDS, ROWS = 24, 5
-ROUNDS = 3
+ROUNDS = 2
+#: A bucket with more members is compared in blocks of so many members.
+LARGE, SIDE = 64, 1024
 
 
 def weighted(texts: list[str], n: int = SHINGLE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -175,6 +178,51 @@ def pairs_of(rows: DataFrame) -> DataFrame:
     return rows.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).where("a < b").distinct()
 
 
+def in_blocks(meet: DataFrame, sets: DataFrame, similar: float) -> DataFrame:
+    """Links between different components of the members of large buckets, enough to join them."""
+
+    def compare(left: pa.Table, right: pa.Table) -> pa.Table:
+        links, root = [], {}
+
+        def find(i: int) -> int:
+            while root.setdefault(i, i) != i:
+                i = root[i]
+            return i
+
+        if left.num_rows and right.num_rows:
+            mine, other = ([np.frombuffer(x.as_py(), np.uint64) for x in column] for column in (left["shingles"], right["shingles2"]))
+            sizes = np.array([len(x) for x in other])
+            words, codes = np.unique(np.concatenate([*mine, *other]), return_inverse=True)
+            cut = np.cumsum([len(x) for x in mine])
+            theirs, starts = codes[cut[-1] :], np.cumsum(sizes) - sizes
+            ids, roots = right["doc_id2"].to_numpy(), right["root2"].to_numpy()
+            for k, (doc, own) in enumerate(zip(left["doc_id"].to_pylist(), left["root"].to_pylist(), strict=True)):
+                flag = np.zeros(len(words), np.int32)
+                flag[codes[cut[k] - len(mine[k]) : cut[k]]] = 1
+                both = np.add.reduceat(flag[theirs], starts)
+                alike = both >= similar * (len(mine[k]) + sizes - both)
+                for j in np.flatnonzero(alike & (roots != own)):
+                    a, b = find(own), find(int(roots[j]))
+                    if a != b:
+                        root[a] = b
+                        links.append((doc, int(ids[j])))
+        a, b = zip(*links, strict=True) if links else ((), ())
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    def blocks_of(number: str) -> Column:
+        return F.ceil(F.col(number) / SIDE).cast("int")
+
+    spread = F.xxhash64(F.lit("block"), "doc_id")
+    members = meet.withColumns({"i": F.pmod(spread, blocks_of("m")).cast("int"), "j": F.pmod(spread, blocks_of("n")).cast("int")})
+    left = members.where("root <> centre_root").withColumn("j", F.explode(F.sequence(F.lit(0), blocks_of("n") - 1)))
+    right = members.withColumn("i", F.explode(F.sequence(F.lit(0), blocks_of("m") - 1)))
+    key = ["bucket", "i", "j"]
+    names = [*key, "doc_id", "root"]
+    near = left.select(*names).join(sets, "doc_id").select(*names, "shingles")
+    far = right.select(*names).join(sets, "doc_id").select(*names, "shingles").toDF(*[f"{x}2" for x in (*names, "shingles")])
+    return near.groupBy(*key).cogroup(far.groupBy(*[f"{x}2" for x in key])).applyInArrow(compare, "a long, b long").distinct()
+
+
 def linked(docs: DataFrame, members: DataFrame, similar: float, rounds: int) -> DataFrame:
     """Components of the verified links between documents that share buckets."""
     meet = open_buckets(members, None, 0)
@@ -190,15 +238,20 @@ def linked(docs: DataFrame, members: DataFrame, similar: float, rounds: int) ->
         if turn < rounds:
             pairs = pairs_of(meet.where("root <> centre_root").select(F.col("doc_id").alias("x"), F.col("centre").alias("y")))
         else:
+            meet = meet.join(meet.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("root") != F.col("centre_root")).alias("m")), "bucket")
             # whatever lies in the centre's group meets the others; the others meet each other
-            near, far = meet.select("bucket", F.col("doc_id").alias("x"), F.col("root").alias("rx")), meet.where(
+            few = meet.where(F.col("n") <= LARGE)
+            near, far = few.select("bucket", F.col("doc_id").alias("x"), F.col("root").alias("rx")), few.where(
                 "root <> centre_root"
             ).select("bucket", F.col("doc_id").alias("y"), F.col("root").alias("ry"))
             pairs = pairs_of(near.join(far, "bucket").where("rx <> ry").select("x", "y"))
         if tried is not None:
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
         pairs = cut_lineage(pairs)
-        new = cut_lineage(verified(pairs, sets, similar))
+        new = verified(pairs, sets, similar)
+        if turn == rounds:
+            new = new.unionByName(in_blocks(meet.where(F.col("n") > LARGE), sets, similar))
+        new = cut_lineage(new)
         links = new if groups is None else new.unionByName(groups)
         tried = pairs if tried is None else tried.unionByName(pairs)
         groups = components(links)
