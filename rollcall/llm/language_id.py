@@ -158,19 +158,20 @@ def learn(docs: DataFrame, may_learn: Column, sample: int = SAMPLE, words: int =
         F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text")
     )
     counts = drawn.mapInArrow(_count, _COUNTS).groupBy("size", "hash", "lang").agg(F.sum("n").alias("n"))
-    whole = counts.groupBy("size", "hash").agg(F.sum("n").alias("n"), F.map_from_entries(F.collect_list(F.struct("lang", "n"))).alias("by"))
-    rows = [
-        r
-        for kind, most in ((F.col("size") == 0, words), (F.col("size") > 0, most_grams))
-        for r in whole.where(kind).orderBy(F.col("n").desc(), "size", "hash").limit(most).collect()
-    ]
+    of_lang = F.map_from_entries(F.collect_list(F.struct("lang", "n")))
+    whole = counts.groupBy("size", "hash").agg(F.sum("n").alias("n"), of_lang.alias("by"))
+    by = F.array(*[F.coalesce(F.try_element_at("by", F.lit(k)), F.lit(0)).cast("double") for k in langs]).alias("by")
     hashes, logs = {}, {}
-    for size in range(LONGEST + 1):
-        mine = sorted((r for r in rows if r["size"] == size), key=lambda r: r["hash"] & (1 << 64) - 1)
-        hashes[size] = np.array([r["hash"] & (1 << 64) - 1 for r in mine], np.uint64)
-        table = np.array([[r["by"].get(k, 0) for k in langs] for r in mine], float).reshape(-1, len(langs))
-        total = table.sum(axis=0) + 0.5 * (len(mine) + 1)
-        logs[size] = np.log((table + 0.5) / total)
+    for kind, most, sizes_ in ((F.col("size") == 0, words, [0]), (F.col("size") > 0, most_grams, range(1, LONGEST + 1))):
+        rows = whole.where(kind).orderBy(F.col("n").desc(), "size", "hash").limit(most).select("size", "hash", by).toArrow()
+        size, hash_ = rows["size"].to_numpy(), rows["hash"].to_numpy().view(np.uint64)
+        table = rows["by"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, len(langs))
+        for n in sizes_:
+            mine = np.flatnonzero(size == n)
+            mine = mine[np.argsort(hash_[mine])]
+            hashes[n] = hash_[mine]
+            total = table[mine].sum(axis=0) + 0.5 * (len(mine) + 1)
+            logs[n] = np.log((table[mine] + 0.5) / total)
     shares = np.array([sizes[k] for k in langs], float)
     return Model(langs, np.log(shares / shares.sum()), hashes, logs)
 
