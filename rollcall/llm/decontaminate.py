@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rollcall.llm.rows import keep_rows
-from rollcall.llm.words import Words, blocks
+from rollcall.llm.words import Words, blocks, text_blocks
 
 SEED, RARE, LEAK, LONGEST, BLOCK = 3, 1e-4, 0.4, 200, 1 << 20
 #: Scores of the alignment: a word that agrees, one that differs, one that one side lacks.
@@ -150,9 +150,8 @@ def _seed_counts(docs: DataFrame, passages: Passages, n: int) -> dict[int, int]:
         passages = held.value
         total = np.zeros(len(passages.seed), np.int64)
         for batch in batches:
-            texts = [x or "" for x in batch.column(0).to_pylist()]
-            for rows in blocks([len(x) for x in texts]):
-                grams, owner, _ = Words(texts[rows]).grams(n)
+            for _, texts in text_blocks(batch.column(0)):
+                grams, owner, _ = Words(texts).grams(n)
                 hit = passages.hits(grams)
                 if len(hit):
                     pairs = np.unique(np.stack([np.searchsorted(passages.seed, grams[hit]), owner[hit]], axis=1), axis=0)
@@ -194,9 +193,9 @@ def leaks(docs: DataFrame, items: DataFrame, leak: float = LEAK, n: int = SEED,
 
         def find(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                ids, texts = batch.column(0).to_pylist(), [x or "" for x in batch.column(1).to_pylist()]
-                for part in blocks([len(x) for x in texts]):
-                    found = [(ids[part.start + t], i, s) for (t, i), s in scores(held.value, texts[part], n).items() if s >= leak]
+                ids = batch.column(0).to_pylist()
+                for part, texts in text_blocks(batch.column(1)):
+                    found = [(ids[part.start + t], i, s) for (t, i), s in scores(held.value, texts, n).items() if s >= leak]
                     if found:
                         columns = zip(*found, strict=True)
                         kinds = (pa.int64(), pa.int64(), pa.float64())

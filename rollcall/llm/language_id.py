@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rollcall.llm.rows import keep_rows
-from rollcall.llm.words import _tables, blocks, code_points, hash_spans, mix, powers, spans, stretches
+from rollcall.llm.words import _tables, blocks, code_points, hash_spans, mix, powers, spans, stretches, text_blocks
 
 SAMPLE, WORDS, GRAMS, LONGEST = 2000, 200_000, 200_000, 5
 UNKNOWN = "und"
@@ -183,9 +183,7 @@ def identify(docs: DataFrame, model: Model, *keep: str) -> DataFrame:
     def predicted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = held.value
         for batch in batches:
-            texts = [x or "" for x in batch.column("_text").to_pylist()]
-            for rows in blocks([len(x) for x in texts]):
-                mine = texts[rows]
+            for rows, mine in text_blocks(batch.column(batch.num_columns - 1)):
                 names, best = [UNKNOWN] * len(mine), [0.0] * len(mine)
                 if model.langs:
                     scores, letters = model.scores(mine)

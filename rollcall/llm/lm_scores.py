@@ -1,7 +1,7 @@
 """Language-model scores from a log-frequency Bloom filter.
 
 Tokens are words between ASCII white space, with A-Z in lower case, and an end for each text. Documents are tokenised once, in blocks
-of about `BLOCK` code points, each with the sorted hashes of its words and their counts in learning documents. Blocks send these, cut by
+of about `BLOCK` bytes, each with the hashes of its words and their counts in learning documents. Blocks send these, cut by
 ranges of the hash, to the task of the range, which adds up the counts of all blocks and sends each block those of its own words. So every
 block knows the exact count of each of its words, and no task holds the whole vocabulary.
 
@@ -33,11 +33,11 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rollcall.llm.words import Words, blocks, mix
+from rollcall.llm.words import Words, blocks, mix, text_blocks
 from rollcall.sources.lineage import cut_lineage
 
-#: Code points in a block; least share of all tokens that a held bigram makes up; ratio of two levels of a count.
-BLOCK, SHARE, BASE = 8 << 20, 2.0**-23, 1.25
+#: Bytes of text in a block; least share of all tokens that a held bigram makes up; ratio of two levels of a count.
+BLOCK, SHARE, BASE = 4 << 20, 2.0**-23, 1.25
 #: Least count of a held bigram; least share of a first word's count that other words keep.
 LEAST, REST = 8, 0.3
 #: Bits for an entry of the filter and probes of it: one false positive in a thousand.
@@ -53,28 +53,32 @@ def most_bits(share: float = SHARE) -> float:
 
 
 def tokenised(docs: DataFrame, may_learn: Column, block: int) -> DataFrame:
-    """A row for each block: ids, whether each may be learned, ends of the texts, tokens as numbers of the block's sorted word hashes, and
-    the words' counts in learning documents."""
+    """A row for each block: ids, whether each is held out, ends of the texts, tokens as numbers of the block's words (lower and upper 16
+    bits), hashes of the words, and their counts in learning documents."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         serial = TaskContext.get().partitionId() << 32
         for batch in batches:
             ids, learn = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            texts = [x or "" for x in batch.column(2).to_pylist()]
-            for rows in blocks([len(x) for x in texts], block):
+            for rows, texts in text_blocks(batch.column(2), block):
                 hashes, counts = [], []
-                for part in blocks([len(x) for x in texts[rows]]):
-                    words = Words(texts[rows][part], "ascii")
+                for part in blocks([len(x) for x in texts]):
+                    words = Words(texts[part], "ascii")
                     ends = words.bounds[1:]
                     hashes.append(np.insert(words.hash, ends, END))
                     counts.append(words.counts + 1)
                 size = np.concatenate(counts)
-                known, tokens = np.unique(np.concatenate(hashes), return_inverse=True)
+                known, tokens, times = np.unique(np.concatenate(hashes), return_inverse=True, return_counts=True)
+                # the most frequent first, so that most numbers are small and the tables compress well
+                order = np.argsort(-times, kind="stable")
+                rank = np.empty(len(order), np.int64)
+                rank[order] = np.arange(len(order))
+                known, tokens = known[order], rank[tokens]
                 own = np.repeat(np.array(learn[rows], bool), size)
-                train = np.bincount(tokens[own], minlength=len(known)).astype(np.uint64)
+                train = np.bincount(tokens[own], minlength=len(known)).astype(np.uint32)
                 row = {
                     "block": [serial], "ids": [ids[rows]], "held": [[not x for x in learn[rows]]], "ends": [np.cumsum(size).tobytes()],
-                    "tokens": [tokens.astype(np.uint32).tobytes()], "words": [known.tobytes()], "train": [train.tobytes()], "n": [int(own.sum())],
+                    "low": [(tokens & 0xFFFF).astype(np.uint16).tobytes()], "high": [(tokens >> 16).astype(np.uint16).tobytes()], "words": [known.tobytes()], "train": [train.tobytes()], "n": [int(own.sum())],
                 }
                 yield pa.RecordBatch.from_pydict(row, schema=_arrow)
                 serial += 1
@@ -82,11 +86,11 @@ def tokenised(docs: DataFrame, may_learn: Column, block: int) -> DataFrame:
     rows = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(may_learn, F.lit(True)).alias("learn"), F.col("text").cast("string").alias("text")
     )
-    kinds = [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.bool_()), *[pa.binary()] * 4, pa.int64()]
-    names = ["block", "ids", "held", "ends", "tokens", "words", "train", "n"]
+    kinds = [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.bool_()), *[pa.binary()] * 5, pa.int64()]
+    names = ["block", "ids", "held", "ends", "low", "high", "words", "train", "n"]
     _arrow = pa.schema(list(zip(names, kinds, strict=True)))
     return rows.mapInArrow(
-        read, "block long, ids array<long>, held array<boolean>, ends binary, tokens binary, words binary, train binary, n long"
+        read, "block long, ids array<long>, held array<boolean>, ends binary, low binary, high binary, words binary, train binary, n long"
     )
 
 
@@ -117,7 +121,9 @@ def word_counts(blocks_: DataFrame, bits: int) -> DataFrame:
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for block, words, train in zip(*batch.columns, strict=True):
-                hashes, counts = _u64(words), _u64(train)
+                hashes, counts = _u64(words), np.frombuffer(train.as_py(), np.uint32)
+                order = np.argsort(hashes)
+                hashes, counts = hashes[order], counts[order]
                 parts = list(ranges(hashes, bits))
                 yield pa.RecordBatch.from_pydict({
                     "part": pa.array([p for p, _ in parts], pa.int32()), "block": pa.array([block.as_py()] * len(parts), pa.int64()),
@@ -126,7 +132,7 @@ def word_counts(blocks_: DataFrame, bits: int) -> DataFrame:
                 })
 
     def count(table: pa.Table) -> pa.Table:
-        words, train = [_u64(x) for x in table["words"]], [_u64(x) for x in table["train"]]
+        words, train = [_u64(x) for x in table["words"]], [np.frombuffer(x.as_py(), np.uint32) for x in table["train"]]
         _, total, back = summed(np.concatenate(words), np.concatenate(train))
         cut = np.cumsum([len(x) for x in words])[:-1]
         first = [1] + [0] * (len(words) - 1)
@@ -146,11 +152,12 @@ class Block:
     def __init__(self, own: pa.Table, counts: pa.Table):
         self.ids, self.held = own["ids"][0].as_py(), own["held"][0].as_py()
         self.ends = np.frombuffer(own["ends"][0].as_py(), np.int64)
-        self.tokens = np.frombuffer(own["tokens"][0].as_py(), np.uint32).astype(np.int64)
+        low, high = (np.frombuffer(own[x][0].as_py(), np.uint16).astype(np.int64) for x in ("low", "high"))
+        self.tokens = high << 16 | low
         self.words = _u64(own["words"][0])
-        order = np.argsort(counts["part"].to_numpy())
-        self.counts = np.concatenate([_u64(counts["counts"][int(i)]) for i in order])
-        assert len(self.counts) == len(self.words)
+        parts = [_u64(counts["counts"][int(i)]) for i in np.argsort(counts["part"].to_numpy())]
+        self.counts = np.empty(len(self.words), np.uint64)
+        self.counts[np.argsort(self.words)] = np.concatenate(parts)
 
     def pairs(self, least: float, learning: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Distinct pairs of neighbours that are both frequent, as first * words + second; their number, and the pair of each token that ends one (-1: none)."""
@@ -181,7 +188,7 @@ def bigrams(blocks_: DataFrame, counts: DataFrame, least: float, bits: int) -> D
         known, times, _ = block.pairs(least, True)
         keys = block.keys(known)
         order = np.argsort(mix(keys))  # dealt by a hash of both words, so that a frequent first word is spread
-        keys, times, deal = keys[order], times[order].astype(np.uint64), mix(keys)[order]
+        keys, times, deal = keys[order], times[order].astype(np.uint32), mix(keys)[order]
         parts = list(ranges(deal, bits))
         return pa.table({
             "part": pa.array([p for p, _ in parts], pa.int32()), "keys": pa.array([keys[s].tobytes() for _, s in parts], pa.binary()),
@@ -189,11 +196,11 @@ def bigrams(blocks_: DataFrame, counts: DataFrame, least: float, bits: int) -> D
         })
 
     def keep(table: pa.Table) -> pa.Table:
-        keys, total, _ = summed(np.concatenate([_u64(x) for x in table["keys"]]), np.concatenate([_u64(x) for x in table["counts"]]))
+        keys, total, _ = summed(np.concatenate([_u64(x) for x in table["keys"]]), np.concatenate([np.frombuffer(x.as_py(), np.uint32) for x in table["counts"]]))
         held = total >= least
         return pa.table({"keys": pa.array([keys[held].tobytes()], pa.binary()), "counts": pa.array([total[held].tobytes()], pa.binary())})
 
-    own = blocks_.select("block", "ids", "held", "ends", "tokens", "words").groupBy("block")
+    own = blocks_.select("block", "ids", "held", "ends", "low", "high", "words").groupBy("block")
     found = own.cogroup(counts.select("block", "part", "counts").groupBy("block")).applyInArrow(pairs, "part int, keys binary, counts binary")
     return found.groupBy("part").applyInArrow(keep, "keys binary, counts binary")
 
@@ -360,7 +367,7 @@ def score(docs: DataFrame, may_learn: Column, block: int = BLOCK, share: float =
             "base_score": pa.array(np.add.reduceat(base[part.tokens], starts)), "score": pa.array(np.add.reduceat(np.log10(p), starts)),
         })
 
-    rows = own.select("block", "ids", "held", "ends", "tokens", "words").groupBy("block")
+    rows = own.select("block", "ids", "held", "ends", "low", "high", "words").groupBy("block")
     return rows.cogroup(counts.select("block", "part", "counts").groupBy("block")).applyInArrow(
         scored, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
     )

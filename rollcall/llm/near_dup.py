@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rollcall.llm.components import components
-from rollcall.llm.words import Words, blocks, mix
+from rollcall.llm.words import Words, mix, text_blocks
 from rollcall.sources.lineage import cut_lineage
 
 SHINGLE, SIMILAR = 5, 0.8
@@ -103,9 +103,8 @@ def signed(docs: DataFrame, bands: int, rows: int) -> DataFrame:
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column("text").to_pylist()
-            for block in blocks([len(x) for x in texts]):
-                owner, element, weight = weighted(texts[block])
+            for block, texts in text_blocks(batch.column("text")):
+                owner, element, weight = weighted(texts)
                 count = block.stop - block.start
                 buckets = banded(signatures(owner, element, weight, count, bands * rows), bands, rows).view(np.int64)
                 some = np.bincount(owner, minlength=count) > 0
@@ -126,9 +125,8 @@ def shingled(docs: DataFrame, ids: DataFrame) -> DataFrame:
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column("text").to_pylist()
-            for block in blocks([len(x) for x in texts]):
-                owner, element, _ = weighted(texts[block])
+            for block, texts in text_blocks(batch.column("text")):
+                owner, element, _ = weighted(texts)
                 ends = np.searchsorted(owner, np.arange(block.stop - block.start + 1))
                 sets = [element[a:b].tobytes() for a, b in zip(ends[:-1], ends[1:], strict=True)]
                 ids = batch.column("doc_id").slice(block.start, block.stop - block.start)

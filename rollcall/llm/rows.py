@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from rollcall.llm.words import blocks
+from rollcall.llm.words import text_blocks
 
 
 def keep_rows(docs: DataFrame, good: Callable[[list[str]], np.ndarray]) -> DataFrame:
@@ -17,10 +17,9 @@ def keep_rows(docs: DataFrame, good: Callable[[list[str]], np.ndarray]) -> DataF
 
     def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [x or "" for x in batch.column(at).cast(pa.string()).to_pylist()]
-            verdict = np.ones(len(texts), bool)
-            for part in blocks([len(x) for x in texts]):
-                verdict[part] = good(texts[part])
+            verdict = np.ones(batch.num_rows, bool)
+            for part, texts in text_blocks(batch.column(at)):
+                verdict[part] = good(texts)
             yield batch.filter(pa.array(verdict))
 
     return docs.mapInArrow(kept, docs.schema)

@@ -13,6 +13,8 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 #: Code points worked on at a time.
 STRETCH = 1 << 20
@@ -162,3 +164,10 @@ def blocks(sizes: list[int], most: int = 2 * STRETCH) -> Iterator[slice]:
         held += size
     if first < len(sizes):
         yield slice(first, len(sizes))
+
+
+def text_blocks(column: pa.Array, most: int = 2 * STRETCH) -> Iterator[tuple[slice, list[str]]]:
+    """Runs of rows of a column of texts that hold about `most` bytes, with their texts (null: empty)."""
+    column = column.cast(pa.string())
+    for rows in blocks(pc.fill_null(pc.binary_length(column), 0).to_pylist(), most):
+        yield rows, [x or "" for x in column.slice(rows.start, rows.stop - rows.start).to_pylist()]
