@@ -7,6 +7,7 @@ joined); the library itself returns native types.
 from __future__ import annotations
 
 import sys
+import tempfile
 import uuid
 from collections.abc import Callable
 from pathlib import Path
@@ -252,16 +253,13 @@ def _delete_members(t: Tables) -> registration.Deletion:
 
 
 def _stream_upsert_marks(t: Tables) -> DataFrame:
-    """The same feed as `upsert_marks`, read as a stream from the events files."""
-    stored = t.morning
-    files = t.spark.readStream.schema(t.events.schema).option("pathGlobFilter", "events*.parquet")
-    stream = files.parquet(t.sf_dir)
+    """The same feed as `upsert_marks`, read as a stream from the events table, a file or a folder of files."""
+    # as a pattern: a stream takes a folder or a pattern, and the table may be a single file
+    path = f"{t.sf_dir}/events.parque[t]"
+    stream = t.spark.readStream.schema(t.events.schema).parquet(path)
     root = f"{shared_folder(t.spark)}/marks_feed/{uuid.uuid4().hex}"
-    query = marks_feed.start_feed(
-        requests.mark_records(stream, t.supplier), stored, root, TODAY, DAILY, availableNow=True
-    )
-    query.awaitTermination()
-    return marks_feed.current(stored, root, AS_OF, DAILY).changed.marks
+    marks_feed.start_feed(requests.mark_records(stream, t.supplier), root, availableNow=True).awaitTermination()
+    return marks_feed.current(t.morning, root, AS_OF, TODAY, DAILY).changed.marks
 
 
 def _patch(t: Tables) -> Outcome:
@@ -328,13 +326,25 @@ WRITES: dict[str, Callable[[Tables], DataFrame]] = {
 }
 
 
+def _with_folder(run: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """On a single machine without a shared folder, as in tests, give the session one; a cluster has to name its own."""
+
+    def runner(spark: SparkSession, *args) -> DataFrame:
+        if not spark.conf.get("spark.checkpoint.dir", None) and spark.sparkContext.getCheckpointDir() is None:
+            if spark.sparkContext.master.startswith("local["):
+                spark.conf.set("spark.checkpoint.dir", tempfile.mkdtemp(prefix="rollcall-"))
+        return run(spark, *args)
+
+    return runner
+
+
 def _runner(build: Callable[[Tables], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
-    return lambda spark, sf_dir: flat(build(Tables(spark, sf_dir)))
+    return _with_folder(lambda spark, sf_dir: flat(build(Tables(spark, sf_dir))))
 
 
 def entry(spark: SparkSession) -> DataFrame:
     """The member-by-topic matrix with status labels, after the rule pipeline."""
-    return flat(_all_members_report(Tables(spark, SMOKE_DIR)))
+    return _runner(_all_members_report)(spark, SMOKE_DIR)
 
 
 def _training_data() -> tuple[dict, dict]:
@@ -352,7 +362,7 @@ def _training_data() -> tuple[dict, dict]:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     own = {name: _runner(build) for name, build in {**READS, **WRITES}.items()}
-    return {**own, **_training_data()[0]}
+    return {**own, **{name: _with_folder(run) for name, run in _training_data()[0].items()}}
 
 
 def oracle_sql() -> dict[str, str]:

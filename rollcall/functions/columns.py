@@ -2,6 +2,7 @@
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from rollcall.functions.values import TOPICS, WHITESPACE
 
@@ -28,6 +29,20 @@ def number(text: Column) -> Column:
     return F.nullif(F.regexp_extract(shown, _NUMBER, 0).try_cast("double"), F.lit(float("inf")))
 
 
+def exact_number(text: Column, kind: T.DecimalType) -> Column:
+    """Number in `text` as a decimal of type `kind`, null when it can't be held with all its digits. Blank counts as zero."""
+    shown = F.regexp_replace(trimmed(text), "^$", "0")
+    found = F.regexp_extract(shown, _NUMBER, 0)
+    before, after = F.regexp_extract(found, r"^[+-]?(\d*)", 1), F.regexp_extract(found, r"\.(\d*)", 1)
+    power = F.coalesce(F.regexp_extract(found, r"[eE]([+-]?\d+)$", 1).try_cast("int"), F.lit(0))
+    digits = F.concat(before, after)
+    # places after the point that are not zeros at the end
+    places = F.length(after) - power - (F.length(digits) - F.length(F.rtrim(digits, F.lit("0"))))
+    zero = F.rtrim(digits, F.lit("0")) == ""
+    held = F.when(zero & (found != ""), F.lit(0)).when((places <= kind.scale) & (power.between(-1000, 1000)), found.try_cast(kind))
+    return held.cast(kind)
+
+
 def whole_number(text: Column) -> Column:
     """`number(text)` as an int, null when it has a fraction or does not fit."""
     parsed = number(text)

@@ -6,13 +6,13 @@ session time zone. Ids may be of any type; operators never look inside them.
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field, fields, replace
+from dataclasses import dataclass, fields, replace
 
-from pyspark.sql import DataFrame, Row
+from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-#: Up to this many topics are treated as constants of a query, one bit of a long each.
-FEW_TOPICS = 63
+#: Twenty digits before the point and eighteen after it; other numbers are turned away, not rounded.
+EXPERIENCE = T.DecimalType(38, 18)
 
 _TEXT, _INT, _DATE, _TIME = T.StringType(), T.IntegerType(), T.DateType(), T.TimestampNTZType()
 
@@ -42,7 +42,7 @@ def schemas(member_id: T.DataType = _TEXT) -> dict[str, T.StructType]:
             ("phone", _TEXT, ""), ("age", _INT, ""), ("member_type", _TEXT, ""),
             ("college_name", _TEXT, ""), ("branch", _TEXT, ""), ("semester", _INT, ""),
             ("company_name", _TEXT, ""), ("designation", _TEXT, ""),
-            ("experience", T.DecimalType(18, 6), ""), ("description", _TEXT, ""),
+            ("experience", EXPERIENCE, ""), ("description", _TEXT, ""),
             ("active", T.BooleanType(), "!"), ("level", _INT, "!"),
             ("promoted_at", _TIME, ""), ("created_at", _TIME, "!"),
         ],
@@ -122,24 +122,14 @@ class Model:
     stage2_sessions: DataFrame
     stage2_marks: DataFrame
     markers: DataFrame
-    topic_cache: dict = field(default_factory=dict, compare=False, repr=False)
 
     @classmethod
     def table_names(cls) -> list[str]:
-        return [f.name for f in fields(cls) if f.name != "topic_cache"]
+        return [f.name for f in fields(cls)]
 
     def tables(self) -> dict[str, DataFrame]:
         return {name: getattr(self, name) for name in self.table_names()}
 
     def with_tables(self, **tables: DataFrame) -> Model:
         """This model with some tables replaced."""
-        cache = {} if "topics" in tables else self.topic_cache
-        return replace(self, topic_cache=cache, **tables)
-
-    def few_topics(self) -> list[Row] | None:
-        """The topics in order when there are at most `FEW_TOPICS`, else None. Read once."""
-        if "rows" not in self.topic_cache:
-            entries = self.topics.select("order_index", "topic_id", "name")
-            rows = entries.limit(FEW_TOPICS + 1).collect()
-            self.topic_cache["rows"] = sorted(rows) if len(rows) <= FEW_TOPICS else None
-        return self.topic_cache["rows"]
+        return replace(self, **tables)

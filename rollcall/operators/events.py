@@ -10,13 +10,13 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rollcall.functions.columns import blank_to_null, date_before_time, first_reason
 from rollcall.model import Model, Rules
 from rollcall.operators.outcome import Outcome
-from rollcall.plans.keyed import first_claims, flag_known, flag_unknown, last_given, matched_keys
+from rollcall.plans.keyed import first_claims, flag_known, flag_unknown, last_given, matched_keys, spread_key
 from rollcall.plans.refresh import moment, promote
 from rollcall.sources.lineage import cut_lineage
 
@@ -102,6 +102,10 @@ def _split(checked: DataFrame, columns: list[str]) -> tuple[DataFrame, DataFrame
     return accepted, rejected
 
 
+def _date_key(kind: Kind) -> Column:
+    return F.concat(F.lit("="), F.col(kind.date).cast("string")).alias("date_key")
+
+
 def create_events(
     model: Model, kind: Kind, requests: DataFrame, lines: DataFrame, as_of: str, rules: Rules = Rules()
 ) -> Outcome:
@@ -110,10 +114,12 @@ def create_events(
     columns = requests.columns
     lines = lines.select("ord", "member_id").distinct()
     parsed = requests.withColumn(kind.date, date_before_time(F.col("event_date")))
-    parsed = flag_known(parsed, events, [kind.date], "taken")
-    parsed = _with_bad_lines(parsed, lines, model)
+    parsed = parsed.withColumn("date_key", spread_key(F.col(kind.date), "ord"))
+    parsed = flag_known(parsed, events.select(_date_key(kind)), ["date_key"], "taken")
+    # judged once; the claims and the verdicts both read them
+    parsed = cut_lineage(_with_bad_lines(parsed, lines, model))
     sound = parsed.where(~F.col("taken") & ~F.col("bad_lines")).withColumn("owner", F.col("ord"))
-    parsed = parsed.join(first_claims(sound, kind.date, "ord", "owner"), kind.date, "left")
+    parsed = parsed.join(first_claims(sound, "date_key", "ord", "owner"), "date_key", "left")
     checked = parsed.withColumn(
         "reason",
         first_reason(
@@ -152,15 +158,14 @@ def replace_event_members(
         "new_date", date_before_time(F.col("event_date"))
     )
     parsed = flag_known(parsed, events, [kind.key], "found")
-    holders = (
-        events.select(F.col(kind.date).alias("new_date"), F.col(kind.key).alias("held_by"))
-    )
-    holders = holders.join(parsed.select("new_date"), "new_date", "left_semi")
-    parsed = parsed.join(holders, "new_date", "left")
-    parsed = _with_bad_lines(parsed, lines, model)
+    parsed = parsed.withColumn("date_key", spread_key(F.col("new_date"), "ord"))
+    holders = events.select(_date_key(kind), F.col(kind.key).alias("held_by"))
+    parsed = parsed.join(holders, "date_key", "left")
+    # judged once; the claims and the verdicts both read them
+    parsed = cut_lineage(_with_bad_lines(parsed, lines, model))
     taken = F.coalesce(F.col("held_by") != F.col(kind.key), F.lit(False))
     sound = parsed.where(F.col("found") & ~taken & ~F.col("bad_lines"))
-    parsed = parsed.join(first_claims(sound, "new_date", "ord", kind.key), "new_date", "left")
+    parsed = parsed.join(first_claims(sound, "date_key", "ord", kind.key), "date_key", "left")
     claimed = F.coalesce(F.col("claimed_by") != F.col(kind.key), F.lit(False))
     checked = parsed.withColumn(
         "reason",

@@ -124,25 +124,25 @@ def accept_marks(
 
 
 def accept_stage2_marks(records: DataFrame, roster: DataFrame, calendar: Calendar) -> tuple[DataFrame, DataFrame]:
-    """As `accept_marks`, but a batch must name roster members only, each of them once."""
-    flagged = flag_unknown(records, roster, "member_id").withColumn("record_reason", _record_reason([]))
-    per_member = flagged.groupBy("batch_id", "member_id").agg(
-        F.count(F.lit(1)).alias("n"), F.bool_or("unknown").alias("unknown")
+    """As `accept_marks`, but a batch must name roster members only, each of them once.
+
+    The feed is judged once: per batch and member, then per batch. The order of the checks is date, roster, records.
+    """
+    flagged = flag_unknown(records, roster, "member_id").withColumns(
+        {"record_reason": _record_reason([]), "date_reason": session_date_reason(F.col("session_date"), calendar, None)}
     )
-    outsiders = (
-        per_member.groupBy("batch_id")
-        .agg(F.sum("n").alias("listed"), F.count_if(~F.col("unknown")).alias("matched"))
-        .where(F.col("listed") != F.col("matched"))
-        .select("batch_id", F.lit("only stage-2 members can be marked").alias("outsider_reason"))
+    bad_ord = F.when(F.col("record_reason").isNotNull(), F.col("ord"))
+    per_member = flagged.groupBy("batch_id", "member_id").agg(
+        F.count(F.lit(1)).alias("n"),
+        F.bool_or("unknown").alias("unknown"),
+        F.max("date_reason").alias("date_reason"),
+        F.min(F.when(bad_ord.isNotNull(), F.struct(bad_ord.alias("ord"), "record_reason"))).alias("bad"),
     )
-    by_record = _verdicts(flagged, calendar, None)
-    # the order of the checks: date, then roster, then records
-    by_date = _verdicts(flagged.withColumn("record_reason", F.lit(None).cast("string")), calendar, None)
-    verdicts = cut_lineage(
-        by_record.join(outsiders, "batch_id", "full_outer")
-        .join(by_date.withColumnRenamed("reason", "date_reason"), "batch_id", "left")
-        .select("batch_id", F.coalesce("date_reason", "outsider_reason", "reason").alias("reason"))
+    outside = F.when((F.max("n") > 1) | F.bool_or("unknown"), F.lit("only stage-2 members can be marked"))
+    verdicts = per_member.groupBy("batch_id").agg(
+        F.coalesce(F.max("date_reason"), outside, F.min("bad")["record_reason"]).alias("reason")
     )
+    verdicts = cut_lineage(verdicts.where("reason is not null"))
     return _sound(records, verdicts), verdicts
 
 
@@ -158,13 +158,26 @@ def latest_records(accepted: DataFrame) -> DataFrame:
 
 
 def merge_marks(stored: DataFrame, latest: DataFrame, sessions: DataFrame) -> DataFrame:
-    """Upsert one record per date and member into the marks; a stored mark keeps its id."""
-    rows = (
+    """Upsert one record per date and member into the marks; a stored mark keeps its id.
+
+    Stored marks of other sessions pass by. Those of the batch's sessions and the records meet in one
+    aggregate by mark, so each side is read and shuffled once.
+    """
+    rows = cut_lineage(
         latest.join(sessions.select("session_id", "session_date"), "session_date")
         .withColumnRenamed("received_at", "marked_at")
         .withColumn("mark_id", F.concat_ws("|", "session_id", F.col("member_id").cast("string")))
+        .select(*stored.columns)
+    )
+    asked = rows.select("session_id").distinct().withColumn("asked_", F.lit(True))
+    flagged = stored.join(asked, "session_id", "left")
+    keys, value = ["session_id", "member_id"], ["status", "marked_by", "marked_at"]
+    both = flagged.where("asked_").select(*stored.columns, F.lit(0).alias("new_")).unionByName(rows.withColumn("new_", F.lit(1)))
+    merged = both.groupBy(*keys).agg(
+        F.min_by("mark_id", "new_").alias("mark_id"), F.max_by(F.struct(*value), "new_").alias("row_")
     )
-    return upsert(stored, rows.select(*stored.columns), ["session_id", "member_id"], ["status", "marked_by", "marked_at"])
+    others = flagged.where("asked_ is null").select(*stored.columns)
+    return others.unionByName(merged.select(*keys, "mark_id", "row_.*").select(*stored.columns))
 
 
 def apply_marks(model: Model, accepted: DataFrame, as_of: str, calendar: Calendar = Calendar()) -> Model:
@@ -192,7 +205,16 @@ def upsert_marks(
     accepted = cut_lineage(accepted)
     changed = apply_marks(model, accepted, as_of, calendar)
     touched = accepted.select("member_id")
-    return Outcome(changed, rejected, lambda after: settle_marks(after, touched, as_of, rules))
+    return Outcome(
+        changed, rejected, lambda after: settle_marks(after, touched, as_of, rules),
+        {"marks": touched_sessions(changed.sessions, accepted)},
+    )
+
+
+def touched_sessions(sessions: DataFrame, accepted: DataFrame) -> DataFrame:
+    """session_id of the sessions that accepted records are for."""
+    days = accepted.select("session_date").distinct()
+    return sessions.join(days, "session_date", "left_semi").select("session_id")
 
 
 def _wanted_sessions(accepted: DataFrame) -> DataFrame:
@@ -204,6 +226,7 @@ def _wanted_sessions(accepted: DataFrame) -> DataFrame:
 def stage2_upsert_marks(model: Model, records: DataFrame, as_of: str, calendar: Calendar = Calendar()) -> Outcome:
     accepted, rejected = accept_stage2_marks(records, model.stage2_roster, calendar)
     accepted = cut_lineage(accepted)
-    sessions = _merge_sessions(model, "stage2_sessions", _wanted_sessions(accepted), as_of, calendar, False)
+    sessions = cut_lineage(_merge_sessions(model, "stage2_sessions", _wanted_sessions(accepted), as_of, calendar, False))
     marks = merge_marks(model.stage2_marks, latest_records(accepted), sessions)
-    return Outcome(model.with_tables(stage2_sessions=sessions, stage2_marks=marks), rejected)
+    changed = model.with_tables(stage2_sessions=sessions, stage2_marks=marks)
+    return Outcome(changed, rejected, touched={"stage2_marks": touched_sessions(sessions, accepted)})

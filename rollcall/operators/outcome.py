@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 from functools import cached_property
 
 from pyspark.sql import DataFrame
@@ -14,11 +14,13 @@ from rollcall.model import Model
 @dataclass(frozen=True)
 class Outcome:
     """`changed` has the written tables; `model` also has levels and roster brought up to
-    date; `rejected` are the requests that were turned away, with their reason."""
+    date; `rejected` are the requests that were turned away, with their reason. `touched` has, for tables that are
+    stored by session, the sessions whose rows may differ from before."""
 
     changed: Model
     rejected: DataFrame
     settle: Callable[[Model], Model] = lambda model: model
+    touched: dict[str, DataFrame] = field(default_factory=dict)
 
     @cached_property
     def model(self) -> Model:

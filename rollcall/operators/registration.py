@@ -12,18 +12,22 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rollcall.functions.columns import blank, first_reason, number, trimmed, whole_number
+from rollcall.functions.columns import blank, exact_number, first_reason, number, trimmed, whole_number
 from rollcall.functions.values import MEMBER_TYPES, PROFILE_COLUMNS
-from rollcall.model import MEMBER_COLUMNS, Model
+from rollcall.model import EXPERIENCE, MEMBER_COLUMNS, Model
 from rollcall.operators.outcome import Outcome
-from rollcall.plans.keyed import first_claims, flag_known, last_given, matched_keys
+from rollcall.plans.keyed import first_claims, flag_known, last_given, matched_keys, spread_key
 from rollcall.plans.refresh import moment, roster_sync
+from rollcall.sources.lineage import cut_lineage
 
 DUPLICATE_PHONE = "member with this phone number already exists"
 BAD_TYPE = "member_type must be 'studying', 'working', or 'not_studying_not_working'"
 NO_DESCRIPTION = "description is required for not studying/not working"
 NO_DESCRIPTION_STAGE2 = "description is required for preparing for govt exams"
 
+#: For a number that the column could hold only by rounding or not at all.
+TOO_LONG = "experience has more digits than can be kept"
+
 Check = tuple[Column, str]
 
 
@@ -58,6 +62,7 @@ def _detail_checks(no_description: str) -> list[Check]:
         # a fraction passes the checks above but has no place in a whole-number column
         (whole_number(F.col("age")).isNull(), "age must be a whole number"),
         (_typed("studying", whole_number(F.col("semester")).isNull()), "semester must be a whole number"),
+        (_typed("working", exact_number(F.col("experience"), EXPERIENCE).isNull()), TOO_LONG),
     ]
 
 
@@ -65,7 +70,7 @@ def _clean_profile() -> dict[str, Column]:
     """Profile columns of the row's own type, trimmed and typed; those of other types null."""
     parse = {
         "semester": whole_number(F.col("semester")),
-        "experience": number(F.col("experience")).cast("decimal(18,6)"),
+        "experience": exact_number(F.col("experience"), EXPERIENCE),
     }
     return {
         column: F.when(F.col("member_type") == kind, parse.get(column, trimmed(F.col(column))))
@@ -111,12 +116,18 @@ def _checked(rows: DataFrame, columns: list[str]) -> Checked:
     return Checked(valid.select(*columns), rejected)
 
 
+def _phone_key(order: str) -> Column:
+    return spread_key(F.nullif(trimmed(F.col("phone")), F.lit("")), order)
+
+
 def check_registrations(
     requests: DataFrame, members: DataFrame, no_description: str = NO_DESCRIPTION
 ) -> Checked:
     """All rules in order, with the phone number unique over members and batch."""
-    rows = _judged_alone(requests, no_description).withColumn("phone_key", trimmed(F.col("phone")))
-    rows = flag_known(rows, members.select(F.col("phone").alias("phone_key")), ["phone_key"], "taken")
+    rows = _judged_alone(requests, no_description).withColumn("phone_key", _phone_key("ord"))
+    held = members.where(F.col("phone").isNotNull()).select(F.concat(F.lit("="), "phone").alias("phone_key"))
+    # judged once; the claims and the verdicts both read them
+    rows = cut_lineage(flag_known(rows, held, ["phone_key"], "taken"))
     claims = first_claims(_sound(rows).withColumn("owner", F.col("ord")), "phone_key", "ord", "owner")
     rows = rows.join(claims, "phone_key", "left")
     duplicate = F.when(F.col("taken") | (F.col("claimed_by") < F.col("ord")), F.lit(DUPLICATE_PHONE))
@@ -196,6 +207,7 @@ def _patch_checks() -> list[Check]:
         (_typed("not_studying_not_working", blank(F.col("description"))), NO_DESCRIPTION),
         (given["age"] & whole_number(F.col("age")).isNull(), "age must be a whole number"),
         (given["semester"] & whole_number(F.col("semester")).isNull(), "semester must be a whole number"),
+        (given["experience"] & exact_number(F.col("experience"), EXPERIENCE).isNull(), TOO_LONG),
         (~F.col("found"), "member not found"),
     ]
 
@@ -208,10 +220,12 @@ def patch_members(model: Model, patches: DataFrame) -> Outcome:
     member, the last typed one decides the profile, and each other column takes its last
     given value.
     """
-    rows = patches.withColumn("phone_key", trimmed(F.col("phone")))
-    rows = flag_known(rows, model.members, ["member_id"], "found")
-    holders = model.members.select(F.col("phone").alias("phone_key"), F.col("member_id").alias("held_by"))
-    holders = holders.join(rows.select("phone_key"), "phone_key", "left_semi")
+    rows = cut_lineage(flag_known(patches.withColumn("phone_key", _phone_key("ord")), model.members, ["member_id"], "found"))
+    holders = model.members.where(F.col("phone").isNotNull()).select(
+        F.concat(F.lit("="), "phone").alias("phone_key"), F.col("member_id").alias("held_by")
+    )
+    asked = rows.where(F.col("phone_key").startswith("=")).select("phone_key").distinct()
+    holders = holders.join(asked, "phone_key", "left_semi")
     # who holds the number: two bounds per number are enough to see a holder other than the patched one
     holders = holders.groupBy("phone_key").agg(F.min("held_by").alias("low_"), F.max("held_by").alias("high_"))
     rows = rows.join(holders, "phone_key", "left").withColumn(
@@ -222,6 +236,7 @@ def patch_members(model: Model, patches: DataFrame) -> Outcome:
     rows = rows.withColumns(
         {"early": first_reason((blank_phone, "phone is required")), "detail": first_reason(*_patch_checks())}
     )
+    rows = cut_lineage(rows)
     rows = rows.join(first_claims(_sound(rows), "phone_key", "ord", "member_id"), "phone_key", "left")
     duplicate = F.col("taken") | F.coalesce(F.col("claimed_by") != F.col("member_id"), F.lit(False))
     rows = rows.withColumn("reason", F.coalesce("early", F.when(duplicate, F.lit(DUPLICATE_PHONE)), "detail"))
@@ -229,7 +244,7 @@ def patch_members(model: Model, patches: DataFrame) -> Outcome:
 
     parse = {
         "semester": whole_number(F.col("semester")),
-        "experience": number(F.col("experience")).cast("decimal(18,6)"),
+        "experience": exact_number(F.col("experience"), EXPERIENCE),
         "description": trimmed(F.col("description")),
     }
     sound = rows.where(F.col("reason").isNull()).select(

@@ -77,10 +77,16 @@ def insert_missing(stored: DataFrame, incoming: DataFrame, keys: list[str]) -> D
     return stored.unionByName(added.select(*stored.columns))
 
 
+def spread_key(key: Column, order: str) -> Column:
+    """`key` as text, with a value of its own for each row that has none: rows without a key meet nothing in a
+    join, and don't land on one task."""
+    return F.coalesce(F.concat(F.lit("="), key.cast("string")), F.concat(F.lit("!"), F.col(order).cast("string")))
+
+
 def first_claims(df: DataFrame, key: str, order: str, owner: str) -> DataFrame:
-    """`claimed_by`: for each value of `key`, the owner of the earliest row."""
+    """`claimed_by`: for each given value of `key` (a `spread_key`), the owner of the earliest row."""
     return (
-        df.where(F.col(key).isNotNull())
+        df.where(F.col(key).startswith("="))
         .groupBy(key)
         .agg(F.min_by(owner, order).alias("claimed_by"))
     )

@@ -9,7 +9,6 @@ a report does not read.
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -17,78 +16,22 @@ from pyspark.sql import functions as F
 from rollcall.functions.values import ABSENT, PRESENT
 from rollcall.model import Model, Rules
 
-def topic_list(model: Model) -> Column:
-    """All topics in order as one array value.
 
-    A few topics are constants of the plan; more are a subquery, evaluated once per query.
-    """
-    rows = model.few_topics()
-    if rows is None:
-        entry = F.struct("order_index", "topic_id", "name")
-        return model.topics.agg(F.array_sort(F.collect_list(entry))).scalar()
-    entries = [
-        F.struct(F.lit(r.order_index).alias("order_index"), F.lit(r.topic_id).alias("topic_id"), F.lit(r.name).alias("name"))
-        for r in rows
-    ]
-    return F.array(*entries) if entries else F.array().cast("array<struct<order_index:int,topic_id:string,name:string>>")
+def topic_list(model: Model) -> Column:
+    """All topics in order as one array value, for reports that show every topic for every member."""
+    entry = F.struct("order_index", "topic_id", "name")
+    return model.topics.agg(F.array_sort(F.collect_list(entry))).scalar()
 
 
 def topic_total(model: Model) -> Column:
-    rows = model.few_topics()
-    if rows is None:
-        return model.topics.agg(F.count(F.lit(1))).scalar()
-    return F.lit(len(rows)).cast("bigint")
-
-
-@dataclass(frozen=True)
-class TopicCode:
-    """How the set of attended topics is kept while aggregating.
-
-    A few topics are a bit mask: a fixed-width buffer, one shuffle, and a count that needs
-    no distinct. More topics are a set of ids.
-    """
-
-    per_session: Callable[[Column], Column]
-    collect: Callable[[Column], Column]
-    size: Callable[[Column], Column]
-    holds: Callable[[Column, Column, Column], Column]
-
-
-def _bit(position: Column) -> Column:
-    # shiftleft() of the functions module takes only literal shifts
-    return F.call_function("shiftleft", F.lit(1).cast("bigint"), (position - 1).cast("int"))
-
-
-MASK = TopicCode(
-    per_session=lambda position: F.when(position > 0, _bit(position)),
-    collect=lambda code: F.bit_or(code),
-    size=lambda held: F.bit_count(F.coalesce(held, F.lit(0).cast("bigint"))).cast("bigint"),
-    holds=lambda held, topic, index: F.getbit(held, index) == 1,
-)
-
-ID_SET = TopicCode(
-    per_session=lambda position: F.when(position > 0, F.col("topic_id")),
-    collect=lambda code: F.collect_set(code),
-    size=lambda held: F.coalesce(F.size(held), F.lit(0)).cast("bigint"),
-    holds=lambda held, topic, index: F.array_contains(held, topic["topic_id"]),
-)
-
-
-def topic_code(model: Model) -> TopicCode:
-    return ID_SET if model.few_topics() is None else MASK
+    return model.topics.agg(F.count(F.lit(1))).scalar()
 
 
 def session_topics(model: Model) -> DataFrame:
-    """session_id, session_date, code: the topic of a session in the model's code."""
-    position = F.coalesce(
-        F.array_position(F.transform("topics_", lambda t: t["topic_id"]), F.col("topic_id")), F.lit(0)
-    )
-    return (
-        model.sessions.select("session_id", "session_date", "topic_id")
-        .withColumn("topics_", topic_list(model))
-        .withColumn("code", topic_code(model).per_session(position))
-        .select("session_id", "session_date", "code")
-    )
+    """session_id, session_date, topic: the id of the session's topic, null when it is no topic of the model."""
+    topics = model.topics.select("topic_id", F.col("topic_id").alias("topic"))
+    sessions = model.sessions.select("session_id", "session_date", "topic_id")
+    return sessions.join(topics, "topic_id", "left").select("session_id", "session_date", "topic")
 
 
 def in_range(date: str, start: str | None, end: str | None) -> Column:
@@ -104,23 +47,30 @@ def in_range(date: str, start: str | None, end: str | None) -> Column:
 def mark_facts(model: Model, start: str | None = None, end: str | None = None) -> DataFrame:
     """member_id, attended, n_topics, n_marks, n_present, n_absent, last_present_on.
 
-    One pass over the marks, all buffers fixed-width when the topics fit a mask.
+    One pass over the marks: first one row per member and topic, combined inside the map tasks, then
+    one per member. `attended` has the ids of the topics a member was present at, each once.
     """
-    code = topic_code(model)
     sessions = session_topics(model).where(in_range("session_date", start, end))
     present = F.col("status") == PRESENT
-    return (
+    by_topic = (
         model.marks.select("session_id", "member_id", "status")
         .join(sessions, "session_id")
-        .groupBy("member_id")
+        .groupBy("member_id", "topic")
         .agg(
-            code.collect(F.when(present, F.col("code"))).alias("attended"),
-            F.count(F.lit(1)).alias("n_marks"),
-            F.count_if(present).alias("n_present"),
-            F.count_if(F.col("status") == ABSENT).alias("n_absent"),
-            F.max(F.when(present, F.col("session_date"))).alias("last_present_on"),
+            F.count(F.lit(1)).alias("marks_"),
+            F.count_if(present).alias("present_"),
+            F.count_if(F.col("status") == ABSENT).alias("absent_"),
+            F.max(F.when(present, F.col("session_date"))).alias("last_"),
         )
-        .withColumn("n_topics", code.size(F.col("attended")))
+    )
+    held = F.col("topic").isNotNull() & (F.col("present_") > 0)
+    return by_topic.groupBy("member_id").agg(
+        F.collect_list(F.when(held, F.col("topic"))).alias("attended"),
+        F.count_if(held).alias("n_topics"),
+        F.sum("marks_").alias("n_marks"),
+        F.sum("present_").alias("n_present"),
+        F.sum("absent_").alias("n_absent"),
+        F.max("last_").alias("last_present_on"),
     )
 
 
@@ -225,14 +175,11 @@ def is_complete() -> Column:
 def topic_entries(model: Model, profile_rows: DataFrame, entry: Callable[[Column, Column], Column]) -> DataFrame:
     """Add `topic_entries`: `entry(topic, attended)` for every topic in order.
 
-    The matrix row is built from the member's own mask and one constant array, so no
+    The matrix row is built from the member's own topics and the topic list, so no
     member-by-topic product is ever shuffled.
     """
-    holds = topic_code(model).holds
 
-    def one(topic: Column, index: Column) -> Column:
-        return entry(topic, F.coalesce(holds(F.col("attended"), topic, index), F.lit(False)))
+    def one(topic: Column) -> Column:
+        return entry(topic, F.coalesce(F.array_contains("attended", topic["topic_id"]), F.lit(False)))
 
-    return profile_rows.withColumn("topics_", topic_list(model)).withColumn(
-        "topic_entries", F.transform("topics_", one)
-    )
+    return profile_rows.withColumn("topics_", topic_list(model)).withColumn("topic_entries", F.transform("topics_", one))

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from rollcall.functions.values import TOPICS
 from rollcall.model import MEMBER_COLUMNS, Model, Rules
 from rollcall.plans import progress
-from rollcall.plans.keyed import insert_missing, upsert
+from rollcall.plans.keyed import insert_missing
 
 
 @dataclass(frozen=True)
@@ -46,18 +46,18 @@ def fixed_topics(spark: SparkSession, names: list[str] = TOPICS) -> DataFrame:
 def ensure_topics(topics: DataFrame, as_of: str, names: list[str] = TOPICS) -> DataFrame:
     """Merge the fixed topics in by name, refreshing `order_index`; other topics stay."""
     fixed = fixed_topics(topics.sparkSession, names).withColumn("created_at", moment(as_of))
-    return upsert(topics, fixed, ["name"], ["order_index"])
+    both = topics.withColumn("new_", F.lit(0)).unionByName(fixed.withColumn("new_", F.lit(1)))
+    merged = both.groupBy("name").agg(
+        F.min_by("topic_id", "new_").alias("topic_id"),
+        F.max_by("order_index", "new_").alias("order_index"),
+        F.min_by("created_at", "new_").alias("created_at"),
+    )
+    return merged.select(*topics.columns)
 
 
 def with_topics(model: Model, as_of: str) -> Model:
-    """`ensure_topics` on a model; a model that has the fixed topics in order is left as it is."""
-    rows = model.few_topics()
-    if rows is not None and {(n, i + 1) for i, n in enumerate(TOPICS)} <= {(r.name, r.order_index) for r in rows}:
-        return model
-    ensured = model.with_tables(topics=ensure_topics(model.topics, as_of))
-    if rows is None:
-        ensured.topic_cache["rows"] = None
-    return ensured
+    """`ensure_topics` on a model."""
+    return model.with_tables(topics=ensure_topics(model.topics, as_of))
 
 
 def _refreshed_active() -> Column:

@@ -1,34 +1,60 @@
 """Shared working folder and lineage cuts."""
 
-import tempfile
+from __future__ import annotations
+
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+#: Tables written since each open scope began.
+_scopes: list[list[str]] = []
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors share: `spark.checkpoint.dir` or the one set on the context.
 
-    Only a local session may fall back to a temporary folder of its own.
-    """
+def shared_folder(spark: SparkSession) -> str:
+    """The folder all executors share: `spark.checkpoint.dir`, or the one set on the context."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if folder:
-        return folder
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors can reach")
-    folder = tempfile.mkdtemp(prefix="rollcall-")
-    spark.sparkContext.setCheckpointDir(folder)
+    if not folder:
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors can reach")
     return folder
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder on whatever file system it is on."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
+@contextmanager
+def scope(spark: SparkSession) -> Iterator[None]:
+    """Remove the tables that `cut_lineage` writes inside, at the end. Whatever reads them has to be written by then."""
+    written: list[str] = []
+    _scopes.append(written)
+    try:
+        yield
+    finally:
+        _scopes.remove(written)
+        for path in written:
+            remove(spark, path)
+
+
+def new_folder(spark: SparkSession) -> str:
+    """A folder of its own in the shared one, removed at the end of the open scope."""
+    path = f"{shared_folder(spark)}/rollcall/{uuid.uuid4().hex}"
+    if _scopes:
+        _scopes[-1].append(path)
+    return path
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """`df` computed once, as a table written to the shared folder.
 
     It survives lost executors, and Spark knows its true size when it plans the joins.
     """
-    path = f"{shared_folder(df.sparkSession)}/rollcall/{uuid.uuid4().hex}"
+    path = new_folder(df.sparkSession)
     # a column that is null throughout may have no type yet
     untyped = {f.name: F.col(f.name).cast("string") for f in df.schema.fields if isinstance(f.dataType, T.NullType)}
     df = df.withColumns(untyped) if untyped else df

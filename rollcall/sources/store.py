@@ -1,88 +1,148 @@
 """Snapshots of a model as Parquet folders.
 
-A snapshot is written to a folder of its own and becomes visible by its manifest, which
-is written last. A folder that is being read is never overwritten.
+Every write goes to a folder of its own, so nothing that was published is ever written again. A version becomes
+visible by its manifest, which is written last. The manifest names the folders of each table: marks have one for each
+session, so a version that changes some sessions writes only theirs and shares the others with the version before.
 """
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Mapping
+from urllib.parse import unquote
+
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from rollcall.model import Model, schemas
 from rollcall.operators.outcome import Outcome
+from rollcall.sources.lineage import scope
 
-_MANIFEST = "version long, table string, path string, rows long"
+#: part: the session of a folder of marks, null for a table in one folder. rows: of the whole write.
+_MANIFEST = "version long, table string, part string, path string, rows long"
 
 #: Facts are laid out by session, so that a date filter on the sessions prunes their files.
-PARTITIONS = {"marks": ["session_id"], "stage2_marks": ["session_id"]}
+PARTITIONS = {"marks": "session_id", "stage2_marks": "session_id"}
 
 
 def _manifest(spark: SparkSession, root: str) -> DataFrame:
     return spark.read.schema(_MANIFEST).option("recursiveFileLookup", "true").parquet(f"{root}/manifest")
 
 
-def _table_path(root: str, name: str, version: int) -> str:
-    return f"{root}/tables/{name}/version={version}"
+def _base(root: str, name: str) -> str:
+    return f"{root}/tables/{name}"
+
+
+def _files(spark: SparkSession, path: str):
+    """Spark's view of a path and of the file system that it is on."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()), place
+
+
+def _write_table(rows: DataFrame, name: str, root: str, version: int) -> DataFrame:
+    """Write a table to a folder of its own; gives its manifest lines."""
+    spark, by, seen = rows.sparkSession, PARTITIONS.get(name), Observation()
+    path = f"{_base(root, name)}/write={uuid.uuid4().hex}"
+    # even files, and one writer per session unless that is too large for one
+    observed = rows.observe(seen, F.count(F.lit(1)).alias("rows")).hint("rebalance", *([by] if by else []))
+    observed.write.mode("errorifexists").parquet(path, partitionBy=by)
+    parts = {None: path}
+    if by is not None:
+        files, place = _files(spark, path)
+        names = [s.getPath().getName() for s in files.listStatus(place) if s.isDirectory()]
+        parts = {unquote(n.partition("=")[2]): f"{path}/{n}" for n in names if n.startswith(f"{by}=")}
+    return spark.createDataFrame([(version, name, part, at, seen.get["rows"]) for part, at in parts.items()], _MANIFEST)
+
+
+def _finish(
+    spark: SparkSession, root: str, version: int, lines: list[DataFrame], written: list[str], gone: Mapping[str, DataFrame]
+) -> None:
+    """Write the manifest. Tables that were not written stay those of the latest version before; of a table in `gone`, so do
+    the folders of all sessions that are not in it."""
+    new = lines[0]
+    for more in lines[1:]:
+        new = new.unionByName(more)
+    if len(written := {*written, *gone}) < len(Model.table_names()) or gone:
+        previous = latest_version(spark, root, before=version)
+        before = _manifest(spark, root).where(F.col("version") == previous)
+        kept = before.where(~F.col("table").isin(written))
+        for name, parts in gone.items():
+            kept = kept.unionByName(before.where(F.col("table") == name).join(parts.select("part"), "part", "left_anti").select(*before.columns))
+        new = new.unionByName(kept.withColumn("version", F.lit(version).cast("long")))
+    new.coalesce(1).write.mode("errorifexists").parquet(f"{root}/manifest/{version}")
 
 
-def _write_tables(model: Model, names: list[str], root: str, version: int) -> list[tuple]:
-    """Write some tables, counting their rows while they are written; gives manifest lines."""
-    lines = []
-    for name in names:
-        path, seen, by = _table_path(root, name, version), Observation(), PARTITIONS.get(name, [])
-        observed = getattr(model, name).observe(seen, F.count(F.lit(1)).alias("rows"))
-        # even files, and one writer per partition folder unless that is too large for one
-        observed.hint("rebalance", *by).write.mode("overwrite").parquet(path, partitionBy=by or None)
-        lines.append((version, name, path, seen.get["rows"]))
-    return lines
+def _refuse_existing(spark: SparkSession, root: str, version: int) -> None:
+    if _exists(spark, f"{root}/manifest/{version}"):
+        raise FileExistsError(f"version {version} under {root} is published")
 
 
-def _finish(spark: SparkSession, root: str, version: int, lines: list[tuple]) -> None:
-    """Write the manifest; tables not in `lines` stay those of the latest version before."""
-    written = {line[1] for line in lines}
-    if len(written) < len(Model.table_names()):
-        previous = latest_version(spark, root, before=version)
-        kept = _manifest(spark, root).where((F.col("version") == previous) & ~F.col("table").isin(written))
-        lines = lines + [(version, r.table, r.path, r.rows) for r in kept.collect()]
-    spark.createDataFrame(lines, _MANIFEST).coalesce(1).write.mode("overwrite").parquet(f"{root}/manifest/{version}")
+def _exists(spark: SparkSession, path: str) -> bool:
+    files, place = _files(spark, path)
+    return files.exists(place)
 
 
 def publish(model: Model, root: str, version: int, changed: list[str] | None = None) -> None:
-    """Write version `version` of the model under `root`.
+    """Write version `version` of the model under `root`; a version that exists is refused.
 
     With `changed`, only those tables are written and the version shares the stored files
     of the others with the latest version before.
     """
-    lines = _write_tables(model, changed or Model.table_names(), root, version)
-    _finish(model.members.sparkSession, root, version, lines)
+    spark = model.members.sparkSession
+    _refuse_existing(spark, root, version)
+    if changed is not None:
+        latest_version(spark, root, before=version)
+    names = changed or Model.table_names()
+    _finish(spark, root, version, [_write_table(getattr(model, n), n, root, version) for n in names], names, {})
 
 
 def publish_outcome(outcome: Outcome, root: str, version: int, changed: list[str]) -> None:
     """Write a batch outcome as one version: its `changed` tables, then members and roster.
 
-    The second step reads the tables of the first one back, so the merge of a large fact
-    is computed once. Both become visible together.
+    Of a table for which the outcome names the sessions it touches, only these are written. The second step reads the
+    tables of the first one back, so the merge of a large fact is computed once. Both become visible together. What the
+    second step has stored on the way is removed.
     """
     spark, model = outcome.changed.members.sparkSession, outcome.changed
-    lines = _write_tables(model, changed, root, version)
-    settled = outcome.settle(model.with_tables(**{line[1]: _read_table(spark, *line[1:3], model) for line in lines}))
-    after = [name for name in ["members", "stage2_roster"] if getattr(settled, name) is not getattr(model, name)]
-    lines += _write_tables(settled, [name for name in after if name not in changed], root, version)
-    _finish(spark, root, version, lines)
-
-
-def _read_table(spark: SparkSession, name: str, path: str, like: Model) -> DataFrame:
-    table = getattr(like, name)
-    return spark.read.schema(table.schema).parquet(path).select(*table.columns)
+    _refuse_existing(spark, root, version)
+    with scope(spark):
+        lines, gone, back = [], {}, {}
+        for name in changed:
+            rows, parts = getattr(model, name), outcome.touched.get(name)
+            if parts is None:
+                lines.append(_write_table(rows, name, root, version))
+                back[name] = _read(spark, lines[-1], root, name, rows.schema)
+            else:
+                by = PARTITIONS[name]
+                parts = parts.select(F.col(by).alias("part")).distinct()
+                line = _write_table(rows.join(parts.select(F.col("part").alias(by)), by, "left_semi").select(*rows.columns), name, root, version)
+                before = _manifest(spark, root).where((F.col("version") == latest_version(spark, root, before=version)) & (F.col("table") == name))
+                lines.append(line)
+                gone[name] = parts
+                back[name] = _read(spark, line.unionByName(before.join(parts, "part", "left_anti").select(*line.columns)), root, name, rows.schema)
+        settled = outcome.settle(model.with_tables(**back))
+        after = [name for name in ["members", "stage2_roster"] if getattr(settled, name) is not getattr(model, name)]
+        after = [name for name in after if name not in changed]
+        lines += [_write_table(getattr(settled, name), name, root, version) for name in after]
+        _finish(spark, root, version, lines, changed + after, gone)
+
+
+def _read(spark: SparkSession, lines: DataFrame, root: str, name: str, schema: T.StructType) -> DataFrame:
+    """A table from its folders; their paths are a few for each session."""
+    paths = [r.path for r in lines.select("path").collect()]
+    if not paths:
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).option("basePath", _base(root, name)).parquet(*paths).select(*schema.names)
 
 
 def latest_version(spark: SparkSession, root: str, before: int | None = None) -> int:
-    versions = _manifest(spark, root)
-    if before is not None:
-        versions = versions.where(F.col("version") < before)
-    found = versions.agg(F.max("version")).first()[0]
+    found = None
+    if _exists(spark, f"{root}/manifest"):
+        versions = _manifest(spark, root)
+        if before is not None:
+            versions = versions.where(F.col("version") < before)
+        found = versions.agg(F.max("version")).first()[0]
     if found is None:
         raise FileNotFoundError(f"no snapshot under {root}")
     return found
@@ -91,14 +151,12 @@ def latest_version(spark: SparkSession, root: str, before: int | None = None) ->
 def load(
     spark: SparkSession, root: str, version: int | None = None, member_id: T.DataType = T.StringType()
 ) -> Model:
-    """The model of one version, the latest by default. Row counts come from the manifest."""
+    """The model of one version, the latest by default."""
     chosen = latest_version(spark, root) if version is None else version
-    lines = _manifest(spark, root).where(F.col("version") == chosen).collect()
-    kinds = schemas(member_id)
-    tables = {
-        r.table: spark.read.schema(kinds[r.table]).parquet(r.path).select(*kinds[r.table].names) for r in lines
-    }
-    return Model(**tables)
+    lines = _manifest(spark, root).where(F.col("version") == chosen)
+    return Model(**{
+        name: _read(spark, lines.where(F.col("table") == name), root, name, schema) for name, schema in schemas(member_id).items()
+    })
 
 
 def export_json(df: DataFrame, path: str) -> None:

@@ -1,9 +1,9 @@
-"""Mark batches as a stream, merged on read.
+"""Mark batches as a stream, judged and merged on read.
 
-Every micro-batch is checked and its accepted records are written to a folder named by the
-micro-batch id, so a replayed micro-batch replaces its own folder and nothing else. The
-stored marks are not rewritten per micro-batch; `current` merges the log into them.
-A request batch must arrive in one micro-batch (one file holds whole batches).
+Every micro-batch appends its records, as they come, to a folder named by the micro-batch id, so a replayed micro-batch
+replaces its own folder and nothing else. Records are judged when the log is read: a request batch is accepted or turned
+away as a whole, over all micro-batches it came in, and against the members of that moment. The stored marks are not
+rewritten per micro-batch; `current` merges the log into them.
 """
 
 from __future__ import annotations
@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from rollcall.model import Calendar, Model, Rules
-from rollcall.operators.marking import accept_marks, apply_marks, settle_marks
+from rollcall.operators.marking import upsert_marks
 from rollcall.operators.outcome import Outcome
 
 
@@ -31,25 +31,20 @@ def record_schema(member_id: T.DataType = T.StringType()) -> T.StructType:
     )
 
 
-def _accepted_schema(member_id: T.DataType) -> T.StructType:
-    kinds = {"session_date": T.DateType()}
-    fields = [T.StructField(f.name, kinds.get(f.name, f.dataType)) for f in record_schema(member_id).fields]
-    return T.StructType([*fields, T.StructField("feed_batch", T.LongType())])
+def _folder(root: str, feed_batch: int) -> str:
+    return f"{root}/records/feed_batch={feed_batch}"
 
 
-def start_feed(
-    records: DataFrame, model: Model, root: str, today: str, calendar: Calendar = Calendar(), **trigger
-) -> StreamingQuery:
+def start_feed(records: DataFrame, root: str, **trigger) -> StreamingQuery:
     """Start the stream. `trigger` as in `writeStream.trigger`, e.g. `availableNow=True`."""
     columns = [f.name for f in record_schema().fields]
 
     def take(batch: DataFrame, feed_batch: int) -> None:
-        batch = batch.select(*columns).persist()
-        accepted, rejected = accept_marks(batch, model.members, calendar, today)
-        accepted.select(*columns).write.mode("overwrite").parquet(f"{root}/accepted/feed_batch={feed_batch}")
-        rejected.write.mode("overwrite").parquet(f"{root}/rejected/feed_batch={feed_batch}")
-        batch.unpersist()
+        batch.select(*columns).write.mode("overwrite").parquet(_folder(root, feed_batch))
 
+    # so that the log can be read before the first micro-batch
+    spark = records.sparkSession
+    spark.createDataFrame([], records.select(*columns).schema).write.mode("ignore").parquet(_folder(root, -1))
     return (
         records.writeStream.foreachBatch(take)
         .option("checkpointLocation", f"{root}/checkpoint")
@@ -58,32 +53,28 @@ def start_feed(
     )
 
 
-def accepted_log(
+def record_log(
     spark: SparkSession, root: str, after: int = -1, member_id: T.DataType = T.StringType()
 ) -> DataFrame:
-    """Accepted records of the micro-batches after `after`, ordered across micro-batches by `seq`."""
-    log = spark.read.schema(_accepted_schema(member_id)).parquet(f"{root}/accepted")
-    return log.where(F.col("feed_batch") > after).withColumn("seq", F.struct("feed_batch", "seq")).drop("feed_batch")
+    """Records of the micro-batches after `after`. `seq` puts request batches in the order in which they began to arrive."""
+    schema = T.StructType([*record_schema(member_id).fields, T.StructField("feed_batch", T.LongType())])
+    log = spark.read.schema(schema).parquet(f"{root}/records").where(F.col("feed_batch") > after)
+    began = log.groupBy("batch_id").agg(F.min("feed_batch").alias("began"))
+    return log.join(began, "batch_id").withColumn("seq", F.struct("began", "seq")).drop("feed_batch", "began")
 
 
 def current(
-    model: Model, root: str, as_of: str, calendar: Calendar = Calendar(), rules: Rules = Rules(), after: int = -1
+    model: Model, root: str, as_of: str, today: str, calendar: Calendar = Calendar(), rules: Rules = Rules(), after: int = -1
 ) -> Outcome:
-    """The model with the log merged in.
+    """`model`, the latest one, with the log merged in; `rejected` has the request batches turned away.
 
-    Publish the outcome as a snapshot and pass the last micro-batch as `after` from then
-    on to fold the log away.
+    Publish the outcome as a snapshot and pass the last micro-batch as `after` from then on to fold the log away.
     """
-    spark = model.members.sparkSession
-    log = accepted_log(spark, root, after, model.members.schema["member_id"].dataType)
-    touched = log.select("member_id")
-    return Outcome(
-        apply_marks(model, log, as_of, calendar),
-        spark.read.schema("batch_id string, reason string").parquet(f"{root}/rejected"),
-        lambda merged: settle_marks(merged, touched, as_of, rules),
-    )
+    log = record_log(model.members.sparkSession, root, after, model.members.schema["member_id"].dataType)
+    return upsert_marks(model, log, as_of, today, calendar, rules)
 
 
 def last_feed_batch(spark: SparkSession, root: str) -> int | None:
-    log = spark.read.schema(_accepted_schema(T.StringType())).parquet(f"{root}/accepted")
+    """The last micro-batch with records, null before the first."""
+    log = spark.read.schema("batch_id string, feed_batch long").parquet(f"{root}/records").where("feed_batch >= 0")
     return log.agg(F.max("feed_batch")).first()[0]

@@ -129,26 +129,30 @@ def test_event_without_members(edge):
     assert (first.outing_id, first.participant_count) == ("empty", 0)
 
 
-def test_many_topics_give_the_same_as_a_mask(spark, edge_rows):
-    """More topics than bits: the same counts by sets of ids."""
-    many = [topic_row(f"Topic {i:03d}", i) for i in range(100, 170)]
-    days = [date(2023, 1, 1) + timedelta(weeks=i) for i in range(70)]
+@pytest.mark.parametrize("extra", [0, 55, 56, 192])
+def test_any_number_of_topics(spark, edge_rows, extra):
+    """8, 63, 64 and 200 topics go through the same plan: counts and reports against plain counting."""
+    many = [topic_row(f"Topic {i:03d}", 100 + i) for i in range(extra)]
+    days = [date(2019, 1, 6) + timedelta(weeks=i) for i in range(extra)]
     rows = {
         **edge_rows,
         "topics": [*edge_rows["topics"], *many],
-        "sessions": [*edge_rows["sessions"], *[session_row(d, topic_id=t["topic_id"]) for d, t in zip(days, many)]],
-        "marks": [*edge_rows["marks"], *[mark_row(str(d), "m51", "present", at(d, 9)) for d in days[:66]]],
+        "sessions": [*edge_rows["sessions"], *[session_row(d, topic_id=t["topic_id"]) for d, t in zip(days, many, strict=True)]],
+        "marks": [*edge_rows["marks"], *[mark_row(str(d), "m51", "present", at(d, 9)) for d in days[: extra - 4]]],
     }
+    topic_of = {s["session_id"]: s["topic_id"] for s in rows["sessions"]}
+    known, want = {t["topic_id"] for t in rows["topics"]}, {m["member_id"]: set() for m in rows["members"]}
+    for mark in rows["marks"]:
+        if mark["status"] == "present" and topic_of[mark["session_id"]] in known:
+            want[mark["member_id"]].add(topic_of[mark["session_id"]])
     model = model_from(spark, rows)
-    assert model.few_topics() is None
-    few, counts = refresh.observe(model_from(spark, edge_rows)).profile, refresh.observe(model).profile
-    wide = {r.member_id: r.n_topics for r in counts.collect()}
-    assert wide.pop("m51") == 66
-    assert wide == {r.member_id: r.n_topics for r in few.collect() if r.member_id != "m51"}
+    profile = refresh.observe(model).profile.collect()
+    assert {r.member_id: r.n_topics for r in profile} == {i: len(t) for i, t in want.items()}
+    assert {r.member_id: set(r.attended or ()) for r in profile} == want
+    assert len(want["m51"]) == max(0, extra - 4)
     report = reports.all_members_report(refresh.prepare(model, AS_OF)).where("member_id = 'm51'").first()
-    assert [t.status for t in report.topics].count("Attended") == 66 and len(report.topics) == 78
-    missing = reports.missing_counts_by_topic(refresh.prepare(model, AS_OF)).collect()
-    assert len(missing) == 78
+    assert [t.status for t in report.topics].count("Attended") == len(want["m51"]) and len(report.topics) == 8 + extra
+    assert reports.missing_counts_by_topic(refresh.prepare(model, AS_OF)).count() == 8 + extra
 
 
 def test_ensure_topics_repairs_order_and_keeps_extras(spark, edge_rows):
