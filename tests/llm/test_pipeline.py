@@ -23,8 +23,8 @@ def redacted(text):
 
 
 def test_registered():
-    assert entry.queries()["pipeline"] is corpus_pipeline.run
-    assert [n for n in entry.queries() if n.startswith("op")] == [f.__name__ for f in queries.QUERIES.values()]
+    assert "pipeline" in entry.queries()
+    assert [n for n in entry.queries() if n[:2] == "op" and n[2].isdigit()] == list(queries.QUERIES)
     assert {int(n[2:].split("_")[0]) for n in queries.QUERIES} == set(range(1, 11))
 
 
