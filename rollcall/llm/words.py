@@ -17,7 +17,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Code points worked on at a time.
-STRETCH = 1 << 20
+STRETCH = 1 << 18
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _BREAK = re.compile(r"[ \t-\r]")
 
