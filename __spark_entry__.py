@@ -10,6 +10,7 @@ import sys
 import tempfile
 import uuid
 from collections.abc import Callable
+from functools import reduce
 from pathlib import Path
 
 sys.path.insert(0, str(Path(__file__).resolve().parent))
@@ -23,9 +24,9 @@ from rollcall.model import Calendar, Model  # noqa: E402
 from rollcall.operators import events, logs, marking, members, migrations, quality, registration, reports  # noqa: E402
 from rollcall.operators.outcome import Outcome  # noqa: E402
 from rollcall.plans import progress, refresh  # noqa: E402
-from rollcall.sources import requests  # noqa: E402
+from rollcall.sources import requests, store  # noqa: E402
 from rollcall.sources.bindings import AS_OF, DAILY, from_test_tables, marks, read_table  # noqa: E402
-from rollcall.sources.lineage import cut_lineage, shared_folder  # noqa: E402
+from rollcall.sources.lineage import cut_lineage, new_folder, shared_folder  # noqa: E402
 from rollcall.streaming import marks_feed  # noqa: E402
 
 SMOKE_DIR = "/root/testdata/sf0.001"
@@ -121,16 +122,22 @@ def _promotion_status(t: Tables) -> DataFrame:
 
 def _member_details(t: Tables) -> DataFrame:
     def joined(array: str, *fields: str):
-        return F.array_join(F.transform(array, lambda x: F.concat_ws("=", *[x[f] for f in fields])), "|")
+        """Records by "|", their fields by "="; an array inside by ","."""
 
+        def shown(x, name: str):
+            return F.array_join(x[name], ",") if name == "attended_dates" else F.coalesce(x[name].cast("string"), F.lit(""))
+
+        return F.array_join(F.transform(array, lambda x: F.concat_ws("=", *[shown(x, f) for f in fields])), "|")
+
+    progress_fields = ["topic_id", "name", "order_index", "status", "attended_on", "attended_dates", "last_attended_on"]
+    status = [c for c in members.promotion_status(t.observed()).columns if c not in ("member_id", "missing")]
     return members.member_details(t.observed()).select(
-        "member_id",
-        F.col("member.full_name").alias("full_name"),
-        F.col("member.level").alias("level"),
-        joined("sessions", "name", "status").alias("sessions"),
-        joined("outings", "outing_date", "recorded_at").alias("outings"),
-        joined("services", "service_date", "recorded_at").alias("services"),
-        F.col("promotion_status.summary").alias("summary"),
+        "member.*",
+        joined("sessions", *progress_fields).alias("sessions"),
+        joined("outings", "outing_date", "recorded_at", "details").alias("outings"),
+        joined("services", "service_date", "recorded_at", "details").alias("services"),
+        *[F.col(f"promotion_status.{c}").alias(c) for c in status],
+        F.array_join("promotion_status.missing", "|").alias("missing"),
     )
 
 
@@ -190,7 +197,14 @@ READS: dict[str, Callable[[Tables], DataFrame]] = {
     "service_participants": lambda t: events.event_participants(t.model, events.SERVICES),
     "stage2_members": lambda t: logs.stage2_members(t.model),
     "stage2_member_by_id": lambda t: logs.stage2_members_by_ids(t.model, t.requested_ids()),
-    "stage2_member_history": lambda t: logs.stage2_member_history(t.model),
+    "stage2_member_history": lambda t: logs.stage2_member_history(t.model, t.requested_ids()),
+    "stage2_member_marks": lambda t: logs.stage2_member_marks(t.model),
+    "stage2_member_absences": lambda t: logs.stage2_member_absences(t.model),
+    "list_members_active": lambda t: members.list_members(t.prepared(), True),
+    "list_marks_of_session": lambda t: logs.list_marks(t.model, session_id="2024-01-14"),
+    "stage2_marks_of_date": lambda t: logs.stage2_marks(t.model, session_date="2024-01-14"),
+    "stage2_marks_of_session": lambda t: logs.stage2_marks(t.model, session_id="2024-01-07"),
+    "stage2_sessions_range": lambda t: logs.stage2_sessions(t.model, "2024-01-05", "2024-01-20"),
     "stage2_sessions": lambda t: logs.stage2_sessions(t.model),
     "stage2_marks": lambda t: logs.stage2_marks(t.model),
     "fixture_summary": lambda t: reports.fixture_summary(t.observed()),
@@ -236,12 +250,52 @@ def _create(t: Tables, kind: events.Kind) -> Outcome:
     return events.create_events(t.model, kind, *requests.event_requests(t.orders), AS_OF)
 
 
-def _replace(t: Tables, kind: events.Kind, priority: str) -> Outcome:
-    return events.replace_event_members(t.model, kind, *requests.replace_requests(t.orders, priority), AS_OF)
+def _replace(t: Tables, kind: events.Kind) -> Outcome:
+    return events.replace_event_members(t.model, kind, *requests.replace_requests(t.orders), AS_OF)
+
+
+def _delete(t: Tables, kind: events.Kind) -> Outcome:
+    return events.delete_events(t.model, kind, requests.event_ids_to_delete(t.orders, kind.key), AS_OF)
+
+
+def _of_kind(kind: events.Kind) -> dict[str, Callable[[Tables], DataFrame]]:
+    """Create, replace and delete: the tables, the levels, the rejects."""
+    name = kind.name
+    return {
+        f"create_{name}s": lambda t: _events_after(kind, _create(t, kind)),
+        f"create_{name}s_members": lambda t: _create(t, kind).model.members,
+        f"create_{name}s_rejected": lambda t: _create(t, kind).rejected.select("ord", "reason"),
+        f"replace_{name}_members": lambda t: _events_after(kind, _replace(t, kind)),
+        f"replace_{name}_members_levels": lambda t: _replace(t, kind).model.members,
+        f"replace_{name}_members_rejected": lambda t: _replace(t, kind).rejected.select("ord", "reason"),
+        f"delete_{name}s": lambda t: _events_after(kind, _delete(t, kind)),
+        f"delete_{name}s_rejected": lambda t: _delete(t, kind).rejected,
+    }
 
 
-def _delete(t: Tables, kind: events.Kind, priority: str, status: str) -> Outcome:
-    return events.delete_events(t.model, kind, requests.event_ids_to_delete(t.orders, priority, status, kind.key), AS_OF)
+def _own_folder(t: Tables) -> str:
+    return new_folder(t.spark)
+
+
+def _snapshot_roundtrip(t: Tables) -> DataFrame:
+    """Publish every table, load it again, and count rows, lost ones and added ones."""
+    root, kind = _own_folder(t), t.model.members.schema["member_id"].dataType
+    store.publish(t.model, root, 1)
+    lines = []
+    for name, back in store.load(t.spark, root, member_id=kind).tables().items():
+        first = getattr(t.model, name)
+        lost, added = (a.exceptAll(b).agg(F.count(F.lit(1))).scalar() for a, b in ((first, back), (back, first)))
+        lines.append(back.agg(F.count(F.lit(1)).alias("n_rows")).select(
+            F.lit(name).alias("table_name"), "n_rows", lost.alias("lost"), added.alias("added")
+        ))
+    return reduce(DataFrame.unionByName, lines)
+
+
+def _export_json_roundtrip(t: Tables) -> DataFrame:
+    rows = logs.list_sessions(t.model)
+    path = f"{_own_folder(t)}/json"
+    store.export_json(rows, path)
+    return t.spark.read.schema(rows.schema).json(path)
 
 
 def _upsert_marks(t: Tables) -> Outcome:
@@ -310,18 +364,22 @@ WRITES: dict[str, Callable[[Tables], DataFrame]] = {
     "delete_members_removed": lambda t: _delete_members(t).removed,
     "delete_members_marks": lambda t: _delete_members(t).model.marks,
     "delete_members_rejected": lambda t: _delete_members(t).rejected,
-    "create_outings": lambda t: _events_after(events.OUTINGS, _create(t, events.OUTINGS)),
-    "create_outings_members": lambda t: _create(t, events.OUTINGS).model.members,
-    "create_outings_rejected": lambda t: _create(t, events.OUTINGS).rejected.select("ord", "reason"),
-    "replace_outing_members": lambda t: _events_after(events.OUTINGS, _replace(t, events.OUTINGS, "1-URGENT")),
-    "replace_outing_members_rejected": lambda t: _replace(t, events.OUTINGS, "1-URGENT").rejected.select("ord", "reason"),
-    "delete_outings": lambda t: _events_after(events.OUTINGS, _delete(t, events.OUTINGS, "1-URGENT", "O")),
-    "delete_outings_rejected": lambda t: _delete(t, events.OUTINGS, "1-URGENT", "O").rejected,
-    "create_services": lambda t: _events_after(events.SERVICES, _create(t, events.SERVICES)),
-    "create_services_rejected": lambda t: _create(t, events.SERVICES).rejected.select("ord", "reason"),
-    "replace_service_members": lambda t: _events_after(events.SERVICES, _replace(t, events.SERVICES, "2-HIGH")),
-    "replace_service_members_rejected": lambda t: _replace(t, events.SERVICES, "2-HIGH").rejected.select("ord", "reason"),
-    "delete_services": lambda t: _events_after(events.SERVICES, _delete(t, events.SERVICES, "2-HIGH", "F")),
+    **_of_kind(events.OUTINGS),
+    **_of_kind(events.SERVICES),
+    "delete_outings_members": lambda t: _delete(t, events.OUTINGS).model.members,
+    "upsert_sessions_rejected": lambda t: marking.upsert_sessions(
+        t.model, requests.session_requests(t.events, t.orders), AS_OF, SESSION_TODAY
+    ).rejected.select("ord", "session_date", "reason"),
+    "stage2_upsert_sessions_rejected": lambda t: marking.stage2_upsert_sessions(
+        t.model, requests.session_requests(t.events, t.orders), AS_OF
+    ).rejected.select("ord", "session_date", "reason"),
+    "stage2_upsert_marks_sessions": lambda t: marking.stage2_upsert_marks(t.morning, t.stage2_feed, AS_OF).model.stage2_sessions,
+    **{
+        f"delete_members_{table}": lambda t, table=table: getattr(_delete_members(t).model, table)
+        for table in ("outing_members", "service_members", "stage2_roster", "stage2_marks")
+    },
+    "snapshot_roundtrip": _snapshot_roundtrip,
+    "export_json_roundtrip": _export_json_roundtrip,
     "stream_upsert_marks": _stream_upsert_marks,
 }
 

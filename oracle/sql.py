@@ -20,11 +20,11 @@ def marks_cte(name: str, condition: str) -> str:
   QUALIFY row_number() OVER (PARTITION BY user_id, CAST(ts AS DATE) ORDER BY ts DESC, event_id DESC) = 1)"""
 
 
-def bridge_cte(name: str, priority: str, status: str) -> str:
+def bridge_cte(name: str, priorities: str) -> str:
     return f"""{name}_members AS (
   SELECT DISTINCT CAST(CAST(o_orderdate AS DATE) AS VARCHAR) AS {name}_id, o_custkey AS member_id,
          TIMESTAMP '2024-01-01 00:00:00' AS added_at
-  FROM orders WHERE o_orderpriority = '{priority}' AND o_orderstatus = '{status}'),
+  FROM orders WHERE o_orderpriority {priorities}),
 {name}s AS (
   SELECT DISTINCT {name}_id, CAST({name}_id AS DATE) AS {name}_date, CAST(NULL AS VARCHAR) AS details,
          CAST(NULL AS VARCHAR) AS created_by, TIMESTAMP '2024-01-01 00:00:00' AS created_at
@@ -59,8 +59,8 @@ sessions AS (
   FROM (SELECT DISTINCT CAST(ts AS DATE) AS d FROM events)
   JOIN topics t ON t.order_index = (date_diff('day', DATE '2024-01-01', d) + 6) % 8 + 1),
 {marks_cte("marks", "TRUE")},
-{bridge_cte("outing", "1-URGENT", "F")},
-{bridge_cte("service", "2-HIGH", "O")},
+{bridge_cte("outing", "IN ('1-URGENT', '3-MEDIUM', '5-LOW')")},
+{bridge_cte("service", "NOT IN ('1-URGENT', '3-MEDIUM', '5-LOW')")},
 stage2_roster AS (
   SELECT 'roster:' || member_id AS roster_id, member_id, TIMESTAMP '2024-01-01 00:00:00' AS added_at
   FROM members WHERE level = 2),
@@ -113,6 +113,12 @@ MEMBER = """member_id, full_name, email, phone, age, member_type, college_name,
   company_name, designation, experience, description, active, level,
   CAST(promoted_at AS VARCHAR) AS promoted_at, CAST(created_at AS VARCHAR) AS created_at"""
 
+MEMBER_OF_P = ", ".join(
+    f"CAST(m.{c} AS VARCHAR) AS {c}" if c.endswith("_at") else f"m.{c}"
+    for c in ("member_id full_name email phone age member_type college_name branch semester company_name designation "
+              "experience description active level promoted_at created_at").split()
+)
+
 MARK = "mark_id, session_id, member_id, status, marked_by, CAST(marked_at AS VARCHAR) AS marked_at"
 
 
@@ -215,7 +221,7 @@ PROGRESS = """progress AS (
 
 
 def joined_history(name: str) -> str:
-    return f"""(SELECT coalesce(string_agg({name}_id || '=' || CAST(added_at AS VARCHAR), '|' ORDER BY {name}_id DESC), '')
+    return f"""(SELECT coalesce(string_agg({name}_id || '=' || CAST(added_at AS VARCHAR) || '=', '|' ORDER BY {name}_id DESC), '')
         FROM {name}_members h WHERE h.member_id = p.member_id)"""
 
 
@@ -247,11 +253,13 @@ SELECT member_id, attended_topics, outing_count, service_count, total_topics FRO
     "promotion_status": f"""{COUNTS}
 SELECT member_id, promoted, attended_topics, total_topics, outing_count, service_count, missing, summary FROM statuses""",
     "member_details": f"""{COUNTS}, {PROGRESS}
-SELECT p.member_id, p.full_name, p.level,
-       (SELECT string_agg(name || '=' || status, '|' ORDER BY order_index)
+SELECT {MEMBER_OF_P},
+       (SELECT string_agg(concat_ws('=', topic_id, name, order_index, status, coalesce(attended_on, ''), replace(attended_dates, '|', ','),
+                                    coalesce(last_attended_on, '')), '|' ORDER BY order_index)
         FROM progress g WHERE g.member_id = p.member_id) AS sessions,
-       {joined_history("outing")} AS outings, {joined_history("service")} AS services, p.summary
-FROM statuses p""",
+       {joined_history("outing")} AS outings, {joined_history("service")} AS services,
+       p.promoted, p.attended_topics, p.total_topics, p.outing_count, p.service_count, p.missing, p.summary
+FROM statuses p JOIN members m ON m.member_id = p.member_id""",
     "list_sessions": sessions_sql("TRUE"),
     "list_sessions_range": sessions_sql("s.session_date BETWEEN DATE '2024-01-05' AND DATE '2024-01-20'"),
     "list_marks": log_sql("marks", "sessions"),
@@ -302,7 +310,22 @@ WHERE member_id IN (SELECT member_id FROM stage2_roster) AND member_id IN (SELEC
 SELECT r.member_id, CAST(s.session_date AS VARCHAR) AS session_date, coalesce(k.status, 'absent') AS status,
        CAST(k.marked_at AS VARCHAR) AS marked_at
 FROM stage2_roster r CROSS JOIN stage2_sessions s
-LEFT JOIN stage2_marks k ON k.session_id = s.session_id AND k.member_id = r.member_id""",
+LEFT JOIN stage2_marks k ON k.session_id = s.session_id AND k.member_id = r.member_id
+WHERE r.member_id IN (SELECT s_suppkey FROM supplier)""",
+    "stage2_member_marks": f"""{BASE}
+SELECT k.member_id, CAST(s.session_date AS VARCHAR) AS session_date, k.status, CAST(k.marked_at AS VARCHAR) AS marked_at
+FROM stage2_marks k JOIN stage2_sessions s USING (session_id)""",
+    "stage2_member_absences": f"""{BASE}
+SELECT r.member_id, count(k.mark_id) AS marked, (SELECT count(*) FROM stage2_sessions) - count(k.mark_id) AS implied_absences
+FROM stage2_roster r LEFT JOIN stage2_marks k ON k.member_id = r.member_id GROUP BY r.member_id""",
+    "list_members_active": f"{STATE} SELECT {MEMBER} FROM state WHERE active AND level = 1",
+    "list_marks_of_session": log_sql("marks", "sessions", "s.session_id = '2024-01-14'"),
+    "stage2_marks_of_date": log_sql("stage2_marks", "stage2_sessions", "s.session_date = DATE '2024-01-14'"),
+    "stage2_marks_of_session": log_sql("stage2_marks", "stage2_sessions", "s.session_id = '2024-01-07'"),
+    "stage2_sessions_range": f"""{BASE}
+SELECT session_id, CAST(session_date AS VARCHAR) AS session_date, day_of_week, created_by,
+       CAST(created_at AS VARCHAR) AS created_at FROM stage2_sessions
+WHERE session_date BETWEEN DATE '2024-01-05' AND DATE '2024-01-20'""",
     "stage2_sessions": f"""{BASE}
 SELECT session_id, CAST(session_date AS VARCHAR) AS session_date, day_of_week, created_by,
        CAST(created_at AS VARCHAR) AS created_at FROM stage2_sessions""",
@@ -405,7 +428,9 @@ _REFERENCES = [
     ("service_members", "member_id", "members", "member_id"), ("stage2_roster", "member_id", "members", "member_id"),
     ("stage2_marks", "session_id", "stage2_sessions", "session_id"),
     ("stage2_marks", "member_id", "members", "member_id"), ("marks", "marked_by", "markers", "marker_id"),
-    ("stage2_marks", "marked_by", "markers", "marker_id"),
+    ("stage2_marks", "marked_by", "markers", "marker_id"), ("sessions", "created_by", "markers", "marker_id"),
+    ("outings", "created_by", "markers", "marker_id"), ("services", "created_by", "markers", "marker_id"),
+    ("stage2_sessions", "created_by", "markers", "marker_id"),
 ]
 
 
@@ -415,6 +440,7 @@ def _constraint_lines() -> list[str]:
         f"AS violations FROM {t}"
         for t, k in _UNIQUE
     ]
+    lines.append("SELECT 'members', 'unique phone', count(phone) - count(DISTINCT phone) FROM members")
     for table, columns in _REQUIRED.items():
         condition = " OR ".join(f"{c} IS NULL" for c in columns.split(", "))
         lines.append(f"SELECT '{table}', 'required columns', count(*) FILTER (WHERE {condition}) FROM {table}")
@@ -563,6 +589,11 @@ SELECT c_custkey AS member_id, (SELECT count(*) FROM marks k WHERE k.member_id =
 FROM customer WHERE c_acctbal < 0""",
     "delete_members_marks": f"""{BASE} SELECT {MARK} FROM marks
 WHERE member_id NOT IN (SELECT c_custkey FROM customer WHERE c_acctbal < 0)""",
+    **{
+        f"delete_members_{table}": f"""{BASE} SELECT * REPLACE (CAST({at} AS VARCHAR) AS {at}) FROM {table}
+WHERE member_id NOT IN (SELECT c_custkey FROM customer WHERE c_acctbal < 0)"""
+        for table, at in [("outing_members", "added_at"), ("service_members", "added_at"), ("stage2_roster", "added_at"), ("stage2_marks", "marked_at")]
+    },
     "delete_members_rejected": "SELECT -1 - s_suppkey AS member_id, 'member not found' AS reason FROM supplier",
 }
 
@@ -588,7 +619,7 @@ feed AS (
               WHEN event_type IN ('purchase', 'view') THEN 'present' ELSE 'absent' END AS status,
          CAST(event_id % (SELECT count(*) FROM supplier) AS VARCHAR) AS marked_by, ts AS received_at,
          event_type, value
-  FROM events WHERE hour(ts) >= 12),
+  FROM events),
 bad AS (
   SELECT batch_id, arg_min(CASE WHEN status = 'late' THEN 'status must be ''present'' or ''absent'''
                                 ELSE 'unknown member_id' END, ord) AS reason
@@ -647,6 +678,12 @@ SELECT coalesce(s.session_id, CAST(w.d AS VARCHAR)) AS session_id,
        CASE WHEN s.session_id IS NULL THEN 'planner' ELSE s.created_by END AS created_by,
        coalesce(CAST(s.created_at AS VARCHAR), '2024-02-01 09:00:00') AS created_at
 FROM sessions s FULL JOIN wanted w ON w.d = s.session_date""",
+    "upsert_sessions_rejected": f"{BASE}, {SESSION_REQUESTS} SELECT ord, session_date, reason FROM judged WHERE reason IS NOT NULL",
+    "stage2_upsert_sessions_rejected": f"""{BASE}, {SESSION_REQUESTS}
+SELECT ord, session_date, reason FROM judged WHERE reason IS NOT NULL AND reason NOT LIKE '%future%'""",
+    "stage2_upsert_marks_sessions": f"""{BASE}
+SELECT session_id, CAST(session_date AS VARCHAR) AS session_date, day_of_week, created_by,
+       CAST(created_at AS VARCHAR) AS created_at FROM stage2_sessions""",
     "validate_session_date": f"{BASE}, {SESSION_REQUESTS} SELECT ord, session_date, reason FROM judged",
     "stage2_upsert_sessions": f"""{BASE}, {SESSION_REQUESTS}
 SELECT session_id, CAST(session_date AS VARCHAR) AS session_date, day_of_week, created_by,
@@ -676,32 +713,31 @@ MARKING["stream_upsert_marks"] = MARKING["upsert_marks"]
 
 def create_ctes(name: str) -> str:
     return f"""asked AS (
-  SELECT DISTINCT CAST(o_orderdate AS DATE) AS d FROM orders
-  WHERE o_orderpriority = '3-MEDIUM' AND o_orderstatus = 'P'),
+  SELECT d, CASE WHEN day(d) % 3 = 0 THEN d ELSE CAST(d + INTERVAL 20 YEAR AS DATE) END AS wanted
+  FROM (SELECT DISTINCT CAST(o_orderdate AS DATE) AS d FROM orders)),
 judged AS (
-  SELECT d, date_diff('day', DATE '1970-01-01', d) AS ord,
+  SELECT d, wanted, date_diff('day', DATE '1970-01-01', d) AS ord,
          CASE WHEN day(d) = 2 THEN '{name}_date is required'
-              WHEN d IN (SELECT {name}_date FROM {name}s) THEN '{name} date already scheduled'
+              WHEN wanted IN (SELECT {name}_date FROM {name}s) THEN '{name} date already scheduled'
               WHEN day(d) = 1 THEN 'one or more members are invalid' END AS reason
   FROM asked),
-good AS (SELECT d FROM judged WHERE reason IS NULL),
+good AS (SELECT d, wanted FROM judged WHERE reason IS NULL),
 new_events AS (
   SELECT * FROM {name}s
-  UNION ALL SELECT CAST(d AS VARCHAR), d, CASE WHEN day(d) > 10 THEN 'Day ' || CAST(d AS VARCHAR) END, 'planner',
+  UNION ALL SELECT CAST(wanted AS VARCHAR), wanted, CASE WHEN day(d) > 10 THEN 'Day ' || CAST(d AS VARCHAR) END, 'planner',
                    TIMESTAMP '2024-02-01 09:00:00' FROM good),
 new_bridge AS (
   SELECT * FROM {name}_members
-  UNION ALL SELECT DISTINCT CAST(d AS VARCHAR), o_custkey, TIMESTAMP '2024-02-01 09:00:00'
-  FROM good JOIN orders ON CAST(o_orderdate AS DATE) = d
-  WHERE o_orderpriority = '3-MEDIUM' AND o_orderstatus = 'P')"""
+  UNION ALL SELECT DISTINCT CAST(wanted AS VARCHAR), o_custkey, TIMESTAMP '2024-02-01 09:00:00'
+  FROM good JOIN orders ON CAST(o_orderdate AS DATE) = d)"""
 
 
-def replace_ctes(name: str, priority: str) -> str:
+def replace_ctes(name: str) -> str:
     return f"""asked AS (
-  SELECT d, CAST(d AS VARCHAR) AS event_id, date_diff('day', DATE '1970-01-01', d) AS ord,
+  SELECT d, CASE WHEN day(d) = 20 THEN 'none' ELSE CAST(d AS VARCHAR) END AS event_id, date_diff('day', DATE '1970-01-01', d) AS ord,
          CASE day(d) WHEN 13 THEN CAST(d + INTERVAL 20 YEAR AS DATE) WHEN 14 THEN DATE '2050-01-01'
                      WHEN 16 THEN CAST(d + INTERVAL 1 DAY AS DATE) WHEN 17 THEN d END AS new_date
-  FROM (SELECT DISTINCT CAST(o_orderdate AS DATE) AS d FROM orders WHERE o_orderpriority = '{priority}')),
+  FROM (SELECT DISTINCT CAST(o_orderdate AS DATE) AS d FROM orders)),
 checked AS (
   SELECT a.*, event_id NOT IN (SELECT {name}_id FROM {name}s) AS unknown,
          EXISTS (SELECT 1 FROM {name}s e WHERE e.{name}_date = a.new_date AND e.{name}_id <> a.event_id) AS taken
@@ -723,13 +759,13 @@ new_events AS (
 new_bridge AS (
   SELECT * FROM {name}_members WHERE {name}_id NOT IN (SELECT event_id FROM good)
   UNION ALL SELECT DISTINCT event_id, o_custkey, TIMESTAMP '2024-02-01 09:00:00'
-  FROM good JOIN orders ON CAST(o_orderdate AS DATE) = d WHERE o_orderpriority = '5-LOW')"""
+  FROM good JOIN orders ON CAST(o_orderdate AS DATE) = d)"""
 
 
-def delete_ctes(name: str, priority: str, status: str) -> str:
+def delete_ctes(name: str) -> str:
     return f"""asked AS (
-  SELECT DISTINCT CAST(CAST(o_orderdate AS DATE) AS VARCHAR) AS event_id FROM orders
-  WHERE o_orderpriority = '{priority}' AND o_orderstatus = '{status}'),
+  SELECT DISTINCT CAST(CASE WHEN day(d) <= 15 THEN d ELSE CAST(d + INTERVAL 20 YEAR AS DATE) END AS VARCHAR) AS event_id
+  FROM (SELECT CAST(o_orderdate AS DATE) AS d FROM orders)),
 new_events AS (SELECT * FROM {name}s WHERE {name}_id NOT IN (SELECT event_id FROM asked)),
 new_bridge AS (SELECT * FROM {name}_members WHERE {name}_id NOT IN (SELECT event_id FROM asked))"""
 
@@ -745,24 +781,46 @@ def rejected_sql(ctes: str) -> str:
     return f"{BASE}, {ctes} SELECT ord, reason FROM judged WHERE reason IS NOT NULL"
 
 
-EVENTS = {
-    "create_outings": events_sql("outing", create_ctes("outing")),
-    "create_outings_members": f"""{BASE}, {create_ctes("outing")},
-{coverage_cte("coverage")}, {complete_cte("complete", "coverage", "new_bridge")},
+def levels_sql(name: str, ctes: str) -> str:
+    """Members after a batch that promotes."""
+    bridges = ("new_bridge", "service_members") if name == "outing" else ("outing_members", "new_bridge")
+    return f"""{BASE}, {ctes},
+{coverage_cte("coverage")}, {complete_cte("complete", "coverage", *bridges)},
 changed AS (SELECT * REPLACE ({PROMOTE.format("complete")}) FROM members)
-SELECT {MEMBER} FROM changed""",
-    "create_outings_rejected": rejected_sql(create_ctes("outing")),
-    "replace_outing_members": events_sql("outing", replace_ctes("outing", "1-URGENT")),
-    "replace_outing_members_rejected": rejected_sql(replace_ctes("outing", "1-URGENT")),
-    "delete_outings": events_sql("outing", delete_ctes("outing", "1-URGENT", "O")),
-    "delete_outings_rejected": f"""{BASE}, {delete_ctes("outing", "1-URGENT", "O")}
-SELECT event_id AS outing_id, 'outing not found' AS reason FROM asked
-WHERE event_id NOT IN (SELECT outing_id FROM outings)""",
-    "create_services": events_sql("service", create_ctes("service")),
-    "create_services_rejected": rejected_sql(create_ctes("service")),
-    "replace_service_members": events_sql("service", replace_ctes("service", "2-HIGH")),
-    "replace_service_members_rejected": rejected_sql(replace_ctes("service", "2-HIGH")),
-    "delete_services": events_sql("service", delete_ctes("service", "2-HIGH", "F")),
+SELECT {MEMBER} FROM changed"""
+
+
+def not_found_sql(name: str) -> str:
+    return f"""{BASE}, {delete_ctes(name)}
+SELECT event_id AS {name}_id, '{name} not found' AS reason FROM asked
+WHERE event_id NOT IN (SELECT {name}_id FROM {name}s)"""
+
+
+EVENTS = {}
+for _name in ("outing", "service"):
+    EVENTS |= {
+        f"create_{_name}s": events_sql(_name, create_ctes(_name)),
+        f"create_{_name}s_members": levels_sql(_name, create_ctes(_name)),
+        f"create_{_name}s_rejected": rejected_sql(create_ctes(_name)),
+        f"replace_{_name}_members": events_sql(_name, replace_ctes(_name)),
+        f"replace_{_name}_members_levels": levels_sql(_name, replace_ctes(_name)),
+        f"replace_{_name}_members_rejected": rejected_sql(replace_ctes(_name)),
+        f"delete_{_name}s": events_sql(_name, delete_ctes(_name)),
+        f"delete_{_name}s_rejected": not_found_sql(_name),
+    }
+EVENTS["delete_outings_members"] = levels_sql("outing", delete_ctes("outing"))
+
+# --- every table of the model, as a snapshot gives it back ------------------------------
+
+_TABLES = [
+    "members", "topics", "sessions", "marks", "outings", "outing_members", "services", "service_members", "stage2_roster",
+    "stage2_sessions", "stage2_marks", "markers",
+]
+STORE = {
+    "snapshot_roundtrip": f"{BASE} " + " UNION ALL ".join(
+        f"SELECT '{t}' AS table_name, count(*) AS n_rows, 0::BIGINT AS lost, 0::BIGINT AS added FROM {t}" for t in _TABLES
+    ),
+    "export_json_roundtrip": sessions_sql("TRUE"),
 }
 
-ORACLE = {**READS, **REGISTRATION, **MARKING, **EVENTS}
+ORACLE = {**READS, **REGISTRATION, **MARKING, **EVENTS, **STORE}

@@ -105,20 +105,40 @@ def stage2_members_by_ids(model: Model, ids: DataFrame) -> DataFrame:
     return stage2_members(model).join(ids.select("member_id"), "member_id", "left_semi")
 
 
-def stage2_member_history(model: Model) -> DataFrame:
-    """Every stage-2 session for every roster member; an unmarked one counts as absent.
+def _stage2_marked(model: Model) -> DataFrame:
+    """Marks of the stage-2 sessions with their dates."""
+    dates = model.stage2_sessions.select("session_id", "session_date")
+    return model.stage2_marks.select("session_id", "member_id", "status", "marked_at").join(dates, "session_id")
 
-    Only real marks are shuffled. The sessions a member has no mark for are added to the
-    member's own list afterwards, from one constant array of session dates.
+
+def stage2_member_marks(model: Model) -> DataFrame:
+    """The history of all roster members as it is stored: a row for each marked session."""
+    roster = model.stage2_roster.select("member_id")
+    rows = _stage2_marked(model).join(roster, "member_id", "left_semi")
+    return rows.select("member_id", F.col("session_date").cast("string").alias("session_date"), "status", F.col("marked_at").cast("string").alias("marked_at"))
+
+
+def stage2_member_absences(model: Model) -> DataFrame:
+    """member_id, marked, implied_absences: how many sessions of a roster member have a mark, and how many have none and count as
+    absent. With `stage2_member_marks` this is the whole history, without a row for each member and session."""
+    marked = model.stage2_marks.join(model.stage2_sessions.select("session_id"), "session_id", "left_semi")
+    counts = marked.groupBy("member_id").agg(F.count(F.lit(1)).alias("marked"))
+    total = model.stage2_sessions.agg(F.count(F.lit(1))).scalar()
+    rows = model.stage2_roster.select("member_id").join(counts, "member_id", "left")
+    rows = rows.withColumn("marked", F.coalesce("marked", F.lit(0).cast("bigint")))
+    return rows.withColumn("implied_absences", total - F.col("marked"))
+
+
+def stage2_member_history(model: Model, ids: DataFrame) -> DataFrame:
+    """Every stage-2 session for the roster members among `ids`; an unmarked one counts as absent.
+
+    The dense list is made for the members asked for only; `stage2_member_marks` and
+    `stage2_member_absences` are the form for all of them.
     """
+    asked = model.stage2_roster.select("member_id").join(ids.select("member_id").distinct(), "member_id", "left_semi")
     dates = model.stage2_sessions.agg(F.array_sort(F.collect_list("session_date"))).scalar()
     entry = F.struct("session_date", "status", "marked_at")
-    marked = (
-        model.stage2_marks.select("session_id", "member_id", "status", "marked_at")
-        .join(model.stage2_sessions.select("session_id", "session_date"), "session_id")
-        .groupBy("member_id")
-        .agg(F.collect_list(entry).alias("marked"))
-    )
+    marked = _stage2_marked(model).join(asked, "member_id", "left_semi").groupBy("member_id").agg(F.collect_list(entry).alias("marked"))
     empty = F.array().cast("array<struct<session_date:date,status:string,marked_at:timestamp_ntz>>")
     unmarked = F.array_except("dates_", F.transform("marked", lambda m: m["session_date"]))
     filled = F.transform(
@@ -129,8 +149,7 @@ def stage2_member_history(model: Model) -> DataFrame:
         ),
     )
     return (
-        model.stage2_roster.select("member_id")
-        .join(marked, "member_id", "left")
+        asked.join(marked, "member_id", "left")
         .withColumn("dates_", dates)
         .withColumn("marked", F.coalesce("marked", empty))
         .select("member_id", F.inline(F.sort_array(F.concat("marked", filled), asc=False)))

@@ -63,22 +63,17 @@ def _held_topics(model: Model) -> Column:
 
 
 def _present_dates(model: Model) -> DataFrame:
-    """member_id, present: the (topic, date) pairs a member was present at, at most one per date."""
-    return (
+    """member_id, present: the sorted dates a member was present at, by topic. Combined by member and topic first."""
+    by_topic = (
         model.marks.where(F.col("status") == PRESENT)
         .select("member_id", "session_id")
         .join(model.sessions.select("session_id", "session_date", "topic_id"), "session_id")
         .where(F.col("topic_id").isNotNull())
-        .groupBy("member_id")
-        .agg(F.collect_list(F.struct("session_date", "topic_id")).alias("present"))
+        .groupBy("member_id", "topic_id")
+        .agg(F.sort_array(F.collect_list("session_date")).alias("dates"))
     )
-
-
-def _dates_on(topic: Column, present: Column) -> Column:
-    """Sorted dates the member was present on this topic, empty when there are none."""
-    on_topic = F.filter(present, lambda p: p["topic_id"] == topic["topic_id"])
-    dates = F.array_sort(F.transform(on_topic, lambda p: p["session_date"]))
-    return F.coalesce(dates, F.array().cast("array<date>"))
+    entries = F.collect_list(F.struct("topic_id", "dates"))
+    return by_topic.groupBy("member_id").agg(F.map_from_entries(entries).alias("present"))
 
 
 def _topic_progress(topic: Column, dates: Column) -> list[Column]:
@@ -94,10 +89,15 @@ def _topic_progress(topic: Column, dates: Column) -> list[Column]:
     ]
 
 
-def _with_topics(model: Model) -> DataFrame:
-    """member_id, present, held_: the member's present dates and the constant topic array."""
+def _progress_arrays(model: Model) -> DataFrame:
+    """member_id, sessions: every topic with the member's dates, looked up by topic, as one array per member."""
+
+    def progress(topic: Column) -> Column:
+        dates = F.coalesce(F.try_element_at("present", topic["topic_id"]), F.array().cast("array<date>"))
+        return F.struct(*_topic_progress(topic, dates))
+
     rows = model.members.select("member_id").join(_present_dates(model), "member_id", "left")
-    return rows.withColumn("held_", _held_topics(model))
+    return rows.withColumn("held_", _held_topics(model)).select("member_id", F.transform("held_", progress).alias("sessions"))
 
 
 def member_topic_progress(model: Model) -> DataFrame:
@@ -106,23 +106,7 @@ def member_topic_progress(model: Model) -> DataFrame:
     `attended_on` is the last date the topic was held, whether or not the member came;
     `last_attended_on` is the last date the member came.
     """
-    rows = _with_topics(model).select("member_id", "present", F.explode("held_").alias("topic"))
-    rows = rows.withColumn("dates", _dates_on(F.col("topic"), F.col("present")))
-    return rows.select("member_id", *_topic_progress(F.col("topic"), F.col("dates")))
-
-
-def _progress_arrays(model: Model) -> DataFrame:
-    """member_id, sessions: the topic progress as one array per member."""
-
-    def with_dates(topic: Column) -> Column:
-        return F.struct(topic.alias("topic"), _dates_on(topic, F.col("present")).alias("dates"))
-
-    return _with_topics(model).select(
-        "member_id",
-        F.transform(
-            F.transform("held_", with_dates), lambda h: F.struct(*_topic_progress(h["topic"], h["dates"]))
-        ).alias("sessions"),
-    )
+    return _progress_arrays(model).select("member_id", F.inline("sessions"))
 
 
 def _history(bridge: DataFrame, events: DataFrame, key: str, date: str) -> DataFrame:

@@ -22,8 +22,15 @@ REFERENCES = [
     ("stage2_marks", "member_id", "members", "member_id"),
     ("marks", "marked_by", "markers", "marker_id"),
     ("stage2_marks", "marked_by", "markers", "marker_id"),
+    ("sessions", "created_by", "markers", "marker_id"),
+    ("outings", "created_by", "markers", "marker_id"),
+    ("services", "created_by", "markers", "marker_id"),
+    ("stage2_sessions", "created_by", "markers", "marker_id"),
 ]
 
+#: (table, column): unique among the rows that have a value.
+UNIQUE_IF_GIVEN = [("members", "phone")]
+
 
 def _line(rows: DataFrame, table: str, rule: str, violations: Column) -> DataFrame:
     return rows.agg(F.coalesce(violations, F.lit(0)).cast("bigint").alias("violations")).select(
@@ -41,6 +48,9 @@ def constraint_check(model: Model) -> DataFrame:
         for key in keys:
             groups = tables[table].groupBy(*key).agg(F.count(F.lit(1)).alias("n"))
             lines.append(_line(groups, table, f"unique {', '.join(key)}", F.sum(F.col("n") - 1)))
+    for table, column in UNIQUE_IF_GIVEN:
+        given = tables[table].where(F.col(column).isNotNull()).groupBy(column).agg(F.count(F.lit(1)).alias("n"))
+        lines.append(_line(given, table, f"unique {column}", F.sum(F.col("n") - 1)))
     for table, struct in schemas().items():
         required = [f.name for f in struct.fields if not f.nullable]
         any_null = reduce(lambda a, b: a | b, [F.col(c).isNull() for c in required])

@@ -1,7 +1,7 @@
 """A model derived from the test tables customer, events, orders and supplier.
 
-Customers are members; their newest event of a day is their mark for that day's session;
-urgent finished orders are outings and high open ones are services.
+Customers are members; their newest event of a day is their mark for that day's session; an order puts its customer
+on the outing or the service of its day, by its priority.
 """
 
 from __future__ import annotations
@@ -33,6 +33,9 @@ TYPE_OF_SEGMENT = {
     "HOUSEHOLD": "not_studying_not_working",
 }
 
+#: Every priority has a role, whatever the status of the order; an unknown one counts as a service.
+OUTING_PRIORITIES = ["1-URGENT", "3-MEDIUM", "5-LOW"]
+
 SCHEMAS = schemas(T.LongType())
 
 READS = {
@@ -140,8 +143,13 @@ def marks(events: DataFrame, supplier: DataFrame) -> DataFrame:
     )
 
 
-def _events_and_bridge(orders: DataFrame, priority: str, status: str, name: str) -> tuple[DataFrame, DataFrame]:
-    chosen = orders.where((F.col("o_orderpriority") == priority) & (F.col("o_orderstatus") == status))
+def role(priority: Column) -> Column:
+    """`outing` or `service`."""
+    return F.when(priority.isin(OUTING_PRIORITIES), F.lit("outing")).otherwise(F.lit("service"))
+
+
+def _events_and_bridge(orders: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
+    chosen = orders.where(role(F.col("o_orderpriority")) == name)
     pairs = chosen.select(F.col("o_orderdate").cast("date").alias(f"{name}_date"), F.col("o_custkey").alias("member_id"))
     key = F.col(f"{name}_date").cast("string").alias(f"{name}_id")
     pairs = cut_lineage(pairs.distinct())
@@ -165,8 +173,8 @@ def from_test_tables(spark: SparkSession, sf_dir: str) -> Model:
     member_rows = members(customer)
     session_rows = cut_lineage(sessions(events))
     mark_rows = cut_lineage(marks(events, supplier))
-    outings, outing_members = _events_and_bridge(orders, "1-URGENT", "F", "outing")
-    services, service_members = _events_and_bridge(orders, "2-HIGH", "O", "service")
+    outings, outing_members = _events_and_bridge(orders, "outing")
+    services, service_members = _events_and_bridge(orders, "service")
     roster = member_rows.where(F.col("level") == 2).select(
         F.concat(F.lit("roster:"), F.col("member_id").cast("string")).alias("roster_id"),
         "member_id",

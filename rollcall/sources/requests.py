@@ -1,7 +1,7 @@
 """Request tables for the write operators, derived from whole test tables.
 
-Afternoon events are the feed that arrives on top of the marks of the morning; suppliers
-are applicants; orders of other kinds are requests for outings and services.
+All events are the feed that arrives on top of the marks of the morning; suppliers are applicants; the orders of a day
+are requests to create, to replace and to delete outings and services.
 """
 
 from __future__ import annotations
@@ -22,12 +22,12 @@ def _text(column: str) -> Column:
 
 
 def mark_records(events: DataFrame, supplier: DataFrame) -> DataFrame:
-    """One batch per day and hour of the afternoon. Some records are bad on purpose: very
+    """One batch per day and hour. Some records are bad on purpose: very
     high signups have an unknown status, the very highest errors an unknown member."""
     day = F.col("ts").cast("date")
     late = (F.col("event_type") == "signup") & (F.col("value") > 200)
     unknown = (F.col("event_type") == "error") & (F.col("value") > 260)
-    return events.where(~is_morning()).select(
+    return events.select(
         (F.date_diff(day, F.lit("2024-01-01").cast("date")) * 24 + F.hour("ts")).cast("bigint").alias("seq"),
         F.concat_ws("#", day.cast("string"), F.hour("ts").cast("string")).alias("batch_id"),
         F.col("event_id").alias("ord"),
@@ -40,7 +40,7 @@ def mark_records(events: DataFrame, supplier: DataFrame) -> DataFrame:
 
 
 def stage2_mark_records(events: DataFrame, supplier: DataFrame, roster: DataFrame) -> DataFrame:
-    """Afternoon records of roster members, with the highest errors of anyone as strays."""
+    """Records of roster members, with the highest errors of anyone as strays."""
     on_roster = roster.select(F.col("member_id").alias("user_id")).distinct().withColumn("on_roster", F.lit(True))
     stray = (F.col("event_type") == "error") & (F.col("value") > 200)
     wanted = events.join(on_roster, "user_id", "left").where(F.coalesce("on_roster", F.lit(False)) | stray)
@@ -148,36 +148,44 @@ def _day_ord(day: Column) -> Column:
     return F.date_diff(day, F.lit("1970-01-01").cast("date")).cast("bigint")
 
 
-def event_requests(orders: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """One request per day with medium orders in progress, naming their customers.
+def _later(day: Column) -> Column:
+    """Twenty years on, when nothing is scheduled."""
+    return F.add_months(day, 240)
+
+
+def _order_days(orders: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Each day with orders and its customers, and the days."""
+    pairs = orders.select(_day().alias("day"), F.col("o_custkey").alias("member_id"))
+    return pairs, pairs.select("day").distinct()
+
 
-    Requests of a 1st also name a member that does not exist, those of a 2nd have no date.
+def event_requests(orders: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """One request for each day with orders, naming its customers. Every third day of a month asks for the day itself,
+    the others for one twenty years on. Requests of a 1st also name a member that does not exist, those of a 2nd have no date.
     """
-    chosen = orders.where((F.col("o_orderpriority") == "3-MEDIUM") & (F.col("o_orderstatus") == "P"))
-    pairs = chosen.select(_day().alias("day"), F.col("o_custkey").alias("member_id"))
-    days = pairs.select("day").distinct()
+    pairs, days = _order_days(orders)
+    of_month = F.dayofmonth("day")
+    asked = F.when(of_month % 3 == 0, F.col("day")).otherwise(_later(F.col("day")))
     requests = days.select(
         _day_ord(F.col("day")).alias("ord"),
-        F.when(F.dayofmonth("day") != 2, F.concat(F.col("day").cast("string"), F.lit("T10:00:00Z"))).alias("event_date"),
-        F.when(F.dayofmonth("day") > 10, F.concat(F.lit(" Day "), F.col("day").cast("string"))).otherwise(F.lit("  ")).alias(
-            "details"
-        ),
+        F.when(of_month != 2, F.concat(asked.cast("string"), F.lit("T10:00:00Z"))).alias("event_date"),
+        F.when(of_month > 10, F.concat(F.lit(" Day "), F.col("day").cast("string"))).otherwise(F.lit("  ")).alias("details"),
         F.lit("planner").alias("created_by"),
     )
-    strangers = days.where(F.dayofmonth("day") == 1).select("day", F.lit(-1).cast("bigint").alias("member_id"))
+    strangers = days.where(of_month == 1).select("day", F.lit(-1).cast("bigint").alias("member_id"))
     lines = pairs.union(strangers).select(_day_ord(F.col("day")).alias("ord"), "member_id")
     return requests, lines
 
 
-def replace_requests(orders: DataFrame, priority: str) -> tuple[DataFrame, DataFrame]:
-    """One request per day with orders of `priority`, naming the customers of low orders
-    of that day. Some days move to another date, two kinds of them wrongly."""
-    days = orders.where(F.col("o_orderpriority") == priority).select(_day().alias("day")).distinct()
+def replace_requests(orders: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """One request for each day with orders, naming its customers of any order. Some days move to another date, two kinds
+    of them wrongly, and a 20th names an event that does not exist."""
+    pairs, days = _order_days(orders)
     of_month = F.dayofmonth("day")
     requests = days.select(
         _day_ord(F.col("day")).alias("ord"),
-        F.col("day").cast("string").alias("event_id"),
-        F.when(of_month == 13, F.add_months("day", 240).cast("string"))
+        F.when(of_month == 20, F.lit("none")).otherwise(F.col("day").cast("string")).alias("event_id"),
+        F.when(of_month == 13, _later(F.col("day")).cast("string"))
         .when(of_month == 14, F.lit("2050-01-01"))
         .when(of_month == 15, F.lit("soon"))
         .when(of_month == 16, F.date_add("day", 1).cast("string"))
@@ -187,16 +195,14 @@ def replace_requests(orders: DataFrame, priority: str) -> tuple[DataFrame, DataF
         .when(of_month < 20, F.lit(" "))
         .alias("details"),
     )
-    low = orders.where(F.col("o_orderpriority") == "5-LOW").select(_day().alias("day"), F.col("o_custkey").alias("member_id"))
     strangers = days.where(of_month == 28).select("day", F.lit(-1).cast("bigint"))
-    lines = low.join(days, "day", "left_semi").union(strangers)
-    return requests, lines.select(_day_ord(F.col("day")).alias("ord"), "member_id")
+    return requests, pairs.union(strangers).select(_day_ord(F.col("day")).alias("ord"), "member_id")
 
 
-def event_ids_to_delete(orders: DataFrame, priority: str, status: str, key: str) -> DataFrame:
-    """Days of other orders of the same priority: some are events, some are not."""
-    chosen = orders.where((F.col("o_orderpriority") == priority) & (F.col("o_orderstatus") == status))
-    return chosen.select(_day().cast("string").alias(key)).distinct()
+def event_ids_to_delete(orders: DataFrame, key: str) -> DataFrame:
+    """The days of orders up to a 15th, and for the others a day twenty years on, which is no event."""
+    asked = F.when(F.dayofmonth(_day()) <= 15, _day()).otherwise(_later(_day()))
+    return orders.select(asked.cast("string").alias(key)).distinct()
 
 
 def members_before_profiles(members: DataFrame, customer: DataFrame) -> DataFrame:

@@ -50,7 +50,8 @@ def edge(spark, edge_rows, tmp_path_factory):
 def test_s1_and_s18_absentees_have_dates(edge):
     row = members.member_topic_progress(edge).where("member_id = 'm51' and order_index = 8").first()
     assert (row.status, row.attended_on, row.last_attended_on) == ("absent", "2026-05-31", None)
-    history = logs.stage2_member_history(refresh.refresh(edge, AS_OF)).where("member_id = 'm53'").collect()
+    after = refresh.refresh(edge, AS_OF)
+    history = logs.stage2_member_history(after, after.members.where("member_id = 'm53'")).collect()
     assert [r.status for r in history] == ["absent"] * 3 and history[0].marked_at is None
 
 

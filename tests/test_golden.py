@@ -97,7 +97,12 @@ def test_event_lists(seed):
 
 def test_stage2(seed):
     assert numbers(logs.stage2_members(seed)) == list(range(1, 11))
-    history = logs.stage2_member_history(seed).collect()
+    history = logs.stage2_member_history(seed, seed.members).collect()
+    marks = {(r.member_id, r.session_date, r.status) for r in logs.stage2_member_marks(seed).collect()}
+    implied = {r.member_id: (r.marked, r.implied_absences) for r in logs.stage2_member_absences(seed).collect()}
+    assert marks <= {(r.member_id, r.session_date, r.status) for r in history}
+    assert sum(m for m, _ in implied.values()) == len(marks)
+    assert sum(m + a for m, a in implied.values()) == len(history)
     present = [sum(r.status == "present" and r.session_date == d for r in history) for d in ["2026-05-17", "2026-05-24", "2026-05-31"]]
     assert len(history) == 30 and present == [7, 6, 7]
     assert [r.session_date for r in logs.stage2_sessions(seed).collect()] == ["2026-05-31", "2026-05-24", "2026-05-17"]

@@ -3,9 +3,12 @@
 import os
 
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from oracle.compare import duck, duck_rows, spark_rows
+from rollcall.sources import requests
+from rollcall.sources.bindings import role
 from tests.conftest import SF
 
 
@@ -31,11 +34,23 @@ def test_query(spark, connection, name):
     assert spark_rows(entry.queries()[name](spark, SF)) == duck_rows(connection, entry.oracle_sql()[name])
 
 
-COUNTS = {"members": 150, "sessions": 30, "marks": 397, "outings": 92, "outing_members": 92, "services": 110, "service_members": 112}
+def test_binding_counts(spark, connection):
+    from oracle.sql import BASE
 
-
-def test_binding_counts(spark):
     model = entry.Tables(spark, SF).model
-    assert {name: getattr(model, name).count() for name in COUNTS} == COUNTS
+    for name, table in model.tables().items():
+        assert table.count() == connection.execute(f"{BASE} SELECT count(*) FROM {name}").fetchone()[0], name
     assert model.marks.where("status = 'present'").count() == 155
     assert model.stage2_sessions.count() == 4 and model.stage2_marks.count() == 7
+
+
+def test_every_order_and_event_has_a_role(spark):
+    t = entry.Tables(spark, SF)
+    roles = {r.role: r["count"] for r in t.orders.select(role(F.col("o_orderpriority")).alias("role")).groupBy("role").count().collect()}
+    assert set(roles) == {"outing", "service"} and sum(roles.values()) == t.orders.count()
+    assert t.feed.count() == t.events.count()
+    days = t.orders.selectExpr("cast(o_orderdate as date) as d").distinct().count()
+    pairs = t.orders.selectExpr("cast(o_orderdate as date)", "o_custkey").distinct().count()
+    for asked, lines in (requests.event_requests(t.orders), requests.replace_requests(t.orders)):
+        assert asked.count() == days and lines.where("member_id >= 0").distinct().count() == pairs
+    assert requests.event_ids_to_delete(t.orders, "k").count() == days

@@ -4,11 +4,14 @@ import re
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from rollcall.model import Rules
-from rollcall.operators import logs, members, reports
+from rollcall.operators import logs, marking, members, reports
 from rollcall.plans import progress, refresh
+from rollcall.plans.keyed import spread_key
+from rollcall.sources import requests
 from rollcall.sources.store import load, publish
 from tests.conftest import SF
 
@@ -89,6 +92,32 @@ def test_the_matrix_is_not_shuffled(stored, no_broadcast):
     assert keys["member_id"] <= 6 and keys["session_id"] <= 4
 
 
-def test_stage2_history_shuffles_marks_only(stored, no_broadcast):
-    text = plan(logs.stage2_member_history(stored))
-    assert text.index("Generate") < text.index("Exchange hashpartitioning(member_id")
+def test_stage2_history_in_bulk_is_sparse(stored):
+    """No member-by-session product, no list of all sessions on a row."""
+    for df in (logs.stage2_member_marks(stored), logs.stage2_member_absences(stored)):
+        assert "Generate" not in plan(df) and "collect_list" not in plan(df)
+
+
+def join_keys(df) -> list[str]:
+    return re.findall(r"Exchange hashpartitioning\((\w+)#", plan(df))
+
+
+def test_rows_without_a_key_are_spread(spark, no_broadcast):
+    """Joins by phone or date are on a key that every row has, and that rows without a value share with no other."""
+    t = entry.Tables(spark, SF)
+    patches = requests.patches(t.customer)
+    keyed = patches.withColumn("phone_key", spread_key(F.nullif(F.col("phone"), F.lit("")), "ord"))
+    assert keyed.where("phone_key is null").count() == 0
+    without = keyed.where("phone is null")
+    assert without.count() > 50 and without.select("phone_key").distinct().count() == without.count()
+    for outcome in (entry._patch(t), entry._create(t, entry.events.OUTINGS), entry._replace(t, entry.events.SERVICES)):
+        assert not {"phone", "new_date", "outing_date", "service_date", "event_date"} & set(join_keys(outcome.rejected))
+
+
+def test_stored_marks_are_shuffled_once(spark, stored, no_broadcast):
+    """A batch meets the stored marks of its sessions in one aggregate; the others pass by."""
+    t = entry.Tables(spark, SF)
+    outcome = marking.upsert_marks(stored, t.feed, entry.AS_OF, entry.TODAY, entry.DAILY)
+    text = plan(outcome.changed.marks)
+    assert len(re.findall(r"Scan parquet .*mark_id", text)) <= 3
+    assert text.count("partial_min_by") == 1

@@ -106,11 +106,14 @@ def test_cut_lineage(spark):
 def test_database_queries():
     stored = database.Stored("people", {"member_id": "id", "member_type": "kind"})
     sql = database.source_query("members", stored)
-    assert sql.startswith("(SELECT id AS split_key, ") and sql.endswith(" FROM people) AS t")
+    assert sql.startswith("(SELECT ctid AS split_key, ") and sql.endswith(" FROM people) AS t")
     assert 'id::text AS "member_id"' in sql and 'kind::text AS "member_type"' in sql and 'age AS "age"' in sql
     assert "(created_at AT TIME ZONE 'UTC') AS \"created_at\"" in sql and "password" not in sql
-    parts = database.split_predicates("split_key", 4)
-    assert len(set(parts)) == 4 and parts[3].endswith("4) = 3")
+    assert "ctid AS split_key" in sql and "'people'::regclass" in database.blocks_query(stored)
+    assert database.split_predicates("c", 10, 3) == [
+        "c < '(3,0)'::tid", "c >= '(3,0)'::tid AND c < '(6,0)'::tid", "c >= '(6,0)'::tid"
+    ]
+    assert database.split_predicates("c", 0, 1) == ["TRUE"] and len(database.split_predicates("c", 1, 4)) == 2
 
 
 KIND = SCHEMAS["members"]["member_id"].dataType
