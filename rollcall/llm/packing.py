@@ -3,7 +3,8 @@
 Documents become pieces of at most `capacity` tokens. What the packing needs to know of them is how many pieces of
 each length there are: at most `capacity` numbers, however many documents. Bins are made from these: the longest
 length left opens a bin, a bitset of reachable sums finds the fullest combination of lengths for the rest of it, and
-the combination is taken out as often as the counts allow. Each such step at least halves the count of a length, and the
+the combination is taken out as often as the counts allow. If that needs more bins than all tokens together would fill, other
+orders of the lengths are tried. Each step at least halves the count of a length, and the
 distinct lengths in a bin add up to `capacity` at most, so the plan has a bound that hardly depends on the data
 (`most_slots`), and is safe to send to all tasks.
 
@@ -17,6 +18,7 @@ table gives an empty result.
 from __future__ import annotations
 
 import math
+import random
 import re
 import zlib
 from collections.abc import Iterator
@@ -31,6 +33,8 @@ from pyspark.sql.window import Window
 from rollcall.sources.lineage import cut_lineage
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
+#: Orders in which lengths are tried, as long as there are more bins than all tokens together need.
+TRIES = 16
 SLOTS = "length int, first long, count long, times int, base int, bin long"
 
 
@@ -99,11 +103,15 @@ def cut(docs: DataFrame, model: str, capacity: int) -> DataFrame:
     return rows.mapInArrow(pieces, PIECES)
 
 
-def fullest(counts: dict[int, int], room: int) -> dict[int, int]:
-    """How many of each length fill `room` best. Long lengths come first, so they are used before short ones."""
+def fullest(counts: dict[int, int], room: int, draw: random.Random | None = None) -> dict[int, int]:
+    """How many of each length fill `room` best. Of several ways, the one with the lengths that come first: the longest, or with
+    `draw` any order."""
     reach, seen = 1, []
     whole = (1 << room + 1) - 1
-    for length in sorted((x for x in counts if x <= room), reverse=True):
+    lengths = sorted((x for x in counts if x <= room), reverse=True)
+    if draw is not None:
+        draw.shuffle(lengths)
+    for length in lengths:
         left, step = min(counts[length], room // length), 1
         while left:
             take = min(step, left)
@@ -120,13 +128,13 @@ def fullest(counts: dict[int, int], room: int) -> dict[int, int]:
     return found
 
 
-def combinations(counts: dict[int, int], capacity: int) -> Iterator[tuple[dict[int, int], int]]:
+def combinations(counts: dict[int, int], capacity: int, draw: random.Random | None = None) -> Iterator[tuple[dict[int, int], int]]:
     """Combinations of lengths and how many bins each fills, until `counts` is used up."""
     counts = dict(counts)
     while counts:
         first = max(counts)
         counts[first] -= 1
-        found = fullest({k: n for k, n in counts.items() if n}, capacity - first)
+        found = fullest({k: n for k, n in counts.items() if n}, capacity - first, draw)
         counts[first] += 1
         found[first] = found.get(first, 0) + 1
         bins = min(counts[k] // n for k, n in found.items())
@@ -137,6 +145,19 @@ def combinations(counts: dict[int, int], capacity: int) -> Iterator[tuple[dict[i
                 del counts[k]
 
 
+def fewest(counts: dict[int, int], capacity: int, tries: int = TRIES) -> list[tuple[dict[int, int], int]]:
+    """The combinations that need the fewest bins, of several tries; the first that needs no more than all tokens do."""
+    least = -(-sum(k * n for k, n in counts.items()) // capacity)
+    best: list[tuple[dict[int, int], int]] = []
+    for i in range(tries):
+        found = list(combinations(counts, capacity, random.Random(i) if i else None))
+        if not i or sum(n for _, n in found) < sum(n for _, n in best):
+            best = found
+        if sum(n for _, n in best) <= least:
+            break
+    return best
+
+
 def most_slots(capacity: int, pieces: int) -> int:
     """Rows of a plan: a combination for each halving of a length's count, of distinct lengths that add up to `capacity`."""
     return capacity * pieces.bit_length() * math.isqrt(2 * capacity)
@@ -145,7 +166,7 @@ def most_slots(capacity: int, pieces: int) -> int:
 def slots(counts: dict[int, int], capacity: int) -> list[tuple]:
     """Rows of SLOTS: which ranks of a length go to which bins, and where."""
     rows, used, bin_ = [], dict.fromkeys(counts, 0), 0
-    for found, bins in combinations(counts, capacity):
+    for found, bins in fewest(counts, capacity):
         base = 0
         for length in sorted(found, reverse=True):
             times = found[length]
