@@ -476,24 +476,24 @@ APPLICANTS = """applicants AS (
   FROM supplier),
 alone AS (
   SELECT *, trim(phone) AS phone_key,
-    CASE WHEN trim(full_name) = '' THEN 'full_name is required' END AS early,
-    CASE WHEN CAST(age AS BIGINT) <= 0 THEN 'age must be a positive number'
+    CASE WHEN trim(full_name) = '' THEN 'no full_name given' END AS early,
+    CASE WHEN CAST(age AS BIGINT) <= 0 THEN 'age is not above zero'
          WHEN member_type = 'retired'
-           THEN 'member_type must be ''studying'', ''working'', or ''not_studying_not_working'''
-         WHEN member_type = 'studying' AND college_name = '' THEN 'college_name is required for studying'
+           THEN 'member_type is none of the known ones'
+         WHEN member_type = 'studying' AND college_name = '' THEN 'studying needs a college_name'
          WHEN member_type = 'studying' AND coalesce(TRY_CAST(semester AS INT), 0) <= 0
-           THEN 'semester must be a positive number'
-         WHEN member_type = 'working' AND designation IS NULL THEN 'designation is required for working'
-         WHEN member_type = 'working' AND CAST(experience AS DOUBLE) < 0 THEN 'experience must be a non-negative number'
+           THEN 'semester is not above zero'
+         WHEN member_type = 'working' AND designation IS NULL THEN 'working needs a designation'
+         WHEN member_type = 'working' AND CAST(experience AS DOUBLE) < 0 THEN 'experience is below zero'
          WHEN member_type = 'not_studying_not_working' AND description IS NULL
-           THEN 'description is required for {description}' END AS detail
+           THEN '{description}' END AS detail
   FROM applicants),
 claims AS (
   SELECT phone_key, min(ord) AS winner FROM alone
   WHERE early IS NULL AND detail IS NULL AND phone_key NOT IN (SELECT phone FROM members) GROUP BY phone_key),
 judged AS (
   SELECT a.*, coalesce(early, CASE WHEN a.phone_key IN (SELECT phone FROM members) OR a.ord > c.winner
-      THEN 'member with this phone number already exists' END, detail) AS reason
+      THEN 'phone number is in use' END, detail) AS reason
   FROM alone a LEFT JOIN claims c USING (phone_key))"""
 
 NEW_MEMBER = """SELECT member_id, trim(full_name) AS full_name, CAST(NULL AS VARCHAR) AS email, phone_key AS phone,
@@ -508,8 +508,8 @@ NEW_MEMBER = """SELECT member_id, trim(full_name) AS full_name, CAST(NULL AS VAR
   TRUE AS active, {level} AS level, {promoted} AS promoted_at, '2024-02-01 09:00:00' AS created_at
 FROM judged WHERE reason IS NULL"""
 
-REGISTER = f"{BASE}, {APPLICANTS.format(description='not studying/not working')}"
-REGISTER2 = f"{BASE}, {APPLICANTS.format(description='preparing for govt exams')}"
+REGISTER = f"{BASE}, {APPLICANTS.format(description='not_studying_not_working needs a description')}"
+REGISTER2 = f"{BASE}, {APPLICANTS.format(description='a stage-2 member without studies or work needs a description')}"
 
 PATCHES = """patches AS (
   SELECT c_custkey AS ord, CASE WHEN c_nationkey = 3 THEN -1 - c_custkey ELSE c_custkey END AS member_id,
@@ -527,16 +527,16 @@ PATCHES = """patches AS (
 checked AS (
   SELECT p.*,
     EXISTS (SELECT 1 FROM members m WHERE m.phone = p.phone AND m.member_id <> p.member_id) AS taken,
-    CASE WHEN age = 0 THEN 'age must be a positive number'
-         WHEN nation = 7 AND balance < 2000 THEN 'member_type is required when updating profile details'
-         WHEN member_type = 'studying' AND complete_patch AND nation = 0 THEN 'semester must be a positive number'
+    CASE WHEN age = 0 THEN 'age is not above zero'
+         WHEN nation = 7 AND balance < 2000 THEN 'profile columns come without a member_type'
+         WHEN member_type = 'studying' AND complete_patch AND nation = 0 THEN 'semester is not above zero'
          WHEN member_id NOT IN (SELECT member_id FROM members) THEN 'member not found' END AS detail
   FROM patches p),
 phone_claims AS (
   SELECT phone, arg_min(member_id, ord) AS winner FROM checked
   WHERE phone IS NOT NULL AND NOT taken AND detail IS NULL GROUP BY phone),
 judged AS (
-  SELECT c.*, CASE WHEN taken OR w.winner <> c.member_id THEN 'member with this phone number already exists'
+  SELECT c.*, CASE WHEN taken OR w.winner <> c.member_id THEN 'phone number is in use'
               ELSE detail END AS reason
   FROM checked c LEFT JOIN phone_claims w ON w.phone = c.phone),
 good AS (SELECT * FROM judged WHERE reason IS NULL)"""
@@ -553,7 +553,7 @@ SELECT ord, CASE WHEN early IS NULL AND detail IS NULL THEN trim(full_name) ELSE
        CASE WHEN early IS NULL AND detail IS NULL THEN phone_key ELSE phone END AS phone, age,
        coalesce(early, detail) AS reason FROM alone""",
     "duplicate_phone": f"""{REGISTER}
-SELECT ord, phone, reason FROM judged WHERE reason = 'member with this phone number already exists'""",
+SELECT ord, phone, reason FROM judged WHERE reason = 'phone number is in use'""",
     "create_members": f"""{REGISTER} SELECT {MEMBER} FROM members
 UNION ALL {NEW_MEMBER.format(level=1, promoted="CAST(NULL AS VARCHAR)")}""",
     "create_members_rejected": f"{REGISTER} SELECT ord, reason FROM judged WHERE reason IS NOT NULL",

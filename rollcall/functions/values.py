@@ -29,3 +29,12 @@ WHITESPACE = (
     " \t\n\x0b\x0c\r\u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006"
     "\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000\ufeff"
 )
+
+# What a member still needs, and the one-line summaries of promotion.
+NEEDS_TOPICS = "Needs to attend "
+NEEDS_TOPICS_UNIT = " more class"
+NEEDS_TOPICS_PLURAL = "es"
+NEEDS_OUTING = "Needs to attend one trip"
+NEEDS_SERVICE = "Needs to volunteer once"
+PROMOTED = "Promoted"
+ELIGIBLE = "Eligible for promotion"

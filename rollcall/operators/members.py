@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from rollcall.functions import values
 from rollcall.functions.values import ABSENT, PRESENT
 from rollcall.model import MEMBER_COLUMNS, Model, Rules
 from rollcall.plans.refresh import State
@@ -141,12 +142,12 @@ def member_progress_counts(state: State) -> DataFrame:
 def promotion_status(state: State) -> DataFrame:
     """What each member still needs, as a list of messages and a one-line summary."""
     needed = F.greatest(F.col("total_topics") - F.col("n_topics"), F.lit(0).cast("bigint"))
-    plural = F.when(needed == 1, F.lit("")).otherwise(F.lit("es"))
+    plural = F.when(needed == 1, F.lit("")).otherwise(F.lit(values.NEEDS_TOPICS_PLURAL))
     missing = F.array_compact(
         F.array(
-            F.when(needed > 0, F.concat(F.lit("Needs to attend "), needed.cast("string"), F.lit(" more class"), plural)),
-            F.when(F.col("n_outings") == 0, F.lit("Needs to attend one trip")),
-            F.when(F.col("n_services") == 0, F.lit("Needs to volunteer once")),
+            F.when(needed > 0, F.concat(F.lit(values.NEEDS_TOPICS), needed.cast("string"), F.lit(values.NEEDS_TOPICS_UNIT), plural)),
+            F.when(F.col("n_outings") == 0, F.lit(values.NEEDS_OUTING)),
+            F.when(F.col("n_services") == 0, F.lit(values.NEEDS_SERVICE)),
         )
     )
     promoted = F.col("level") >= 2
@@ -158,9 +159,9 @@ def promotion_status(state: State) -> DataFrame:
         F.col("n_outings").alias("outing_count"),
         F.col("n_services").alias("service_count"),
         missing.alias("missing"),
-        F.when(promoted, F.lit("Promoted"))
+        F.when(promoted, F.lit(values.PROMOTED))
         .when(F.size(missing) > 0, F.array_join(missing, ", "))
-        .otherwise(F.lit("Eligible for promotion"))
+        .otherwise(F.lit(values.ELIGIBLE))
         .alias("summary"),
     )
 

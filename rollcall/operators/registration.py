@@ -20,10 +20,10 @@ from rollcall.plans.keyed import first_claims, flag_known, last_given, matched_k
 from rollcall.plans.refresh import moment, roster_sync
 from rollcall.sources.lineage import cut_lineage
 
-DUPLICATE_PHONE = "member with this phone number already exists"
-BAD_TYPE = "member_type must be 'studying', 'working', or 'not_studying_not_working'"
-NO_DESCRIPTION = "description is required for not studying/not working"
-NO_DESCRIPTION_STAGE2 = "description is required for preparing for govt exams"
+DUPLICATE_PHONE = "phone number is in use"
+BAD_TYPE = "member_type is none of the known ones"
+NO_DESCRIPTION = "not_studying_not_working needs a description"
+NO_DESCRIPTION_STAGE2 = "a stage-2 member without studies or work needs a description"
 
 #: For a number that the column could hold only by rounding or not at all.
 TOO_LONG = "experience has more digits than can be kept"
@@ -41,8 +41,8 @@ def _missing_number(parsed: Column, sound: Column) -> Column:
 
 def _name_and_phone_checks() -> list[Check]:
     return [
-        (blank(F.col("full_name")), "full_name is required"),
-        (blank(F.col("phone")), "phone is required"),
+        (blank(F.col("full_name")), "no full_name given"),
+        (blank(F.col("phone")), "no phone number given"),
     ]
 
 
@@ -50,18 +50,18 @@ def _detail_checks(no_description: str) -> list[Check]:
     age, semester, experience = (number(F.col(c)) for c in ["age", "semester", "experience"])
     known_type = F.coalesce(F.col("member_type").isin(MEMBER_TYPES), F.lit(False))
     return [
-        (_missing_number(age, age > 0), "age must be a positive number"),
+        (_missing_number(age, age > 0), "age is not above zero"),
         (~known_type, BAD_TYPE),
-        (_typed("studying", blank(F.col("college_name"))), "college_name is required for studying"),
-        (_typed("studying", blank(F.col("branch"))), "branch is required for studying"),
-        (_typed("studying", _missing_number(semester, semester > 0)), "semester must be a positive number"),
-        (_typed("working", blank(F.col("company_name"))), "company_name is required for working"),
-        (_typed("working", blank(F.col("designation"))), "designation is required for working"),
-        (_typed("working", _missing_number(experience, experience >= 0)), "experience must be a non-negative number"),
+        (_typed("studying", blank(F.col("college_name"))), "studying needs a college_name"),
+        (_typed("studying", blank(F.col("branch"))), "studying needs a branch"),
+        (_typed("studying", _missing_number(semester, semester > 0)), "semester is not above zero"),
+        (_typed("working", blank(F.col("company_name"))), "working needs a company_name"),
+        (_typed("working", blank(F.col("designation"))), "working needs a designation"),
+        (_typed("working", _missing_number(experience, experience >= 0)), "experience is below zero"),
         (_typed("not_studying_not_working", blank(F.col("description"))), no_description),
         # a fraction passes the checks above but has no place in a whole-number column
-        (whole_number(F.col("age")).isNull(), "age must be a whole number"),
-        (_typed("studying", whole_number(F.col("semester")).isNull()), "semester must be a whole number"),
+        (whole_number(F.col("age")).isNull(), "age is no whole number"),
+        (_typed("studying", whole_number(F.col("semester")).isNull()), "semester is no whole number"),
         (_typed("working", exact_number(F.col("experience"), EXPERIENCE).isNull()), TOO_LONG),
     ]
 
@@ -186,27 +186,27 @@ def _patch_checks() -> list[Check]:
         any_profile = any_profile | given[column]
 
     def blank_text(kind: str, column: str) -> Check:
-        return _typed(kind, given[column] & blank(F.col(column))), f"{column} is required for {kind}"
+        return _typed(kind, given[column] & blank(F.col(column))), f"{kind} needs a {column}"
 
     return [
-        (given["age"] & _missing_number(age, age > 0), "age must be a positive number"),
+        (given["age"] & _missing_number(age, age > 0), "age is not above zero"),
         (given["member_type"] & ~F.col("member_type").isin(MEMBER_TYPES), BAD_TYPE),
-        (any_profile & ~given["member_type"], "member_type is required when updating profile details"),
+        (any_profile & ~given["member_type"], "profile columns come without a member_type"),
         blank_text("studying", "college_name"),
         blank_text("studying", "branch"),
         (
             _typed("studying", given["semester"] & _missing_number(semester, semester > 0)),
-            "semester must be a positive number",
+            "semester is not above zero",
         ),
         blank_text("working", "company_name"),
         blank_text("working", "designation"),
         (
             _typed("working", given["experience"] & _missing_number(experience, experience >= 0)),
-            "experience must be a non-negative number",
+            "experience is below zero",
         ),
         (_typed("not_studying_not_working", blank(F.col("description"))), NO_DESCRIPTION),
-        (given["age"] & whole_number(F.col("age")).isNull(), "age must be a whole number"),
-        (given["semester"] & whole_number(F.col("semester")).isNull(), "semester must be a whole number"),
+        (given["age"] & whole_number(F.col("age")).isNull(), "age is no whole number"),
+        (given["semester"] & whole_number(F.col("semester")).isNull(), "semester is no whole number"),
         (given["experience"] & exact_number(F.col("experience"), EXPERIENCE).isNull(), TOO_LONG),
         (~F.col("found"), "member not found"),
     ]
@@ -234,7 +234,7 @@ def patch_members(model: Model, patches: DataFrame) -> Outcome:
     )
     blank_phone = F.col("phone").isNotNull() & blank(F.col("phone"))
     rows = rows.withColumns(
-        {"early": first_reason((blank_phone, "phone is required")), "detail": first_reason(*_patch_checks())}
+        {"early": first_reason((blank_phone, "no phone number given")), "detail": first_reason(*_patch_checks())}
     )
     rows = cut_lineage(rows)
     rows = rows.join(first_claims(_sound(rows), "phone_key", "ord", "member_id"), "phone_key", "left")

@@ -33,7 +33,18 @@ SERVICES = {
     date(2026, 5, 30): {1, 2, 3, 6, 8, 9, 10, 17, 19, 21, 22, 23, 25, 26, 28, 47},
     date(2026, 4, 20): {4, 5, 7, 18, 20, 24, 27, 48},
 }
-STAGE2 = {1: "PPP", 2: "PAP", 3: "APP", 4: "PPA", 5: "PPP", 6: "AAP", 7: "PAA", 8: "PPP", 9: "APA", 10: "PAP"}
+STAGE2 = {
+    1: ["present", "present", "present"],
+    2: ["present", "absent", "present"],
+    3: ["absent", "present", "present"],
+    4: ["present", "present", "absent"],
+    5: ["present", "present", "present"],
+    6: ["absent", "absent", "present"],
+    7: ["present", "absent", "absent"],
+    8: ["present", "present", "present"],
+    9: ["absent", "present", "absent"],
+    10: ["present", "absent", "present"],
+}
 
 CREATED = datetime(2026, 4, 1)
 
@@ -120,7 +131,7 @@ def seed_rows() -> dict[str, list[dict]]:
         ],
         "stage2_sessions": [session_row(d) for d in STAGE2_DATES],
         "stage2_marks": [
-            mark_row(str(d), member_id(n), "present" if STAGE2[n][i] == "P" else "absent", at(d, 17))
+            mark_row(str(d), member_id(n), STAGE2[n][i], at(d, 17))
             for i, d in enumerate(STAGE2_DATES)
             for n in sorted(PROMOTED)
         ],

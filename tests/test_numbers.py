@@ -40,7 +40,7 @@ def requests(spark):
 def test_create(seed, requests):
     outcome = registration.create_members(seed, requests, AS_OF)
     reasons = {r.ord: r.reason for r in outcome.rejected.collect()}
-    assert reasons == {3: registration.TOO_LONG, 5: registration.TOO_LONG, 6: "experience must be a non-negative number"}
+    assert reasons == {3: registration.TOO_LONG, 5: registration.TOO_LONG, 6: "experience is below zero"}
     kept = {r.member_id: r.experience for r in outcome.model.members.where("member_id like 'new%'").collect()}
     assert kept == {"new1": Decimal(10**13), "new2": Decimal("1e-9"), "new4": Decimal("2.25")}
     assert {r.ord for r in registration.validate_members(requests).rejected.collect()} == {3, 5, 6}

@@ -73,9 +73,9 @@ def test_create_members(spark, seed):
     )
     outcome = registration.create_members(seed, batch, AS_OF)
     assert reasons(outcome) == {
-        2: registration.DUPLICATE_PHONE, 3: registration.DUPLICATE_PHONE, 4: "age must be a positive number",
-        6: "semester must be a positive number", 7: registration.BAD_TYPE, 9: "full_name is required",
-        10: "age must be a whole number", 11: registration.NO_DESCRIPTION, 12: registration.DUPLICATE_PHONE,
+        2: registration.DUPLICATE_PHONE, 3: registration.DUPLICATE_PHONE, 4: "age is not above zero",
+        6: "semester is not above zero", 7: registration.BAD_TYPE, 9: "no full_name given",
+        10: "age is no whole number", 11: registration.NO_DESCRIPTION, 12: registration.DUPLICATE_PHONE,
     }
     new = {r.member_id: r for r in outcome.model.members.where("member_id like 'n%'").collect()}
     assert set(new) == {"n1", "n5", "n8"}
@@ -132,10 +132,10 @@ def test_patch_members(spark, seed):
         ),
     )
     assert reasons(outcome) == {
-        3: "member_type is required when updating profile details", 4: registration.DUPLICATE_PHONE,
+        3: "profile columns come without a member_type", 4: registration.DUPLICATE_PHONE,
         7: registration.DUPLICATE_PHONE, 11: "member not found", 12: registration.NO_DESCRIPTION,
-        13: "experience must be a non-negative number", 14: registration.BAD_TYPE,
-        15: "semester must be a whole number", 17: "phone is required",
+        13: "experience is below zero", 14: registration.BAD_TYPE,
+        15: "semester is no whole number", 17: "no phone number given",
     }
     rows = {r.member_id: r for r in outcome.model.members.collect()}
     before = {r.member_id: r for r in seed.members.collect()}
