@@ -18,8 +18,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def remainder(by: int) -> Column:
-    """Remainder of the checksum of the id as text; 0 for rows without id."""
-    return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % by, F.lit(0))
+    """Remainder of the checksum of the id as text; -1 for rows without id, which are held out of nothing."""
+    return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % by, F.lit(-1))
 
 
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
