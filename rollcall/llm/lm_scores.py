@@ -30,7 +30,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, GroupedData
 from pyspark.sql import functions as F
 
 from rollcall.llm.words import Words, blocks, mix, text_blocks
@@ -53,8 +53,8 @@ def most_bits(share: float = SHARE) -> float:
 
 
 def tokenised(docs: DataFrame, may_learn: Column, block: int) -> DataFrame:
-    """A row for each block: ids, whether each is held out, ends of the texts, tokens as numbers of the block's words (lower and upper 16
-    bits), hashes of the words, and their counts in learning documents."""
+    """A row for each block: ids, whether each is held out, ends of the texts, tokens as numbers of the block's words and these numbers in
+    the order of the words' hashes (lower and upper 16 bits), the hashes, and their counts in learning documents."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         serial = TaskContext.get().partitionId() << 32
@@ -76,9 +76,11 @@ def tokenised(docs: DataFrame, may_learn: Column, block: int) -> DataFrame:
                 known, tokens = known[order], rank[tokens]
                 own = np.repeat(np.array(learn[rows], bool), size)
                 train = np.bincount(tokens[own], minlength=len(known)).astype(np.uint32)
+                by_hash = np.argsort(known)
                 row = {
                     "block": [serial], "ids": [ids[rows]], "held": [[not x for x in learn[rows]]], "ends": [np.cumsum(size).tobytes()],
-                    "low": [(tokens & 0xFFFF).astype(np.uint16).tobytes()], "high": [(tokens >> 16).astype(np.uint16).tobytes()], "words": [known.tobytes()], "train": [train.tobytes()], "n": [int(own.sum())],
+                    "low": [lower(tokens)], "high": [upper(tokens)], "order_low": [lower(by_hash)], "order_high": [upper(by_hash)],
+                    "words": [known.tobytes()], "train": [train.tobytes()], "n": [int(own.sum())],
                 }
                 yield pa.RecordBatch.from_pydict(row, schema=_arrow)
                 serial += 1
@@ -86,14 +88,29 @@ def tokenised(docs: DataFrame, may_learn: Column, block: int) -> DataFrame:
     rows = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(may_learn, F.lit(True)).alias("learn"), F.col("text").cast("string").alias("text")
     )
-    kinds = [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.bool_()), *[pa.binary()] * 5, pa.int64()]
-    names = ["block", "ids", "held", "ends", "low", "high", "words", "train", "n"]
+    kinds = [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.bool_()), *[pa.binary()] * 7, pa.int64()]
+    names = ["block", "ids", "held", "ends", "low", "high", "order_low", "order_high", "words", "train", "n"]
     _arrow = pa.schema(list(zip(names, kinds, strict=True)))
     return rows.mapInArrow(
-        read, "block long, ids array<long>, held array<boolean>, ends binary, low binary, high binary, words binary, train binary, n long"
+        read,
+        "block long, ids array<long>, held array<boolean>, ends binary, low binary, high binary, order_low binary, order_high binary, "
+        "words binary, train binary, n long",
     )
 
 
+def lower(numbers: np.ndarray) -> bytes:
+    return (numbers & 0xFFFF).astype(np.uint16).tobytes()
+
+
+def upper(numbers: np.ndarray) -> bytes:
+    return (numbers >> 16).astype(np.uint16).tobytes()
+
+
+def joined(table: pa.Table, name: str) -> np.ndarray:
+    low, high = (np.frombuffer(table[x][0].as_py(), np.uint16).astype(np.int64) for x in (f"{name}low", f"{name}high"))
+    return high << 16 | low
+
+
 def ranges(hashes: np.ndarray, bits: int) -> Iterator[tuple[int, slice]]:
     """The parts of sorted hashes that agree in their first `bits` bits."""
     if len(hashes):
@@ -114,9 +131,10 @@ def summed(hashes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return known, total, back
 
 
-def word_counts(blocks_: DataFrame, bits: int) -> DataFrame:
-    """`block, part, counts`: the counts over all documents of a block's words in a range of hashes, in their order. The first row of a range
-    also has the number of words learned, and of those that occur once and twice."""
+def word_counts(blocks_: DataFrame, bits: int, least: float) -> DataFrame:
+    """`block, part, counts, often`: the counts over all documents of a block's words in a range of hashes, in the order of the hashes, and 32
+    bits of the hash of those words that occur at least `least` times. The first row of a range also has the number of words learned, and of
+    those that occur once and twice."""
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -134,34 +152,35 @@ def word_counts(blocks_: DataFrame, bits: int) -> DataFrame:
     def count(table: pa.Table) -> pa.Table:
         words, train = [_u64(x) for x in table["words"]], [np.frombuffer(x.as_py(), np.uint32) for x in table["train"]]
         _, total, back = summed(np.concatenate(words), np.concatenate(train))
-        cut = np.cumsum([len(x) for x in words])[:-1]
+        counts = np.split(total[back], np.cumsum([len(x) for x in words])[:-1])
+        often = [(mix(w[c >= least]) >> np.uint64(32)).astype(np.uint32) for w, c in zip(words, counts, strict=True)]
         first = [1] + [0] * (len(words) - 1)
         stats = {"v": int((total > 0).sum()), "once": int((total == 1).sum()), "twice": int((total == 2).sum())}
         return pa.table({
             "block": table["block"], "part": table["part"],
-            "counts": pa.array([x.tobytes() for x in np.split(total[back], cut)], pa.binary()),
+            "counts": pa.array([x.tobytes() for x in counts], pa.binary()), "often": pa.array([x.tobytes() for x in often], pa.binary()),
         } | {k: pa.array([x * v for x in first], pa.int64()) for k, v in stats.items()})
 
     dealt = blocks_.select("block", "words", "train").mapInArrow(deal, "part int, block long, words binary, train binary")
-    return dealt.groupBy("part").applyInArrow(count, "block long, part int, counts binary, v long, once long, twice long")
+    return dealt.groupBy("part").applyInArrow(count, "block long, part int, counts binary, often binary, v long, once long, twice long")
 
 
 class Block:
     """A block with the global counts of its words."""
 
-    def __init__(self, own: pa.Table, counts: pa.Table):
-        self.ids, self.held = own["ids"][0].as_py(), own["held"][0].as_py()
+    def __init__(self, own: pa.Table, counts: pa.Table, least: float):
+        self.ids, self.held, self.least = own["ids"][0].as_py(), own["held"][0].as_py(), least
         self.ends = np.frombuffer(own["ends"][0].as_py(), np.int64)
-        low, high = (np.frombuffer(own[x][0].as_py(), np.uint16).astype(np.int64) for x in ("low", "high"))
-        self.tokens = high << 16 | low
-        self.words = _u64(own["words"][0])
-        parts = [_u64(counts["counts"][int(i)]) for i in np.argsort(counts["part"].to_numpy())]
-        self.counts = np.empty(len(self.words), np.uint64)
-        self.counts[np.argsort(self.words)] = np.concatenate(parts)
-
-    def pairs(self, least: float, learning: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        self.tokens, order = joined(own, ""), joined(own, "order_")
+        parts = [int(i) for i in np.argsort(counts["part"].to_numpy())]
+        known = np.concatenate([_u64(counts["counts"][i]) for i in parts])
+        self.counts, self.short = np.empty(len(order), np.uint64), np.zeros(len(order), np.uint64)
+        self.counts[order] = known
+        self.short[order[known >= least]] = np.concatenate([np.frombuffer(counts["often"][i].as_py(), np.uint32) for i in parts])
+
+    def pairs(self, learning: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Distinct pairs of neighbours that are both frequent, as first * words + second; their number, and the pair of each token that ends one (-1: none)."""
-        often = self.counts >= least
+        often = self.counts >= self.least
         second = np.ones(len(self.tokens), bool)
         second[0] = False
         second[self.ends[:-1]] = False
@@ -169,23 +188,26 @@ class Block:
         if learning:
             second &= np.repeat(~np.array(self.held, bool), np.diff(self.ends, prepend=0))
         where = np.flatnonzero(second)
-        known, back, times = np.unique(self.tokens[where - 1] * len(self.words) + self.tokens[where], return_inverse=True, return_counts=True)
+        known, back, times = np.unique(self.tokens[where - 1] * len(self.counts) + self.tokens[where], return_inverse=True, return_counts=True)
         at = np.full(len(self.tokens), -1, np.int64)
         at[where] = back
         return known, times, at
 
     def keys(self, pairs: np.ndarray) -> np.ndarray:
         """32 bits for each word; the first word's come first."""
-        short = mix(self.words) >> np.uint64(32)
-        return short[pairs // len(self.words)] << np.uint64(32) | short[pairs % len(self.words)]
+        return self.short[pairs // len(self.counts)] << np.uint64(32) | self.short[pairs % len(self.counts)]
+
+
+def by_block(blocks_: DataFrame) -> GroupedData:
+    return blocks_.select("block", "ids", "held", "ends", "low", "high", "order_low", "order_high").groupBy("block")
 
 
 def bigrams(blocks_: DataFrame, counts: DataFrame, least: float, bits: int) -> DataFrame:
     """`keys, counts` of all bigrams of learning documents that occur at least `least` times, in parts."""
 
     def pairs(_key, own: pa.Table, counts: pa.Table) -> pa.Table:
-        block = Block(own, counts)
-        known, times, _ = block.pairs(least, True)
+        block = Block(own, counts, least)
+        known, times, _ = block.pairs(True)
         keys = block.keys(known)
         order = np.argsort(mix(keys))  # dealt by a hash of both words, so that a frequent first word is spread
         keys, times, deal = keys[order], times[order].astype(np.uint32), mix(keys)[order]
@@ -200,8 +222,7 @@ def bigrams(blocks_: DataFrame, counts: DataFrame, least: float, bits: int) -> D
         held = total >= least
         return pa.table({"keys": pa.array([keys[held].tobytes()], pa.binary()), "counts": pa.array([total[held].tobytes()], pa.binary())})
 
-    own = blocks_.select("block", "ids", "held", "ends", "low", "high", "words").groupBy("block")
-    found = own.cogroup(counts.select("block", "part", "counts").groupBy("block")).applyInArrow(pairs, "part int, keys binary, counts binary")
+    found = by_block(blocks_).cogroup(counts.select("block", "part", "counts", "often").groupBy("block")).applyInArrow(pairs, "part int, keys binary, counts binary")
     return found.groupBy("part").applyInArrow(keep, "keys binary, counts binary")
 
 
@@ -326,32 +347,31 @@ def score(docs: DataFrame, may_learn: Column, block: int = BLOCK, share: float =
     spark = docs.sparkSession
     bits = math.ceil(math.log2(4 * int(spark.conf.get("spark.sql.shuffle.partitions"))))
     own = cut_lineage(tokenised(docs, may_learn, block))
-    counts = cut_lineage(word_counts(own, bits))
     total = own.agg(F.sum("n").alias("n")).first()["n"] or 0
+    least = float(max(LEAST, math.ceil(share * total)))
+    counts = cut_lineage(word_counts(own, bits, least))
     found = counts.agg(*[F.sum(x).alias(x) for x in ("v", "once", "twice")]).first()
     v, once, twice = (found[x] or 0 for x in ("v", "once", "twice"))
     discount = min(0.9, max(0.1, once / (once + 2 * twice))) if once + twice else 0.5
-    least = float(max(LEAST, math.ceil(share * total)))
     bloom = spark.sparkContext.broadcast(build(cut_lineage(bigrams(own, counts, least, bits)), least, discount))
 
     def scored(_key, own: pa.Table, counts: pa.Table) -> pa.Table:
-        part, filter_ = Block(own, counts), bloom.value
+        part, filter_ = Block(own, counts, least), bloom.value
         c = part.counts.astype(float)
         base = np.log10((c + 0.1) / (total + 0.1 * (v + 1)))
         rest = discount * v / total if total and v else 1.0
         single = np.where(c > 0, (c - discount) / max(total, 1), rest)
-        pairs, _, at = part.pairs(least, False)
+        pairs, _, at = part.pairs(False)
         p = single[part.tokens]
-        short = mix(part.words) >> np.uint64(32)
         often = np.flatnonzero(c >= least)
-        held = filter_.levels(first_key(short[often]))
+        held = filter_.levels(first_key(part.short[often]))
         mass = np.zeros(len(c))
         mass[often] = np.where(held > 0, count_of(held, least), 0.0)
         # the weight of P1 after each word: 1 where the filter holds nothing
         rest = np.maximum(c - mass, REST * c)
         weight = np.where(mass > 0, rest / np.maximum(mass + rest, 1e-9), 1.0)
         levels = filter_.levels(part.keys(pairs) ^ _BIGRAM)
-        first = pairs // len(part.words)
+        first = pairs // len(c)
         seen = np.where((levels > 0) & (mass[first] > 0), np.maximum(count_of(levels, least) - discount, 0.0), 0.0)
         extra = np.append(np.minimum(seen, mass[first]) / np.maximum(mass[first] + rest[first], 1e-9), 0.0)
         starts = np.concatenate(([0], part.ends[:-1]))
@@ -367,7 +387,6 @@ def score(docs: DataFrame, may_learn: Column, block: int = BLOCK, share: float =
             "base_score": pa.array(np.add.reduceat(base[part.tokens], starts)), "score": pa.array(np.add.reduceat(np.log10(p), starts)),
         })
 
-    rows = own.select("block", "ids", "held", "ends", "low", "high", "words").groupBy("block")
-    return rows.cogroup(counts.select("block", "part", "counts").groupBy("block")).applyInArrow(
+    return by_block(own).cogroup(counts.select("block", "part", "counts", "often").groupBy("block")).applyInArrow(
         scored, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
     )
