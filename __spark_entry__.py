@@ -389,7 +389,7 @@ def _with_folder(run: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
 
     def runner(spark: SparkSession, *args) -> DataFrame:
         if not spark.conf.get("spark.checkpoint.dir", None) and spark.sparkContext.getCheckpointDir() is None:
-            if spark.sparkContext.master.startswith("local["):
+            if spark.sparkContext.master.partition("[")[0] == "local":
                 spark.conf.set("spark.checkpoint.dir", tempfile.mkdtemp(prefix="rollcall-"))
         return run(spark, *args)
 
