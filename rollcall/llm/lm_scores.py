@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame, GroupedData
 from pyspark.sql import functions as F
 
 from rollcall.llm.words import Words, blocks, mix, text_blocks
-from rollcall.sources.lineage import cut_lineage
+from rollcall.sources.lineage import cut_lineage, new_folder, remove
 
 #: Bytes of text in a block; least share of all tokens that a held bigram makes up; ratio of two levels of a count.
 BLOCK, SHARE, BASE = 4 << 20, 2.0**-23, 1.25
@@ -53,8 +53,8 @@ def most_bits(share: float = SHARE) -> float:
 
 
 def tokenised(docs: DataFrame, may_learn: Column, block: int) -> DataFrame:
-    """A row for each block: ids, whether each is held out, ends of the texts, tokens as numbers of the block's words and these numbers in
-    the order of the words' hashes (lower and upper 16 bits), the hashes, and their counts in learning documents."""
+    """Two rows for each block. `texts`: ids, whether each is held out, ends of the texts, tokens as numbers of the block's words and these numbers in
+    the order of the words' hashes (lower and upper 16 bits). `words`: the hashes, their counts in learning documents, and the sum of these."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         serial = TaskContext.get().partitionId() << 32
@@ -77,10 +77,13 @@ def tokenised(docs: DataFrame, may_learn: Column, block: int) -> DataFrame:
                 own = np.repeat(np.array(learn[rows], bool), size)
                 train = np.bincount(tokens[own], minlength=len(known)).astype(np.uint32)
                 by_hash = np.argsort(known)
-                row = {
-                    "block": [serial], "ids": [ids[rows]], "held": [[not x for x in learn[rows]]], "ends": [np.cumsum(size).tobytes()],
+                row = dict.fromkeys(names, [None]) | {
+                    "kind": ["words"], "block": [serial], "words": [known.tobytes()], "train": [train.tobytes()], "n": [int(own.sum())],
+                }
+                yield pa.RecordBatch.from_pydict(row, schema=_arrow)
+                row = dict.fromkeys(names, [None]) | {
+                    "kind": ["texts"], "block": [serial], "ids": [ids[rows]], "held": [[not x for x in learn[rows]]], "ends": [np.cumsum(size).tobytes()],
                     "low": [lower(tokens)], "high": [upper(tokens)], "order_low": [lower(by_hash)], "order_high": [upper(by_hash)],
-                    "words": [known.tobytes()], "train": [train.tobytes()], "n": [int(own.sum())],
                 }
                 yield pa.RecordBatch.from_pydict(row, schema=_arrow)
                 serial += 1
@@ -88,12 +91,12 @@ def tokenised(docs: DataFrame, may_learn: Column, block: int) -> DataFrame:
     rows = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(may_learn, F.lit(True)).alias("learn"), F.col("text").cast("string").alias("text")
     )
-    kinds = [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.bool_()), *[pa.binary()] * 7, pa.int64()]
-    names = ["block", "ids", "held", "ends", "low", "high", "order_low", "order_high", "words", "train", "n"]
+    kinds = [pa.string(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.bool_()), *[pa.binary()] * 7, pa.int64()]
+    names = ["kind", "block", "ids", "held", "ends", "low", "high", "order_low", "order_high", "words", "train", "n"]
     _arrow = pa.schema(list(zip(names, kinds, strict=True)))
     return rows.mapInArrow(
         read,
-        "block long, ids array<long>, held array<boolean>, ends binary, low binary, high binary, order_low binary, order_high binary, "
+        "kind string, block long, ids array<long>, held array<boolean>, ends binary, low binary, high binary, order_low binary, order_high binary, "
         "words binary, train binary, n long",
     )
 
@@ -346,10 +349,15 @@ def score(docs: DataFrame, may_learn: Column, block: int = BLOCK, share: float =
     """`doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score` for every row of `docs`."""
     spark = docs.sparkSession
     bits = math.ceil(math.log2(4 * int(spark.conf.get("spark.sql.shuffle.partitions"))))
-    own = cut_lineage(tokenised(docs, may_learn, block))
-    total = own.agg(F.sum("n").alias("n")).first()["n"] or 0
+    folder = new_folder(spark)
+    rows = tokenised(docs, may_learn, block)
+    rows.write.partitionBy("kind").parquet(folder)
+    words = spark.read.schema(rows.schema).parquet(folder).where("kind = 'words'")
+    total = words.agg(F.sum("n").alias("n")).first()["n"] or 0
     least = float(max(LEAST, math.ceil(share * total)))
-    counts = cut_lineage(word_counts(own, bits, least))
+    counts = cut_lineage(word_counts(words, bits, least))
+    remove(spark, f"{folder}/kind=words")  # half of the table, and of no more use
+    own = spark.read.schema(rows.schema).parquet(folder).where("kind = 'texts'")
     found = counts.agg(*[F.sum(x).alias(x) for x in ("v", "once", "twice")]).first()
     v, once, twice = (found[x] or 0 for x in ("v", "once", "twice"))
     discount = min(0.9, max(0.1, once / (once + 2 * twice))) if once + twice else 0.5
