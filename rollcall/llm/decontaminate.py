@@ -1,12 +1,14 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
+"""Benchmark decontamination: n-gram seeds, then Smith-Waterman alignment.
 
-Test items are cut into passages of at most `LONGEST` words. Their n-grams are counted over all documents, in a first pass. For each
-passage its rare n-grams are its seeds: those in at most `rare` of the documents, and in any case the rarer half, so that an item that
-leaked into very many documents keeps seeds. In a second pass, every place where a document holds a seed is aligned, word by word,
-with the passage; the local alignment score, as a share of the score of an unchanged copy, tells copies, edited ones too, from chance.
+Test items are cut into passages of at most `LONGEST` words. All n-grams of a passage are its seeds, however many documents hold them:
+a leak makes the n-grams it holds frequent, so frequency can't tell ordinary ones. Every place where a document holds a seed is
+aligned, word by word, with the passage; the local alignment score, as a share of the score of an unchanged copy, tells copies, edited
+ones too, from chance. Places that can't score enough are left out before that: of the words of a passage between the ends of an
+alignment, each that the document lacks costs a penalty, so the best run of words, with `SAME` for each that the document holds and
+the penalty for each other, is never below the score (`bound`).
 
 The items are sent to all tasks in blocks of at most `block` words, so what is sent has a fixed size however large the benchmark
-is; each block takes two passes.
+is; each block takes one pass.
 
 Words are runs of letters, marks and digits in lower case. Null and empty texts hold nothing. Items of fewer words than a seed
 take no part; of items with equal texts each is reported. Repeated rows are judged like any other, null ids are kept; an empty table or
@@ -26,10 +28,12 @@ from pyspark.sql import functions as F
 from rollcall.llm.rows import keep_rows
 from rollcall.llm.words import Words, blocks, text_blocks
 
-SEED, RARE, LEAK, LONGEST, BLOCK = 3, 1e-4, 0.4, 200, 1 << 20
+SEED, LEAK, LONGEST, BLOCK = 3, 0.4, 200, 1 << 20
 #: Scores of the alignment: a word that agrees, one that differs, one that one side lacks.
 SAME, OTHER, GAP = 1.0, 0.5, 0.5
 _FILTER_BITS = 22
+#: Places of seeds, and words of passages, looked at at a time.
+_PLACES, _CELLS = 1 << 18, 1 << 20
 FOUND = "doc_id long, item_id long, score double"
 
 
@@ -44,6 +48,10 @@ class Passages:
     passage: np.ndarray = field(default_factory=lambda: np.empty(0, np.int64))
     place: np.ndarray = field(default_factory=lambda: np.empty(0, np.int64))
     quick: np.ndarray = field(default_factory=lambda: np.zeros(1 << _FILTER_BITS, bool))
+    #: Sorted distinct words of all passages; the passages' words as numbers of these, end to end, and where each passage starts.
+    known: np.ndarray = field(default_factory=lambda: np.empty(0, np.uint64))
+    codes: np.ndarray = field(default_factory=lambda: np.empty(0, np.int64))
+    starts: np.ndarray = field(default_factory=lambda: np.zeros(1, np.int64))
 
     def add(self, items: list[tuple[int, str]], n: int) -> Passages:
         seeds, owner, place = [], [], []
@@ -62,6 +70,8 @@ class Passages:
                 self.words.append(words.hash[part])
         if seeds:
             self.set(np.concatenate(seeds), np.concatenate(owner), np.concatenate(place))
+            self.known, self.codes = np.unique(np.concatenate(self.words), return_inverse=True)
+            self.starts = np.concatenate(([0], np.cumsum([len(x) for x in self.words])))
         return self
 
     def set(self, seed: np.ndarray, passage: np.ndarray, place: np.ndarray) -> None:
@@ -70,19 +80,6 @@ class Passages:
         self.quick = np.zeros(1 << _FILTER_BITS, bool)
         self.quick[(self.seed >> np.uint64(64 - _FILTER_BITS)).astype(np.int64)] = True
 
-    def rare(self, documents: dict[int, int], total: int, share: float) -> Passages:
-        """The same passages with their rare seeds only."""
-        often = np.array([documents.get(int(x), 0) for x in self.seed], np.int64)
-        keep = often <= share * total
-        order = np.lexsort((often, self.passage))
-        owner = self.passage[order]
-        start = np.searchsorted(owner, owner)
-        size = np.searchsorted(owner, owner, side="right") - start
-        keep[order[2 * (np.arange(len(owner)) - start) < size]] = True
-        out = Passages(self.item, self.words)
-        out.set(self.seed[keep], self.passage[keep], self.place[keep])
-        return out
-
     def hits(self, grams: np.ndarray) -> np.ndarray:
         """Which grams are seeds."""
         maybe = np.flatnonzero(self.quick[(grams >> np.uint64(64 - _FILTER_BITS)).astype(np.int64)])
@@ -109,23 +106,65 @@ def align(items: np.ndarray, texts: np.ndarray) -> np.ndarray:
     return best
 
 
-def scores(passages: Passages, texts: list[str], n: int) -> dict[tuple[int, int], float]:
-    """Best score of each text and item that share a seed."""
+def bound(held: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """What the alignment of each passage scores at most. `held`: whether the text holds each word, end to end; `sizes`: words of each passage."""
+    most = int(sizes.max())
+    step = np.zeros((len(sizes), most + 1), np.float32)
+    step[:, 1:][np.arange(most) < sizes[:, None]] = np.where(held, np.float32(SAME), np.float32(-min(OTHER, GAP)))
+    total = np.cumsum(step, axis=1)
+    return (total - np.minimum.accumulate(total, axis=1)).max(axis=1)
+
+
+def likely(passages: Passages, words: Words, codes: np.ndarray, todo: np.ndarray, leak: float) -> np.ndarray:
+    """Which places may score `leak`, by the words of their text. Rows of `todo`: size, passage, text, and others; sorted by text and passage."""
+    new = np.ones(len(todo), bool)
+    new[1:] = (todo[1:, 1:3] != todo[:-1, 1:3]).any(axis=1)
+    pairs = todo[new]
+    good = np.zeros(len(pairs), bool)
+    flag = np.zeros(len(passages.known) + 1, bool)
+    first = np.flatnonzero(np.diff(pairs[:, 2], prepend=-1))
+    for a, b in zip(first, np.append(first[1:], len(pairs)), strict=True):
+        text = pairs[a, 2]
+        mine = codes[words.bounds[text] : words.bounds[text + 1]]
+        flag[mine] = True
+        flag[-1] = False
+        for rows in blocks(pairs[a:b, 0].tolist(), _CELLS):
+            part = pairs[a:b][rows]
+            size = part[:, 0]
+            where = np.repeat(passages.starts[part[:, 1]] - np.cumsum(size) + size, size) + np.arange(size.sum())
+            good[a:b][rows] = bound(flag[passages.codes[where]], size) >= leak * SAME * size - 1e-3
+        flag[mine] = False
+    return good[np.cumsum(new) - 1]
+
+
+def scores(passages: Passages, texts: list[str], n: int, leak: float) -> dict[tuple[int, int], float]:
+    """Best score of each text and item that share a seed, if it may be `leak` or more."""
     words = Words(texts)
     grams, owner, first = words.grams(n)
     hit = passages.hits(grams)
+    found: dict[tuple[int, int], float] = {}
     if not len(hit):
-        return {}
+        return found
+    codes = np.minimum(np.searchsorted(passages.known, words.hash), len(passages.known) - 1)
+    codes[passages.known[codes] != words.hash] = len(passages.known)
     low, high = np.searchsorted(passages.seed, grams[hit]), np.searchsorted(passages.seed, grams[hit], side="right")
-    times = high - low
-    entry = np.repeat(low, times) + np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
-    text, at = np.repeat(owner[hit], times), np.repeat(first[hit], times)
-    passage = passages.passage[entry]
-    size = np.array([len(x) for x in passages.words])[passage]
-    slack = np.maximum(8, size // 2)
-    begin = (at - passages.place[entry] - slack) // slack * slack  # places that lie close together are aligned once
-    found: dict[tuple[int, int], float] = {}
-    todo = np.unique(np.stack([size, passage, text, begin, slack], axis=1), axis=0)
+    sizes = np.diff(passages.starts)
+    for some in blocks((high - low).tolist(), _PLACES):
+        times = (high - low)[some]
+        entry = np.repeat(low[some], times) + np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+        text, at = np.repeat(owner[hit[some]], times), np.repeat(first[hit[some]], times)
+        passage = passages.passage[entry]
+        size = sizes[passage]
+        slack = np.maximum(8, size // 2)
+        begin = (at - passages.place[entry] - slack) // slack * slack  # places that lie close together are aligned once
+        rows = np.unique(np.stack([text, passage, size, begin, slack], axis=1), axis=0)[:, [2, 1, 0, 3, 4]]
+        rows = rows[likely(passages, words, codes, rows, leak)]
+        aligned(passages, words, rows[np.argsort(rows[:, 0], kind="stable")], found)
+    return found
+
+
+def aligned(passages: Passages, words: Words, todo: np.ndarray, found: dict[tuple[int, int], float]) -> None:
+    """Scores of the places, by text and item, into `found`. Rows of `todo`: size, passage, text, begin, slack."""
     for rows in blocks((todo[:, 0] * 4).tolist(), 1 << 18):
         part = todo[rows]
         most = int(part[:, 0].max())
@@ -139,28 +178,6 @@ def scores(passages: Passages, texts: list[str], n: int) -> dict[tuple[int, int]
         for (size_, passage_, text_, *_), score in zip(part, align(item, window), strict=True):
             key = (int(text_), passages.item[passage_])
             found[key] = max(found.get(key, 0.0), float(score) / (SAME * size_))
-    return found
-
-
-def _seed_counts(docs: DataFrame, passages: Passages, n: int) -> dict[int, int]:
-    """In how many documents each seed occurs."""
-    held = docs.sparkSession.sparkContext.broadcast(passages)
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        passages = held.value
-        total = np.zeros(len(passages.seed), np.int64)
-        for batch in batches:
-            for _, texts in text_blocks(batch.column(0)):
-                grams, owner, _ = Words(texts).grams(n)
-                hit = passages.hits(grams)
-                if len(hit):
-                    pairs = np.unique(np.stack([np.searchsorted(passages.seed, grams[hit]), owner[hit]], axis=1), axis=0)
-                    total += np.bincount(pairs[:, 0], minlength=len(total))
-        some = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(passages.seed[some].view(np.int64)), pa.array(total[some])], ["seed", "n"])
-
-    rows = docs.select(F.col("text").cast("string")).mapInArrow(count, "seed long, n long").groupBy("seed").agg(F.sum("n").alias("n"))
-    return {r["seed"] & (1 << 64) - 1: r["n"] for r in rows.collect()}  # a row for each seed of the block at most
 
 
 def item_blocks(items: DataFrame, most: int) -> Iterator[list[tuple[int, str]]]:
@@ -175,27 +192,18 @@ def item_blocks(items: DataFrame, most: int) -> Iterator[list[tuple[int, str]]]:
         yield [(r["item_id"], r["text"]) for r in rows.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(count)) == k).collect()]
 
 
-def seeded(docs: DataFrame, items: DataFrame, n: int, rare: float, block: int) -> Iterator[Passages]:
-    total = None
-    for part in item_blocks(items, block):
-        passages = Passages().add(part, n)
-        if total is None:
-            total = docs.count()
-        yield passages.rare(_seed_counts(docs, passages, n), total, rare)
-
-
-def leaks(docs: DataFrame, items: DataFrame, leak: float = LEAK, n: int = SEED, rare: float = RARE, block: int = BLOCK) -> DataFrame:
+def leaks(docs: DataFrame, items: DataFrame, leak: float = LEAK, n: int = SEED, block: int = BLOCK) -> DataFrame:
     """`doc_id, item_id, score` of the documents that hold a test item."""
     out = docs.sparkSession.createDataFrame([], FOUND)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    for passages in seeded(docs, items, n, rare, block):
-        held = docs.sparkSession.sparkContext.broadcast(passages)
+    for part in item_blocks(items, block):
+        held = docs.sparkSession.sparkContext.broadcast(Passages().add(part, n))
 
         def find(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 ids = batch.column(0).to_pylist()
                 for part, texts in text_blocks(batch.column(1)):
-                    found = [(ids[part.start + t], i, s) for (t, i), s in scores(held.value, texts, n).items() if s >= leak]
+                    found = [(ids[part.start + t], i, s) for (t, i), s in scores(held.value, texts, n, leak).items() if s >= leak]
                     if found:
                         columns = zip(*found, strict=True)
                         kinds = (pa.int64(), pa.int64(), pa.float64())
@@ -205,15 +213,15 @@ def leaks(docs: DataFrame, items: DataFrame, leak: float = LEAK, n: int = SEED,
     return out
 
 
-def clean(docs: DataFrame, items: DataFrame, leak: float = LEAK, n: int = SEED, rare: float = RARE, block: int = BLOCK) -> DataFrame:
+def clean(docs: DataFrame, items: DataFrame, leak: float = LEAK, n: int = SEED, block: int = BLOCK) -> DataFrame:
     """The rows of `docs`, with all columns, that hold no test item."""
     out = docs
-    for passages in seeded(docs, items, n, rare, block):
-        held = docs.sparkSession.sparkContext.broadcast(passages)
+    for part in item_blocks(items, block):
+        held = docs.sparkSession.sparkContext.broadcast(Passages().add(part, n))
 
         def clean_ones(texts: list[str], held=held) -> np.ndarray:
             good = np.ones(len(texts), bool)
-            for (t, _), s in scores(held.value, texts, n).items():
+            for (t, _), s in scores(held.value, texts, n, leak).items():
                 good[t] &= s < leak
             return good
 

@@ -83,3 +83,48 @@ def test_the_table_holds_exact_copies(spark):
     want = {(d, i) for d, t in docs.items() for i, x in items.items() if x in t}
     got = {(r.doc_id, r.item_id) for r in queries.op6_decontaminate(spark, SF).collect()}
     assert want and want <= got and {d for d, _ in got} == {d for d, _ in want}
+
+
+def edited_copies(draw, items, docs, copies):
+    """Documents of words that no item has; every fifth holds half an item, or all of it with a fifth to a quarter of its words changed, `copies` times."""
+    rows, leaked = [], set()
+    for i in range(docs):
+        text = [f"x{draw.randint(0, 5000)}" for _ in range(80)]
+        times = 1
+        if i % 5 == 0:
+            item, copy = draw.choice(items)
+            copy = copy.split()
+            if i % 2:
+                copy = copy[: len(copy) // 2 + 1]
+            else:
+                for k in range(draw.randint(0, 3), len(copy), 4 if i % 4 else 5):
+                    copy[k] = f"y{draw.randint(0, 5000)}"
+            text[40:40] = copy
+            times = copies
+        for _ in range(times):
+            leaked |= {(len(rows), item)} if i % 5 == 0 else set()
+            rows.append((len(rows), " ".join(text)))
+    return rows, leaked
+
+
+def test_edited_and_partial_copies_in_small_tables(spark):
+    draw = random.Random(6)
+    items = [(i, " ".join(f"v{draw.randint(0, 2000)}" for _ in range(40))) for i in range(20)]
+    for docs, copies in ((1, 1), (300, 1), (11, 2000)):
+        rows, leaked = edited_copies(draw, items, docs, copies)
+        got = {(r.doc_id, r.item_id) for r in dc.leaks(*frames(spark, rows, items)).collect()}
+        assert got == leaked
+
+
+def test_bound_is_never_below_the_score():
+    draw = np.random.default_rng(7)
+    items, texts = draw.integers(1, 12, (300, 12)).astype(np.uint64), draw.integers(1, 20, (300, 8)).astype(np.uint64)
+    held = np.stack([np.isin(a, b) for a, b in zip(items, texts, strict=True)])
+    most = dc.bound(held.ravel(), np.full(300, 12))
+    assert (most >= dc.align(items, texts) - 1e-4).all() and (most < 6).any()
+
+
+def test_ordinary_ngrams_of_items_are_no_leak(spark):
+    items = [(i, f"which one of the {' '.join(f'v{i}q{k}' for k in range(20))} is the one of the two") for i in range(30)]
+    docs = [(i, f"n{i} was one of the m{i} and which one of the k{i} is the one of the two or not") for i in range(200)]
+    assert dc.leaks(*frames(spark, docs, items)).count() == 0
