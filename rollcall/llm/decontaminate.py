@@ -1,6 +1,7 @@
 """Benchmark decontamination: n-gram seeds, then Smith-Waterman alignment.
 
-Test items are cut into passages of at most `LONGEST` words. All n-grams of a passage are its seeds, however many documents hold them:
+Items of more than `LONGEST` words are cut into passages of just as many, each half over the one before it and the last at the item's
+end, so any `LONGEST` / 2 words in a row lie whole in one of them, and none is short. All n-grams of a passage are its seeds, however many documents hold them:
 a leak makes the n-grams it holds frequent, so frequency can't tell ordinary ones. Every place where a document holds a seed is
 aligned, word by word, with the passage; the local alignment score, as a share of the score of an unchanged copy, tells copies, edited
 ones too, from chance. Places that can't score enough are left out before that: of the words of a passage between the ends of an
@@ -57,11 +58,13 @@ class Passages:
         seeds, owner, place = [], [], []
         for item, text in items:
             words = Words([text])
-            for at in range(0, max(1, len(words.hash)), LONGEST):
-                part = slice(max(0, min(at, len(words.hash) - n)), at + LONGEST)
-                if len(words.hash[part]) < n:
-                    continue
-                grams, _, first = words.grams(n)
+            size = len(words.hash)
+            if size < n:
+                continue
+            grams, _, first = words.grams(n)
+            last = max(0, size - LONGEST)
+            for at in [*range(0, last, LONGEST // 2), last]:
+                part = slice(at, min(at + LONGEST, size))
                 mine = (first >= part.start) & (first <= part.stop - n)
                 seeds.append(grams[mine])
                 place.append(first[mine] - part.start)

@@ -128,3 +128,14 @@ def test_ordinary_ngrams_of_items_are_no_leak(spark):
     items = [(i, f"which one of the {' '.join(f'v{i}q{k}' for k in range(20))} is the one of the two") for i in range(30)]
     docs = [(i, f"n{i} was one of the m{i} and which one of the k{i} is the one of the two or not") for i in range(200)]
     assert dc.leaks(*frames(spark, docs, items)).count() == 0
+
+
+def test_passages_of_long_items_overlap_and_none_is_short(spark):
+    for size in (201, 202, 203, 299, 300, 301, 399, 400, 401, 900):
+        item = [f"p{i}" for i in range(size)]
+        docs = [(at, " ".join(["a", "b", *item[at : at + 80], "c", "d"])) for at in range(0, size - 79, 7)]
+        docs += [(10_000 + at, f"some words and {' '.join(item[at : at + 8])} and more") for at in (0, 100, 200, size - 8, size - 5)]
+        got = {r.doc_id for r in dc.leaks(*frames(spark, docs, [(1, " ".join(item))])).collect()}
+        assert got == {d for d, _ in docs if d < 10_000}
+    straddling = [(1, " ".join(f"p{i}" for i in range(121, 279)))]  # 79 words on each side of the 200th
+    assert dc.leaks(*frames(spark, straddling, [(1, " ".join(f"p{i}" for i in range(400)))])).count() == 1
