@@ -7,15 +7,15 @@ block knows the exact count of each of its words, and no task holds the whole vo
 
 The model is a bigram model. Unigrams are discounted by D, and what that leaves goes to the unknown word:
     P1(w) = (c(w) - D) / N, P1(unknown) = D V / N, with D from the numbers of words that occur once and twice.
-Bigrams that make up at least `SHARE` of the learning tokens (and occur `LEAST` times) are held: at most 1 / SHARE of them. Both words of such a
-bigram are as frequent themselves, so no others need to be counted. Counts are quantised to powers of `BASE`, and the filter holds a bigram
-once for each level up to its own, so its count is read by probing level after level until one is missing. In the same
-way the filter holds what all discounted bigrams of a first word add up to. With counts c' and K' read from it,
-    P(w | h) = (c'(h w) - D + R(h) P1(w)) / (K'(h) + R(h)), R(h) = the rest c(h) - K'(h), at least `REST` c(h),
-where c' is rounded down and K' up, so the probabilities of all words add up to one at most, but for false positives of the filter. A first
-word of which the filter holds nothing, and the first token of a text, have P1.
+Every bigram of the learning documents is held, from a count of one on. Counts are quantised to powers of `BASE`, and the filter holds a bigram
+once for each level up to its own, so its count is read by probing level after level until one is missing. With counts c' read from it,
+    P(w | h) = (c'(h w) - D + R(h) P1(w)) / (K(h) + R(h)), R(h) = the rest c(h) - K(h), at least `REST` c(h),
+where c' is rounded down and K(h) is the sum of c'(h w) - D over all w, so the probabilities of all words add up to one at most, but for
+false positives of the filter. A first word that nothing was learned to follow, and the first token of a text, have P1.
 
-The filter's size follows the number of its entries, which has a bound for any corpus (`most_bits`). It is built by tasks and broadcast.
+The filter is cut by ranges of a hash of the bigrams, as many as keep a range to about `RANGE` learned tokens or fewer, so no task holds more
+of it, however large the corpus. Blocks send their bigrams to the task of the range, which adds up their counts, fills its part of the filter, and
+sends each block the levels of its own. The sums K come to the blocks in the same way, by ranges of the words.
 
 Words are told apart by 64-bit hashes. Null and empty texts are one end token. Rows without id count as learning documents and keep
 their null id; repeated rows count each time. An empty table gives an empty result. If nothing may be learned, base and model scores come from zero
@@ -29,6 +29,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, GroupedData
 from pyspark.sql import functions as F
@@ -36,22 +37,18 @@ from pyspark.sql import functions as F
 from rollcall.llm.words import Words, blocks, mix, text_blocks
 from rollcall.sources.lineage import cut_lineage, new_folder, remove
 
-#: Bytes of text in a block; least share of all tokens that a held bigram makes up; ratio of two levels of a count.
-BLOCK, SHARE, BASE = 4 << 20, 2.0**-23, 1.25
-#: Least count of a held bigram; least share of a first word's count that other words keep.
-LEAST, REST = 8, 0.3
+#: Bytes of text in a block; learned tokens for each range of bigrams; ratio of two levels of a count.
+BLOCK, RANGE, BASE = 4 << 20, 1 << 22, 1.25
+#: Least share of a first word's count that other words keep.
+REST = 0.3
+#: Sums over bigrams are whole numbers of these parts of one, so that their order doesn't matter.
+_UNIT = 1 << 20
 #: Bits for an entry of the filter and probes of it: one false positive in a thousand.
 BITS, PROBES, SEGMENT = 14.4, 10, 1 << 21
 END = np.uint64(0x1D8E4E27C47D124F)
 _BIGRAM, _FIRST = np.uint64(0xA0761D6478BD642F), np.uint64(0xE7037ED1A0B428DB)
 
 
-def most_bits(share: float = SHARE) -> float:
-    """Bits of the filter for any corpus. n counts of at least m that add up to N at most have n (1 + log(N / (n m))) levels at most, which
-    grows with n up to n = N / m; so bigrams and first words have 1 / share entries each, and one level more by rounding up."""
-    return BITS * (3 / share) + SEGMENT
-
-
 def tokenised(docs: DataFrame, may_learn: Column, block: int) -> DataFrame:
     """Two rows for each block. `texts`: ids, whether each is held out, ends of the texts, tokens as numbers of the block's words and these numbers in
     the order of the words' hashes (lower and upper 16 bits). `words`: the hashes, their counts in learning documents, and the sum of these."""
@@ -134,10 +131,10 @@ def summed(hashes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return known, total, back
 
 
-def word_counts(blocks_: DataFrame, bits: int, least: float) -> DataFrame:
-    """`block, part, counts, often`: the counts over all documents of a block's words in a range of hashes, in the order of the hashes, and 32
-    bits of the hash of those words that occur at least `least` times. The first row of a range also has the number of words learned, and of
-    those that occur once and twice."""
+def word_counts(blocks_: DataFrame, bits: int) -> DataFrame:
+    """`block, part, counts, number`: the counts over all documents of a block's words in a range of hashes, in the order of the hashes, and of
+    those that were learned the number among all learned words of the range. The first row of a range also has the number of words learned, and
+    of those that occur once and twice."""
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -155,78 +152,143 @@ def word_counts(blocks_: DataFrame, bits: int, least: float) -> DataFrame:
     def count(table: pa.Table) -> pa.Table:
         words, train = [_u64(x) for x in table["words"]], [np.frombuffer(x.as_py(), np.uint32) for x in table["train"]]
         _, total, back = summed(np.concatenate(words), np.concatenate(train))
-        counts = np.split(total[back], np.cumsum([len(x) for x in words])[:-1])
-        often = [(mix(w[c >= least]) >> np.uint64(32)).astype(np.uint32) for w, c in zip(words, counts, strict=True)]
+        ends = np.cumsum([len(x) for x in words])[:-1]
+        counts, rank = np.split(total[back], ends), np.split((np.cumsum(total > 0) - 1)[back], ends)
+        number = [n[c > 0].astype(np.uint32) for n, c in zip(rank, counts, strict=True)]
         first = [1] + [0] * (len(words) - 1)
         stats = {"v": int((total > 0).sum()), "once": int((total == 1).sum()), "twice": int((total == 2).sum())}
         return pa.table({
             "block": table["block"], "part": table["part"],
-            "counts": pa.array([x.tobytes() for x in counts], pa.binary()), "often": pa.array([x.tobytes() for x in often], pa.binary()),
+            "counts": pa.array([x.tobytes() for x in counts], pa.binary()), "number": pa.array([x.tobytes() for x in number], pa.binary()),
         } | {k: pa.array([x * v for x in first], pa.int64()) for k, v in stats.items()})
 
     dealt = blocks_.select("block", "words", "train").mapInArrow(deal, "part int, block long, words binary, train binary")
-    return dealt.groupBy("part").applyInArrow(count, "block long, part int, counts binary, often binary, v long, once long, twice long")
+    return dealt.groupBy("part").applyInArrow(count, "block long, part int, counts binary, number binary, v long, once long, twice long")
 
 
 class Block:
-    """A block with the global counts of its words."""
+    """A block with the global counts of its words, and a number for each learned word. `offsets`: the number of the first word of each range."""
 
-    def __init__(self, own: pa.Table, counts: pa.Table, least: float):
-        self.ids, self.held, self.least = own["ids"][0].as_py(), own["held"][0].as_py(), least
+    def __init__(self, own: pa.Table, counts: pa.Table, offsets: np.ndarray):
+        self.ids, self.held = own["ids"][0].as_py(), own["held"][0].as_py()
         self.ends = np.frombuffer(own["ends"][0].as_py(), np.int64)
-        self.tokens, order = joined(own, ""), joined(own, "order_")
+        self.tokens, self.order = joined(own, ""), joined(own, "order_")
         parts = [int(i) for i in np.argsort(counts["part"].to_numpy())]
         known = np.concatenate([_u64(counts["counts"][i]) for i in parts])
-        self.counts, self.short = np.empty(len(order), np.uint64), np.zeros(len(order), np.uint64)
-        self.counts[order] = known
-        self.short[order[known >= least]] = np.concatenate([np.frombuffer(counts["often"][i].as_py(), np.uint32) for i in parts])
-
-    def pairs(self, learning: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Distinct pairs of neighbours that are both frequent, as first * words + second; their number, and the pair of each token that ends one (-1: none)."""
-        often = self.counts >= self.least
+        self.counts, self.number = np.empty(len(self.order), np.uint64), np.zeros(len(self.order), np.uint64)
+        self.counts[self.order] = known
+        self.number[self.order[known > 0]] = np.concatenate([
+            np.frombuffer(counts["number"][i].as_py(), np.uint32) + offsets[counts["part"][i].as_py()] for i in parts
+        ])
+
+    def pairs(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Distinct pairs of learned words that are neighbours, as first * words + second; their number in learning documents, and the pair of each
+        token that ends one (-1: none)."""
+        learned = self.counts > 0
         second = np.ones(len(self.tokens), bool)
         second[0] = False
         second[self.ends[:-1]] = False
-        second[1:] &= often[self.tokens[1:]] & often[self.tokens[:-1]]
-        if learning:
-            second &= np.repeat(~np.array(self.held, bool), np.diff(self.ends, prepend=0))
+        second[1:] &= learned[self.tokens[1:]] & learned[self.tokens[:-1]]
         where = np.flatnonzero(second)
-        known, back, times = np.unique(self.tokens[where - 1] * len(self.counts) + self.tokens[where], return_inverse=True, return_counts=True)
+        known, back = np.unique(self.tokens[where - 1] * len(self.counts) + self.tokens[where], return_inverse=True)
+        own = np.repeat(~np.array(self.held, bool), np.diff(self.ends, prepend=0))
+        times = np.bincount(back[own[where]], minlength=len(known))
         at = np.full(len(self.tokens), -1, np.int64)
         at[where] = back
         return known, times, at
 
-    def keys(self, pairs: np.ndarray) -> np.ndarray:
-        """32 bits for each word; the first word's come first."""
-        return self.short[pairs // len(self.counts)] << np.uint64(32) | self.short[pairs % len(self.counts)]
+    def dealt(self, pairs: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray, list[tuple[int, slice]]]:
+        """A key of both words' numbers for each pair (the first word's come first), the order in which pairs are dealt, and its ranges: by a hash of both
+        words, so that a frequent first word is spread, and inside a range by the key, so that it compresses."""
+        keys = self.number[pairs // len(self.counts)] << np.uint64(32) | self.number[pairs % len(self.counts)]
+        top = mix(keys) >> np.uint64(64 - bits) if bits else np.zeros(len(keys), np.uint64)
+        order = np.lexsort((keys, top))
+        return keys, order, list(ranges(top[order] << np.uint64(64 - bits) if bits else top, bits))
+
+
+def planes(keys: np.ndarray) -> bytes:
+    """The first bytes of all, then the second ones and so on: those of sorted numbers compress."""
+    return np.ascontiguousarray(keys.view(np.uint8).reshape(-1, 8).T).tobytes()
+
+
+def from_planes(data: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(8, -1).T).view(np.uint64).ravel()
 
 
 def by_block(blocks_: DataFrame) -> GroupedData:
     return blocks_.select("block", "ids", "held", "ends", "low", "high", "order_low", "order_high").groupBy("block")
 
 
-def bigrams(blocks_: DataFrame, counts: DataFrame, least: float, bits: int) -> DataFrame:
-    """`keys, counts` of all bigrams of learning documents that occur at least `least` times, in parts."""
+def bigrams(blocks_: DataFrame, counts: DataFrame, offsets: np.ndarray, bits: int) -> DataFrame:
+    """`part, block, keys, counts` of the bigrams of each block in a range."""
 
     def pairs(_key, own: pa.Table, counts: pa.Table) -> pa.Table:
-        block = Block(own, counts, least)
-        known, times, _ = block.pairs(True)
-        keys = block.keys(known)
-        order = np.argsort(mix(keys))  # dealt by a hash of both words, so that a frequent first word is spread
-        keys, times, deal = keys[order], times[order].astype(np.uint32), mix(keys)[order]
-        parts = list(ranges(deal, bits))
+        block = Block(own, counts, offsets)
+        known, times, _ = block.pairs()
+        keys, order, parts = block.dealt(known, bits)
+        keys, times = keys[order], times[order].astype(np.uint32)
+        return pa.table({
+            "part": pa.array([p for p, _ in parts], pa.int32()), "block": pa.array([own["block"][0].as_py()] * len(parts), pa.int64()),
+            "keys": pa.array([planes(keys[s]) for _, s in parts], pa.binary()), "counts": pa.array([times[s].tobytes() for _, s in parts], pa.binary()),
+        })
+
+    return by_block(blocks_).cogroup(counts.select("block", "part", "counts", "number").groupBy("block")).applyInArrow(
+        pairs, "part int, block long, keys binary, counts binary"
+    )
+
+
+def probed(found: DataFrame, offsets: np.ndarray, discount: float, coarse: int) -> DataFrame:
+    """Two sorts of rows. `block, part, levels`: what the filter of a range gives for the bigrams of a block. `words, firsts, sums`: what the discounted
+    bigrams of first words in a range of words (several ranges of the counts: those that agree but for `coarse` bits) add up to."""
+
+    def probe(table: pa.Table) -> pa.Table:
+        keys = [from_planes(x.as_py()) for x in table["keys"]]
+        known, total, back = summed(np.concatenate(keys), np.concatenate([np.frombuffer(x.as_py(), np.uint32) for x in table["counts"]]))
+        learned = total > 0
+        exact = level(total[learned].astype(float), 1.0)
+        filter_ = Filter(max(1, math.ceil(int(exact.sum()) * BITS / SEGMENT)))
+        for some in blocks(exact.tolist(), 1 << 20):
+            filter_.add(entries(known[learned][some] ^ _BIGRAM, exact[some]))
+        levels = filter_.levels(known ^ _BIGRAM).astype(np.uint8)[back]
+        levels = np.split(levels, np.cumsum([len(x) for x in keys])[:-1])
+        first, of = np.unique(known[learned] >> np.uint64(32), return_inverse=True)
+        sums = np.zeros(len(first), np.int64)
+        np.add.at(sums, of, np.ceil((count_of(exact, 1.0) - discount) * _UNIT).astype(np.int64))
+        range_ = (np.searchsorted(offsets, first, side="right") - 1) >> coarse
+        cut = np.flatnonzero(np.diff(range_, prepend=-1))
+        words = [slice(a, b) for a, b in zip(cut, np.append(cut[1:], len(first)), strict=True)]
+        n, m = len(levels), len(words)
         return pa.table({
-            "part": pa.array([p for p, _ in parts], pa.int32()), "keys": pa.array([keys[s].tobytes() for _, s in parts], pa.binary()),
-            "counts": pa.array([times[s].tobytes() for _, s in parts], pa.binary()),
+            "block": pa.array([*table["block"].to_pylist(), *[None] * m], pa.int64()), "part": pa.array([*table["part"].to_pylist(), *[None] * m], pa.int32()),
+            "levels": pa.array([*[x.tobytes() for x in levels], *[None] * m], pa.binary()),
+            "words": pa.array([*[None] * n, *[int(range_[s.start]) for s in words]], pa.int32()),
+            "firsts": pa.array([*[None] * n, *[first[s].astype(np.uint32).tobytes() for s in words]], pa.binary()),
+            "sums": pa.array([*[None] * n, *[sums[s].tobytes() for s in words]], pa.binary()),
         })
 
-    def keep(table: pa.Table) -> pa.Table:
-        keys, total, _ = summed(np.concatenate([_u64(x) for x in table["keys"]]), np.concatenate([np.frombuffer(x.as_py(), np.uint32) for x in table["counts"]]))
-        held = total >= least
-        return pa.table({"keys": pa.array([keys[held].tobytes()], pa.binary()), "counts": pa.array([total[held].tobytes()], pa.binary())})
+    return found.groupBy("part").applyInArrow(probe, "block long, part int, levels binary, words int, firsts binary, sums binary")
 
-    found = by_block(blocks_).cogroup(counts.select("block", "part", "counts", "often").groupBy("block")).applyInArrow(pairs, "part int, keys binary, counts binary")
-    return found.groupBy("part").applyInArrow(keep, "keys binary, counts binary")
+
+def masses(counts: DataFrame, sums: DataFrame, offsets: np.ndarray, coarse: int) -> DataFrame:
+    """`block, part, counts, number`, and `mass`: what the discounted bigrams of each learned word add up to."""
+
+    def add(_key, own: pa.Table, sums: pa.Table) -> pa.Table:
+        out = own.select(["block", "part", "counts", "number"])
+        first, total = np.empty(0, np.uint32), np.empty(0, np.int64)
+        if sums.num_rows:
+            first, back = np.unique(np.concatenate([np.frombuffer(x.as_py(), np.uint32) for x in sums["firsts"]]), return_inverse=True)
+            total = np.zeros(len(first), np.int64)
+            np.add.at(total, back, np.concatenate([np.frombuffer(x.as_py(), np.int64) for x in sums["sums"]]))
+        first, total = np.append(first.astype(np.uint64), np.uint64(1 << 63)), np.append(total, 0)
+        mass = []
+        for part, number in zip(own["part"].to_pylist(), own["number"], strict=True):
+            mine = np.frombuffer(number.as_py(), np.uint32) + offsets[part]
+            at = np.searchsorted(first, mine)
+            mass.append(np.where(first[at] == mine, total[at] / _UNIT, 0.0).astype(np.float32).tobytes())
+        return out.append_column("mass", pa.array(mass, pa.binary()))
+
+    words = counts.select(F.shiftright("part", coarse).alias("words"), "block", "part", "counts", "number").groupBy("words")
+    return words.cogroup(sums.groupBy("words")).applyInArrow(add, "block long, part int, counts binary, number binary, mass binary")
 
 
 def level(counts: np.ndarray, least: float, up: bool = False) -> np.ndarray:
@@ -288,64 +350,7 @@ def entries(keys: np.ndarray, levels: np.ndarray) -> np.ndarray:
     return at_level(each, number)
 
 
-def first_key(short: np.ndarray) -> np.ndarray:
-    return mix(short ^ _FIRST)
-
-
-def build(kept: DataFrame, least: float, discount: float) -> Filter:
-    """The filter of the bigrams `kept`, and of what those of each first word add up to."""
-    spark = kept.sparkSession
-
-    def masses(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for keys, counts in zip(*batch.columns, strict=True):
-                k, levels = _u64(keys), level(_u64(counts), least)
-                first, back = np.unique(k >> np.uint64(32), return_inverse=True)
-                mass = np.bincount(back, weights=count_of(levels, least) - discount, minlength=len(first))
-                times = np.bincount(back, weights=levels, minlength=len(first))
-                yield pa.RecordBatch.from_arrays([pa.array(first.astype(np.int64)), pa.array(mass), pa.array(times.astype(np.int64))], ["first", "mass", "levels"])
-
-    firsts = cut_lineage(
-        kept.mapInArrow(masses, "first long, mass double, levels long").groupBy("first").agg(F.sum("mass").alias("mass"), F.sum("levels").alias("levels"))
-    )
-    top = F.ceil(F.log(F.greatest("mass", F.lit(least)) / least) / math.log(BASE)) + 1
-    number = firsts.agg(F.sum(top + F.col("levels")).alias("n")).first()["n"] or 0
-    segments = max(1, math.ceil(number * BITS / SEGMENT))
-
-    def filled(keys: np.ndarray) -> pa.RecordBatch:
-        part = Filter(segments)
-        part.add(keys)
-        some = np.flatnonzero(part.bits.any(axis=1))
-        return pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array([part.bits[i].tobytes() for i in some], pa.binary())], ["segment", "bits"])
-
-    def of_bigrams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys = [entries(_u64(k) ^ _BIGRAM, level(_u64(c), least)) for batch in batches for k, c in zip(*batch.columns, strict=True)]
-        yield filled(np.concatenate([np.empty(0, np.uint64), *keys]))
-
-    def of_firsts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys = [
-            entries(first_key(batch.column(0).to_numpy().astype(np.uint64)), level(batch.column(1).to_numpy(), least, True)) for batch in batches
-        ]
-        yield filled(np.concatenate([np.empty(0, np.uint64), *keys]))
-
-    def either(table: pa.Table) -> pa.Table:
-        total = np.zeros(SEGMENT // 8, np.uint8)
-        for x in table["bits"]:
-            total |= np.frombuffer(x.as_py(), np.uint8)
-        return pa.table({"segment": table["segment"][:1], "bits": pa.array([total.tobytes()], pa.binary())})
-
-    # the entries have a bound, so a few tasks fill the filter; what they fill is united by segment
-    parts = kept.coalesce(6).mapInArrow(of_bigrams, "segment int, bits binary").unionByName(
-        firsts.select("first", "mass").coalesce(2).mapInArrow(of_firsts, "segment int, bits binary")
-    )
-    out = Filter(segments)
-    for row in parts.groupBy("segment").applyInArrow(either, "segment int, bits binary").collect():
-        out.bits[row["segment"]] = np.frombuffer(row["bits"], np.uint8)
-    assert out.bits.size * 8 <= most_bits(), "more entries than the bound allows"
-    return out
-
-
-def score(docs: DataFrame, may_learn: Column, block: int = BLOCK, share: float = SHARE) -> DataFrame:
+def score(docs: DataFrame, may_learn: Column, block: int = BLOCK) -> DataFrame:
     """`doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score` for every row of `docs`."""
     spark = docs.sparkSession
     bits = math.ceil(math.log2(4 * int(spark.conf.get("spark.sql.shuffle.partitions"))))
@@ -354,33 +359,44 @@ def score(docs: DataFrame, may_learn: Column, block: int = BLOCK, share: float =
     rows.write.partitionBy("kind").parquet(folder)
     words = spark.read.schema(rows.schema).parquet(folder).where("kind = 'words'")
     total = words.agg(F.sum("n").alias("n")).first()["n"] or 0
-    least = float(max(LEAST, math.ceil(share * total)))
-    counts = cut_lineage(word_counts(words, bits, least))
+    counts = cut_lineage(word_counts(words, bits))
     remove(spark, f"{folder}/kind=words")  # half of the table, and of no more use
     own = spark.read.schema(rows.schema).parquet(folder).where("kind = 'texts'")
-    found = counts.agg(*[F.sum(x).alias(x) for x in ("v", "once", "twice")]).first()
-    v, once, twice = (found[x] or 0 for x in ("v", "once", "twice"))
+    found = {x: 0 for x in ("v", "once", "twice")}
+    kinds = np.zeros(1 << bits, np.uint64)
+    for row in counts.groupBy("part").agg(*[F.sum(x).alias(x) for x in found]).collect():  # a row for each range
+        kinds[row["part"]] = row["v"]
+        found = {x: n + row[x] for x, n in found.items()}
+    offsets = np.cumsum(kinds) - kinds
+    v, once, twice = (found[x] for x in ("v", "once", "twice"))
     discount = min(0.9, max(0.1, once / (once + 2 * twice))) if once + twice else 0.5
-    bloom = spark.sparkContext.broadcast(build(cut_lineage(bigrams(own, counts, least, bits)), least, discount))
+    pair_bits = max(bits, math.ceil(math.log2(max(1, total / RANGE))))
+    coarse = min(bits, 3)
+    read = cut_lineage(probed(bigrams(own, counts, offsets, pair_bits), offsets, discount, coarse))
+    none = F.lit(None).cast("binary")
+    parts = masses(counts, read.where("block is null").select("words", "firsts", "sums"), offsets, coarse).withColumn("levels", none).unionByName(
+        read.where("block is not null").select("block", "part", none.alias("counts"), none.alias("number"), none.alias("mass"), "levels")
+    )
 
-    def scored(_key, own: pa.Table, counts: pa.Table) -> pa.Table:
-        part, filter_ = Block(own, counts, least), bloom.value
+    def scored(_key, own: pa.Table, parts: pa.Table) -> pa.Table:
+        of_words = parts.filter(pc.is_valid(parts["counts"]))
+        of_pairs = parts.filter(pc.is_valid(parts["levels"])).sort_by("part")
+        part = Block(own, of_words, offsets)
         c = part.counts.astype(float)
         base = np.log10((c + 0.1) / (total + 0.1 * (v + 1)))
         rest = discount * v / total if total and v else 1.0
         single = np.where(c > 0, (c - discount) / max(total, 1), rest)
-        pairs, _, at = part.pairs(False)
+        pairs, _, at = part.pairs()
         p = single[part.tokens]
-        often = np.flatnonzero(c >= least)
-        held = filter_.levels(first_key(part.short[often]))
         mass = np.zeros(len(c))
-        mass[often] = np.where(held > 0, count_of(held, least), 0.0)
-        # the weight of P1 after each word: 1 where the filter holds nothing
+        mass[part.order[c[part.order] > 0]] = np.concatenate([np.frombuffer(x.as_py(), np.float32) for x in of_words.sort_by("part")["mass"]])
+        # the weight of P1 after each word: 1 where nothing was learned to follow
         rest = np.maximum(c - mass, REST * c)
         weight = np.where(mass > 0, rest / np.maximum(mass + rest, 1e-9), 1.0)
-        levels = filter_.levels(part.keys(pairs) ^ _BIGRAM)
+        levels = np.zeros(len(pairs), np.int64)
+        levels[part.dealt(pairs, pair_bits)[1]] = np.concatenate([np.empty(0, np.uint8), *[np.frombuffer(x.as_py(), np.uint8) for x in of_pairs["levels"]]])
         first = pairs // len(c)
-        seen = np.where((levels > 0) & (mass[first] > 0), np.maximum(count_of(levels, least) - discount, 0.0), 0.0)
+        seen = np.where((levels > 0) & (mass[first] > 0), np.maximum(count_of(levels, 1.0) - discount, 0.0), 0.0)
         extra = np.append(np.minimum(seen, mass[first]) / np.maximum(mass[first] + rest[first], 1e-9), 0.0)
         starts = np.concatenate(([0], part.ends[:-1]))
         before = np.ones(len(p))
@@ -395,6 +411,6 @@ def score(docs: DataFrame, may_learn: Column, block: int = BLOCK, share: float =
             "base_score": pa.array(np.add.reduceat(base[part.tokens], starts)), "score": pa.array(np.add.reduceat(np.log10(p), starts)),
         })
 
-    return by_block(own).cogroup(counts.select("block", "part", "counts", "often").groupBy("block")).applyInArrow(
+    return by_block(own).cogroup(parts.groupBy("block")).applyInArrow(
         scored, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
     )

@@ -1,12 +1,13 @@
 """Base scores against brute force; the filter; that the model is a probability and beats the base on held-out texts."""
 
 import math
+from collections import Counter
 
 import numpy as np
 
 from rollcall.llm import lm_scores, queries
 from tests.conftest import SF
-from tests.llm.brute import base_scores, remainder
+from tests.llm.brute import base_scores, lm_tokens, remainder
 
 F = lm_scores.F
 
@@ -75,3 +76,40 @@ def test_blocks_do_not_matter(spark):
     docs = queries.table(spark, SF, "documents")
     runs = [sorted((r.doc_id, round(r.base_score, 6), round(r.score, 6)) for r in lm_scores.score(docs, F.col("doc_id") % 10 != 0, block=b).collect()) for b in (20_000, 8 << 20)]
     assert runs[0] == runs[1]
+
+
+def plain_scores(texts, learn):
+    """Scores of a model that holds every bigram, with counts rounded down to levels."""
+    tokens = {i: lm_tokens(t) for i, t in texts.items()}
+    c = Counter(w for i, t in tokens.items() if learn(i) for w in t)
+    pairs = Counter(p for i, t in tokens.items() if learn(i) for p in zip(t, t[1:], strict=False))
+    total, once, twice = sum(c.values()), *(sum(n == k for n in c.values()) for k in (1, 2))
+    d = min(0.9, max(0.1, once / (once + 2 * twice)))
+    held = {p: float(lm_scores.count_of(lm_scores.level(np.array([n]), 1.0), 1.0)[0]) - d for p, n in pairs.items()}
+    mass = Counter()
+    for (h, _), x in held.items():
+        mass[h] += x
+    single = lambda w: (c[w] - d) / total if c[w] else d * len(c) / total
+
+    def p(h, w):
+        if not mass[h]:
+            return single(w)
+        rest = max(c[h] - mass[h], lm_scores.REST * c[h])
+        return (held.get((h, w), 0.0) + rest * single(w)) / (mass[h] + rest)
+
+    return {i: math.log10(single(t[0])) + sum(math.log10(p(*x)) for x in zip(t, t[1:], strict=False)) for i, t in tokens.items()}
+
+
+def test_every_bigram_is_held(spark):
+    """Bigrams that occur once or twice, in learned and in held-out texts, against a plain model."""
+    draw = np.random.default_rng(3)
+    texts = {i: " ".join(f"w{int(x)}" for x in draw.exponential(60, 40)) for i in range(200)}
+    texts |= {1000: "rare pair", 1001: "rare pair of words", 1002: "pair rare of", 1003: "never"}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    learn = (F.col("doc_id") % 4 != 0) | (F.col("doc_id") == 1000)
+    want = plain_scores(texts, lambda i: i % 4 != 0 or i == 1000)
+    got = {r.doc_id: r.score for r in lm_scores.score(docs, learn, block=3000).collect()}
+    far = [i for i in texts if not math.isclose(got[i], want[i], rel_tol=1e-5)]
+    assert len(far) <= 0.2 * len(texts)  # false positives of the filter: one in a thousand bigrams
+    assert all(math.isclose(got[i], want[i], rel_tol=0.1) for i in texts)
+    assert got[1000] - got[1002] > 1
