@@ -1,9 +1,10 @@
 """Near-duplicates by ProbMinHash signatures, banding and verification.
 
-Texts are weighted sets of shingles of five words (the weight is how often the shingle occurs; words are runs without white
-space, in lower case; a shorter text is one shingle). Each shingle is a Poisson process whose rate is its weight: its arrivals
-fall on random registers, and a register keeps the first to arrive. Equal registers of two texts estimate their
-probability Jaccard similarity. A text's arrivals are followed only until the last of its registers is taken.
+Texts are sets of shingles of five words (words are runs without white space, in lower case; a shorter text is one shingle). Each
+shingle is a Poisson process whose rate is its weight: its arrivals fall on random registers, and a register keeps the first to
+arrive. Equal registers of two texts estimate their probability Jaccard similarity. How often a shingle occurs in a text doesn't
+count: all weights are one, and then that equals the Jaccard similarity of the sets, by which pairs are verified. A text's
+arrivals are followed only until the last of its registers is taken.
 
 Registers in a band make a bucket. Inside a bucket, texts are compared with a centre, not with each other; those of
 one component need no comparison. Centres change from round to round. After the last round, texts outside the component of their bucket's
@@ -104,9 +105,9 @@ def signed(docs: DataFrame, bands: int, rows: int) -> DataFrame:
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for block, texts in text_blocks(batch.column("text")):
-                owner, element, weight = weighted(texts)
+                owner, element, _ = weighted(texts)
                 count = block.stop - block.start
-                buckets = banded(signatures(owner, element, weight, count, bands * rows), bands, rows).view(np.int64)
+                buckets = banded(signatures(owner, element, np.ones(len(owner)), count, bands * rows), bands, rows).view(np.int64)
                 some = np.bincount(owner, minlength=count) > 0
                 ends = np.concatenate(([0], np.cumsum(some * bands))).astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(buckets[some].ravel()))

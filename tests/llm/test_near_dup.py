@@ -128,3 +128,15 @@ def test_components(spark):
 def test_empty_registers():
     none = np.empty(0, np.int64)
     assert (near_dup.signatures(none, none.astype(np.uint64), none, 3, 8) == 0).all()
+
+
+def test_how_often_a_line_repeats_does_not_matter(spark):
+    """Sets that are alike, of texts in which a line occurs once and many times."""
+    draw, rows = random.Random(6), []
+    for k, (size, times) in enumerate([(200, 10), (200, 40), (500, 200), (300, 100)] * 3):
+        base, line = words(draw, size), [f"line{k}w{i}" for i in range(12)]
+        rows += [(2 * k, " ".join([*base, *line])), (2 * k + 1, " ".join([*base, *line * times]))]
+    sets = [shingles(t) for _, t in rows]
+    assert all(jaccard(a, b) >= 0.9 for a, b in zip(sets[::2], sets[1::2], strict=True))
+    got = {r.doc_id: r.class_id for r in found(spark, rows)}
+    assert got == groups(dict(rows)) == {i: i // 2 * 2 for i, _ in rows}
