@@ -65,6 +65,14 @@ def _ascii() -> tuple[np.ndarray, np.ndarray]:
     return lower, solid
 
 
+@lru_cache(1)
+def _terms() -> np.ndarray:
+    """By code point: an ASCII letter or digit, or no ASCII."""
+    known = np.ones(0x110000, bool)
+    known[:128] = [chr(i).isalnum() for i in range(128)]
+    return known
+
+
 @lru_cache(1)
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     inverse = np.uint64(pow(int(_BASE), -1, 1 << 64))
@@ -116,12 +124,14 @@ class Words:
 
     def __init__(self, texts: list[str], kind: str = "word"):
         """Words are runs of letters, marks and digits; "spaced": of anything but white space; "ascii": of anything but ASCII
-        white space, with only A-Z made lower."""
+        white space, with only A-Z made lower; "term": of ASCII letters and digits and all that is not ASCII, with only A-Z made lower."""
         lower, _, known, solid = _tables()
         if kind == "spaced":
             known = solid
         elif kind == "ascii":
             lower, known = _ascii()
+        elif kind == "term":
+            lower, known = _ascii()[0], _terms()
         lengths = np.fromiter(map(len, texts), np.int64, len(texts))
         self.origin = np.concatenate(([0], np.cumsum(lengths + 1)))[:-1].astype(np.int64)
         parts = []
