@@ -1,7 +1,7 @@
 """Quality rules by distribution divergence, in built-in functions only.
 
 Two histograms of a document are compared with references of its language, made from the whole table: of character classes (`CLASSES`,
-spaces, and other letters as the rest), and of the language's `common` most frequent words, with all others as one more bin. A word here
+spaces, and other letters as the rest), and of the language's `common` most frequent words (fewer where ties would decide), with all others as one more bin. A word here
 is a run of letters in lower case. The reference of the classes is the median of the documents' shares (in steps of a thousandth,
 brought to a sum of 1), so that a minority of odd texts does not move it; that of the words are shares of all the language's words. The comparison is the Jensen-Shannon distance: the square root of the divergence in bits, from 0
 to 1. A document whose language isn't given is compared with every language, and the one it fits best counts.
@@ -17,7 +17,8 @@ Null and empty texts have no words and fail. Each row is judged by itself, repea
 table gives an empty result. Only id, text and language are read, so other columns and their names don't matter. Words and passages are
 told apart by 64-bit hashes.
 
-All arrays belong to one row; only words with their counts are combined over rows, inside the map tasks first.
+Texts are read twice, for the references and for the comparison, as the counts of all words of all documents would take about as much
+disk as the texts. All arrays belong to one row; only words with their counts are combined over rows, inside the map tasks first.
 """
 
 from __future__ import annotations
@@ -97,12 +98,11 @@ def counted(words: Column) -> Column:
 
 
 def measures(text: Column) -> dict[str, Column]:
-    """n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words of a text that is not null. `words` has to be a column."""
+    """n_words, n_symbols, n_dup_lines, n_repeat_words of a text that is not null, with its words in the column `words_`."""
     words = F.col("words_")
     full = F.filter(F.split(text, "\n"), lambda line: F.rlike(line, F.lit(WORD)))
     return {
         "n_words": F.size(words).cast("long"),
-        "word_chars": F.aggregate(words, F.lit(0).cast("long"), lambda a, w: a + F.length(w)),
         "n_symbols": F.regexp_count(text, F.lit("[#*$%&|<>]")).cast("long"),
         "n_dup_lines": let(full, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long"),
         "n_repeat_words": n_repeated(words),
@@ -112,47 +112,64 @@ def measures(text: Column) -> dict[str, Column]:
 MEASURES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 
 
-def features(docs: DataFrame) -> DataFrame:
-    """`row_, doc_id, lang`, the measures, the sizes of the classes, `letters_` (how many words of letters) and `counts_`."""
+def _texts(docs: DataFrame) -> DataFrame:
+    """`row_, doc_id, lang, text`, words and words of letters, and the sizes of the classes."""
     text = F.col("text")
     rows = docs.select(
         F.monotonically_increasing_id().alias("row_"), F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"),
         F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"),
     )
-    rows = rows.withColumns({"words_": found(text, WORD), "letters_": found(F.lower(text), r"\p{L}+"), "length_": F.length(text).cast("long")})
-    rows = rows.withColumns(
-        {**measures(text), **{c: F.regexp_count(text, F.lit(p)).cast("long") for c, p in CLASSES.items()}, "counts_": counted(F.col("letters_"))}
-    )
+    rows = rows.withColumns({"words_": found(text, WORD), "spoken_": found(F.lower(text), r"\p{L}+"), "length_": F.length(text).cast("long")})
+    rows = rows.withColumns({
+        **{c: F.regexp_count(text, F.lit(p)).cast("long") for c, p in CLASSES.items()},
+        "word_chars": F.aggregate("words_", F.lit(0).cast("long"), lambda a, w: a + F.length(w)),
+    })
     rows = rows.withColumns({"sign": F.col("mark") - F.col("stop"), "space": F.col("length_") - F.col("word_chars")})
-    rest = reduce(lambda a, b: a - b, [F.col(c) for c in BINS[:-1]], F.col("length_"))
-    return rows.select("row_", "doc_id", "lang", *MEASURES, *[F.col(c) for c in BINS[:-1]], rest.alias("letter"), F.size("letters_").alias("letters_"), "counts_")
+    return rows.withColumn("letter", reduce(lambda a, b: a - b, [F.col(c) for c in BINS[:-1]], F.col("length_")))
+
+
+def features(docs: DataFrame) -> DataFrame:
+    """`row_, doc_id, lang`, the measures, the sizes of the classes, `letters_` (how many words of letters) and `counts_`."""
+    rows = _texts(docs)
+    rows = rows.withColumns({**measures(F.col("text")), "counts_": counted(F.col("spoken_"))})
+    return rows.select("row_", "doc_id", "lang", *MEASURES, *BINS, F.size("spoken_").alias("letters_"), "counts_")
 
 
-def class_shares(rows: DataFrame, limits: Limits = Limits()) -> DataFrame:
-    """`ref, q_<class>`: the median share of each class over the documents of a language that are long enough."""
+def tallies(docs: DataFrame, limits: Limits = Limits()) -> DataFrame:
+    """`ref, kind, key, n`: of each language how often each word occurs (kind 0, by its hash), and for each class (kind 1 up) how many
+    documents that are long enough have each share, in thousandths. One aggregate over all documents, combined inside the map tasks."""
     chars = reduce(lambda a, b: a + b, [F.col(c) for c in BINS])
-    known = rows.where(F.col("lang").isNotNull() & (chars >= limits.least_chars) & (chars > 0))
-    steps = F.array(*[F.struct(F.lit(c).alias("bin"), F.floor(1000 * F.col(c) / chars).alias("step")) for c in BINS])
-    held = known.select(F.col("lang").alias("ref"), F.inline(steps)).groupBy("ref", "bin", "step").agg(F.count(F.lit(1)).alias("n"))
-    by = Window.partitionBy("ref", "bin")
-    upto = F.sum("n").over(by.orderBy("step"))
-    middle = held.withColumns({"upto_": upto, "all_": F.sum("n").over(by)}).where(2 * F.col("upto_") >= F.col("all_"))
-    medians = middle.groupBy("ref", "bin").agg((F.min("step") / 1000 + 0.0005).alias("share"))
-    wide = medians.groupBy("ref").agg(*[F.max(F.when(F.col("bin") == c, F.col("share"))).alias(f"q_{c}") for c in BINS])
+    pair = lambda kind, key: F.struct(F.lit(kind).alias("kind"), key.cast("long").alias("key"))
+    steps = F.array(*[pair(i, F.floor(1000 * F.col(c) / chars)) for i, c in enumerate(BINS, 1)])
+    none = F.array().cast("array<struct<kind:int,key:bigint>>")
+    long = (chars >= limits.least_chars) & (chars > 0)
+    both = F.concat(F.transform("spoken_", lambda w: pair(0, F.xxhash64(w))), F.when(long, steps).otherwise(none))
+    rows = _texts(docs).where(F.col("lang").isNotNull()).select(F.col("lang").alias("ref"), F.inline(both))
+    return rows.groupBy("ref", "kind", "key").agg(F.count(F.lit(1)).alias("n"))
+
+
+def class_shares(counts: DataFrame) -> DataFrame:
+    """`ref, q_<class>`: the median share of each class over the documents of a language."""
+    by = Window.partitionBy("ref", "kind")
+    held = counts.where("kind > 0").withColumns({"upto_": F.sum("n").over(by.orderBy("key")), "all_": F.sum("n").over(by)})
+    medians = held.where(2 * F.col("upto_") >= F.col("all_")).groupBy("ref", "kind").agg((F.min("key") / 1000 + 0.0005).alias("share"))
+    wide = medians.groupBy("ref").agg(*[F.max(F.when(F.col("kind") == i, F.col("share"))).alias(f"q_{c}") for i, c in enumerate(BINS, 1)])
     whole = reduce(lambda a, b: a + b, [F.col(f"q_{c}") for c in BINS])
     return wide.select("ref", *[(F.col(f"q_{c}") / whole).alias(f"q_{c}") for c in BINS])
 
 
-def references(rows: DataFrame, limits: Limits = Limits()) -> tuple[DataFrame, DataFrame]:
+def references(docs: DataFrame, limits: Limits = Limits()) -> tuple[DataFrame, DataFrame]:
     """Of each language: `ref, q_<class>`, `total_` (its words), `common_` (share of the common ones); and `ref, word, q` of these."""
-    known = rows.where(F.col("lang").isNotNull())
-    sums = known.groupBy(F.col("lang").alias("ref")).agg(F.sum("letters_").alias("total_"))
-    words = known.select(F.col("lang").alias("ref"), F.inline("counts_")).groupBy("ref", "word").agg(F.sum("n").alias("n"))
-    by = Window.partitionBy("ref").orderBy(F.desc("n"), "word")
-    words = words.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= limits.common)
-    words = cut_lineage(words.join(sums, "ref").select("ref", "word", (F.col("n") / F.col("total_")).alias("q")))
+    counts = cut_lineage(tallies(docs, limits))
+    spoken = counts.where("kind = 0")
+    sums = spoken.groupBy("ref").agg(F.sum("n").alias("total_"))
+    by = Window.partitionBy("ref").orderBy(F.desc("n"))
+    often = spoken.withColumn("rank", F.rank().over(by)).where(F.col("rank") <= limits.common)
+    # words as frequent as the first one too many are left out, so that ties don't decide
+    often = often.withColumn("upto_", F.count(F.lit(1)).over(by)).where(F.col("upto_") <= limits.common)
+    words = cut_lineage(often.join(sums, "ref").select("ref", F.col("key").alias("word"), (F.col("n") / F.col("total_")).alias("q")))
     common = words.groupBy("ref").agg(F.sum("q").alias("common_"))
-    shares = sums.join(class_shares(rows, limits), "ref").join(common, "ref", "left").fillna(0.0, ["common_"])
+    shares = sums.join(class_shares(counts), "ref").join(common, "ref", "left").fillna(0.0, ["common_"])
     return cut_lineage(shares), words
 
 
@@ -194,9 +211,8 @@ def compared(rows: DataFrame, shares: DataFrame, words: DataFrame, limits: Limit
 
 def judge(docs: DataFrame, limits: Limits = Limits()) -> DataFrame:
     """`doc_id`, the measures, `base_failed` and `kept` of each row of `docs` (`doc_id, text, lang`)."""
-    rows = cut_lineage(features(docs))
-    shares, words = references(rows, limits)
-    fitting = compared(rows, shares, words, limits).groupBy("row_", "doc_id", *MEASURES).agg(F.bool_or("fits").alias("fits"))
+    shares, words = references(docs, limits)
+    fitting = compared(features(docs), shares, words, limits).groupBy("row_", "doc_id", *MEASURES).agg(F.bool_or("fits").alias("fits"))
     few = F.col("n_words") < limits.words
     base_failed = few | (100 * F.col("n_repeat_words") > limits.repeated * F.col("n_words"))
     return fitting.select("doc_id", *MEASURES, base_failed.alias("base_failed"), (~base_failed & F.col("fits")).alias("kept"))

@@ -203,7 +203,7 @@ ORACLE: dict[str, str] = {
         spoken as (select r, w, count(*) as n from (select r, unnest(ls) as w from docs) group by r, w),
         often as (
             select ref, w, n / total as q from (select lang as ref, w, sum(n) as n from spoken join docs using (r) where lang is not null group by all) join totals using (ref)
-            qualify row_number() over (partition by ref order by n desc, w) <= 32
+            qualify count(*) over (partition by ref order by n desc range between unbounded preceding and current row) <= 32
         ),
         common as (select ref, sum(q) as common from often group by ref),
         pairs as (select r, coalesce(lang, ref) as ref from measured join totals on lang is null or lang = ref),
