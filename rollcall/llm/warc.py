@@ -199,5 +199,6 @@ def read(spark: SparkSession, folder: str) -> DataFrame:
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), _KINDS, strict=True)], _NAMES)
 
-    files = spark.read.schema(MANIFEST).parquet(f"{folder}/manifest").select("file").repartition("file")
-    return files.mapInArrow(parsed, RECORD)
+    files = spark.read.schema(MANIFEST).parquet(f"{folder}/manifest").select("file")
+    # a task for each archive: dealt out one by one, and a number that is given is not folded into fewer tasks
+    return files.coalesce(1).repartition(max(1, files.count())).mapInArrow(parsed, RECORD)

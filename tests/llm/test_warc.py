@@ -87,3 +87,13 @@ def test_empty(spark, pages, tmp_path):
 @pytest.mark.parametrize("name", list(queries.ORACLE))
 def test_sql(spark, name):
     assert spark_rows(queries.QUERIES[name](spark, SF)) == duck_rows(duck(SF), queries.ORACLE[name])
+
+
+def test_each_archive_is_read_by_a_task_of_its_own(spark, tmp_path):
+    pages = spark.range(60).selectExpr("id as page_id", "concat('http://a/', id) as url", "repeat(uuid(), 40) as html")
+    written = warc.write(pages, str(tmp_path / "w"), roll=4000)
+    back = warc.read(spark, str(tmp_path / "w"))
+    n = written.count()
+    assert n > 4 and back.rdd.getNumPartitions() == n
+    tasks = back.select("page_id", warc.F.spark_partition_id().alias("task")).groupBy("task").count().collect()
+    assert len(tasks) == n and sum(r["count"] for r in tasks) == 60
