@@ -55,6 +55,12 @@ def _tables() -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     return lower, letter, letter | digit, solid
 
 
+@lru_cache(1)
+def real_letters() -> np.ndarray:
+    """By code point: a letter, marks not counted."""
+    return np.array([unicodedata.category(chr(i))[0] == "L" for i in range(0x110000)])
+
+
 @lru_cache(1)
 def _ascii() -> tuple[np.ndarray, np.ndarray]:
     """By code point: lower case of A-Z only, no ASCII white space."""
