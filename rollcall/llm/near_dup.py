@@ -31,6 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rollcall.llm.components import components
+from rollcall.llm.rows import free_name
 from rollcall.llm.words import Words, mix, text_blocks
 from rollcall.sources.lineage import cut_lineage
 
@@ -283,9 +284,10 @@ def deduplicate(docs: DataFrame, **levels: float) -> DataFrame:
     verdicts = cut_lineage(classes(docs.where("text is not null"), **levels).where("doc_id is not null").groupBy("doc_id").agg(
         F.count(F.lit(1)).alias("rows"), F.min("keep").alias("keep")
     ))
-    here = F.col("doc_id").cast("long") == F.col("_dup_id")
-    gone = verdicts.where("not keep or rows > 1").select(F.col("doc_id").alias("_dup_id"))
-    twice = verdicts.where("keep and rows > 1").select(F.col("doc_id").alias("_dup_id"))
+    other = free_name(docs, "_dup_id")
+    here = F.col("doc_id").cast("long") == F.col(other)
+    gone = verdicts.where("not keep or rows > 1").select(F.col("doc_id").alias(other))
+    twice = verdicts.where("keep and rows > 1").select(F.col("doc_id").alias(other))
     left = docs.join(gone, here & F.col("text").isNotNull(), "left_anti")
     if twice.isEmpty():
         return left

@@ -24,6 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from rollcall.llm.rows import free_name
 from rollcall.sources.lineage import cut_lineage
 
 KINDS = ("email", "ip", "card", "phone")
@@ -229,13 +230,14 @@ def spans_text(found: Column) -> Column:
 
 def redact(docs: DataFrame, **levels: float) -> DataFrame:
     """`docs` with every span found replaced by its kind in brackets; all other columns as they are."""
+    doc, text_hash, spans = (free_name(docs, name) for name in ("_pii_doc", "_pii_hash", "_pii_found"))
     found = find(docs, **levels).where(F.size("found") > 0).select(
-        F.col("doc_id").alias("_pii_doc"), F.col("text_hash").alias("_pii_hash"), F.col("found").alias("_pii_found")
-    ).dropDuplicates(["_pii_doc", "_pii_hash"])
-    same = docs["doc_id"].cast("long").eqNullSafe(F.col("_pii_doc")) & (F.xxhash64(docs["text"].cast("string")) == F.col("_pii_hash"))
+        F.col("doc_id").alias(doc), F.col("text_hash").alias(text_hash), F.col("found").alias(spans)
+    ).dropDuplicates([doc, text_hash])
+    same = docs["doc_id"].cast("long").eqNullSafe(F.col(doc)) & (F.xxhash64(docs["text"].cast("string")) == F.col(text_hash))
     joined = docs.join(found, same, "left")
     # text before each span, then its kind; a span that begins inside the one before it adds nothing
-    ordered = F.array_sort(F.transform("_pii_found", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
+    ordered = F.array_sort(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
     start = F.struct(F.lit("").alias("text"), F.lit(0).alias("at"))
 
     def step(done, s):
@@ -246,4 +248,4 @@ def redact(docs: DataFrame, **levels: float) -> DataFrame:
         )
 
     clean = F.aggregate(ordered, start, step, lambda done: F.concat(done["text"], F.substr(F.col("text"), done["at"] + 1)))
-    return joined.withColumn("text", F.when(F.col("_pii_found").isNull(), F.col("text")).otherwise(clean)).select(*docs.columns)
+    return joined.withColumn("text", F.when(F.col(spans).isNull(), F.col("text")).otherwise(clean)).select(*docs.columns)

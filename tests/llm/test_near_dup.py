@@ -140,3 +140,10 @@ def test_how_often_a_line_repeats_does_not_matter(spark):
     assert all(jaccard(a, b) >= 0.9 for a, b in zip(sets[::2], sets[1::2], strict=True))
     got = {r.doc_id: r.class_id for r in found(spark, rows)}
     assert got == groups(dict(rows)) == {i: i // 2 * 2 for i, _ in rows}
+
+
+def test_columns_with_the_names_used_inside(spark):
+    rows = [(1, "one two three four five six", 7, 8), (2, "one two three four five six", 7, 8), (3, "other words that stand alone here", 7, 8)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _dup_id long, _DUP_id_ long")
+    kept = near_dup.deduplicate(docs)
+    assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == [1, 3]

@@ -87,3 +87,10 @@ def test_overlapping_spans_are_redacted_once(spark):
 def test_empty(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert pii.find(docs).count() == 0 and pii.redact(docs).count() == 0
+
+
+def test_columns_with_the_names_used_inside(spark):
+    docs = spark.createDataFrame([(1, "write to a@b.co", 5, "x", "y"), (2, "nothing", 5, "x", "y")], "doc_id long, text string, _pii_doc long, _pii_hash string, _PII_found string")
+    clean = pii.redact(docs)
+    assert clean.columns == docs.columns
+    assert sorted(map(tuple, clean.collect())) == [(1, "write to [EMAIL]", 5, "x", "y"), (2, "nothing", 5, "x", "y")]
