@@ -66,30 +66,33 @@ def n_repeated(words: Column) -> Column:
 
     def starts(passages: Column) -> Column:
         """Where repeated passages begin, of those in order of their hash and place."""
-        twin = lambda x, j, other: F.coalesce(F.get(passages, other)["hash"] == x["hash"], F.lit(False))
-        return F.sort_array(F.transform(F.filter(passages, lambda x, j: twin(x, j, j - 1) | twin(x, j, j + 1)), lambda x: x["at"]))
+        twin = lambda x, other: F.coalesce(F.get(passages, other)["hash"] == x["hash"], F.lit(False))
+        return F.sort_array(F.transform(F.filter(passages, lambda x, j: twin(x, j - 1) | twin(x, j + 1)), lambda x: x["at"]))
 
     def covered(at: Column) -> Column:
         step = F.transform(at, lambda x, j: F.least(F.lit(3), F.coalesce(F.get(at, j + 1) - x, F.lit(3))))
         return F.aggregate(step, F.lit(0).cast("long"), lambda a, x: a + x)
 
-    def count(hashes: Column) -> Column:
-        passage = lambda i: F.struct(F.xxhash64(F.get(hashes, i), F.get(hashes, i + 1), F.get(hashes, i + 2)).alias("hash"), i.alias("at"))
+    def passages(hashes: Column) -> Column:
         last = F.size(hashes) - 3
-        passages = F.transform(F.when(last >= 0, F.sequence(F.lit(0), last)).otherwise(F.array().cast("array<int>")), passage)
+        places = F.when(last >= 0, F.sequence(F.lit(0), last)).otherwise(F.array().cast("array<int>"))
+        return F.transform(places, lambda i: F.xxhash64(F.get(hashes, i), F.get(hashes, i + 1), F.get(hashes, i + 2)))
+
+    def count(p: Column) -> Column:
         # most texts repeat no passage, and a set tells that sooner than a sort
-        some = lambda p: F.size(F.array_distinct(F.transform(p, lambda x: x["hash"]))) < F.size(p)
-        sort = lambda p: let(F.sort_array(p), lambda s: let(starts(s), covered))
-        return let(passages, lambda p: F.when(some(p), sort(p)).otherwise(F.lit(0).cast("long")))
+        placed = F.sort_array(F.transform(p, lambda x, i: F.struct(x.alias("hash"), i.alias("at"))))
+        sort = let(placed, lambda s: let(starts(s), covered))
+        return F.when(F.size(F.array_distinct(p)) < F.size(p), sort).otherwise(F.lit(0).cast("long"))
 
-    return let(F.transform(words, lambda w: F.xxhash64(w)), count)
+    return let(let(F.transform(words, lambda w: F.xxhash64(w)), passages), count)
 
 
 def counted(words: Column) -> Column:
     """The distinct words as structs of `word` (a hash) and `n`."""
 
     def runs(s: Column) -> Column:
-        first = F.filter(F.transform(s, lambda x, j: F.when((j == 0) | (F.get(s, j - 1) != x), j)), lambda j: j.isNotNull())
+        places = F.when(F.size(s) > 0, F.sequence(F.lit(0), F.size(s) - 1)).otherwise(F.array().cast("array<int>"))
+        first = F.filter(places, lambda i: (i == 0) | (F.get(s, i - 1) != F.get(s, i)))
         return let(first, lambda b: F.transform(
             b, lambda i, j: F.struct(F.get(s, i).alias("word"), (F.coalesce(F.get(b, j + 1), F.size(s)) - i).alias("n"))
         ))
@@ -113,25 +116,27 @@ MEASURES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words
 
 
 def _texts(docs: DataFrame) -> DataFrame:
-    """`row_, doc_id, lang, text`, words and words of letters, and the sizes of the classes."""
+    """`row_, doc_id, lang, text`, words of letters, and the sizes of the classes."""
     text = F.col("text")
     rows = docs.select(
         F.monotonically_increasing_id().alias("row_"), F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"),
         F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"),
     )
-    rows = rows.withColumns({"words_": found(text, WORD), "spoken_": found(F.lower(text), r"\p{L}+"), "length_": F.length(text).cast("long")})
     rows = rows.withColumns({
+        "spoken_": found(F.lower(text), r"\p{L}+"), "length_": F.length(text).cast("long"),
+        "space": F.length(F.regexp_replace(text, F.lit(WORD), F.lit(""))).cast("long"),
         **{c: F.regexp_count(text, F.lit(p)).cast("long") for c, p in CLASSES.items()},
-        "word_chars": F.aggregate("words_", F.lit(0).cast("long"), lambda a, w: a + F.length(w)),
     })
-    rows = rows.withColumns({"sign": F.col("mark") - F.col("stop"), "space": F.col("length_") - F.col("word_chars")})
+    rows = rows.withColumn("sign", F.col("mark") - F.col("stop"))
     return rows.withColumn("letter", reduce(lambda a, b: a - b, [F.col(c) for c in BINS[:-1]], F.col("length_")))
 
 
 def features(docs: DataFrame) -> DataFrame:
     """`row_, doc_id, lang`, the measures, the sizes of the classes, `letters_` (how many words of letters) and `counts_`."""
-    rows = _texts(docs)
-    rows = rows.withColumns({**measures(F.col("text")), "counts_": counted(F.col("spoken_"))})
+    rows = _texts(docs).withColumn("words_", found(F.col("text"), WORD))
+    rows = rows.withColumns({
+        **measures(F.col("text")), "word_chars": F.col("length_") - F.col("space"), "counts_": counted(F.col("spoken_")),
+    })
     return rows.select("row_", "doc_id", "lang", *MEASURES, *BINS, F.size("spoken_").alias("letters_"), "counts_")
 
 
