@@ -9,7 +9,7 @@ from rollcall.functions.columns import percentage
 from rollcall.functions.values import ABSENT
 from rollcall.model import MEMBER_COLUMNS, Model
 from rollcall.operators.members import by_name
-from rollcall.plans.progress import in_range, mark_facts
+from rollcall.plans.progress import in_range, mark_counts
 
 
 def list_sessions(model: Model, start: str | None = None, end: str | None = None) -> DataFrame:
@@ -73,7 +73,7 @@ def stage2_marks(model: Model, session_id=None, session_date: str | None = None,
 
 def attendance_summary(model: Model, start: str | None = None, end: str | None = None) -> DataFrame:
     """Per level-1 member: marks in the range, present, absent, and the present percentage."""
-    counts = mark_facts(model, start, end).select("member_id", "n_marks", "n_present", "n_absent")
+    counts = mark_counts(model, start, end)
     rows = model.members.where(F.col("level") == 1).join(counts, "member_id", "left")
 
     def known(column: str) -> Column:

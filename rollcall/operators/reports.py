@@ -58,13 +58,10 @@ def missing_by_topic(state: State) -> DataFrame:
     A list per topic could hold nearly every member, so the rows stay apart; within a
     topic they are in name order.
     """
-    rows = progress.topic_entries(
-        state.model,
-        state.profile.where(F.col("level") == 1).select("member_id", "full_name", "phone", "attended"),
-        lambda topic, held: F.when(~held, topic),
-    )
+    level1 = state.profile.where(F.col("level") == 1).select("member_id", "full_name", "phone", "topic_bits")
+    rows = progress.missing_topics(state.model, level1)
     return (
-        rows.select("member_id", "full_name", "phone", F.explode(F.array_compact("topic_entries")).alias("topic"))
+        rows.select("member_id", "full_name", "phone", F.explode("missing").alias("topic"))
         .select("topic.topic_id", "topic.name", "topic.order_index", "member_id", "full_name", "phone")
         .orderBy("order_index", F.lower("full_name"), "full_name", "member_id")
     )
@@ -77,7 +74,7 @@ def missing_counts_by_topic(state: State) -> DataFrame:
     """
     rows = progress.topic_entries(
         state.model,
-        state.profile.where(F.col("level") == 1).select("member_id", "attended"),
+        state.profile.where(F.col("level") == 1).select("member_id", "topic_bits"),
         lambda topic, held: F.struct(
             topic["order_index"].alias("order_index"), topic["topic_id"].alias("topic_id"),
             topic["name"].alias("name"), (~held).alias("missing"),
@@ -143,7 +140,7 @@ def fixture_summary(state: State) -> DataFrame:
     "Every topic" here means present at every session the member has a mark for.
     """
     model = state.model
-    attendance = progress.mark_facts(model).select(
+    attendance = progress.mark_counts(model).select(
         "member_id", (F.col("n_present") == F.col("n_marks")).alias("always_present")
     )
     rows = state.profile.join(attendance, "member_id", "left").withColumn(

@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from rollcall.functions.values import ABSENT, PRESENT
@@ -27,11 +27,47 @@ def topic_total(model: Model) -> Column:
     return model.topics.agg(F.count(F.lit(1))).scalar()
 
 
+#: Topics of one word of a bitmap.
+WORD = 64
+
+
+def with_bits(model: Model, rows: DataFrame) -> DataFrame:
+    """`rows` with the bit of their `topic_id` in a bitmap over all topics in order (word, mask), null where it is no topic.
+
+    The place comes from the list of all topics as one value, so that there is no join to plan.
+    """
+    entry = F.struct("order_index", "topic_id", "name")
+    listed = model.topics.agg(F.transform(F.array_sort(F.collect_list(entry)), lambda topic: topic["topic_id"])).scalar()
+    placed = rows.withColumn("place", F.nullif(F.array_position(listed, F.col("topic_id")), F.lit(0).cast("bigint")) - 1)
+    word = F.floor(F.col("place") / WORD).cast("int")
+    return placed.withColumns({"word": word, "mask": F.expr(f"shiftleft(1L, cast(place % {WORD} as int))")}).drop("place")
+
+
+def n_words(model: Model) -> int:
+    """How many words the bitmap of all topics has: a count of the topics, a small table."""
+    return max(1, -(-model.topics.count() // WORD))
+
+
 def session_topics(model: Model) -> DataFrame:
-    """session_id, session_date, topic: the id of the session's topic, null when it is no topic of the model."""
-    topics = model.topics.select("topic_id", F.col("topic_id").alias("topic"))
-    sessions = model.sessions.select("session_id", "session_date", "topic_id")
-    return sessions.join(topics, "topic_id", "left").select("session_id", "session_date", "topic")
+    """session_id, session_date, and the bit of the session's topic (word, mask), null when it is no topic of the model."""
+    return with_bits(model, model.sessions.select("session_id", "session_date", "topic_id")).drop("topic_id")
+
+
+def bitmap(words: int, held: Column | None = None) -> Column:
+    """Aggregate: the bits (word, mask) of the rows where `held`, or of all, as an array of words."""
+    mask = F.col("mask") if held is None else F.when(held, F.col("mask"))
+    return F.array(*[F.coalesce(F.bit_or(F.when(F.col("word") == w, mask)), F.lit(0).cast("bigint")) for w in range(words)])
+
+
+def n_bits(bits: Column, words: int) -> Column:
+    """The number of bits set in an array of that many words."""
+    return sum((F.bit_count(bits[w]) for w in range(1, words)), F.bit_count(bits[0])).cast("bigint")
+
+
+def has_bit(bits: Column, place: Column) -> Column:
+    """Whether the topic at a place is in a bitmap; not so in one that is null."""
+    word = F.get(bits, F.floor(place / WORD).cast("int"))
+    return F.coalesce(F.getbit(word, place % WORD) == 1, F.lit(False))
 
 
 def in_range(date: str, start: str | None, end: str | None) -> Column:
@@ -44,34 +80,43 @@ def in_range(date: str, start: str | None, end: str | None) -> Column:
     return within
 
 
-def mark_facts(model: Model, start: str | None = None, end: str | None = None) -> DataFrame:
-    """member_id, attended, n_topics, n_marks, n_present, n_absent, last_present_on.
+def mark_counts(model: Model, start: str | None = None, end: str | None = None) -> DataFrame:
+    """member_id, n_marks, n_present, n_absent: one aggregate over the marks of the sessions in the range."""
+    sessions = model.sessions.where(in_range("session_date", start, end)).select("session_id")
+    marks = model.marks.select("session_id", "member_id", "status").join(sessions, "session_id")
+    return marks.groupBy("member_id").agg(*_counts())
+
+
+def _counts() -> list[Column]:
+    return [
+        F.count(F.lit(1)).alias("n_marks"),
+        F.count_if(F.col("status") == PRESENT).alias("n_present"),
+        F.count_if(F.col("status") == ABSENT).alias("n_absent"),
+    ]
+
 
-    One pass over the marks: first one row per member and topic, combined inside the map tasks, then
-    one per member. `attended` has the ids of the topics a member was present at, each once.
+def mark_facts(model: Model) -> DataFrame:
+    """member_id, topic_bits, n_topics, n_marks, n_present, n_absent, last_present_on.
+
+    One aggregate over the marks, combined inside the map tasks: `topic_bits` has a bit for each topic, in words of 64, set by
+    `bit_or` where the member was present. No row is kept by member and topic, however many topics there are.
     """
-    sessions = session_topics(model).where(in_range("session_date", start, end))
-    present = F.col("status") == PRESENT
-    by_topic = (
+    words, present = n_words(model), F.col("status") == PRESENT
+    facts = (
         model.marks.select("session_id", "member_id", "status")
-        .join(sessions, "session_id")
-        .groupBy("member_id", "topic")
+        .join(session_topics(model), "session_id")
+        .groupBy("member_id")
         .agg(
-            F.count(F.lit(1)).alias("marks_"),
-            F.count_if(present).alias("present_"),
-            F.count_if(F.col("status") == ABSENT).alias("absent_"),
-            F.max(F.when(present, F.col("session_date"))).alias("last_"),
+            bitmap(words, present).alias("topic_bits"),
+            *_counts(),
+            F.max(F.when(present, F.col("session_date"))).alias("last_present_on"),
         )
     )
-    held = F.col("topic").isNotNull() & (F.col("present_") > 0)
-    return by_topic.groupBy("member_id").agg(
-        F.collect_list(F.when(held, F.col("topic"))).alias("attended"),
-        F.count_if(held).alias("n_topics"),
-        F.sum("marks_").alias("n_marks"),
-        F.sum("present_").alias("n_present"),
-        F.sum("absent_").alias("n_absent"),
-        F.max("last_").alias("last_present_on"),
-    )
+    return facts.withColumn("n_topics", n_bits(F.col("topic_bits"), words))
+
+
+def newest_first(keys: list[str], *more: str) -> WindowSpec:
+    return Window.partitionBy(*keys).orderBy(F.desc("session_date"), *[F.desc(c) for c in more])
 
 
 def recent_marks(model: Model, n: int, touched: DataFrame | None = None) -> DataFrame:
@@ -83,10 +128,9 @@ def recent_marks(model: Model, n: int, touched: DataFrame | None = None) -> Data
     marks = model.marks.select("member_id", "session_id", "status", "marked_at")
     if touched is not None:
         marks = marks.join(touched.select("member_id").distinct(), "member_id", "left_semi")
-    newest_first = Window.partitionBy("member_id").orderBy(F.desc("session_date"), F.desc("marked_at"))
     return (
         marks.join(model.sessions.select("session_id", "session_date"), "session_id")
-        .withColumn("recency", F.row_number().over(newest_first))
+        .withColumn("recency", F.row_number().over(newest_first(["member_id"], "marked_at")))
         .where(F.col("recency") <= n)
     )
 
@@ -143,9 +187,9 @@ _COUNTS = ["n_topics", "n_outings", "n_services"]
 
 
 def profile(model: Model, rules: Rules = Rules()) -> DataFrame:
-    """Member columns plus attended, n_topics, last_present_on, lapsed, n_outings, n_services
+    """Member columns plus topic_bits, attended, n_topics, last_present_on, lapsed, n_outings, n_services
     and total_topics, one row per member."""
-    marks = mark_facts(model).select("member_id", "attended", "n_topics", "last_present_on")
+    marks = mark_facts(model).select("member_id", "topic_bits", "n_topics", "last_present_on")
     joined = (
         model.members.join(marks, "member_id", "left")
         .join(lapsed_members(model, rules), "member_id", "left")
@@ -153,13 +197,16 @@ def profile(model: Model, rules: Rules = Rules()) -> DataFrame:
         .join(service_facts(model), "member_id", "left")
     )
     zero = F.lit(0).cast("bigint")
-    return joined.withColumns(
+    rows = joined.withColumns(
         {
             **{c: F.coalesce(F.col(c), zero) for c in _COUNTS},
             "lapsed": F.coalesce("lapsed", F.lit(False)),
             "total_topics": topic_total(model),
+            "topics_": topic_list(model),
         }
     )
+    held = F.filter("topics_", lambda topic, place: has_bit(F.col("topic_bits"), place))
+    return rows.withColumn("attended", F.transform(held, lambda topic: topic["topic_id"])).drop("topics_")
 
 
 def is_complete() -> Column:
@@ -175,11 +222,14 @@ def is_complete() -> Column:
 def topic_entries(model: Model, profile_rows: DataFrame, entry: Callable[[Column, Column], Column]) -> DataFrame:
     """Add `topic_entries`: `entry(topic, attended)` for every topic in order.
 
-    The matrix row is built from the member's own topics and the topic list, so no
-    member-by-topic product is ever shuffled.
+    The matrix row is built from the member's bitmap and the topic list, so no member-by-topic product is ever shuffled, and a topic
+    costs one look at a bit.
     """
+    rows = profile_rows.withColumn("topics_", topic_list(model))
+    return rows.withColumn("topic_entries", F.transform("topics_", lambda topic, place: entry(topic, has_bit(F.col("topic_bits"), place))))
 
-    def one(topic: Column) -> Column:
-        return entry(topic, F.coalesce(F.array_contains("attended", topic["topic_id"]), F.lit(False)))
 
-    return profile_rows.withColumn("topics_", topic_list(model)).withColumn("topic_entries", F.transform("topics_", one))
+def missing_topics(model: Model, profile_rows: DataFrame) -> DataFrame:
+    """Add `missing`: the topics in order that the complement of the member's bitmap has."""
+    rows = profile_rows.withColumn("topics_", topic_list(model))
+    return rows.withColumn("missing", F.filter("topics_", lambda topic, place: ~has_bit(F.col("topic_bits"), place)))

@@ -77,10 +77,11 @@ def test_recent_marks_are_limited_before_the_shuffle(stored):
     assert text.count("Exchange hashpartitioning") == 1
 
 
-def test_coverage_is_two_steps_of_combined_rows(stored):
-    """By member and topic, then by member; both combined in the map tasks."""
+def test_coverage_is_one_aggregate_of_bitmaps(stored):
+    """By member alone, combined in the map tasks; no list of topics is collected from the marks."""
     text = plan(progress.mark_facts(stored))
-    assert text.count("Exchange hashpartitioning") == 2 and text.count("partial_") >= 2
+    assert text.count("Exchange hashpartitioning") == 1 and "partial_bit_or" in text
+    assert len(re.findall(r"Scan parquet .*member_id", text)) == 1 and "ObjectHashAggregate(keys=[member_id" not in text
 
 
 def test_the_matrix_is_not_shuffled(stored, no_broadcast):
