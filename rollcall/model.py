@@ -101,6 +101,35 @@ class Calendar:
     cadence_days: int = 7
 
 
+def standing_schemas(member_id: T.DataType = _TEXT) -> dict[str, T.StructType]:
+    """Schema of the tables of a standing."""
+    key = [("bucket", _INT, "!"), ("member_id", member_id, "!")]
+    status = T.ArrayType(_struct([("session_date", _DATE, "!"), ("status", _TEXT, "!")]))
+    return {
+        "coverage": _struct([*key, ("topic_id", _TEXT, "!"), ("n_present", T.LongType(), "!")]),
+        "tallies": _struct([*key, ("n_outings", T.LongType(), "!"), ("n_services", T.LongType(), "!")]),
+        "recent": _struct([*key, ("recent", status, "!")]),
+    }
+
+
+@dataclass(frozen=True)
+class Standing:
+    """What the rules need of each member, kept up to date beside the tables (`plans.standing`)."""
+
+    coverage: DataFrame
+    tallies: DataFrame
+    recent: DataFrame
+    buckets: int
+    recent_n: int
+
+    def tables(self) -> dict[str, DataFrame]:
+        return {"coverage": self.coverage, "tallies": self.tallies, "recent": self.recent}
+
+
+#: Tables that a standing is read from.
+STANDING_FROM = {"sessions", "marks", "outing_members", "service_members"}
+
+
 @dataclass(frozen=True)
 class Model:
     """One DataFrame per table. Operators take a Model and give results or a new Model.
@@ -122,14 +151,18 @@ class Model:
     stage2_sessions: DataFrame
     stage2_marks: DataFrame
     markers: DataFrame
+    #: None where it is not kept; then the rules read all facts.
+    standing: Standing | None = None
 
     @classmethod
     def table_names(cls) -> list[str]:
-        return [f.name for f in fields(cls)]
+        return [f.name for f in fields(cls) if f.name != "standing"]
 
     def tables(self) -> dict[str, DataFrame]:
         return {name: getattr(self, name) for name in self.table_names()}
 
-    def with_tables(self, **tables: DataFrame) -> Model:
-        """This model with some tables replaced."""
+    def with_tables(self, **tables: DataFrame | Standing | None) -> Model:
+        """This model with some tables replaced. A standing that is read from one of them goes, unless the new one is given."""
+        if "standing" not in tables and STANDING_FROM & set(tables):
+            tables["standing"] = None
         return replace(self, **tables)

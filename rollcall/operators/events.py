@@ -8,7 +8,7 @@ spread over tasks like any other rows.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -18,6 +18,7 @@ from rollcall.model import Model, Rules
 from rollcall.operators.outcome import Outcome
 from rollcall.plans.keyed import first_claims, flag_known, flag_unknown, last_given, matched_keys, spread_key
 from rollcall.plans.refresh import moment, promote
+from rollcall.plans.standing import bridge_changed, settle_touched
 from rollcall.sources.lineage import cut_lineage
 
 
@@ -124,8 +125,8 @@ def create_events(
         "reason",
         first_reason(
             (F.col(kind.date).isNull(), f"{kind.date} is required"),
-            (F.col("taken") | (F.col("claimed_by") < F.col("ord")), f"{kind.name} date already scheduled"),
-            (F.col("bad_lines"), "one or more members are invalid"),
+            (F.col("taken") | (F.col("claimed_by") < F.col("ord")), f"another {kind.name} holds that date"),
+            (F.col("bad_lines"), "a named member does not exist"),
         ),
     )
     accepted, rejected = _split(cut_lineage(checked), columns)
@@ -137,10 +138,8 @@ def create_events(
     new_rows = lines.join(accepted.select("ord", event_id), "ord").select(
         kind.key, "member_id", moment(as_of).alias("added_at")
     )
-    changed = model.with_tables(
-        **{kind.events: events.unionByName(new_events), kind.bridge: bridge.unionByName(new_rows)}
-    )
-    return Outcome(changed, rejected, lambda model: promote(model, as_of, rules))
+    tables = {kind.events: events.unionByName(new_events), kind.bridge: bridge.unionByName(new_rows)}
+    return _settled(model, kind, tables, rejected, None, new_rows, as_of, rules)
 
 
 def replace_event_members(
@@ -172,8 +171,8 @@ def replace_event_members(
         first_reason(
             (F.col("event_date").isNotNull() & F.col("new_date").isNull(), f"{kind.date} is invalid"),
             (~F.col("found"), f"{kind.name} not found"),
-            (taken | claimed, f"{kind.name} date already scheduled"),
-            (F.col("bad_lines"), "one or more members are invalid"),
+            (taken | claimed, f"another {kind.name} holds that date"),
+            (F.col("bad_lines"), "a named member does not exist"),
         ),
     )
     accepted, rejected = _split(cut_lineage(checked), columns)
@@ -193,11 +192,10 @@ def replace_event_members(
     new_rows = lines.join(changes.select("ord", kind.key), "ord").select(
         kind.key, "member_id", moment(as_of).alias("added_at")
     )
+    gone = bridge.join(changes.select(kind.key), kind.key, "left_semi")
     kept = bridge.join(changes.select(kind.key), kind.key, "left_anti")
-    changed = model.with_tables(
-        **{kind.events: new_events.select(*events.columns), kind.bridge: kept.unionByName(new_rows)}
-    )
-    return Outcome(changed, rejected, lambda model: promote(model, as_of, rules))
+    tables = {kind.events: new_events.select(*events.columns), kind.bridge: kept.unionByName(new_rows)}
+    return _settled(model, kind, tables, rejected, gone, new_rows, as_of, rules)
 
 
 def delete_events(model: Model, kind: Kind, ids: DataFrame, as_of: str, rules: Rules = Rules()) -> Outcome:
@@ -205,13 +203,25 @@ def delete_events(model: Model, kind: Kind, ids: DataFrame, as_of: str, rules: R
     ids = ids.select(kind.key).distinct()
     events, bridge = getattr(model, kind.events), getattr(model, kind.bridge)
     missing = ids.join(matched_keys(events, ids, [kind.key]), kind.key, "left_anti")
-    changed = model.with_tables(
-        **{
-            kind.events: events.join(ids, kind.key, "left_anti"),
-            kind.bridge: bridge.join(ids, kind.key, "left_anti"),
-        }
-    )
+    tables = {kind.events: events.join(ids, kind.key, "left_anti"), kind.bridge: bridge.join(ids, kind.key, "left_anti")}
     rejected = missing.withColumn("reason", F.lit(f"{kind.name} not found"))
-    if kind is SERVICES:
-        return Outcome(changed, rejected)
-    return Outcome(changed, rejected, lambda model: promote(model, as_of, rules))
+    gone = bridge.join(ids, kind.key, "left_semi")
+    outcome = _settled(model, kind, tables, rejected, gone, None, as_of, rules, settle=kind is not SERVICES)
+    return replace(outcome, removed={kind.events: ids, kind.bridge: ids})
+
+
+def _settled(
+    model: Model, kind: Kind, tables: dict[str, DataFrame], rejected: DataFrame, gone: DataFrame | None, new: DataFrame | None,
+    as_of: str, rules: Rules, settle: bool = True,
+) -> Outcome:
+    """The outcome of bridge rows that go and come: by the standing of their members if the model keeps one, else by all facts."""
+    if model.standing is None:
+        later = (lambda after: promote(after, as_of, rules)) if settle else (lambda after: after)
+        return Outcome(model.with_tables(**tables), rejected, later)
+    bridge = getattr(model, kind.bridge)
+    none = bridge.where(F.lit(False))
+    standing, moved, buckets = bridge_changed(model.standing, f"n_{kind.name}s", gone if gone is not None else none, new if new is not None else none)
+    return Outcome(
+        model.with_tables(**tables, standing=standing), rejected, touched={f"standing_{name}": keys for name, keys in buckets.items()},
+        settle_rows=lambda after: settle_touched(after, moved, None, as_of, rules),
+    )

@@ -7,6 +7,8 @@ is for one date, and one bad record rejects all of it.
 
 from __future__ import annotations
 
+from dataclasses import dataclass, replace
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -16,6 +18,7 @@ from rollcall.model import Calendar, Model, Rules
 from rollcall.operators.outcome import Outcome
 from rollcall.plans.keyed import flag_unknown, keep_last, upsert
 from rollcall.plans.refresh import activity_refresh, moment, promote, with_topics
+from rollcall.plans.standing import marks_changed, settle_touched
 from rollcall.sources.lineage import cut_lineage
 
 OFF_DAY = "sessions are only on the session weekday"
@@ -30,7 +33,7 @@ def session_date_reason(text: Column, calendar: Calendar, today: str | None) ->
         (~on_weekday(date, calendar), OFF_DAY),
     ]
     if today is not None:
-        checks.append((date > F.lit(today).cast("date"), "attendance cannot be taken for a future session"))
+        checks.append((date > F.lit(today).cast("date"), "the date is still to come"))
     return first_reason(*checks)
 
 
@@ -87,8 +90,8 @@ def stage2_upsert_sessions(
 
 def _record_reason(extra: list[tuple[Column, str]]) -> Column:
     return first_reason(
-        (F.col("member_id").isNull() | blank(F.col("status")), "each record must include member_id and status"),
-        (~F.col("status").isin(PRESENT, ABSENT), "status must be 'present' or 'absent'"),
+        (F.col("member_id").isNull() | blank(F.col("status")), "a record lacks its member or its status"),
+        (~F.col("status").isin(PRESENT, ABSENT), "a status is neither present nor absent"),
         *extra,
     )
 
@@ -157,11 +160,26 @@ def latest_records(accepted: DataFrame) -> DataFrame:
     return keep_last(slim, ["session_date", "member_id"], ["seq", "ord"])
 
 
-def merge_marks(stored: DataFrame, latest: DataFrame, sessions: DataFrame) -> DataFrame:
+@dataclass(frozen=True)
+class Merge:
+    """Marks of the touched sessions before and after a batch, and the others."""
+
+    touched: DataFrame
+    before: DataFrame
+    after: DataFrame
+    others: DataFrame
+
+    @property
+    def marks(self) -> DataFrame:
+        return self.others.unionByName(self.after)
+
+
+def merge_marks(stored: DataFrame, latest: DataFrame, sessions: DataFrame) -> Merge:
     """Upsert one record per date and member into the marks; a stored mark keeps its id.
 
-    Stored marks of other sessions pass by. Those of the batch's sessions and the records meet in one
-    aggregate by mark, so each side is read and shuffled once.
+    Stored marks of the batch's sessions and the records meet in one aggregate by mark; those of other sessions pass by. A store that
+    keeps marks by session reads only the batch's sessions for the merge and leaves the others where they are; as one table, `marks`
+    reads the stored ones once for either part.
     """
     rows = cut_lineage(
         latest.join(sessions.select("session_id", "session_date"), "session_date")
@@ -169,23 +187,15 @@ def merge_marks(stored: DataFrame, latest: DataFrame, sessions: DataFrame) -> Da
         .withColumn("mark_id", F.concat_ws("|", "session_id", F.col("member_id").cast("string")))
         .select(*stored.columns)
     )
-    asked = rows.select("session_id").distinct().withColumn("asked_", F.lit(True))
-    flagged = stored.join(asked, "session_id", "left")
+    touched = rows.select("session_id").distinct()
+    before = stored.join(touched, "session_id", "left_semi")
     keys, value = ["session_id", "member_id"], ["status", "marked_by", "marked_at"]
-    both = flagged.where("asked_").select(*stored.columns, F.lit(0).alias("new_")).unionByName(rows.withColumn("new_", F.lit(1)))
+    both = before.withColumn("new_", F.lit(0)).unionByName(rows.withColumn("new_", F.lit(1)))
     merged = both.groupBy(*keys).agg(
         F.min_by("mark_id", "new_").alias("mark_id"), F.max_by(F.struct(*value), "new_").alias("row_")
     )
-    others = flagged.where("asked_ is null").select(*stored.columns)
-    return others.unionByName(merged.select(*keys, "mark_id", "row_.*").select(*stored.columns))
-
-
-def apply_marks(model: Model, accepted: DataFrame, as_of: str, calendar: Calendar = Calendar()) -> Model:
-    """Sessions and marks after accepted records; levels and activity are left to `settle_marks`."""
-    model = with_topics(model, as_of)
-    sessions = cut_lineage(_merge_sessions(model, "sessions", _wanted_sessions(accepted), as_of, calendar, True))
-    marks = merge_marks(model.marks, latest_records(accepted), sessions)
-    return model.with_tables(sessions=sessions, marks=marks)
+    after = merged.select(*keys, "mark_id", "row_.*").select(*stored.columns)
+    return Merge(touched, before, after, stored.join(touched, "session_id", "left_anti").select(*stored.columns))
 
 
 def settle_marks(model: Model, touched: DataFrame, as_of: str, rules: Rules = Rules()) -> Model:
@@ -199,24 +209,32 @@ def upsert_marks(
 ) -> Outcome:
     """Take mark batches in; `rejected` has one row per batch that was turned away.
 
-    The accepted records are computed once, since sessions, marks and members all read them.
+    The accepted records are computed once, since sessions, marks and members all read them. Where the model keeps a standing, it is
+    changed by what the batch changes, and only the members it touches are looked at.
     """
     accepted, rejected = accept_marks(records, model.members, calendar, today)
     accepted = cut_lineage(accepted)
-    changed = apply_marks(model, accepted, as_of, calendar)
-    touched = accepted.select("member_id")
+    stored, model = model, with_topics(model, as_of)
+    sessions = cut_lineage(_merge_sessions(model, "sessions", _wanted_sessions(accepted), as_of, calendar, True))
+    latest = latest_records(accepted)
+    merge = merge_marks(model.marks, latest, sessions)
+    marked = accepted.select("member_id")
+    if model.standing is None or rules.recent_n > model.standing.recent_n:
+        return Outcome(
+            model.with_tables(sessions=sessions, marks=merge.marks), rejected, lambda after: settle_marks(after, marked, as_of, rules),
+            {"marks": merge.touched}, {"marks": merge.after},
+        )
+    merge = replace(merge, after=cut_lineage(merge.after))
+    standing, moved, buckets = marks_changed(
+        model.standing, (merge.before, stored.sessions), (merge.after, sessions), latest.select("member_id", "session_date", "status")
+    )
     return Outcome(
-        changed, rejected, lambda after: settle_marks(after, touched, as_of, rules),
-        {"marks": touched_sessions(changed.sessions, accepted)},
+        model.with_tables(sessions=sessions, marks=merge.marks, standing=standing), rejected,
+        touched={"marks": merge.touched, **{f"standing_{name}": keys for name, keys in buckets.items()}}, rows={"marks": merge.after},
+        settle_rows=lambda after: settle_touched(after, moved.unionByName(marked), marked, as_of, rules),
     )
 
 
-def touched_sessions(sessions: DataFrame, accepted: DataFrame) -> DataFrame:
-    """session_id of the sessions that accepted records are for."""
-    days = accepted.select("session_date").distinct()
-    return sessions.join(days, "session_date", "left_semi").select("session_id")
-
-
 def _wanted_sessions(accepted: DataFrame) -> DataFrame:
     return accepted.select(
         "session_date", F.struct("seq", "ord").alias("ord"), F.col("marked_by").alias("created_by")
@@ -227,6 +245,6 @@ def stage2_upsert_marks(model: Model, records: DataFrame, as_of: str, calendar:
     accepted, rejected = accept_stage2_marks(records, model.stage2_roster, calendar)
     accepted = cut_lineage(accepted)
     sessions = cut_lineage(_merge_sessions(model, "stage2_sessions", _wanted_sessions(accepted), as_of, calendar, False))
-    marks = merge_marks(model.stage2_marks, latest_records(accepted), sessions)
-    changed = model.with_tables(stage2_sessions=sessions, stage2_marks=marks)
-    return Outcome(changed, rejected, touched={"stage2_marks": touched_sessions(sessions, accepted)})
+    merge = merge_marks(model.stage2_marks, latest_records(accepted), sessions)
+    changed = model.with_tables(stage2_sessions=sessions, stage2_marks=merge.marks)
+    return Outcome(changed, rejected, touched={"stage2_marks": merge.touched}, rows={"stage2_marks": merge.after})

@@ -18,6 +18,7 @@ from rollcall.model import EXPERIENCE, MEMBER_COLUMNS, Model
 from rollcall.operators.outcome import Outcome
 from rollcall.plans.keyed import first_claims, flag_known, last_given, matched_keys, spread_key
 from rollcall.plans.refresh import moment, roster_sync
+from rollcall.plans.standing import members_removed
 from rollcall.sources.lineage import cut_lineage
 
 DUPLICATE_PHONE = "phone number is in use"
@@ -297,6 +298,13 @@ class Deletion:
     model: Model
     removed: DataFrame
     rejected: DataFrame
+    ids: DataFrame
+
+    @property
+    def outcome(self) -> Outcome:
+        """As the outcome of a batch write: a store needs no more than the ids."""
+        tables = [*CASCADE, *[f"standing_{name}" for name in (self.model.standing.tables() if self.model.standing else [])]]
+        return Outcome(self.model, self.rejected, removed=dict.fromkeys(tables, self.ids))
 
 
 def delete_members(model: Model, ids: DataFrame) -> Deletion:
@@ -311,8 +319,8 @@ def delete_members(model: Model, ids: DataFrame) -> Deletion:
     removed = found.join(counts, "member_id", "left").withColumn(
         "attendance_removed", F.coalesce("attendance_removed", F.lit(0).cast("bigint"))
     )
-    changed = model.with_tables(
-        **{name: getattr(model, name).join(ids, "member_id", "left_anti") for name in CASCADE}
-    )
+    stored = {name: getattr(model, name) for name in CASCADE}
+    tables = {name: rows.join(ids, "member_id", "left_anti").select(*rows.columns) for name, rows in stored.items()}
+    standing = members_removed(model.standing, ids) if model.standing else None
     rejected = ids.join(found, "member_id", "left_anti").withColumn("reason", F.lit("member not found"))
-    return Deletion(changed, removed, rejected)
+    return Deletion(model.with_tables(**tables, standing=standing), removed, rejected, ids)

@@ -115,11 +115,15 @@ def promotion_eligible(model: Model) -> DataFrame:
     return progress.profile(model).where(progress.is_complete()).select("member_id")
 
 
-def roster_sync(roster: DataFrame, members: DataFrame, as_of: str) -> DataFrame:
-    """Add a roster row for every member at level 2 or above; none is ever removed."""
-    wanted = members.where(F.col("level") >= 2).select(
+def wanted_roster(members: DataFrame, as_of: str) -> DataFrame:
+    """A roster row for every member at level 2 or above."""
+    return members.where(F.col("level") >= 2).select(
         F.concat(F.lit("roster:"), F.col("member_id").cast("string")).alias("roster_id"),
         "member_id",
         moment(as_of).alias("added_at"),
     )
-    return insert_missing(roster, wanted, ["member_id"])
+
+
+def roster_sync(roster: DataFrame, members: DataFrame, as_of: str) -> DataFrame:
+    """Add the roster rows that members lack; none is ever removed."""
+    return insert_missing(roster, wanted_roster(members, as_of), ["member_id"])

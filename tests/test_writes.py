@@ -186,7 +186,7 @@ def test_upsert_sessions(spark, seed):
     )
     outcome = marking.upsert_sessions(seed, batch, AS_OF, TODAY)
     assert reasons(outcome) == {
-        3: marking.OFF_DAY, 4: "attendance cannot be taken for a future session", 5: "session_date must be a valid date",
+        3: marking.OFF_DAY, 4: "the date is still to come", 5: "session_date must be a valid date",
         6: "session_date is required",
     }
     rows = {str(r.session_date): r for r in outcome.model.sessions.collect()}
@@ -215,8 +215,8 @@ def test_upsert_marks(spark, seed):
     )
     outcome = marking.upsert_marks(seed, batch, AS_OF, TODAY)
     assert {r.batch_id: r.reason for r in outcome.rejected.collect()} == {
-        "b": "status must be 'present' or 'absent'", "c": "unknown member_id", "d": marking.OFF_DAY,
-        "e": "each record must include member_id and status",
+        "b": "a status is neither present nor absent", "c": "unknown member_id", "d": marking.OFF_DAY,
+        "e": "a record lacks its member or its status",
     }
     marks = {(r.session_id, r.member_id): r for r in outcome.model.marks.collect()}
     assert len(marks) == 401
@@ -252,7 +252,7 @@ def test_stage2_upsert_marks(spark, seed):
     outcome = marking.stage2_upsert_marks(seed, batch, AS_OF)
     outsiders = "only stage-2 members can be marked"
     assert {r.batch_id: r.reason for r in outcome.rejected.collect()} == {
-        "b": outsiders, "c": outsiders, "d": marking.OFF_DAY, "e": "status must be 'present' or 'absent'", "f": outsiders,
+        "b": outsiders, "c": outsiders, "d": marking.OFF_DAY, "e": "a status is neither present nor absent", "f": outsiders,
     }
     assert outcome.model.stage2_marks.count() == 32 and outcome.model.stage2_sessions.count() == 4
 
@@ -286,9 +286,9 @@ def test_create_events(spark, seed, kind):
         [(1, "m17"), (1, "m17"), (1, "m18"), (5, "m17"), (5, "nobody"), (6, "m19")],
     )
     outcome = events.create_events(seed, kind, *asked, AS_OF)
-    busy = f"{kind.name} date already scheduled"
+    busy = f"another {kind.name} holds that date"
     assert reasons(outcome) == {
-        2: busy, 3: busy, 4: f"{kind.name}_date is required", 5: "one or more members are invalid", 7: f"{kind.name}_date is required",
+        2: busy, 3: busy, 4: f"{kind.name}_date is required", 5: "a named member does not exist", 7: f"{kind.name}_date is required",
     }
     new = {r[kind.key]: r for r in getattr(outcome.changed, kind.events).collect()}
     assert new["2026-06-06"].details is None and new["2026-06-08"].details == "Day"
@@ -316,7 +316,7 @@ def test_replace_event_members(spark, seed, kind):
     )
     outcome = events.replace_event_members(seed, kind, *asked, AS_OF)
     assert reasons(outcome) == {
-        3: f"{kind.name} not found", 4: f"{kind.name} date already scheduled", 5: f"{kind.name}_date is invalid",
+        3: f"{kind.name} not found", 4: f"another {kind.name} holds that date", 5: f"{kind.name}_date is invalid",
     }
     # S15: no lines empties the set; of two accepted requests the last one decides it
     assert bridge_of(outcome.changed, kind) == {new: {"m13"}}
