@@ -10,6 +10,7 @@ import sys
 import tempfile
 import uuid
 from collections.abc import Callable
+from dataclasses import replace
 from functools import reduce
 from pathlib import Path
 
@@ -23,8 +24,8 @@ from oracle.sql import ORACLE  # noqa: E402
 from rollcall.model import Calendar, Model  # noqa: E402
 from rollcall.operators import events, logs, marking, members, migrations, quality, registration, reports  # noqa: E402
 from rollcall.operators.outcome import Outcome  # noqa: E402
-from rollcall.plans import progress, refresh  # noqa: E402
-from rollcall.sources import requests, store  # noqa: E402
+from rollcall.plans import progress, refresh, standing  # noqa: E402
+from rollcall.sources import layout, requests, store  # noqa: E402
 from rollcall.sources.bindings import AS_OF, DAILY, from_test_tables, marks, read_table  # noqa: E402
 from rollcall.sources.lineage import cut_lineage, new_folder, shared_folder  # noqa: E402
 from rollcall.streaming import marks_feed  # noqa: E402
@@ -83,6 +84,19 @@ class Tables:
             marks=stored, stage2_marks=on_sunday.join(roster, "member_id", "left_semi").select(*stored.columns)
         )
 
+    @property
+    def settled(self) -> Model:
+        """The model with every level settled, and its standing, stored."""
+        return once(self.spark, self.sf_dir, "settled", lambda: _stored_standing(self.model))
+
+    @property
+    def settled_morning(self) -> Model:
+        return once(self.spark, self.sf_dir, "settled_morning", lambda: _stored_standing(self.morning))
+
+    def stored(self, name: str, build: Callable[[Tables], Model]) -> Model:
+        """A model that is published and loaded again, once for the queries that read it."""
+        return once(self.spark, self.sf_dir, name, lambda: build(self))
+
     @property
     def feed(self) -> DataFrame:
         return requests.mark_records(self.events, self.supplier)
@@ -101,6 +115,14 @@ class Tables:
         return self.supplier.select(F.col("s_suppkey").alias("member_id"))
 
 
+def _stored_standing(model: Model) -> Model:
+    """The model settled, with members, roster and standing written as tables."""
+    full = standing.with_standing(model, AS_OF)
+    kept = {name: cut_lineage(table) for name, table in full.standing.tables().items()}
+    own = {name: cut_lineage(getattr(full, name)) for name in ("members", "stage2_roster", "topics")}
+    return full.with_tables(**own, standing=replace(full.standing, **kept))
+
+
 # --- reads -------------------------------------------------------------------------
 
 
@@ -165,6 +187,28 @@ def _session_dates(t: Tables) -> DataFrame:
     return asked.select("ord", "session_date", reason.alias("reason"))
 
 
+def _recent(rows: DataFrame) -> DataFrame:
+    """The newest statuses of a member as one text."""
+    return rows.select(
+        "member_id", F.array_join(F.transform("recent", lambda x: F.concat_ws("=", x["session_date"].cast("string"), x["status"])), "|").alias("recent")
+    )
+
+
+def _member_layout_report(t: Tables) -> DataFrame:
+    laid_out = layout.write_by_member(t.model, _own_folder(t), buckets=8)
+    report = reports.all_members_report(refresh.prepare(laid_out, AS_OF))
+    return report.withColumn("topics", F.array_join(F.transform("topics", lambda x: F.concat_ws("=", x["name"], x["status"])), "|"))
+
+
+def _unchecked_model(t: Tables) -> Model:
+    """All records of the feed as marks, as they came: doubled ones, unknown members and statuses; and an event as its own marker."""
+    raw = t.feed.select(
+        F.concat_ws("|", "session_date", F.col("member_id").cast("string")).alias("mark_id"), F.col("session_date").alias("session_id"), "member_id",
+        F.when(F.col("member_id") > 0, F.col("status")).alias("status"), F.col("ord").cast("string").alias("marked_by"), F.col("received_at").alias("marked_at"),
+    )
+    return t.model.with_tables(marks=raw, members=t.model.members.withColumn("phone", F.nullif(F.col("college_name"), F.lit("College 3"))))
+
+
 READS: dict[str, Callable[[Tables], DataFrame]] = {
     "all_members_report": _all_members_report,
     "list_members": lambda t: members.list_members(t.prepared()),
@@ -221,6 +265,13 @@ READS: dict[str, Callable[[Tables], DataFrame]] = {
     "topic_rotation": lambda t: marking.topic_rotation(_rotation_dates(t), t.model.topics),
     "topic_coverage": lambda t: progress.topic_coverage(t.model),
     "constraint_check": lambda t: quality.constraint_check(t.model),
+    "constraint_check_unchecked": lambda t: quality.constraint_check(_unchecked_model(t)),
+    "standing_coverage": lambda t: t.settled.standing.coverage.drop("bucket"),
+    "standing_tallies": lambda t: t.settled.standing.tallies.drop("bucket"),
+    "standing_recent": lambda t: _recent(t.settled.standing.recent),
+    "standing_topic_coverage": lambda t: standing.topic_coverage(t.settled),
+    "standing_promotion_eligible": lambda t: standing.promotion_eligible(t.settled),
+    "member_layout_report": _member_layout_report,
     "migrate_add_columns": lambda t: migrations.migrate_add_columns(
         requests.members_before_profiles(t.model.members, t.customer)
     ),
@@ -298,6 +349,58 @@ def _export_json_roundtrip(t: Tables) -> DataFrame:
     return t.spark.read.schema(rows.schema).json(path)
 
 
+def _standing_upsert(t: Tables) -> Outcome:
+    return marking.upsert_marks(t.settled_morning, t.feed, AS_OF, TODAY, DAILY)
+
+
+def _store_after_feed(t: Tables) -> Model:
+    """The morning published, the feed published as a batch, and the model loaded again."""
+    root, kind = _own_folder(t), t.model.members.schema["member_id"].dataType
+    store.publish(t.settled_morning, root, 1)
+    outcome = marking.upsert_marks(store.load(t.spark, root, member_id=kind), t.feed, AS_OF, TODAY, DAILY)
+    store.publish_outcome(outcome, root, 2, ["sessions", "marks"])
+    return store.load(t.spark, root, member_id=kind)
+
+
+def _store_after_deletions(t: Tables) -> Model:
+    """Members, then outings deleted by their keys, and the tables written whole again."""
+    root, kind = _own_folder(t), t.model.members.schema["member_id"].dataType
+    store.publish(t.settled, root, 1)
+    ids = requests.member_ids_to_delete(t.customer, t.supplier)
+    store.publish_outcome(registration.delete_members(store.load(t.spark, root, member_id=kind), ids).outcome, root, 2, registration.CASCADE)
+    gone = requests.event_ids_to_delete(t.orders, "outing_id")
+    outcome = events.delete_events(store.load(t.spark, root, member_id=kind), events.OUTINGS, gone, AS_OF)
+    store.publish_outcome(outcome, root, 3, ["outings", "outing_members"])
+    store.compact(t.spark, root, 4, kind)
+    lines = [store.load(t.spark, root, version, kind) for version in (3, 4)]
+    both = [getattr(m, name).exceptAll(getattr(o, name)) for m, o in (lines, lines[::-1]) for name in registration.CASCADE]
+    assert all(df.isEmpty() for df in both)
+    return lines[1]
+
+
+def _folded_marks(t: Tables) -> DataFrame:
+    """The feed as a stream of three parts, folded into the store after each of them."""
+    root, feed, kind = _own_folder(t), f"{shared_folder(t.spark)}/marks_feed/{uuid.uuid4().hex}", t.model.members.schema["member_id"].dataType
+    store.publish(t.settled_morning, root, 1)
+    records = requests.mark_records(t.events, t.supplier)
+    folder, last = _own_folder(t), F.lit(31 * 24)
+    for part in range(3):
+        hours = F.col("seq") + F.when(F.col("ord") % 2 == 1, 1).otherwise(0)
+        records.where(F.floor(3 * hours / last).between(-10**6 if part == 0 else part, part if part < 2 else 10**6)).write.mode("append").parquet(folder)
+        stream = t.spark.readStream.schema(records.schema).parquet(folder)
+        marks_feed.start_feed(stream, feed, availableNow=True).awaitTermination()
+        marks_feed.fold(t.spark, feed, root, 2 + part, AS_OF, TODAY, DAILY, grace=1 if part < 2 else None, member_id=kind, check=False)
+    return store.load(t.spark, root, member_id=kind).marks
+
+
+def _older_members(t: Tables) -> DataFrame:
+    """Members stored by the first schema, without the columns that came later, as they are loaded now."""
+    root, kind = _own_folder(t), t.model.members.schema["member_id"].dataType
+    old = requests.members_before_profiles(t.model.members, t.customer)
+    store.publish(t.model.with_tables(members=old), root, 1, schema=1)
+    return store.load(t.spark, root, member_id=kind).members
+
+
 def _upsert_marks(t: Tables) -> Outcome:
     return marking.upsert_marks(t.morning, t.feed, AS_OF, TODAY, DAILY)
 
@@ -379,6 +482,27 @@ WRITES: dict[str, Callable[[Tables], DataFrame]] = {
         for table in ("outing_members", "service_members", "stage2_roster", "stage2_marks")
     },
     "snapshot_roundtrip": _snapshot_roundtrip,
+    "standing_upsert_marks_members": lambda t: _standing_upsert(t).model.members,
+    "standing_upsert_marks_coverage": lambda t: _standing_upsert(t).changed.standing.coverage.drop("bucket"),
+    "standing_upsert_marks_recent": lambda t: _recent(_standing_upsert(t).changed.standing.recent),
+    "standing_create_outings_members": lambda t: events.create_events(
+        t.settled, events.OUTINGS, *requests.event_requests(t.orders), AS_OF
+    ).model.members,
+    "standing_replace_service_members_levels": lambda t: events.replace_event_members(
+        t.settled, events.SERVICES, *requests.replace_requests(t.orders), AS_OF
+    ).model.members,
+    "standing_replace_service_members_tallies": lambda t: events.replace_event_members(
+        t.settled, events.SERVICES, *requests.replace_requests(t.orders), AS_OF
+    ).changed.standing.tallies.drop("bucket"),
+    "standing_delete_outings_tallies": lambda t: events.delete_events(
+        t.settled, events.OUTINGS, requests.event_ids_to_delete(t.orders, "outing_id"), AS_OF
+    ).changed.standing.tallies.drop("bucket"),
+    "store_upsert_marks": lambda t: t.stored("after_feed", _store_after_feed).marks,
+    "store_upsert_marks_members": lambda t: t.stored("after_feed", _store_after_feed).members,
+    "store_delete_marks": lambda t: t.stored("after_deletions", _store_after_deletions).marks,
+    "store_delete_outing_members": lambda t: t.stored("after_deletions", _store_after_deletions).outing_members,
+    "store_older_members": _older_members,
+    "feed_folded_marks": _folded_marks,
     "export_json_roundtrip": _export_json_roundtrip,
     "stream_upsert_marks": _stream_upsert_marks,
 }

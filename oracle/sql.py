@@ -606,7 +606,7 @@ SESSION_REQUESTS = """asked AS (
 judged AS (
   SELECT *, CASE WHEN day(d) = 31 THEN 'session_date must be a valid date'
                  WHEN dayname(d) <> 'Sunday' THEN 'sessions are only on the session weekday'
-                 WHEN d > DATE '2024-01-20' THEN 'attendance cannot be taken for a future session' END AS reason
+                 WHEN d > DATE '2024-01-20' THEN 'the date is still to come' END AS reason
   FROM asked)"""
 
 FEED = f"""{marks_cte("stored_marks", "hour(ts) < 12")},
@@ -621,7 +621,7 @@ feed AS (
          event_type, value
   FROM events),
 bad AS (
-  SELECT batch_id, arg_min(CASE WHEN status = 'late' THEN 'status must be ''present'' or ''absent'''
+  SELECT batch_id, arg_min(CASE WHEN status = 'late' THEN 'a status is neither present nor absent'
                                 ELSE 'unknown member_id' END, ord) AS reason
   FROM feed WHERE status = 'late' OR member_id = -1 GROUP BY batch_id),
 latest AS (
@@ -657,7 +657,7 @@ stage2_batches AS (
       WHEN dayname(CAST(min(session_date) AS DATE)) <> 'Sunday' THEN 'sessions are only on the session weekday'
       WHEN count(*) <> count(DISTINCT CASE WHEN member_id IN (SELECT member_id FROM stage2_roster) THEN member_id END)
         THEN 'only stage-2 members can be marked'
-      WHEN bool_or(status = 'late') THEN 'status must be ''present'' or ''absent''' END AS reason
+      WHEN bool_or(status = 'late') THEN 'a status is neither present nor absent' END AS reason
   FROM stage2_feed GROUP BY batch_id),
 stage2_latest AS (
   SELECT * FROM stage2_feed WHERE batch_id IN (SELECT batch_id FROM stage2_batches WHERE reason IS NULL)
@@ -680,7 +680,7 @@ SELECT coalesce(s.session_id, CAST(w.d AS VARCHAR)) AS session_id,
 FROM sessions s FULL JOIN wanted w ON w.d = s.session_date""",
     "upsert_sessions_rejected": f"{BASE}, {SESSION_REQUESTS} SELECT ord, session_date, reason FROM judged WHERE reason IS NOT NULL",
     "stage2_upsert_sessions_rejected": f"""{BASE}, {SESSION_REQUESTS}
-SELECT ord, session_date, reason FROM judged WHERE reason IS NOT NULL AND reason NOT LIKE '%future%'""",
+SELECT ord, session_date, reason FROM judged WHERE reason IS NOT NULL AND reason NOT LIKE '%still to come%'""",
     "stage2_upsert_marks_sessions": f"""{BASE}
 SELECT session_id, CAST(session_date AS VARCHAR) AS session_date, day_of_week, created_by,
        CAST(created_at AS VARCHAR) AS created_at FROM stage2_sessions""",
@@ -718,8 +718,8 @@ def create_ctes(name: str) -> str:
 judged AS (
   SELECT d, wanted, date_diff('day', DATE '1970-01-01', d) AS ord,
          CASE WHEN day(d) = 2 THEN '{name}_date is required'
-              WHEN wanted IN (SELECT {name}_date FROM {name}s) THEN '{name} date already scheduled'
-              WHEN day(d) = 1 THEN 'one or more members are invalid' END AS reason
+              WHEN wanted IN (SELECT {name}_date FROM {name}s) THEN 'another {name} holds that date'
+              WHEN day(d) = 1 THEN 'a named member does not exist' END AS reason
   FROM asked),
 good AS (SELECT d, wanted FROM judged WHERE reason IS NULL),
 new_events AS (
@@ -747,8 +747,8 @@ date_claims AS (
   WHERE NOT unknown AND NOT taken AND day(d) <> 28 AND new_date IS NOT NULL GROUP BY new_date),
 judged AS (
   SELECT c.*, CASE WHEN day(d) = 15 THEN '{name}_date is invalid' WHEN unknown THEN '{name} not found'
-                   WHEN taken OR w.winner <> c.event_id THEN '{name} date already scheduled'
-                   WHEN day(d) = 28 THEN 'one or more members are invalid' END AS reason
+                   WHEN taken OR w.winner <> c.event_id THEN 'another {name} holds that date'
+                   WHEN day(d) = 28 THEN 'a named member does not exist' END AS reason
   FROM checked c LEFT JOIN date_claims w USING (new_date)),
 good AS (SELECT * FROM judged WHERE reason IS NULL),
 new_events AS (
@@ -823,4 +823,94 @@ STORE = {
     "export_json_roundtrip": sessions_sql("TRUE"),
 }
 
-ORACLE = {**READS, **REGISTRATION, **MARKING, **EVENTS, **STORE}
+# --- the standing of members, and the store by differences -----------------------------------
+
+
+def standing_coverage_sql(ctes: str, marks: str, sessions: str) -> str:
+    return f"""{BASE}{ctes}
+SELECT k.member_id, s.topic_id, count(*) AS n_present FROM {marks} k JOIN {sessions} s USING (session_id)
+WHERE k.status = 'present' AND s.topic_id IS NOT NULL GROUP BY ALL"""
+
+
+def tallies_sql(ctes: str, outing: str, service: str) -> str:
+    return f"""{BASE}{ctes}
+SELECT member_id, count(*) FILTER (WHERE kind = 'o') AS n_outings, count(*) FILTER (WHERE kind = 's') AS n_services
+FROM (SELECT member_id, 'o' AS kind FROM {outing} UNION ALL SELECT member_id, 's' FROM {service}) GROUP BY member_id"""
+
+
+def recent_sql(ctes: str, marks: str) -> str:
+    return f"""{BASE}{ctes}
+SELECT member_id, string_agg(session_id || '=' || status, '|' ORDER BY session_id DESC) AS recent
+FROM (SELECT *, row_number() OVER (PARTITION BY member_id ORDER BY session_id DESC) AS rn FROM {marks})
+WHERE rn <= 4 GROUP BY member_id"""
+
+
+def settled_levels_sql(name: str, ctes: str) -> str:
+    """Members after a batch on a model whose levels were settled before it."""
+    bridges = ("new_bridge", "service_members") if name == "outing" else ("outing_members", "new_bridge")
+    return f"""{BASE}, {ctes},
+{coverage_cte("coverage")}, {complete_cte("old_complete", "coverage")}, {complete_cte("complete", "coverage", *bridges)},
+settled AS (SELECT * REPLACE ({PROMOTE.format("old_complete")}) FROM members),
+changed AS (SELECT * REPLACE ({PROMOTE.format("complete")}) FROM settled)
+SELECT {MEMBER} FROM changed"""
+
+
+SETTLED_FEED = f"""{BASE}, {FEED},
+{coverage_cte("old_coverage", "stored_marks")},
+{complete_cte("old_complete", "old_coverage")},
+settled AS (SELECT * REPLACE ({PROMOTE.format("old_complete")}) FROM members),
+{coverage_cte("new_coverage", "new_marks", "new_sessions")},
+{lapsed_cte("new_lapsed", "new_marks", "new_sessions")},
+{complete_cte("new_complete", "new_coverage")},
+changed AS (
+  SELECT * REPLACE (
+    CASE WHEN level = 1 AND member_id IN (SELECT member_id FROM latest)
+         THEN member_id NOT IN (SELECT member_id FROM new_lapsed WHERE lapsed) ELSE active END AS active,
+    {PROMOTE.format("new_complete")})
+  FROM settled)
+SELECT {MEMBER} FROM changed"""
+
+UNCHECKED = f"""{BASE}, {FEED},
+raw AS (
+  SELECT session_date || '|' || member_id AS mark_id, session_date AS session_id, member_id,
+         CASE WHEN member_id > 0 THEN status END AS status, CAST(ord AS VARCHAR) AS marked_by, received_at AS marked_at
+  FROM feed),
+unchecked_members AS (SELECT * REPLACE (nullif(college_name, 'College 3') AS phone) FROM members)"""
+
+STANDING = {
+    "standing_coverage": standing_coverage_sql("", "marks", "sessions"),
+    "standing_tallies": tallies_sql("", "outing_members", "service_members"),
+    "standing_recent": recent_sql("", "marks"),
+    "standing_topic_coverage": f"{BASE}, {coverage_cte('coverage')} SELECT member_id, n AS n_topics FROM coverage",
+    "standing_promotion_eligible": f"""{BASE}, {coverage_cte("coverage")}, {complete_cte("complete", "coverage")}
+SELECT member_id FROM members WHERE member_id IN (SELECT member_id FROM complete)""",
+    "standing_upsert_marks_members": SETTLED_FEED,
+    "standing_upsert_marks_coverage": standing_coverage_sql(f", {FEED}", "new_marks", "new_sessions"),
+    "standing_upsert_marks_recent": recent_sql(f", {FEED}", "new_marks"),
+    "standing_create_outings_members": settled_levels_sql("outing", create_ctes("outing")),
+    "standing_replace_service_members_levels": settled_levels_sql("service", replace_ctes("service")),
+    "standing_replace_service_members_tallies": tallies_sql(f", {replace_ctes('service')}", "outing_members", "new_bridge"),
+    "standing_delete_outings_tallies": tallies_sql(f", {delete_ctes('outing')}", "new_bridge", "service_members"),
+    "store_upsert_marks": MARKING["upsert_marks"],
+    "store_upsert_marks_members": SETTLED_FEED,
+    "store_delete_marks": REGISTRATION["delete_members_marks"],
+    "store_delete_outing_members": f"""{BASE}, {delete_ctes("outing")}
+SELECT outing_id, member_id, CAST(added_at AS VARCHAR) AS added_at FROM new_bridge
+WHERE member_id NOT IN (SELECT c_custkey FROM customer WHERE c_acctbal < 0)""",
+    "store_older_members": f"""{BASE}
+SELECT member_id, full_name, CAST(NULL AS VARCHAR) AS email, phone, age, member_type,
+       CASE WHEN c_acctbal >= 0 AND member_type = 'studying' THEN 'College ' || c_nationkey END AS college_name,
+       CAST(NULL AS VARCHAR) AS branch, CAST(NULL AS INT) AS semester, CAST(NULL AS VARCHAR) AS company_name,
+       CAST(NULL AS VARCHAR) AS designation, CAST(NULL AS DOUBLE) AS experience, CAST(NULL AS VARCHAR) AS description,
+       active, level, CAST(NULL AS VARCHAR) AS promoted_at, CAST(NULL AS VARCHAR) AS created_at
+FROM members JOIN customer ON c_custkey = member_id""",
+    "feed_folded_marks": MARKING["upsert_marks"],
+    "member_layout_report": READS["all_members_report"],
+    "constraint_check_unchecked": f"{UNCHECKED} " + " UNION ALL ".join(
+        line.replace("FROM marks", "FROM raw").replace("FROM (SELECT DISTINCT mark_id FROM marks)", "FROM (SELECT DISTINCT mark_id FROM raw)")
+        .replace("phone) FROM members", "phone) FROM unchecked_members")
+        for line in _constraint_lines()
+    ),
+}
+
+ORACLE = {**READS, **REGISTRATION, **MARKING, **EVENTS, **STORE, **STANDING}

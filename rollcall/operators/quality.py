@@ -1,5 +1,6 @@
 """The constraints of the schema as checks, since Spark tables do not enforce them."""
 
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -7,6 +8,7 @@ from pyspark.sql import functions as F
 
 from rollcall.functions.values import ABSENT, PRESENT
 from rollcall.model import KEYS, Model, schemas
+from rollcall.sources.lineage import cut_lineage
 
 #: (table, column, referenced table, referenced column); a null reference is allowed.
 REFERENCES = [
@@ -28,37 +30,101 @@ REFERENCES = [
     ("stage2_sessions", "created_by", "markers", "marker_id"),
 ]
 
+#: Markers are accounts of another system, so a name that is no marker here need not be wrong.
+OF_MARKERS = frozenset((table, f"{column} in markers") for table, column, other, _ in REFERENCES if other == "markers")
+
 #: (table, column): unique among the rows that have a value.
 UNIQUE_IF_GIVEN = [("members", "phone")]
 
 
-def _line(rows: DataFrame, table: str, rule: str, violations: Column) -> DataFrame:
-    return rows.agg(F.coalesce(violations, F.lit(0)).cast("bigint").alias("violations")).select(
-        F.lit(table).alias("table_name"), F.lit(rule).alias("rule"), "violations"
-    )
+@dataclass(frozen=True)
+class Rule:
+    """A rule of a table. `key`: what a row is counted by, or null for rows that hold to it. `other`: the rule that has the keys
+    a reference must be among."""
+
+    table: str
+    name: str
+    key: Column
+    kind: str
+    other: str | None = None
+
+
+def _text(columns: list[str]) -> Column:
+    """A key as text, different for different keys."""
+    return F.col(columns[0]).cast("string") if len(columns) == 1 else F.to_json(F.struct(*columns))
+
+
+def row_metrics(table: str) -> dict[str, Column]:
+    """Aggregates of the rules that a row breaks by itself: how many rows do."""
+    required = [f.name for f in schemas()[table].fields if not f.nullable]
+    rules = {"required columns": F.count_if(reduce(lambda a, b: a | b, [F.col(c).isNull() for c in required]))}
+    if table in ("marks", "stage2_marks"):
+        rules["status"] = F.count_if(~F.col("status").isin(PRESENT, ABSENT))
+    return rules
+
+
+def _rules(table: str) -> list[Rule]:
+    """The rules that need more than one row."""
+    rules = [Rule(table, f"unique {', '.join(key)}", _text(key), "unique") for key in KEYS[table]]
+    rules += [Rule(table, f"unique {c}", _text([c]), "unique if given") for t, c in UNIQUE_IF_GIVEN if t == table]
+    return rules + [Rule(t, f"{c} in {o}", _text([c]), "reference", f"{o}: unique {k}") for t, c, o, k in REFERENCES if t == table]
+
+
+def _keys(rows: DataFrame, rules: list[Rule]) -> DataFrame:
+    """rule, key, n: how often each key of each rule occurs. One scan of the table, combined inside the map tasks."""
+    name = lambda r: F.lit(f"{r.table}: {r.name}")
+    each = F.array(*[F.struct(name(r).alias("rule"), r.key.alias("key")) for r in rules])
+    return rows.select(F.inline(each)).groupBy("rule", "key").agg(F.count(F.lit(1)).alias("n"))
+
+
+def _broken(keys: DataFrame, rules: list[Rule]) -> DataFrame:
+    """rule, violations, of the rules that are broken. A unique key counts the rows beyond the first of each key."""
+    of = lambda *kinds: [f"{r.table}: {r.name}" for r in rules if r.kind in kinds]
+    again = keys.where(F.col("rule").isin(of("unique")) | F.col("rule").isin(of("unique if given")) & F.col("key").isNotNull())
+    again = again.where("n > 1").select("rule", (F.col("n") - 1).alias("n"))
+    targets = [F.lit(x) for r in rules if r.kind == "reference" for x in (f"{r.table}: {r.name}", r.other)]
+    if targets:
+        known = keys.select(F.col("rule").alias("other"), "key")
+        asked = keys.where(F.col("rule").isin(of("reference")) & F.col("key").isNotNull())
+        asked = asked.withColumn("other", F.create_map(*targets)[F.col("rule")])
+        again = again.unionByName(asked.join(known, ["other", "key"], "left_anti").select("rule", "n"))
+    return again.groupBy("rule").agg(F.sum("n").alias("violations"))
 
 
 def constraint_check(model: Model) -> DataFrame:
     """table_name, rule, violations: one row per rule, 0 when it holds.
 
-    A unique key counts the rows beyond the first of each key value.
+    Each table is scanned for its keys once, and once for the rules of single rows; the keys of all tables then meet in one aggregate.
+    """
+    spark, tables = model.members.sparkSession, model.tables()
+    rules = [r for name in tables for r in _rules(name)]
+    keys = cut_lineage(reduce(DataFrame.unionByName, [_keys(tables[name], _rules(name)) for name in tables]))
+    every = spark.createDataFrame([(f"{r.table}: {r.name}", r.table, r.name) for r in rules], "id string, table_name string, rule string")
+    broken = _broken(keys, rules).withColumnRenamed("rule", "id")
+    many = every.join(broken, "id", "left").select("table_name", "rule", F.coalesce("violations", F.lit(0).cast("bigint")).alias("violations"))
+    single = []
+    for name, rows in tables.items():
+        metrics = row_metrics(name)
+        found = F.array(*[F.struct(F.lit(rule).alias("rule"), F.col(f"m{i}").alias("violations")) for i, rule in enumerate(metrics)])
+        single.append(rows.agg(*[m.alias(f"m{i}") for i, m in enumerate(metrics.values())]).select(F.lit(name).alias("table_name"), F.inline(found)))
+    return reduce(DataFrame.unionByName, single, many)
+
+
+def violations_of(model: Model, written: dict[str, DataFrame], whole: set[str]) -> list[tuple[str, str, int]]:
+    """(table, rule, rows) of the rules over several rows that the rows written break, in a model that has them.
+
+    Keys of tables that are referred to come from the whole model, all others from the rows written. `whole`: tables of which every row
+    is among those written.
     """
-    tables, lines = model.tables(), []
-    for table, keys in KEYS.items():
-        for key in keys:
-            groups = tables[table].groupBy(*key).agg(F.count(F.lit(1)).alias("n"))
-            lines.append(_line(groups, table, f"unique {', '.join(key)}", F.sum(F.col("n") - 1)))
-    for table, column in UNIQUE_IF_GIVEN:
-        given = tables[table].where(F.col(column).isNotNull()).groupBy(column).agg(F.count(F.lit(1)).alias("n"))
-        lines.append(_line(given, table, f"unique {column}", F.sum(F.col("n") - 1)))
-    for table, struct in schemas().items():
-        required = [f.name for f in struct.fields if not f.nullable]
-        any_null = reduce(lambda a, b: a | b, [F.col(c).isNull() for c in required])
-        lines.append(_line(tables[table], table, "required columns", F.count_if(any_null)))
-    for table, column, other, key in REFERENCES:
-        rows = tables[table].where(F.col(column).isNotNull()).groupBy(column).agg(F.count(F.lit(1)).alias("n"))
-        known = tables[other].select(F.col(key).alias(column))
-        lines.append(_line(rows.join(known, column, "left_anti"), table, f"{column} in {other}", F.sum("n")))
-    for table in ["marks", "stage2_marks"]:
-        lines.append(_line(tables[table], table, "status", F.count_if(~F.col("status").isin(PRESENT, ABSENT))))
-    return reduce(DataFrame.unionByName, lines)
+    rules = [r for name in written for r in _rules(name)]
+    keys = [_keys(rows, _rules(name)) for name, rows in written.items()]
+    for target in {r.other for r in rules if r.kind == "reference"}:
+        table = target.partition(":")[0]
+        if table not in whole:
+            own = [r for r in _rules(table) if f"{r.table}: {r.name}" == target]
+            # there, but not to be counted
+            keys.append(_keys(getattr(model, table), own).withColumn("n", F.lit(0).cast("bigint")))
+    if not keys:
+        return []
+    found = cut_lineage(reduce(DataFrame.unionByName, keys).groupBy("rule", "key").agg(F.sum("n").alias("n")))
+    return sorted((*r.rule.split(": ", 1), r.violations) for r in _broken(found, rules).collect())
