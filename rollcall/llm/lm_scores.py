@@ -14,8 +14,10 @@ where c' is rounded down and K(h) is the sum of c'(h w) - D over all w, so the p
 false positives of the filter. A first word that nothing was learned to follow, and the first token of a text, have P1.
 
 The filter is cut by ranges of a hash of the bigrams, as many as keep a range to about `RANGE` learned tokens or fewer, so no task holds more
-of it, however large the corpus. Blocks send their bigrams to the task of the range, which adds up their counts, fills its part of the filter, and
-sends each block the levels of its own. The sums K come to the blocks in the same way, by ranges of the words.
+of it, however large the corpus. Building and probing are tasks of their own. One task adds up the counts of a range and fills its part of the
+filter; of the counts, nothing but the bits and the sums K leaves it. Another task is sent the bits and the bigrams of the blocks in that range, never
+a count of a bigram, and reads the levels off by membership probes alone. The bigrams are shuffled once for both; counts travel apart from them. The sums K
+come to the blocks by ranges of the words.
 
 Words are told apart by 64-bit hashes. Null and empty texts are one end token. Rows without id count as learning documents and keep
 their null id; repeated rows count each time. An empty table gives an empty result. If nothing may be learned, base and model scores come from zero
@@ -206,67 +208,91 @@ class Block:
         return keys, order, list(ranges(top[order] << np.uint64(64 - bits) if bits else top, bits))
 
 
-def planes(keys: np.ndarray) -> bytes:
-    """The first bytes of all, then the second ones and so on: those of sorted numbers compress."""
-    return np.ascontiguousarray(keys.view(np.uint8).reshape(-1, 8).T).tobytes()
+def planes(values: np.ndarray) -> bytes:
+    """The first bytes of all, then the second ones and so on: those of sorted or small numbers compress."""
+    return np.ascontiguousarray(values).view(np.uint8).reshape(-1, values.itemsize).T.tobytes()
 
 
-def from_planes(data: bytes) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(8, -1).T).view(np.uint64).ravel()
+def from_planes(data: bytes, kind: type = np.uint64) -> np.ndarray:
+    size = np.dtype(kind).itemsize
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(size, -1).T).view(kind).ravel()
 
 
 def by_block(blocks_: DataFrame) -> GroupedData:
     return blocks_.select("block", "ids", "held", "ends", "low", "high", "order_low", "order_high").groupBy("block")
 
 
-def bigrams(blocks_: DataFrame, counts: DataFrame, offsets: np.ndarray, bits: int) -> DataFrame:
-    """`part, block, keys, counts` of the bigrams of each block in a range."""
+def bigrams(blocks_: DataFrame, counts: DataFrame, offsets: np.ndarray, bits: int) -> tuple[DataFrame, DataFrame]:
+    """The bigrams of each block in a range, as two tables: `part, block, keys`, and `part, block, counts` in the order of the keys."""
+    both = by_block(blocks_).cogroup(counts.select("block", "part", "counts", "number").groupBy("block"))
 
-    def pairs(_key, own: pa.Table, counts: pa.Table) -> pa.Table:
-        block = Block(own, counts, offsets)
-        known, times, _ = block.pairs()
-        keys, order, parts = block.dealt(known, bits)
-        keys, times = keys[order], times[order].astype(np.uint32)
-        return pa.table({
-            "part": pa.array([p for p, _ in parts], pa.int32()), "block": pa.array([own["block"][0].as_py()] * len(parts), pa.int64()),
-            "keys": pa.array([planes(keys[s]) for _, s in parts], pa.binary()), "counts": pa.array([times[s].tobytes() for _, s in parts], pa.binary()),
-        })
+    def table(name: str) -> DataFrame:
+        def deal(_key, own: pa.Table, counts: pa.Table) -> pa.Table:
+            block = Block(own, counts, offsets)
+            known, times, _ = block.pairs()
+            keys, order, parts = block.dealt(known, bits)
+            values = (keys if name == "keys" else times.astype(np.uint32))[order]
+            return pa.table({
+                "part": pa.array([p for p, _ in parts], pa.int32()), "block": pa.array([own["block"][0].as_py()] * len(parts), pa.int64()),
+                name: pa.array([planes(values[s]) for _, s in parts], pa.binary()),
+            })
 
-    return by_block(blocks_).cogroup(counts.select("block", "part", "counts", "number").groupBy("block")).applyInArrow(
-        pairs, "part int, block long, keys binary, counts binary"
-    )
+        return both.applyInArrow(deal, f"part int, block long, {name} binary")
 
+    return table("keys"), table("counts")
 
-def probed(found: DataFrame, offsets: np.ndarray, discount: float, coarse: int) -> DataFrame:
-    """Two sorts of rows. `block, part, levels`: what the filter of a range gives for the bigrams of a block. `words, firsts, sums`: what the discounted
-    bigrams of first words in a range of words (several ranges of the counts: those that agree but for `coarse` bits) add up to."""
 
-    def probe(table: pa.Table) -> pa.Table:
-        keys = [from_planes(x.as_py()) for x in table["keys"]]
-        known, total, back = summed(np.concatenate(keys), np.concatenate([np.frombuffer(x.as_py(), np.uint32) for x in table["counts"]]))
-        learned = total > 0
-        exact = level(total[learned].astype(float), 1.0)
+def built(keys: DataFrame, counts: DataFrame, offsets: np.ndarray, discount: float, coarse: int) -> DataFrame:
+    """Two sorts of rows of a range. `part, bits`: its filter. `part, words, firsts, sums`: what the discounted bigrams of first words in a range
+    of words (several ranges of the counts: those that agree but for `coarse` bits) add up to."""
+
+    def build(_key, own: pa.Table, counts: pa.Table) -> pa.Table:
+        own, counts = own.sort_by("block"), counts.sort_by("block")
+        known, total, _ = summed(
+            np.concatenate([from_planes(x.as_py()) for x in own["keys"]]), np.concatenate([from_planes(x.as_py(), np.uint32) for x in counts["counts"]])
+        )
+        known, total = known[total > 0], total[total > 0]
+        exact = level(total.astype(float), 1.0)
         filter_ = Filter(max(1, math.ceil(int(exact.sum()) * BITS / SEGMENT)))
         for some in blocks(exact.tolist(), 1 << 20):
-            filter_.add(entries(known[learned][some] ^ _BIGRAM, exact[some]))
-        levels = filter_.levels(known ^ _BIGRAM).astype(np.uint8)[back]
-        levels = np.split(levels, np.cumsum([len(x) for x in keys])[:-1])
-        first, of = np.unique(known[learned] >> np.uint64(32), return_inverse=True)
+            filter_.add(entries(known[some] ^ _BIGRAM, exact[some]))
+        first, of = np.unique(known >> np.uint64(32), return_inverse=True)
         sums = np.zeros(len(first), np.int64)
         np.add.at(sums, of, np.ceil((count_of(exact, 1.0) - discount) * _UNIT).astype(np.int64))
         range_ = (np.searchsorted(offsets, first, side="right") - 1) >> coarse
         cut = np.flatnonzero(np.diff(range_, prepend=-1))
         words = [slice(a, b) for a, b in zip(cut, np.append(cut[1:], len(first)), strict=True)]
-        n, m = len(levels), len(words)
         return pa.table({
-            "block": pa.array([*table["block"].to_pylist(), *[None] * m], pa.int64()), "part": pa.array([*table["part"].to_pylist(), *[None] * m], pa.int32()),
+            "part": pa.array([own["part"][0].as_py()] * (1 + len(words)), pa.int32()),
+            "bits": pa.array([filter_.bits.tobytes(), *[None] * len(words)], pa.binary()),
+            "words": pa.array([None, *[int(range_[s.start]) for s in words]], pa.int32()),
+            "firsts": pa.array([None, *[planes(first[s].astype(np.uint32)) for s in words]], pa.binary()),
+            "sums": pa.array([None, *[planes(sums[s]) for s in words]], pa.binary()),
+        })
+
+    return keys.groupBy("part").cogroup(counts.groupBy("part")).applyInArrow(build, "part int, bits binary, words int, firsts binary, sums binary")
+
+
+def probed(keys: DataFrame, filters: DataFrame) -> DataFrame:
+    """`block, part, levels`: what the filter of a range gives for the bigrams of a block. Rows of `filters` that are no filter are passed on."""
+
+    def probe(_key, own: pa.Table, filters: pa.Table) -> pa.Table:
+        is_filter = pc.is_valid(filters["bits"])
+        filter_ = Filter.of(filters.filter(is_filter)["bits"][0].as_py())
+        mine = [from_planes(x.as_py()) for x in own["keys"]]
+        known, back = np.unique(np.concatenate(mine), return_inverse=True)
+        levels = np.split(filter_.levels(known ^ _BIGRAM).astype(np.uint8)[back], np.cumsum([len(x) for x in mine])[:-1])
+        other = filters.filter(pc.invert(is_filter))
+        n, m = len(levels), other.num_rows
+        return pa.table({
+            "block": pa.array([*own["block"].to_pylist(), *[None] * m], pa.int64()), "part": pa.array([*own["part"].to_pylist(), *[None] * m], pa.int32()),
             "levels": pa.array([*[x.tobytes() for x in levels], *[None] * m], pa.binary()),
-            "words": pa.array([*[None] * n, *[int(range_[s.start]) for s in words]], pa.int32()),
-            "firsts": pa.array([*[None] * n, *[first[s].astype(np.uint32).tobytes() for s in words]], pa.binary()),
-            "sums": pa.array([*[None] * n, *[sums[s].tobytes() for s in words]], pa.binary()),
+            **{x: pa.array([*[None] * n, *other[x].to_pylist()], kind) for x, kind in (("words", pa.int32()), ("firsts", pa.binary()), ("sums", pa.binary()))},
         })
 
-    return found.groupBy("part").applyInArrow(probe, "block long, part int, levels binary, words int, firsts binary, sums binary")
+    return keys.groupBy("part").cogroup(filters.groupBy("part")).applyInArrow(
+        probe, "block long, part int, levels binary, words int, firsts binary, sums binary"
+    )
 
 
 def masses(counts: DataFrame, sums: DataFrame, offsets: np.ndarray, coarse: int) -> DataFrame:
@@ -276,9 +302,9 @@ def masses(counts: DataFrame, sums: DataFrame, offsets: np.ndarray, coarse: int)
         out = own.select(["block", "part", "counts", "number"])
         first, total = np.empty(0, np.uint32), np.empty(0, np.int64)
         if sums.num_rows:
-            first, back = np.unique(np.concatenate([np.frombuffer(x.as_py(), np.uint32) for x in sums["firsts"]]), return_inverse=True)
+            first, back = np.unique(np.concatenate([from_planes(x.as_py(), np.uint32) for x in sums["firsts"]]), return_inverse=True)
             total = np.zeros(len(first), np.int64)
-            np.add.at(total, back, np.concatenate([np.frombuffer(x.as_py(), np.int64) for x in sums["sums"]]))
+            np.add.at(total, back, np.concatenate([from_planes(x.as_py(), np.int64) for x in sums["sums"]]))
         first, total = np.append(first.astype(np.uint64), np.uint64(1 << 63)), np.append(total, 0)
         mass = []
         for part, number in zip(own["part"].to_pylist(), own["number"], strict=True):
@@ -307,6 +333,13 @@ class Filter:
     def __init__(self, segments: int):
         self.bits = np.zeros((segments, SEGMENT // 8), np.uint8)
 
+    @classmethod
+    def of(cls, bits: bytes) -> Filter:
+        """The filter that `bits` were taken from; it can only be probed."""
+        made = cls(0)
+        made.bits = np.frombuffer(bits, np.uint8).reshape(-1, SEGMENT // 8)
+        return made
+
     def places(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         first = mix(keys)
         step = mix(keys ^ _BIGRAM)
@@ -372,7 +405,8 @@ def score(docs: DataFrame, may_learn: Column, block: int = BLOCK) -> DataFrame:
     discount = min(0.9, max(0.1, once / (once + 2 * twice))) if once + twice else 0.5
     pair_bits = max(bits, math.ceil(math.log2(max(1, total / RANGE))))
     coarse = min(bits, 3)
-    read = cut_lineage(probed(bigrams(own, counts, offsets, pair_bits), offsets, discount, coarse))
+    keys, times = bigrams(own, counts, offsets, pair_bits)
+    read = cut_lineage(probed(keys, built(keys, times, offsets, discount, coarse)))
     none = F.lit(None).cast("binary")
     parts = masses(counts, read.where("block is null").select("words", "firsts", "sums"), offsets, coarse).withColumn("levels", none).unionByName(
         read.where("block is not null").select("block", "part", none.alias("counts"), none.alias("number"), none.alias("mass"), "levels")

@@ -34,6 +34,8 @@ def test_filter_gives_back_levels():
     filter_.add(made)
     found = filter_.levels(keys)
     assert (found >= levels).all() and (found > levels).mean() < 0.02
+    sent = lm_scores.Filter.of(filter_.bits.tobytes())
+    assert (sent.levels(keys) == found).all()
     other = draw.integers(1 << 63, (1 << 64) - 1, 20_000, dtype=np.uint64)
     assert (filter_.levels(other) > 0).mean() < 0.01
 
@@ -113,3 +115,39 @@ def test_every_bigram_is_held(spark):
     assert len(far) <= 0.2 * len(texts)  # false positives of the filter: one in a thousand bigrams
     assert all(math.isclose(got[i], want[i], rel_tol=0.1) for i in texts)
     assert got[1000] - got[1002] > 1
+
+
+def test_the_probing_task_gets_bits_and_no_counts(spark):
+    """One range: the levels come from the filter that another task built, and the bigrams are shuffled once for both."""
+    draw = np.random.default_rng(4)
+    keys, counts = np.sort(draw.integers(0, 1 << 62, 500).astype(np.uint64)), draw.integers(0, 40, 500).astype(np.uint32)
+    own, times = (
+        spark.createDataFrame([(p, b, bytearray(lm_scores.planes(x[b::2]))) for p in (0, 1) for b in (0, 1)], f"part int, block long, {name} binary")
+        for x, name in ((keys, "keys"), (counts, "counts"))
+    )
+    filters = lm_scores.built(own, times, np.zeros(1, np.uint64), 0.5, 0)
+    assert filters.columns == ["part", "bits", "words", "firsts", "sums"]
+    read = lm_scores.probed(own, filters)
+    assert "counts" not in read.columns
+    got = {(r.part, r.block): np.frombuffer(r.levels, np.uint8) for r in read.where("block is not null").collect()}
+    for (_, block), levels in got.items():
+        mine = counts[block::2]
+        want = np.where(mine > 0, lm_scores.level(np.maximum(mine, 1).astype(float), 1.0), 0)
+        assert (levels >= want).all() and (levels > want).mean() < 0.02
+    assert len(got) == 4 and read.where("block is null").count() > 0
+
+
+def test_bigrams_are_shuffled_once(spark):
+    """The plan of a whole run holds the exchange of the bigrams once; the probing side reads it again."""
+    plans = []
+    cut = lm_scores.cut_lineage
+    lm_scores.cut_lineage = lambda df: (plans.append(df), cut(df))[1]
+    try:
+        lm_scores.score(queries.table(spark, SF, "documents"), F.col("doc_id") % 10 != 0)
+    finally:
+        lm_scores.cut_lineage = cut
+    plan = plans[-1]
+    plan.collect()
+    text = plan._jdf.queryExecution().executedPlan().toString()
+    final = text.split("== Initial Plan ==")[0]
+    assert final.count("ReusedExchange") >= 3  # the bigrams, and the blocks and their words under the counts
