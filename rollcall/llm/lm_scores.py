@@ -51,9 +51,20 @@ END = np.uint64(0x1D8E4E27C47D124F)
 _BIGRAM, _FIRST = np.uint64(0xA0761D6478BD642F), np.uint64(0xE7037ED1A0B428DB)
 
 
+def planes(values: np.ndarray) -> bytes:
+    """Numbers as they travel: their first bytes, then the second ones and so on, compressed, after the length of that."""
+    plain = np.ascontiguousarray(values).view(np.uint8).reshape(-1, values.itemsize).T.tobytes()
+    return len(plain).to_bytes(8, "little") + pa.compress(plain, codec="zstd", asbytes=True)
+
+
+def from_planes(data: bytes, kind: type = np.uint64) -> np.ndarray:
+    plain = pa.decompress(data[8:], int.from_bytes(data[:8], "little"), codec="zstd", asbytes=True)
+    return np.frombuffer(plain, np.uint8).reshape(np.dtype(kind).itemsize, -1).T.copy().view(kind).ravel()
+
+
 def tokenised(docs: DataFrame, may_learn: Column, block: int) -> DataFrame:
     """Two rows for each block. `texts`: ids, whether each is held out, ends of the texts, tokens as numbers of the block's words and these numbers in
-    the order of the words' hashes (lower and upper 16 bits). `words`: the hashes, their counts in learning documents, and the sum of these."""
+    the order of the words' hashes. `words`: the hashes, their counts in learning documents, and the sum of these."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         serial = TaskContext.get().partitionId() << 32
@@ -77,12 +88,12 @@ def tokenised(docs: DataFrame, may_learn: Column, block: int) -> DataFrame:
                 train = np.bincount(tokens[own], minlength=len(known)).astype(np.uint32)
                 by_hash = np.argsort(known)
                 row = dict.fromkeys(names, [None]) | {
-                    "kind": ["words"], "block": [serial], "words": [known.tobytes()], "train": [train.tobytes()], "n": [int(own.sum())],
+                    "kind": ["words"], "block": [serial], "words": [known.tobytes()], "train": [planes(train)], "n": [int(own.sum())],
                 }
                 yield pa.RecordBatch.from_pydict(row, schema=_arrow)
                 row = dict.fromkeys(names, [None]) | {
-                    "kind": ["texts"], "block": [serial], "ids": [ids[rows]], "held": [[not x for x in learn[rows]]], "ends": [np.cumsum(size).tobytes()],
-                    "low": [lower(tokens)], "high": [upper(tokens)], "order_low": [lower(by_hash)], "order_high": [upper(by_hash)],
+                    "kind": ["texts"], "block": [serial], "ids": [ids[rows]], "held": [[not x for x in learn[rows]]], "ends": [planes(np.cumsum(size))],
+                    "tokens": [planes(tokens.astype(np.uint32))], "order": [planes(by_hash.astype(np.uint32))],
                 }
                 yield pa.RecordBatch.from_pydict(row, schema=_arrow)
                 serial += 1
@@ -90,29 +101,15 @@ def tokenised(docs: DataFrame, may_learn: Column, block: int) -> DataFrame:
     rows = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(may_learn, F.lit(True)).alias("learn"), F.col("text").cast("string").alias("text")
     )
-    kinds = [pa.string(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.bool_()), *[pa.binary()] * 7, pa.int64()]
-    names = ["kind", "block", "ids", "held", "ends", "low", "high", "order_low", "order_high", "words", "train", "n"]
+    kinds = [pa.string(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.bool_()), *[pa.binary()] * 5, pa.int64()]
+    names = ["kind", "block", "ids", "held", "ends", "tokens", "order", "words", "train", "n"]
     _arrow = pa.schema(list(zip(names, kinds, strict=True)))
     return rows.mapInArrow(
         read,
-        "kind string, block long, ids array<long>, held array<boolean>, ends binary, low binary, high binary, order_low binary, order_high binary, "
-        "words binary, train binary, n long",
+        "kind string, block long, ids array<long>, held array<boolean>, ends binary, tokens binary, order binary, words binary, train binary, n long",
     )
 
 
-def lower(numbers: np.ndarray) -> bytes:
-    return (numbers & 0xFFFF).astype(np.uint16).tobytes()
-
-
-def upper(numbers: np.ndarray) -> bytes:
-    return (numbers >> 16).astype(np.uint16).tobytes()
-
-
-def joined(table: pa.Table, name: str) -> np.ndarray:
-    low, high = (np.frombuffer(table[x][0].as_py(), np.uint16).astype(np.int64) for x in (f"{name}low", f"{name}high"))
-    return high << 16 | low
-
-
 def ranges(hashes: np.ndarray, bits: int) -> Iterator[tuple[int, slice]]:
     """The parts of sorted hashes that agree in their first `bits` bits."""
     if len(hashes):
@@ -141,18 +138,18 @@ def word_counts(blocks_: DataFrame, bits: int) -> DataFrame:
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for block, words, train in zip(*batch.columns, strict=True):
-                hashes, counts = _u64(words), np.frombuffer(train.as_py(), np.uint32)
+                hashes, counts = _u64(words), from_planes(train.as_py(), np.uint32)
                 order = np.argsort(hashes)
                 hashes, counts = hashes[order], counts[order]
                 parts = list(ranges(hashes, bits))
                 yield pa.RecordBatch.from_pydict({
                     "part": pa.array([p for p, _ in parts], pa.int32()), "block": pa.array([block.as_py()] * len(parts), pa.int64()),
-                    "words": pa.array([hashes[s].tobytes() for _, s in parts], pa.binary()),
-                    "train": pa.array([counts[s].tobytes() for _, s in parts], pa.binary()),
+                    "words": pa.array([planes(hashes[s]) for _, s in parts], pa.binary()),
+                    "train": pa.array([planes(counts[s]) for _, s in parts], pa.binary()),
                 })
 
     def count(table: pa.Table) -> pa.Table:
-        words, train = [_u64(x) for x in table["words"]], [np.frombuffer(x.as_py(), np.uint32) for x in table["train"]]
+        words, train = [from_planes(x.as_py()) for x in table["words"]], [from_planes(x.as_py(), np.uint32) for x in table["train"]]
         _, total, back = summed(np.concatenate(words), np.concatenate(train))
         ends = np.cumsum([len(x) for x in words])[:-1]
         counts, rank = np.split(total[back], ends), np.split((np.cumsum(total > 0) - 1)[back], ends)
@@ -161,7 +158,7 @@ def word_counts(blocks_: DataFrame, bits: int) -> DataFrame:
         stats = {"v": int((total > 0).sum()), "once": int((total == 1).sum()), "twice": int((total == 2).sum())}
         return pa.table({
             "block": table["block"], "part": table["part"],
-            "counts": pa.array([x.tobytes() for x in counts], pa.binary()), "number": pa.array([x.tobytes() for x in number], pa.binary()),
+            "counts": pa.array([planes(x) for x in counts], pa.binary()), "number": pa.array([planes(x) for x in number], pa.binary()),
         } | {k: pa.array([x * v for x in first], pa.int64()) for k, v in stats.items()})
 
     dealt = blocks_.select("block", "words", "train").mapInArrow(deal, "part int, block long, words binary, train binary")
@@ -173,14 +170,14 @@ class Block:
 
     def __init__(self, own: pa.Table, counts: pa.Table, offsets: np.ndarray):
         self.ids, self.held = own["ids"][0].as_py(), own["held"][0].as_py()
-        self.ends = np.frombuffer(own["ends"][0].as_py(), np.int64)
-        self.tokens, self.order = joined(own, ""), joined(own, "order_")
+        self.ends = from_planes(own["ends"][0].as_py(), np.int64)
+        self.tokens, self.order = (from_planes(own[x][0].as_py(), np.uint32).astype(np.int64) for x in ("tokens", "order"))
         parts = [int(i) for i in np.argsort(counts["part"].to_numpy())]
-        known = np.concatenate([_u64(counts["counts"][i]) for i in parts])
+        known = np.concatenate([from_planes(counts["counts"][i].as_py()) for i in parts])
         self.counts, self.number = np.empty(len(self.order), np.uint64), np.zeros(len(self.order), np.uint64)
         self.counts[self.order] = known
         self.number[self.order[known > 0]] = np.concatenate([
-            np.frombuffer(counts["number"][i].as_py(), np.uint32) + offsets[counts["part"][i].as_py()] for i in parts
+            from_planes(counts["number"][i].as_py(), np.uint32) + offsets[counts["part"][i].as_py()] for i in parts
         ])
 
     def pairs(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -208,18 +205,8 @@ class Block:
         return keys, order, list(ranges(top[order] << np.uint64(64 - bits) if bits else top, bits))
 
 
-def planes(values: np.ndarray) -> bytes:
-    """The first bytes of all, then the second ones and so on: those of sorted or small numbers compress."""
-    return np.ascontiguousarray(values).view(np.uint8).reshape(-1, values.itemsize).T.tobytes()
-
-
-def from_planes(data: bytes, kind: type = np.uint64) -> np.ndarray:
-    size = np.dtype(kind).itemsize
-    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(size, -1).T).view(kind).ravel()
-
-
 def by_block(blocks_: DataFrame) -> GroupedData:
-    return blocks_.select("block", "ids", "held", "ends", "low", "high", "order_low", "order_high").groupBy("block")
+    return blocks_.select("block", "ids", "held", "ends", "tokens", "order").groupBy("block")
 
 
 def bigrams(blocks_: DataFrame, counts: DataFrame, offsets: np.ndarray, bits: int) -> tuple[DataFrame, DataFrame]:
@@ -266,7 +253,7 @@ def built(keys: DataFrame, counts: DataFrame, offsets: np.ndarray, discount: flo
             "part": pa.array([own["part"][0].as_py()] * (1 + len(words)), pa.int32()),
             "bits": pa.array([filter_.bits.tobytes(), *[None] * len(words)], pa.binary()),
             "words": pa.array([None, *[int(range_[s.start]) for s in words]], pa.int32()),
-            "firsts": pa.array([None, *[planes(first[s].astype(np.uint32)) for s in words]], pa.binary()),
+            "firsts": pa.array([None, *[planes(np.diff(first[s].astype(np.uint32), prepend=np.uint32(0))) for s in words]], pa.binary()),
             "sums": pa.array([None, *[planes(sums[s]) for s in words]], pa.binary()),
         })
 
@@ -286,7 +273,7 @@ def probed(keys: DataFrame, filters: DataFrame) -> DataFrame:
         n, m = len(levels), other.num_rows
         return pa.table({
             "block": pa.array([*own["block"].to_pylist(), *[None] * m], pa.int64()), "part": pa.array([*own["part"].to_pylist(), *[None] * m], pa.int32()),
-            "levels": pa.array([*[x.tobytes() for x in levels], *[None] * m], pa.binary()),
+            "levels": pa.array([*[planes(x) for x in levels], *[None] * m], pa.binary()),
             **{x: pa.array([*[None] * n, *other[x].to_pylist()], kind) for x, kind in (("words", pa.int32()), ("firsts", pa.binary()), ("sums", pa.binary()))},
         })
 
@@ -302,15 +289,15 @@ def masses(counts: DataFrame, sums: DataFrame, offsets: np.ndarray, coarse: int)
         out = own.select(["block", "part", "counts", "number"])
         first, total = np.empty(0, np.uint32), np.empty(0, np.int64)
         if sums.num_rows:
-            first, back = np.unique(np.concatenate([from_planes(x.as_py(), np.uint32) for x in sums["firsts"]]), return_inverse=True)
+            first, back = np.unique(np.concatenate([np.cumsum(from_planes(x.as_py(), np.uint32), dtype=np.uint32) for x in sums["firsts"]]), return_inverse=True)
             total = np.zeros(len(first), np.int64)
             np.add.at(total, back, np.concatenate([from_planes(x.as_py(), np.int64) for x in sums["sums"]]))
         first, total = np.append(first.astype(np.uint64), np.uint64(1 << 63)), np.append(total, 0)
         mass = []
         for part, number in zip(own["part"].to_pylist(), own["number"], strict=True):
-            mine = np.frombuffer(number.as_py(), np.uint32) + offsets[part]
+            mine = from_planes(number.as_py(), np.uint32) + offsets[part]
             at = np.searchsorted(first, mine)
-            mass.append(np.where(first[at] == mine, total[at] / _UNIT, 0.0).astype(np.float32).tobytes())
+            mass.append(planes(np.where(first[at] == mine, total[at] / _UNIT, 0.0).astype(np.float32)))
         return out.append_column("mass", pa.array(mass, pa.binary()))
 
     words = counts.select(F.shiftright("part", coarse).alias("words"), "block", "part", "counts", "number").groupBy("words")
@@ -423,12 +410,12 @@ def score(docs: DataFrame, may_learn: Column, block: int = BLOCK) -> DataFrame:
         pairs, _, at = part.pairs()
         p = single[part.tokens]
         mass = np.zeros(len(c))
-        mass[part.order[c[part.order] > 0]] = np.concatenate([np.frombuffer(x.as_py(), np.float32) for x in of_words.sort_by("part")["mass"]])
+        mass[part.order[c[part.order] > 0]] = np.concatenate([from_planes(x.as_py(), np.float32) for x in of_words.sort_by("part")["mass"]])
         # the weight of P1 after each word: 1 where nothing was learned to follow
         rest = np.maximum(c - mass, REST * c)
         weight = np.where(mass > 0, rest / np.maximum(mass + rest, 1e-9), 1.0)
         levels = np.zeros(len(pairs), np.int64)
-        levels[part.dealt(pairs, pair_bits)[1]] = np.concatenate([np.empty(0, np.uint8), *[np.frombuffer(x.as_py(), np.uint8) for x in of_pairs["levels"]]])
+        levels[part.dealt(pairs, pair_bits)[1]] = np.concatenate([np.empty(0, np.uint8), *[from_planes(x.as_py(), np.uint8) for x in of_pairs["levels"]]])
         first = pairs // len(c)
         seen = np.where((levels > 0) & (mass[first] > 0), np.maximum(count_of(levels, 1.0) - discount, 0.0), 0.0)
         extra = np.append(np.minimum(seen, mass[first]) / np.maximum(mass[first] + rest[first], 1e-9), 0.0)

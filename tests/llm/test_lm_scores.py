@@ -129,7 +129,7 @@ def test_the_probing_task_gets_bits_and_no_counts(spark):
     assert filters.columns == ["part", "bits", "words", "firsts", "sums"]
     read = lm_scores.probed(own, filters)
     assert "counts" not in read.columns
-    got = {(r.part, r.block): np.frombuffer(r.levels, np.uint8) for r in read.where("block is not null").collect()}
+    got = {(r.part, r.block): lm_scores.from_planes(r.levels, np.uint8) for r in read.where("block is not null").collect()}
     for (_, block), levels in got.items():
         mine = counts[block::2]
         want = np.where(mine > 0, lm_scores.level(np.maximum(mine, 1).astype(float), 1.0), 0)
