@@ -2,7 +2,7 @@
 
 The fixed formats (email, ip, card, phone) are found in every text and are the seeds. Around every mention of a seed,
 and of any other word that looks like an identifier, lexical patterns are read: the word before, the two words before,
-and the words on either side. Patterns and instances form a graph, which Spark scores in rounds:
+and the words on either side. Words that reach further than a window of 64 characters before and 32 after are in no pattern. Patterns and instances form a graph, which Spark scores in rounds:
 
 * a pattern's score for a kind is the belief in its instances of that kind, over the number of its distinct instances
   plus one; patterns with little support or a low score take no part;
@@ -102,9 +102,20 @@ def _other(text: str, taken: list[tuple[int, int]]) -> Iterator[tuple[int, int]]
             yield start, end
 
 
+def words_of(text: str, start: int, end: int) -> list[str]:
+    """The words between two places, in lower case with all digits alike."""
+    return re.sub(r"\d", "0", text[start:end].lower()).split()
+
+
 def contexts(text: str, start: int, end: int) -> list[str]:
-    before = re.sub(r"\d", "0", text[max(0, start - _BEFORE) : start].lower()).split()[-2:]
-    after = re.sub(r"\d", "0", text[end : end + _AFTER].lower()).split()[:1]
+    low, high = max(0, start - _BEFORE), min(len(text), end + _AFTER)
+    before, after = words_of(text, low, start), words_of(text, end, high)
+    # a word that reaches over the edge of the window is no context: what is left of it is another word
+    if before and low and not text[low - 1].isspace() and not text[low].isspace():
+        before = before[1:]
+    if after and high < len(text) and not text[high].isspace() and not text[high - 1].isspace():
+        after = after[:-1]
+    before, after = before[-2:], after[:1]
     found = []
     if before:
         found.append("1 " + before[-1])

@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import re
 
 from rollcall.llm import pii, queries
 from tests.conftest import SF
@@ -59,6 +60,39 @@ def test_contexts_find_unseen_identifiers(spark):
     assert got[300] == "email:5:12,ip:16:23" and got[None] == "" and got[301] == "" and got[302] == "email:0:7"
 
 
+def plain_contexts(text, start, end):
+    """The same from the places of all words: those next to the identifier, unless they reach out of the window."""
+    def words(a, b):
+        return [(re.sub(r"\d", "0", m.group().lower()), m.start() + a, m.end() + a) for m in re.finditer(r"\S+", text[a:b])]
+
+    before = [w for w, a, _ in words(0, start) if a >= start - 64][-2:]
+    after = [w for w, _, b in words(end, len(text))[:1] if b <= end + 32]
+    if not before:
+        return []
+    found = ["1 " + before[-1]] + (["2 " + " ".join(before)] if len(before) == 2 else [])
+    return found + [f"3 {before[-1]} _ {w}" for w in after]
+
+
+def test_words_over_the_edge_of_a_window_are_no_context():
+    text = "x" * 90 + " acct 12345 " + "y" * 90
+    at = text.index("12345")
+    assert pii.contexts(text, at, at + 5) == ["1 acct"]
+    long = "code " + "z" * 70 + " 12345"
+    assert pii.contexts(long, len(long) - 5, len(long)) == []  # what the window shows of it is not a word
+    exact = "x" + " " + "z" * 62 + " 12345 " + "y" * 31
+    at = exact.index("12345")
+    assert pii.contexts(exact, at, at + 5) == ["1 " + "z" * 62, f"3 {'z' * 62} _ {'y' * 31}"]
+    draw = random.Random(5)
+    for _ in range(5000):
+        parts = [draw.choice("aé7") * draw.choice([1, 3, 8, 25, 31, 32, 33, 62, 63, 64, 65]) for _ in range(6)]
+        place = draw.randint(0, 5)
+        gap = [draw.choice([" ", "  ", "\n"]) for _ in parts]
+        start = sum(len(w) + len(g) for w, g in zip(parts[:place], gap, strict=False))
+        text = "".join(w + g for w, g in zip(parts, gap, strict=True)).rstrip()
+        end = min(start + len(parts[place]), len(text))
+        assert pii.contexts(text, start, end) == plain_contexts(text, start, end), (text, start, end)
+
+
 def test_scores_follow_the_definition(spark):
     """One pattern with 9 seeds and one unknown instance: 9 / 11 is above the precision; with four unknown ones 9 / 14 is not."""
     for unknown, some in ((1, True), (4, False)):
