@@ -3,8 +3,10 @@
 Every part of an address gives a token, whatever its place: scheme, whole host, each host label, each path segment (digits folded),
 number of segments, extension, each query key, each key with its value (digits folded), fragment. Tokens of fewer than `LEAST` labelled
 addresses can't be in a rule and go first. Tokens that the same labelled addresses have are one item, so a fixed part of many
-addresses does not multiply the sets. Spark's FP-growth mines the sets of the labelled addresses, whose label is one more item; of an
-address with more than `ITEMS` items the rarest take part, which bounds the sets by 2^ITEMS an address (the documented bound of the fit).
+addresses does not multiply the sets. Spark's FP-growth mines the sets of all frequent items of the labelled addresses, however many an
+address has: once to count the sets tried, once among the blocked addresses for what a rule can be made of, and once more for how many
+addresses have these. Sets are listed one after the other inside the tasks and those without a rule are not kept, so memory does not
+follow their number; the time does, and addresses that share m items but no two of them the same addresses have up to 2^m.
 
 Rules "tokens -> block" stay if enough addresses hold them, their confidence is high, and chance does not explain it: with the
 share p of blocked addresses, the probability of k or more blocked among n is at most exp(-n * KL(k/n, p)) (Chernoff's bound,
@@ -20,6 +22,7 @@ gives an empty result, and without labels there are no mined rules. Other column
 
 from __future__ import annotations
 
+import math
 import string
 from collections.abc import Callable
 
@@ -34,8 +37,6 @@ RULES = (("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com
 SUPPORT, CONFIDENCE = 0.002, 0.6
 #: Blocked addresses that a rule needs whatever their share is, and the probability that one chance rule passes.
 LEAST, CHANCE = 5, 0.01
-ITEMS = 14
-BLOCK, ALLOW = "label:block", "label:allow"
 
 
 def parts(url: Column) -> tuple[Column, Column, Column]:
@@ -93,22 +94,24 @@ def labelled(pages: DataFrame, labels: DataFrame) -> DataFrame:
     return known.join(judged, F.col("page_id") == F.col("doc_id")).select("page_id", "tokens", "bad")
 
 
-def baskets(known: DataFrame, least: int, most: int) -> tuple[DataFrame, DataFrame]:
-    """`item, tokens, freq`: tokens of the same `least` or more addresses; and `items` of each address of `known`, rarest first, with
-    its label as the last."""
+def baskets(known: DataFrame, least: int) -> tuple[DataFrame, DataFrame]:
+    """`item, tokens, freq`: tokens of the same `least` or more addresses; and `items, bad`: all of these that each address of `known` has."""
     rows = known.withColumn("row_", F.monotonically_increasing_id())
-    rows = cut_lineage(rows.select("row_", "tokens", F.when(F.col("bad"), F.lit(BLOCK)).otherwise(F.lit(ALLOW)).alias("label")))
+    rows = cut_lineage(rows.select("row_", "tokens", "bad"))
     each = rows.select("row_", F.explode("tokens").alias("token"))
     where = [F.sum(F.xxhash64("row_", F.lit(k)).cast("decimal(38,0)")).alias(f"where{k}") for k in range(2)]
     single = each.groupBy("token").agg(F.count(F.lit(1)).alias("freq"), *where).where(F.col("freq") >= least)
     same = single.groupBy("freq", "where0", "where1").agg(F.sort_array(F.collect_list("token")).alias("tokens"))
     items = cut_lineage(same.select(F.col("tokens")[0].alias("item"), "tokens", "freq"))
-    held = each.join(items.select("item", "freq"), F.col("token") == F.col("item")).groupBy("row_").agg(
-        F.slice(F.sort_array(F.collect_list(F.struct("freq", "item"))), 1, most).alias("found")
-    )
-    rows = rows.select("row_", "label").join(held, "row_", "left")
-    found = F.coalesce(F.transform("found", lambda x: x["item"]), F.array().cast("array<string>"))
-    return items, cut_lineage(rows.select(F.array_append(found, F.col("label")).alias("items")))
+    held = each.join(items.select("item"), F.col("token") == F.col("item")).groupBy("row_").agg(F.collect_list("item").alias("found"))
+    found = F.coalesce("found", F.array().cast("array<string>"))
+    return items, cut_lineage(rows.select("row_", "bad").join(held, "row_", "left").select(found.alias("items"), "bad"))
+
+
+def frequent(rows: DataFrame, least: int, total: int, count: str) -> DataFrame:
+    """`held` (in order) and `count`: the sets of items that `least` or more of the `total` rows have, by FP-growth."""
+    sets = FPGrowth(itemsCol="items", minSupport=(least - 0.5) / total).fit(rows).freqItemsets
+    return sets.select(F.sort_array("items").alias("held"), F.col("freq").alias(count))
 
 
 def surprise(k: Column, n: Column, share: float) -> Column:
@@ -119,27 +122,29 @@ def surprise(k: Column, n: Column, share: float) -> Column:
 
 def mine(
     pages: DataFrame, labels: DataFrame, support: float = SUPPORT, confidence: float = CONFIDENCE, least: int = LEAST, chance: float = CHANCE,
-    items: int = ITEMS,
+    items: int | None = None,
 ) -> DataFrame:
     """`tokens, key, confidence`: rules that block, filed under the rarest of their tokens. An address is labelled block if
-    its document is toxic or of quality 0."""
+    its document is toxic or of quality 0. `items` once limited the items of an address; all take part now, whatever it says."""
     known = cut_lineage(labelled(pages, labels))
     total, bad = known.agg(F.count(F.lit(1)), F.count_if("bad")).first()
+    none = pages.sparkSession.createDataFrame([], "tokens array<string>, key string, confidence double")
     if not 0 < bad < total:
         # nothing to tell apart
-        return pages.sparkSession.createDataFrame([], "tokens array<string>, key string, confidence double")
-    single, rows = baskets(known, least, items)
-    share, enough = bad / total, max(support, least / total)
-    model = FPGrowth(itemsCol="items", minSupport=min(1.0, enough * (1 - 1e-9)), minConfidence=confidence).fit(rows)
-    sets = cut_lineage(model.freqItemsets)
-    tried = sets.where(~F.array_contains("items", BLOCK) & ~F.array_contains("items", ALLOW)).count()
-    both = sets.where(F.array_contains("items", BLOCK) & (F.size("items") > 1)).select(
-        F.sort_array(F.array_remove("items", BLOCK)).alias("held"), F.col("freq").alias("k")
-    )
-    rules = both.join(sets.select(F.sort_array("items").alias("held"), F.col("freq").alias("n")), "held")
+        return none
+    share, enough = bad / total, max(1, math.ceil(min(1.0, max(support, least / total) * (1 - 1e-9)) * total))
+    single, rows = baskets(known, enough)
+    sets = frequent(rows.select("items"), enough, total, "n")
+    tried = max(sets.count(), 1)
+    # with k blocked addresses, chance is at most share^k, whatever n is
+    needed = max(enough, math.ceil(math.log(tried / chance) / -math.log(share) * (1 - 1e-9)))
+    if needed > bad:
+        return none
+    both = cut_lineage(frequent(rows.where("bad").select("items"), needed, bad, "k"))
+    rules = sets.join(both, "held")
     sure = F.col("k") / F.col("n")
-    bound = surprise(F.col("k"), F.col("n"), share) >= F.log(F.lit(max(tried, 1) / chance))
-    rules = rules.where((sure >= confidence) & (sure > share) & bound).select("held", sure.alias("confidence"))
+    bound = surprise(F.col("k"), F.col("n"), share) >= F.log(F.lit(tried / chance))
+    rules = cut_lineage(rules.where((sure >= confidence) & (sure > share) & bound).select("held", sure.alias("confidence")))
     each = rules.select("held", "confidence", F.explode("held").alias("item")).join(single, "item")
     filed = each.groupBy("held", "confidence").agg(
         F.sort_array(F.flatten(F.collect_list("tokens"))).alias("tokens"), F.min(F.struct("freq", "item")).alias("rarest")

@@ -131,6 +131,21 @@ def test_addresses_of_many_parts(spark):
     assert any(x.tokens == ["arg=bad", "key=bad"] for x in rules.collect())
 
 
+def test_common_parts_of_addresses_of_many_parts(spark):
+    """Addresses of about twenty items each, and a rule over the two that are in more addresses than any other."""
+    r = random.Random(3)
+    others = [c + d for c in "cdefghij" for d in "klmno"]
+    keys = [[k for k in others if r.random() < 0.5] + [k for k in "ab" if r.random() < 0.6] for _ in range(400)]
+    bad = [{"a", "b"} <= set(k) for k in keys]
+    assert min(keys, key=len) and sum(len(k) > 14 for k in keys) > 350
+    pages, labels = labelled_table(spark, 400, lambda i: "http://h.net/?" + "&".join(keys[i]), bad.__getitem__)
+    rules = {tuple(x.tokens): x.confidence for x in url_filters.mine(pages, labels, support=0.1).collect()}
+    assert rules[("arg=a", "arg=b", "key=a", "key=b")] == 1.0
+    for third in others:
+        held = sum(b and third in k for b, k in zip(bad, keys, strict=True))
+        assert ((tuple(sorted(f"{p}={k}" for p in ("arg", "key") for k in ("a", "b", third)))) in rules) == (held >= 40)
+
+
 def test_inverted_index_finds_what_containment_does(spark):
     pages, labels = made(spark)
     rules = url_filters.mine(pages, labels, support=0.05, confidence=0.6)
