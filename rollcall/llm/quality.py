@@ -36,6 +36,8 @@ from rollcall.sources.lineage import cut_lineage
 CLASSES = {"capital": r"\p{Lu}", "digit": r"\p{Nd}", "stop": r"[.,;:!?'\"()-]", "mark": r"[\p{P}\p{S}]"}
 BINS = ["capital", "digit", "stop", "sign", "space", "letter"]
 WORD = r"[^ \t-\r]+"
+#: What is in no word.
+SPACES = " \t\n\v\f\r"
 
 
 @dataclass(frozen=True)
@@ -61,91 +63,102 @@ def found(text: Column, pattern: str) -> Column:
     return F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
 
 
-def n_repeated(words: Column) -> Column:
+def hashes(words: Column) -> Column:
+    return F.transform(words, lambda w: F.xxhash64(w))
+
+
+def passages(words: Column) -> Column:
+    """The hash of each three words in a row, of a column with the hashes of words."""
+    three = lambda w: F.transform(F.sequence(F.lit(0), F.size(w) - 3), lambda i: F.xxhash64(F.get(w, i), F.get(w, i + 1), F.get(w, i + 2)))
+    return F.when(F.size(words) > 2, let(words, three)).otherwise(F.array().cast("array<bigint>"))
+
+
+def n_repeated(passages: Column) -> Column:
     """How many words lie in passages of three words that are found twice or more."""
 
-    def starts(passages: Column) -> Column:
+    def starts(ordered: Column) -> Column:
         """Where repeated passages begin, of those in order of their hash and place."""
-        twin = lambda x, j, other: F.coalesce(F.get(passages, other)["hash"] == x["hash"], F.lit(False))
-        return F.sort_array(F.transform(F.filter(passages, lambda x, j: twin(x, j, j - 1) | twin(x, j, j + 1)), lambda x: x["at"]))
+        twin = lambda x, j, other: F.coalesce(F.get(ordered, other)["hash"] == x["hash"], F.lit(False))
+        return F.sort_array(F.transform(F.filter(ordered, lambda x, j: twin(x, j, j - 1) | twin(x, j, j + 1)), lambda x: x["at"]))
 
     def covered(at: Column) -> Column:
         step = F.transform(at, lambda x, j: F.least(F.lit(3), F.coalesce(F.get(at, j + 1) - x, F.lit(3))))
         return F.aggregate(step, F.lit(0).cast("long"), lambda a, x: a + x)
 
-    def count(hashes: Column) -> Column:
-        passage = lambda i: F.struct(F.xxhash64(F.get(hashes, i), F.get(hashes, i + 1), F.get(hashes, i + 2)).alias("hash"), i.alias("at"))
-        last = F.size(hashes) - 3
-        passages = F.transform(F.when(last >= 0, F.sequence(F.lit(0), last)).otherwise(F.array().cast("array<int>")), passage)
-        # most texts repeat no passage, and a set tells that sooner than a sort
-        some = lambda p: F.size(F.array_distinct(F.transform(p, lambda x: x["hash"]))) < F.size(p)
-        sort = lambda p: let(F.sort_array(p), lambda s: let(starts(s), covered))
-        return let(passages, lambda p: F.when(some(p), sort(p)).otherwise(F.lit(0).cast("long")))
-
-    return let(F.transform(words, lambda w: F.xxhash64(w)), count)
+    placed = F.transform(passages, lambda x, i: F.struct(x.alias("hash"), i.alias("at")))
+    # most texts repeat no passage, and a set tells that sooner than a sort
+    some = F.size(F.array_distinct(passages)) < F.size(passages)
+    return F.when(some, let(F.sort_array(placed), lambda s: let(starts(s), covered))).otherwise(F.lit(0).cast("long"))
 
 
-def counted(words: Column) -> Column:
-    """The distinct words as structs of `word` (a hash) and `n`."""
+def counted(ordered: Column) -> Column:
+    """The distinct words as structs of `word` (a hash) and `n`, of a column with the hashes of all words in order."""
 
     def runs(s: Column) -> Column:
-        first = F.filter(F.transform(s, lambda x, j: F.when((j == 0) | (F.get(s, j - 1) != x), j)), lambda j: j.isNotNull())
+        first = F.filter(F.sequence(F.lit(0), F.size(s) - 1), lambda j: (j == 0) | (F.get(s, j - 1) != F.get(s, j)))
         return let(first, lambda b: F.transform(
             b, lambda i, j: F.struct(F.get(s, i).alias("word"), (F.coalesce(F.get(b, j + 1), F.size(s)) - i).alias("n"))
         ))
 
-    return let(F.sort_array(F.transform(words, lambda w: F.xxhash64(w))), runs)
+    return F.when(F.size(ordered) > 0, let(ordered, runs)).otherwise(F.array().cast("array<struct<word:bigint,n:int>>"))
 
 
 def measures(text: Column) -> dict[str, Column]:
-    """n_words, n_symbols, n_dup_lines, n_repeat_words of a text that is not null, with its words in the column `words_`."""
-    words = F.col("words_")
+    """n_words, n_symbols, n_dup_lines, n_repeat_words of a text that is not null, with its words in the column `words_` and its
+    passages in `passages_`."""
     full = F.filter(F.split(text, "\n"), lambda line: F.rlike(line, F.lit(WORD)))
     return {
-        "n_words": F.size(words).cast("long"),
+        "n_words": F.size("words_").cast("long"),
         "n_symbols": F.regexp_count(text, F.lit("[#*$%&|<>]")).cast("long"),
         "n_dup_lines": let(full, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long"),
-        "n_repeat_words": n_repeated(words),
+        "n_repeat_words": n_repeated(F.col("passages_")),
     }
 
 
 MEASURES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 
 
-def _texts(docs: DataFrame) -> DataFrame:
-    """`row_, doc_id, lang, text`, words and words of letters, and the sizes of the classes."""
+def _texts(docs: DataFrame, words: bool = True) -> DataFrame:
+    """`row_, doc_id, lang, text`, words (not with `words=False`) and words of letters, and the sizes of the classes."""
     text = F.col("text")
     rows = docs.select(
         F.monotonically_increasing_id().alias("row_"), F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"),
         F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"),
     )
-    rows = rows.withColumns({"words_": found(text, WORD), "spoken_": found(F.lower(text), r"\p{L}+"), "length_": F.length(text).cast("long")})
-    rows = rows.withColumns({
-        **{c: F.regexp_count(text, F.lit(p)).cast("long") for c, p in CLASSES.items()},
-        "word_chars": F.aggregate("words_", F.lit(0).cast("long"), lambda a, w: a + F.length(w)),
-    })
+    rows = rows.withColumns({"spoken_": found(F.lower(text), r"\p{L}+"), "length_": F.length(text).cast("long")})
+    rows = rows.withColumns({c: F.regexp_count(text, F.lit(p)).cast("long") for c, p in CLASSES.items()})
+    if words:
+        rows = rows.withColumn("words_", found(text, WORD))
+        rows = rows.withColumn("word_chars", F.aggregate("words_", F.lit(0).cast("long"), lambda a, w: a + F.length(w)))
+    else:
+        # the characters of words are those that are no spaces
+        solid = reduce(lambda a, c: F.replace(a, F.lit(c), F.lit("")), SPACES, text)
+        rows = rows.withColumn("word_chars", F.length(solid).cast("long"))
     rows = rows.withColumns({"sign": F.col("mark") - F.col("stop"), "space": F.col("length_") - F.col("word_chars")})
     return rows.withColumn("letter", reduce(lambda a, b: a - b, [F.col(c) for c in BINS[:-1]], F.col("length_")))
 
 
 def features(docs: DataFrame) -> DataFrame:
     """`row_, doc_id, lang`, the measures, the sizes of the classes, `letters_` (how many words of letters) and `counts_`."""
-    rows = _texts(docs)
-    rows = rows.withColumns({**measures(F.col("text")), "counts_": counted(F.col("spoken_"))})
+    # by steps: a column that later ones read more than once stays a column, and Spark compiles what is not inside a lambda
+    rows = _texts(docs).withColumns({"hashes_": hashes(F.col("words_")), "ordered_": F.sort_array(hashes(F.col("spoken_")))})
+    rows = rows.withColumn("passages_", passages(F.col("hashes_")))
+    rows = rows.withColumns({**measures(F.col("text")), "counts_": counted(F.col("ordered_"))})
     return rows.select("row_", "doc_id", "lang", *MEASURES, *BINS, F.size("spoken_").alias("letters_"), "counts_")
 
 
 def tallies(docs: DataFrame, limits: Limits = Limits()) -> DataFrame:
     """`ref, kind, key, n`: of each language how often each word occurs (kind 0, by its hash), and for each class (kind 1 up) how many
     documents that are long enough have each share, in thousandths. One aggregate over all documents, combined inside the map tasks."""
-    chars = reduce(lambda a, b: a + b, [F.col(c) for c in BINS])
-    pair = lambda kind, key: F.struct(F.lit(kind).alias("kind"), key.cast("long").alias("key"))
-    steps = F.array(*[pair(i, F.floor(1000 * F.col(c) / chars)) for i, c in enumerate(BINS, 1)])
-    none = F.array().cast("array<struct<kind:int,key:bigint>>")
+    # classes come first, as text, so that words are taken out of their array and hashed by compiled code
+    chars, spoken = F.col("length_"), F.xxhash64("value")
     long = (chars >= limits.least_chars) & (chars > 0)
-    both = F.concat(F.transform("spoken_", lambda w: pair(0, F.xxhash64(w))), F.when(long, steps).otherwise(none))
-    rows = _texts(docs).where(F.col("lang").isNotNull()).select(F.col("lang").alias("ref"), F.inline(both))
-    return rows.groupBy("ref", "kind", "key").agg(F.count(F.lit(1)).alias("n"))
+    steps = F.array(*[F.when(long, F.floor(1000 * F.col(c) / chars).cast("string")) for c in BINS])
+    rows = _texts(docs, words=False).where(F.col("lang").isNotNull())
+    rows = rows.select(F.col("lang").alias("ref"), F.posexplode(F.concat(steps, F.col("spoken_"))).alias("at", "value")).where("value is not null")
+    of_class = F.col("at") < len(BINS)
+    kind, key = F.when(of_class, F.col("at") + 1).otherwise(F.lit(0)), F.when(of_class, F.col("value").cast("long")).otherwise(spoken)
+    return rows.groupBy("ref", kind.alias("kind"), key.alias("key")).agg(F.count(F.lit(1)).alias("n"))
 
 
 def class_shares(counts: DataFrame) -> DataFrame:

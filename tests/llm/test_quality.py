@@ -96,3 +96,17 @@ def test_edges(spark):
 def test_no_python_in_the_plan(spark):
     text = queries.op12_quality_rules(spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in text and "Arrow" not in text and "Cartesian" not in text and "NestedLoop" not in text
+
+
+def test_all_words_are_counted_by_compiled_code(spark, corpus):
+    """No lambda, which Spark interprets, goes over the words of the texts for the references; the counts are the plain ones."""
+    counts = quality.tallies(corpus, LIMITS)
+    assert "lambda" not in counts._jdf.queryExecution().executedPlan().toString()
+    texts = [r.text for r in corpus.where("lang = 'fr'").collect()]
+    words = [w for t in texts for w in re.findall(r"[^\W\d_]+", t.lower())]
+    assert counts.where("ref = 'fr' and kind = 0").agg(F.sum("n")).first()[0] == len(words)
+    spaces = {}
+    for t in texts:
+        share = 1000 * len(re.findall(r"[ \t-\r]", t)) // len(t)
+        spaces[share] = spaces.get(share, 0) + 1
+    assert {r.key: r.n for r in counts.where(F.col("ref") == "fr").where(F.col("kind") == quality.BINS.index("space") + 1).collect()} == spaces
