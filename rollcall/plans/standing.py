@@ -23,7 +23,7 @@ from rollcall.functions.values import ABSENT, PRESENT
 from rollcall.model import MEMBER_COLUMNS, Model, Rules, Standing
 from rollcall.plans import progress
 from rollcall.plans.refresh import moment, promote, wanted_roster
-from rollcall.sources.lineage import cut_lineage
+from rollcall.sources.lineage import cut_lineage, spread
 
 BUCKETS = 16
 KEY = ["bucket", "member_id"]
@@ -87,8 +87,8 @@ def _touched(change: DataFrame) -> DataFrame:
 
 
 def _with_change(stored: DataFrame, change: DataFrame, keys: list[str], counts: list[str]) -> DataFrame:
-    """`stored` with signed counts added; rows of other members pass by."""
-    touched = _touched(change)
+    """`stored` with signed counts added, those of `change`, a stored table; rows of other members pass by."""
+    touched = spread(_touched(change), change.count())
     own = stored.join(touched, KEY, "left_semi").unionByName(change)
     return stored.join(touched, KEY, "left_anti").unionByName(_summed(own, keys, counts).select(*stored.columns))
 
@@ -176,6 +176,7 @@ def moved_members(model: Model, touched: DataFrame, marked: DataFrame | None, as
     if marked is not None:
         keys = keys.unionByName(marked.select("member_id").withColumn("marked_", F.lit(True)))
     keys = cut_lineage(keys.groupBy("member_id").agg(F.bool_or("marked_").alias("marked_")).select(bucket_of(buckets), "member_id", "marked_"))
+    keys = spread(keys)
     rows = standings(model, keys, rules).join(keys.select("member_id", "marked_"), "member_id")
     newly = progress.is_complete() & (F.col("level") < 2)
     active = F.when(F.col("marked_") & (F.col("level") == 1) & F.col("lapsed").isNotNull(), ~F.col("lapsed")).otherwise(F.col("active"))
@@ -193,6 +194,6 @@ def settle_touched(model: Model, touched: DataFrame, marked: DataFrame | None, a
     moved = cut_lineage(moved_members(model, touched, marked, as_of, rules))
     added = wanted_roster(moved, as_of).join(model.stage2_roster.select("member_id"), "member_id", "left_anti")
     added = cut_lineage(added.select(*model.stage2_roster.columns))
-    members = model.members.join(moved.select("member_id"), "member_id", "left_anti").unionByName(moved)
+    members = model.members.join(spread(moved).select("member_id"), "member_id", "left_anti").unionByName(moved)
     after = model.with_tables(members=members, stage2_roster=model.stage2_roster.unionByName(added))
     return after, {"members": moved, "stage2_roster": added}

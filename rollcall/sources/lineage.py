@@ -10,6 +10,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+#: Rows of a stored table up to which Spark may send it to all tasks. It goes by the size of the files, in which a million keys can
+#: take less than the ten megabytes of its threshold, and what is sent passes through the driver.
+SENT_ROWS = 50_000
+
 #: Tables written since each open scope began.
 _scopes: list[list[str]] = []
 
@@ -60,3 +64,8 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     df = df.withColumns(untyped) if untyped else df
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def spread(table: DataFrame, rows: int | None = None) -> DataFrame:
+    """A stored table as a side of a join: one of more than `SENT_ROWS` rows is shuffled. `rows`: their number, if it is known."""
+    return table.hint("merge") if (table.count() if rows is None else rows) > SENT_ROWS else table

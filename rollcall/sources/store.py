@@ -32,7 +32,7 @@ from rollcall.operators import quality
 from rollcall.operators.migrations import SCHEMA_VERSION, columns_of, upgrade
 from rollcall.operators.outcome import Outcome
 from rollcall.sources import claims
-from rollcall.sources.lineage import remove, scope
+from rollcall.sources.lineage import cut_lineage, remove, scope, spread
 
 #: part: the session or bucket of a folder, null for a table in one folder. rows: of the whole write. written: the version that wrote
 #: the folder. schema: of its rows. keys: of a folder of dead keys, the columns by which rows are gone; null for a folder of rows.
@@ -365,11 +365,18 @@ def _check(work: _Publication, after: Model, whole: set[str], removed: Mapping[s
     if not shrunk:
         return
     before = _model_of(spark, work.root, work.stored, kind, {})
-    for table, column, other, key in shrunk:
-        old, new = (getattr(m, other).select(F.col(key).alias(column)) for m in (before, after))
-        lost = old.join(new, column, "left_anti")
-        n = 0 if lost.isEmpty() else getattr(after, table).join(lost, column, "left_semi").count()
-        work.violations += [(table, f"{column} in {other}", n)] if n else []
+    with scope(spark):
+        gone: dict[tuple[str, str], tuple[DataFrame, int]] = {}
+        for table, column, other, key in shrunk:
+            if (other, key) not in gone:
+                # once for all tables that refer to it
+                old, new = (getattr(m, other).select(key) for m in (before, after))
+                lost = cut_lineage(old.join(new, key, "left_anti"))
+                gone[other, key] = lost, lost.count()
+            lost, rows = gone[other, key]
+            keys = lost.select(F.col(key).alias(column))
+            n = getattr(after, table).join(spread(keys, rows), column, "left_semi").count() if rows else 0
+            work.violations += [(table, f"{column} in {other}", n)] if n else []
 
 
 # --- reading ------------------------------------------------------------------------------
@@ -378,6 +385,7 @@ def _check(work: _Publication, after: Model, whole: set[str], removed: Mapping[s
 def _read(spark: SparkSession, lines: list[Row], root: str, name: str, schema: T.StructType) -> DataFrame:
     """A table from its folders."""
     dead = [line for line in lines if line["keys"] is not None]
+    sizes = {line["path"]: line["rows"] for line in dead}
     groups: dict[tuple, list[str]] = {}
     for line in lines:
         if line["keys"] is None:
@@ -391,7 +399,8 @@ def _read(spark: SparkSession, lines: list[Row], root: str, name: str, schema: T
         for keys in sorted({k for k, _ in later}):
             columns = keys.split(",")
             kinds = T.StructType([schema[c] for c in columns])
-            gone = spark.read.schema(kinds).parquet(*[path for k, path in later if k == keys])
+            folders = [path for k, path in later if k == keys]
+            gone = spread(spark.read.schema(kinds).parquet(*folders), sum(sizes[path] for path in folders))
             rows = rows.join(gone, columns, "left_anti")
         tables.append(rows.select(*schema.names))
     if not tables:

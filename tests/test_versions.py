@@ -12,7 +12,7 @@ from rollcall.model import schemas
 from rollcall.operators import events, marking, quality, registration, reports
 from rollcall.operators.migrations import ADDED_COLUMNS
 from rollcall.plans import refresh, standing
-from rollcall.sources import claims, layout, store
+from rollcall.sources import claims, layout, lineage, store
 from rollcall.streaming import marks_feed
 from tests.conftest import AS_OF, SF
 from tests.seed import mark_row, model_from, seed_rows
@@ -233,6 +233,29 @@ def test_keys_are_read_in_one_scan(spark, seed):
     assert text.count("Scan parquet") == 1 and text.count("Exchange hashpartitioning") == 1
 
 
+def test_what_is_sent_to_all_tasks_is_bounded(spark, seed, tmp_path, monkeypatch):
+    """More dead keys than may be sent are shuffled, however small their files are, and the rows are the same."""
+    root = str(tmp_path)
+    store.publish(standing.with_standing(seed, AS_OF), root, 1, check=False)
+    ids = spark.createDataFrame([("m01",), ("m02",), ("m30",)], "member_id string")
+
+    def joins():
+        plan = store.load(spark, root).marks
+        wanted = rows(plan)
+        return wanted, "BroadcastHashJoin" in plan._jdf.queryExecution().executedPlan().toString()
+
+    store.publish_outcome(registration.delete_members(store.load(spark, root), ids).outcome, root, 2, registration.CASCADE)
+    few = joins()
+    monkeypatch.setattr(lineage, "SENT_ROWS", 2)
+    many = joins()
+    assert few[0] == many[0] and few[1] and not many[1]
+    gone = seed.outings.select("outing_id")
+    deletion = events.delete_events(store.load(spark, root), events.OUTINGS, gone, AS_OF)
+    store.publish_outcome(deletion, root, 3, ["outings", "outing_members"])
+    after = store.load(spark, root)
+    assert after.outings.count() == 0 and after.outing_members.count() == 0 and rows(after.marks) == few[0]
+
+
 # --- folds ----------------------------------------------------------------------------------
 
 
