@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from rollcall.functions.values import ABSENT, PRESENT
 from rollcall.model import KEYS, Model, schemas
-from rollcall.sources.lineage import cut_lineage
+from rollcall.sources.lineage import cut_lineage, spread
 
 #: (table, column, referenced table, referenced column); a null reference is allowed.
 REFERENCES = [
@@ -50,8 +50,11 @@ class Rule:
 
 
 def _text(columns: list[str]) -> Column:
-    """A key as text, different for different keys."""
-    return F.col(columns[0]).cast("string") if len(columns) == 1 else F.to_json(F.struct(*columns))
+    """A key as text, different for different keys: the parts of a key of several columns come with their lengths."""
+    texts = [F.col(c).cast("string") for c in columns]
+    if len(columns) == 1:
+        return texts[0]
+    return F.concat(*[F.coalesce(F.concat(F.length(x).cast("string"), F.lit(":"), x), F.lit("-")) for x in texts])
 
 
 def row_metrics(table: str) -> dict[str, Column]:
@@ -70,21 +73,33 @@ def _rules(table: str) -> list[Rule]:
     return rules + [Rule(t, f"{c} in {o}", _text([c]), "reference", f"{o}: unique {k}") for t, c, o, k in REFERENCES if t == table]
 
 
-def _keys(rows: DataFrame, rules: list[Rule]) -> DataFrame:
-    """rule, key, n: how often each key of each rule occurs. One scan of the table, combined inside the map tasks."""
+def _each(rows: DataFrame, rules: list[Rule], n: int = 1) -> DataFrame:
+    """rule, key, n: the keys of each row, in one scan of the table."""
     name = lambda r: F.lit(f"{r.table}: {r.name}")
     each = F.array(*[F.struct(name(r).alias("rule"), r.key.alias("key")) for r in rules])
-    return rows.select(F.inline(each)).groupBy("rule", "key").agg(F.count(F.lit(1)).alias("n"))
+    return rows.select(F.inline(each)).withColumn("n", F.lit(n).cast("bigint"))
+
+
+def _keys(rows: DataFrame, rules: list[Rule]) -> DataFrame:
+    """rule, key, n: how often each key of each rule occurs. Combined inside the map tasks first."""
+    return _each(rows, rules).groupBy("rule", "key").agg(F.sum("n").alias("n"))
+
+
+def _telling(keys: DataFrame, rules: list[Rule]) -> DataFrame:
+    """The keys that can tell of a broken rule: those found again, those of references, and those that a reference has to be among."""
+    references = [r for r in rules if r.kind == "reference"]
+    names = {f"{r.table}: {r.name}" for r in references} | {r.other for r in references}
+    return keys.where((F.col("n") > 1) | F.col("rule").isin(sorted(names)))
 
 
 def _broken(keys: DataFrame, rules: list[Rule]) -> DataFrame:
-    """rule, violations, of the rules that are broken. A unique key counts the rows beyond the first of each key."""
+    """rule, violations, of the rules that are broken by `keys`, a stored table. A unique key counts the rows beyond the first of each key."""
     of = lambda *kinds: [f"{r.table}: {r.name}" for r in rules if r.kind in kinds]
     again = keys.where(F.col("rule").isin(of("unique")) | F.col("rule").isin(of("unique if given")) & F.col("key").isNotNull())
     again = again.where("n > 1").select("rule", (F.col("n") - 1).alias("n"))
     targets = [F.lit(x) for r in rules if r.kind == "reference" for x in (f"{r.table}: {r.name}", r.other)]
     if targets:
-        known = keys.select(F.col("rule").alias("other"), "key")
+        known = spread(keys.select(F.col("rule").alias("other"), "key"), keys.count())
         asked = keys.where(F.col("rule").isin(of("reference")) & F.col("key").isNotNull())
         asked = asked.withColumn("other", F.create_map(*targets)[F.col("rule")])
         again = again.unionByName(asked.join(known, ["other", "key"], "left_anti").select("rule", "n"))
@@ -98,7 +113,7 @@ def constraint_check(model: Model) -> DataFrame:
     """
     spark, tables = model.members.sparkSession, model.tables()
     rules = [r for name in tables for r in _rules(name)]
-    keys = cut_lineage(reduce(DataFrame.unionByName, [_keys(tables[name], _rules(name)) for name in tables]))
+    keys = cut_lineage(_telling(reduce(DataFrame.unionByName, [_keys(tables[name], _rules(name)) for name in tables]), rules))
     every = spark.createDataFrame([(f"{r.table}: {r.name}", r.table, r.name) for r in rules], "id string, table_name string, rule string")
     broken = _broken(keys, rules).withColumnRenamed("rule", "id")
     many = every.join(broken, "id", "left").select("table_name", "rule", F.coalesce("violations", F.lit(0).cast("bigint")).alias("violations"))
@@ -117,14 +132,15 @@ def violations_of(model: Model, written: dict[str, DataFrame], whole: set[str])
     is among those written.
     """
     rules = [r for name in written for r in _rules(name)]
-    keys = [_keys(rows, _rules(name)) for name, rows in written.items()]
+    # all tables meet in one aggregate, so that a key moves once
+    keys = [_each(rows, _rules(name)) for name, rows in written.items()]
     for target in {r.other for r in rules if r.kind == "reference"}:
         table = target.partition(":")[0]
         if table not in whole:
             own = [r for r in _rules(table) if f"{r.table}: {r.name}" == target]
             # there, but not to be counted
-            keys.append(_keys(getattr(model, table), own).withColumn("n", F.lit(0).cast("bigint")))
+            keys.append(_each(getattr(model, table), own, 0))
     if not keys:
         return []
-    found = cut_lineage(reduce(DataFrame.unionByName, keys).groupBy("rule", "key").agg(F.sum("n").alias("n")))
+    found = cut_lineage(_telling(reduce(DataFrame.unionByName, keys).groupBy("rule", "key").agg(F.sum("n").alias("n")), rules))
     return sorted((*r.rule.split(": ", 1), r.violations) for r in _broken(found, rules).collect())

@@ -233,6 +233,21 @@ def test_keys_are_read_in_one_scan(spark, seed):
     assert text.count("Scan parquet") == 1 and text.count("Exchange hashpartitioning") == 1
 
 
+def test_keys_that_tell_of_no_violation_are_not_written(spark, seed):
+    """Unique keys that no table refers to are most of all keys; they are written if they are found again."""
+    rules = [r for name in ("marks", "members") for r in quality._rules(name)]
+    twice = seed.marks.unionByName(seed.marks.limit(1))
+    first = twice.groupBy("mark_id").count().where("count > 1").first().mark_id
+    told = quality._telling(quality._keys(twice, quality._rules("marks")).unionByName(quality._keys(seed.members, quality._rules("members"))), rules)
+    by_rule = {}
+    for r in told.collect():
+        by_rule.setdefault(r.rule, []).append((r.key, r.n))
+    assert by_rule["marks: unique mark_id"] == [(first, 2)] and len(by_rule["marks: unique session_id, member_id"]) == 1
+    assert len(by_rule["members: unique member_id"]) == seed.members.count() and "members: unique phone" not in by_rule
+    parts = spark.createDataFrame([("1", "23"), ("12", "3"), ("1:2", "3"), (None, "3"), ("-", "3"), ("3", None)], "a string, b string")
+    assert parts.select(quality._text(["a", "b"])).distinct().count() == 6
+
+
 def test_what_is_sent_to_all_tasks_is_bounded(spark, seed, tmp_path, monkeypatch):
     """More dead keys than may be sent are shuffled, however small their files are, and the rows are the same."""
     root = str(tmp_path)
